@@ -24,10 +24,10 @@ def is_short(c: Column) -> Column:
 
 def token(c: Column) -> Column:
     """The value itself when short, otherwise a 128-bit fingerprint, so long texts never enter a shuffle."""
-    return F.when(is_short(c), c).otherwise(
-        F.concat(F.lit("\x00"),
-                 F.lpad(F.hex(F.xxhash64(c)), 16, "0"),
-                 F.lpad(F.hex(F.xxhash64(F.lit(7), c)), 16, "0")))
+    return F.when(~is_short(c), F.concat(
+        F.lit("\x00"),
+        F.lpad(F.hex(F.xxhash64(c)), 16, "0"),
+        F.lpad(F.hex(F.xxhash64(F.lit(7), c)), 16, "0"))).otherwise(c)
 
 
 def slug(c: Column, fallback: str = "import", width: int = 60) -> Column:
