@@ -1,12 +1,9 @@
 """Inputs derived from the test tables, with the SQL that derives the same rows."""
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
 from ..sources.tables import ROW_ID
 from . import table
 
@@ -35,9 +32,3 @@ def dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 4 == 0, "n/a").when(k % 4 == 1, "").otherwise(F.col("o_orderpriority")).alias("priority"),
         (F.col("o_custkey") % 50).cast("string").alias("customer"),
         k.alias(ROW_ID))
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared checkpoint folder."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/assayer-{name}-{uuid.uuid4().hex}"

@@ -11,7 +11,8 @@ from ..operators.stats import numeric_summary
 from ..sources import csv as C
 from ..sources.tables import ROW_ID
 from . import check, keyed, rounded, table
-from .fixtures import DIRTY, dirty, scratch
+from ..session import scratch_path
+from .fixtures import DIRTY, dirty
 
 # column -> Spark type of each test table
 COLUMNS = {
@@ -161,7 +162,7 @@ READ = f"""(select o_orderkey, order_code, price, status, paid, day, note, case
 
 @check("csv_scan_orders", f"select order_code, price, status, paid, day, note, priority, customer from {READ}")
 def _(s, d):
-    path = scratch(s, "csv")
+    path = scratch_path(s, "csv")
     C.write_csv(dirty(s, d), path)
     return C.read_csv(s, path).drop(ROW_ID)
 

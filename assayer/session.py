@@ -3,8 +3,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 def build_session(app: str = "assayer", master: str | None = None, **conf: str) -> SparkSession:
@@ -38,10 +40,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write an intermediate that several later jobs read to the checkpoint folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/assayer-{name}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write an intermediate that several later jobs read as Parquet in the checkpoint folder and read it back.
+
+    It is computed once, survives the loss of executors, and later scans still prune its columns.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.toDF(*[f"c{i}" for i in range(len(df.columns))]).write.parquet(path)
+    stored = df.sparkSession.read.schema(T.StructType([
+        T.StructField(f"c{i}", f.dataType) for i, f in enumerate(df.schema.fields)])).parquet(path)
+    return stored.toDF(*df.columns)
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Fix a small result (a row per column, column pair or target) as a local table, so that it is not recomputed."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
 
 
 def local_cpus() -> int:
