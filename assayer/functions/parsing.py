@@ -52,16 +52,24 @@ def parse_number(c: Column) -> Column:
     return F.when(s.rlike(_NUMBER), s.try_cast("double"))
 
 
-def parse_datetime(c: Column) -> Column:
-    """Timestamp of an ISO text or of one of DATE_LAYOUTS."""
-    s = strip(c.cast("string"))
-    attempts = F.when(s.rlike(_ISO), s.try_cast("timestamp"))
+def _parse_stripped_datetime(s: Column) -> Column:
     tidy = F.initcap(F.regexp_replace(F.regexp_replace(s, ",", ""), "(?<=[A-Za-z])-|-(?=[A-Za-z])", " "))
+    layouts: dict[str, list[Column]] = {}
     for guard, layout in DATE_LAYOUTS:
-        source = tidy if "MMM" in layout else s
-        attempts = F.coalesce(attempts, F.when(s.rlike(guard), F.try_to_timestamp(source, F.lit(layout))))
+        layouts.setdefault(guard, []).append(F.try_to_timestamp(tidy if "MMM" in layout else s, F.lit(layout)))
+    parsed = F.when(s.rlike(_ISO), s.try_cast("timestamp"))
+    for guard, attempts in layouts.items():
+        parsed = parsed.when(s.rlike(guard), F.coalesce(*attempts))
     # one cheap test spares prose the whole chain
-    return F.when((F.char_length(s) <= 40) & s.rlike(r"\d"), attempts)
+    return F.when((F.char_length(s) <= 40) & s.rlike(r"^[A-Za-z0-9 ,:/.+-]*\d[A-Za-z0-9 ,:/.+-]*$"), parsed)
+
+
+def parse_datetime(c: Column, stripped: bool = False) -> Column:
+    """Timestamp of an ISO text or of one of DATE_LAYOUTS."""
+    if stripped:
+        return _parse_stripped_datetime(c)
+    # the one-element array makes Spark trim once instead of in every test
+    return F.transform(F.array(strip(c.cast("string"))), _parse_stripped_datetime)[0]
 
 
 def parse_boolean(c: Column) -> Column:

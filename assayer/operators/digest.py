@@ -5,7 +5,7 @@ variants and vocabularies run once per distinct value and a value that fills a t
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -81,7 +81,7 @@ def _text_facts(values: DataFrame, reader_types: bool) -> DataFrame:
     trimmed = values.groupBy("ordinal", "trim", "norm").agg(
         F.sum(n).alias("n"), F.count(tok).alias("raw"),
         F.sum(F.when(tok != F.col("trim"), n).otherwise(0)).alias("changed"))
-    datey = F.col("trim").isNotNull() & parse_datetime(F.col("trim")).isNotNull()
+    datey = F.col("trim").isNotNull() & parse_datetime(F.col("trim"), stripped=True).isNotNull()
     normal = trimmed.withColumn("dates", F.when(datey, n).otherwise(0)).groupBy("ordinal", "norm").agg(
         F.sum("n").alias("n"), F.sum("raw").alias("raw"), F.count("trim").alias("trims"),
         F.sum("changed").alias("changed"), F.sum("dates").alias("dates"))
@@ -188,3 +188,9 @@ def first_values(df: DataFrame, k: int = 5) -> DataFrame:
     return (df.join(F.broadcast(top.select(F.col("first_row").alias("_r")).distinct()), F.col(ROW_ID) == F.col("_r"))
             .select(F.col("_r").alias("first_row"), F.explode(cells).alias("s")).select("first_row", "s.*")
             .join(F.broadcast(top), ["ordinal", "first_row"]))
+
+
+def facts_frame(spark: SparkSession, facts: list) -> DataFrame:
+    """Collected facts (one per column) as a table again."""
+    names = [f.split(" ")[0] for f in FACTS.split(", ")]
+    return spark.createDataFrame([tuple(f[n] for n in names) for f in facts], FACTS)

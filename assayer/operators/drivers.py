@@ -164,8 +164,8 @@ def fit_tree(df: DataFrame, roles: dict[str, str], target: str, kind: str) -> di
 
 
 def segments(df: DataFrame, roles: dict[str, str], target: str, kind: str, limit: int = 10) -> DataFrame:
-    """(column, value, metric, lift_pct, n) per category value, strongest lift first."""
-    schema = "column string, value string, metric double, lift_pct double, n bigint"
+    """(place, column, value, metric, lift_pct, n) per category value, strongest lift first."""
+    schema = "place int, column string, value string, metric double, lift_pct double, n bigint"
     groups = [c for c, r in roles.items() if r in (CATEGORICAL, BOOLEAN) and c != target]
     if not groups:
         return df.sparkSession.createDataFrame([], schema)
@@ -185,9 +185,10 @@ def segments(df: DataFrame, roles: dict[str, str], target: str, kind: str, limit
     grouped = (df.select(y.alias("y"), F.explode(cells).alias("s")).select("y", "s.*").where("value is not null")
                .groupBy("i", "column", "value").agg(F.avg("y").alias("mean"), F.count("y").alias("n")).where(F.col("n") >= least))
     lift = F.bround(F.try_divide(100 * (F.col("mean") - overall), overall), 1)
-    return (grouped.withColumn("lift_pct", lift).withColumn("metric", F.bround("mean", 3))
-            .orderBy(F.desc(F.coalesce(F.abs("lift_pct"), F.lit(0.0))), "i", "value").limit(limit)
-            .select("column", "value", "metric", "lift_pct", "n"))
+    strongest = [F.desc(F.coalesce(F.abs("lift_pct"), F.lit(0.0))), F.col("i"), F.col("value")]
+    top = (grouped.withColumn("lift_pct", lift).withColumn("metric", F.bround("mean", 3)).orderBy(*strongest).limit(limit))
+    # at most ``limit`` rows are numbered
+    return top.select((F.row_number().over(W.orderBy(*strongest)) - 1).alias("place"), "column", "value", "metric", "lift_pct", "n")
 
 
 def analyse_drivers(df: DataFrame, roles: dict[str, str], profile: DataFrame) -> dict[str, DataFrame]:
@@ -204,11 +205,8 @@ def analyse_drivers(df: DataFrame, roles: dict[str, str], profile: DataFrame) ->
         targets.append((position, t["column"], t["kind"], name, float(value), fitted["rows"]))
         drivers += [(position, t["column"], i, f, v) for i, (f, v) in enumerate(fitted["drivers"])]
         rules += [(position, t["column"], i, *r) for i, r in enumerate(fitted["rules"])]
-        w = W.orderBy(F.desc(F.coalesce(F.abs("lift_pct"), F.lit(0.0))), "column", "value")
-        # at most ten rows
         part = segments(df, roles, t["column"], t["kind"]).select(
-            F.lit(position).alias("position"), F.lit(t["column"]).alias("target"), (F.row_number().over(w) - 1).alias("place"),
-            "column", "value", "metric", "lift_pct", "n")
+            F.lit(position).alias("position"), F.lit(t["column"]).alias("target"), "place", "column", "value", "metric", "lift_pct", "n")
         lifts = part if lifts is None else lifts.unionByName(part)
     return {
         "targets": spark.createDataFrame(targets, "position int, target string, target_kind string, fit_name string, fit_value double, rows bigint"),

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from ..functions.parsing import parse_boolean, parse_datetime, parse_number
 from ..functions.text import strip
 from ..sources.tables import data_columns, is_nested, is_number, quoted
-from .digest import column_facts
+from .digest import column_facts, facts_frame
 
 NUMERIC, CATEGORICAL, TEXT, DATETIME = "numeric", "categorical", "text", "datetime"
 BOOLEAN, ID, EMPTY, NESTED = "boolean", "id", "empty", "nested"
@@ -73,17 +73,34 @@ def clean(df: DataFrame, roles: dict[str, str]) -> DataFrame:
     return typed.dropna("all", subset=["`" + c.replace("`", "``") + "`" if "." in c else c for c in cols])
 
 
-def needs_second_look(facts: list) -> bool:
-    """Whether cleaning can have changed any fact a role depends on."""
-    some_column_full = any(f["non_null"] == f["rows"] for f in facts)
+def changed_by_cleaning(facts: list) -> list[str]:
+    """Columns in which cleaning altered or dropped a value."""
+    out = []
     for f in facts:
-        if f["role"] == NUMERIC and f["numeric_ok"] != f["non_null"]:
-            return True
-        if f["role"] == DATETIME and f["datetime_ok"] != f["non_null"]:
-            return True
-        if f["trim_changed"]:
-            return True
-    return not some_column_full
+        unparsed = (f["role"] == NUMERIC and f["numeric_ok"] != f["non_null"]) or (
+            f["role"] == DATETIME and f["datetime_ok"] != f["non_null"])
+        if unparsed or f["trim_changed"]:
+            out.append(f["column"])
+    return out
+
+
+def second_roles(cleaned: DataFrame, facts: list) -> dict[str, str]:
+    """Roles on the cleaned frame: only columns whose values changed are counted again.
+
+    For the others just the number of rows can differ, and only if no column was full before cleaning.
+    """
+    changed = changed_by_cleaning(facts)
+    always_full = any(f["non_null"] == f["rows"] and f["column"] not in changed for f in facts)
+    if not changed and always_full:
+        return {f["column"]: f["role"] for f in facts}
+    rows = facts[0]["rows"] if always_full else cleaned.count()
+    spark = cleaned.sparkSession
+    kept = facts_frame(spark, [f for f in facts if f["column"] not in changed]).withColumn("rows", F.lit(rows).cast("bigint"))
+    if changed:
+        order = F.element_at(F.create_map(*[F.lit(x) for f in facts for x in (f["column"], f["ordinal"])]), F.col("column"))
+        again = column_facts(cleaned.select(*[quoted(c) for c in changed])).withColumn("ordinal", order)
+        kept = kept.unionByName(again)
+    return collect_roles(with_role(kept))
 
 
 def infer_and_clean(df: DataFrame, reader_types: bool = False) -> tuple[DataFrame, dict[str, str], list, dict[str, str]]:
@@ -94,8 +111,7 @@ def infer_and_clean(df: DataFrame, reader_types: bool = False) -> tuple[DataFram
     raw_facts = infer_roles(df, reader_types).orderBy("ordinal").collect()
     raw_roles = {f["column"]: f["role"] for f in raw_facts}
     cleaned = clean(df, raw_roles)
-    roles = collect_roles(infer_roles(cleaned)) if needs_second_look(raw_facts) else dict(raw_roles)
-    return cleaned, roles, raw_facts, raw_roles
+    return cleaned, second_roles(cleaned, raw_facts), raw_facts, raw_roles
 
 
 def is_id_name(name: str) -> bool:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import associations, charts, drift, drivers, findings, outliers, profile, quality, stats
-from ..operators.digest import column_facts
+from ..operators.digest import facts_frame
 from ..operators.ordering import exact_quantiles
 from ..operators.roles import NUMERIC, infer_and_clean
 from ..session import materialise, settle
@@ -75,11 +75,7 @@ def analyze(df: DataFrame, reader_types: bool = False, prior: DataFrame | None =
     driven = {k: settle(v) for k, v in drivers.analyse_drivers(cleaned, roles, columns).items()}
 
     step("quality_scoring")
-    facts = spark.createDataFrame(
-        [tuple(r[c] for c in ("ordinal", "column", "rows", "non_null", "distinct", "distinct_trimmed", "distinct_normalised",
-                              "numeric_ok", "datetime_ok")) for r in raw_facts],
-        "ordinal int, column string, rows bigint, non_null bigint, distinct bigint, distinct_trimmed bigint, "
-        "distinct_normalised bigint, numeric_ok bigint, datetime_ok bigint")
+    facts = facts_frame(spark, raw_facts)
     card = {k: settle(v) for k, v in quality.scorecard(facts, role_table, table, iqr).items()}
 
     step("schema_drift_check")
