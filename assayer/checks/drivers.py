@@ -108,5 +108,5 @@ check("driver_rules")(lambda s, d: _analysis(s, d, "rules"))
 @check("driver_no_target", f"select '{D.NO_TARGET}' as note from (select count(*) as n from region) where n > 0")
 def _(s, d):
     df = table(s, d, "benchmark")
-    cleaned, roles, _, _ = R.infer_and_clean(df)
-    return D.analyse_drivers(cleaned, roles, P.profile_columns(cleaned, roles))["note"]
+    known = R.infer_and_clean(df)
+    return D.analyse_drivers(known.clean, known.roles, P.profile_of(known))["note"]

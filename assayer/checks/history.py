@@ -45,8 +45,7 @@ check("history_prior_run", f"""with r as (select r.*, c_mktsegment as filename f
        """'[' || string_agg('{"ordinal":' || ordinal || ',"name":"' || "column" || '","role":"' || role || '"}', ',' order by ordinal) || ']' as profile """
        f"from ({role_sql('customer', fields('customer'))})")
 def _(s, d):
-    cleaned, roles, _, _ = R.infer_and_clean(table(s, d, "customer"))
-    profile = P.profile_columns(cleaned, roles)
+    profile = P.profile_of(R.infer_and_clean(table(s, d, "customer")))
     none = s.createDataFrame([], "rule int, pos bigint, severity string, title string")
     record = J.run_record(s, "run-1", "customer", "me", "succeeded", profile, none)
     short = F.regexp_replace("profile", r',"dtype":"[a-z]+","null_pct":[0-9.]+', "")

@@ -89,8 +89,7 @@ def profile_sql(name: str) -> str:
 
 
 def profiled(s, d, name):
-    cleaned, roles, _, _ = R.infer_and_clean(table(s, d, name))
-    return rounded(P.profile_columns(cleaned, roles))
+    return rounded(P.profile_of(R.infer_and_clean(table(s, d, name))))
 
 
 for _name in ("orders", "lineitem", "events", "customer", "labels", "part", "documents", "embeddings"):
@@ -147,9 +146,8 @@ check("sample_values_documents", sample_sql("documents", "doc_id", [
   union all select 'c_mktsegment', 'profile', 'categorical', count(*), null, null, count(distinct c_mktsegment) from customer
   union all select 'nothing', 'column not found', null, null, null, null, null""")
 def _(s, d):
-    cleaned, roles, _, _ = R.infer_and_clean(table(s, d, "customer"))
-    profile = P.profile_columns(cleaned, roles)
-    summary = numeric_summary(cleaned, [c for c, r in roles.items() if r == "numeric"])
+    known = R.infer_and_clean(table(s, d, "customer"))
+    profile, summary = P.profile_of(known), numeric_summary(known.clean, known.numeric)
     found = [P.column_summary(profile, summary, c) for c in ("c_acctbal", "c_mktsegment", "nothing")]
     out = found[0].unionByName(found[1]).unionByName(found[2])
     return rounded(out.select("column", "source", "role", "count", "mean", "median", "unique"))
@@ -188,8 +186,7 @@ def _(s, d):
 @check("clean_orders", f"""select order_code, try_cast(trim(price) as double) as price, trim(status) as status, paid = 'Yes' as paid,
   try_cast(day as timestamp) as day, trim(note) as note, trim(priority) as priority, cast(customer as double) as customer from {READ}""")
 def _(s, d):
-    cleaned, _, _, _ = R.infer_and_clean(read_dirty(s, d), reader_types=True)
-    return cleaned.drop(ROW_ID).withColumn("day", F.col("day").cast("timestamp_ntz"))
+    return R.infer_and_clean(read_dirty(s, d), reader_types=True).clean.drop(ROW_ID).withColumn("day", F.col("day").cast("timestamp_ntz"))
 
 
 check("clean_drop_empty_rows", "select case when event_id % 3 <> 0 then event_type end as kind, case when event_id % 2 <> 0 then value end as value from events "
@@ -204,9 +201,9 @@ def _(s, d):
     """A 0/1 column with junk is numeric at first and boolean once the junk is gone."""
     k = F.col("o_orderkey")
     df = table(s, d, "orders").select(F.when(k % 9 == 0, "bad").otherwise((k % 2).cast("string")).alias("grade"), k.cast("string").alias("filler"))
-    _, roles, raw, raw_roles = R.infer_and_clean(df, reader_types=True)
+    known = R.infer_and_clean(df, reader_types=True)
     return df.agg(F.count("*").alias("rows")).select(
-        F.lit("grade").alias("column"), F.lit(raw_roles["grade"]).alias("first_role"), F.lit(roles["grade"]).alias("second_role"), "rows")
+        F.lit("grade").alias("column"), F.lit(known.raw_roles["grade"]).alias("first_role"), F.lit(known.roles["grade"]).alias("second_role"), "rows")
 
 
 check("column_facts_dirty_orders", " union all ".join(

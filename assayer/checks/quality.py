@@ -7,7 +7,7 @@ from ..operators import drift as D
 from ..operators import profile as P
 from ..operators import quality as Q
 from ..operators import roles as R
-from ..operators.digest import column_facts, facts_frame
+from ..operators.digest import facts_frame
 from ..operators.outliers import iqr_outliers
 from ..sources import csv as C
 from . import check, rounded, table
@@ -63,9 +63,9 @@ def raw(s, d):
 def parts(s, d):
     """Raw facts, final roles, table counters and fences of the dirty export."""
     df = raw(s, d)
-    cleaned, roles, facts, _ = R.infer_and_clean(df, reader_types=True)
-    return (facts_frame(s, facts), P.role_table(cleaned, roles), P.profile_table(cleaned),
-            iqr_outliers(cleaned, [c for c, r in roles.items() if r == "numeric"], examples=False))
+    known = R.infer_and_clean(df, reader_types=True)
+    return (facts_frame(s, known.raw_facts), P.role_table(known.clean, known.roles), P.profile_table(known.clean),
+            iqr_outliers(known.clean, known.numeric, examples=False))
 
 
 check("quality_columns", f"select ordinal, \"column\", role, round(validity, 9) as validity, round(consistency, 9) as consistency, \"distinct\", distinct_normalised, "
@@ -82,8 +82,8 @@ check("quality_low_confidence", """select 0 as ordinal, 'mark' as column, 'categ
 
 def _low(s, d):
     df = table(s, d, "orders").orderBy("o_orderkey").limit(60).select((F.concat(F.lit("m"), (F.col("o_custkey") % 20).cast("string"))).alias("mark"))
-    cleaned, roles, _, _ = R.infer_and_clean(df)
-    return Q.low_confidence(Q.column_quality(column_facts(df), P.role_table(cleaned, roles)))
+    known = R.infer_and_clean(df)
+    return Q.low_confidence(Q.column_quality(facts_frame(s, known.raw_facts), P.role_table(known.clean, known.roles)))
 
 
 def _scores(s, d):
@@ -121,8 +121,8 @@ P_SQL, C_SQL = print_sql(BEFORE, BEFORE_COLUMNS), print_sql(NOW, NOW_COLUMNS)
 
 
 def _fingerprint(df):
-    cleaned, roles, _, _ = R.infer_and_clean(df)
-    return D.fingerprint(P.profile_columns(cleaned, roles), P.profile_table(cleaned))
+    known = R.infer_and_clean(df)
+    return D.fingerprint(P.profile_of(known), P.profile_table(known.clean))
 
 
 def before(s, d):

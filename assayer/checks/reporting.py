@@ -95,8 +95,7 @@ check("findings_missing_advice", f"""with c as ({' union all '.join(f"select {i}
 
 
 def _dirty_profile(s, d):
-    cleaned, roles, _, _ = R.infer_and_clean(raw(s, d), reader_types=True)
-    return P.profile_columns(cleaned, roles)
+    return P.profile_of(R.infer_and_clean(raw(s, d), reader_types=True))
 
 
 check("findings_duplicate_advice", f"select 'De-duplicate the dataset' as title, 'medium' as priority from ({GAP_COUNTERS}) where duplicate_rows > 0")(
@@ -231,7 +230,7 @@ def _drift_report(s, d):
 
 
 check("report_profile_table", f"select ordinal, name, role, dtype, non_null, null_pct, \"unique\" from ({profile_sql('customer')})")(
-    lambda s, d: report.profile_sheet(P.profile_columns(*R.infer_and_clean(table(s, d, "customer"))[:2])))
+    lambda s, d: report.profile_sheet(P.profile_of(R.infer_and_clean(table(s, d, "customer")))))
 check("report_correlation_table", matrix_sql("customer", ["c_custkey", "c_nationkey", "c_acctbal"]))(
     lambda s, d: S.correlation_matrix(table(s, d, "customer"), ["c_custkey", "c_nationkey", "c_acctbal"]))
 check("report_raw_extract", "select event_id, user_id, event_type, value from events order by event_id limit 5000")(

@@ -4,13 +4,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Everything a Unicode-aware strip removes, not only blanks.
-_EDGE_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+# fixed value: all characters that count as blank at the edges of a text
+_BLANKS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+           "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 _SHORT = 64
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, _EDGE_SPACE, "")
+    """Without blanks at either end; only the edges are looked at, whatever the length."""
+    return F.btrim(c, F.lit(_BLANKS))
 
 
 def normalise(c: Column) -> Column:

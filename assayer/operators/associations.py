@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from ..sources.tables import ROW_ID, quoted
 from .ordering import ROWS_PER_SLICE, ladder, lookup
 from .roles import BOOLEAN, CATEGORICAL, NUMERIC
@@ -11,6 +12,7 @@ from .stats import as_numbers, column_ranges, correlation_pairs
 
 MIN_PAIR_ROWS = 5
 RANKED_LIMIT = 40
+LOOKUP_ROWS = 250_000
 SCHEMA = ("kind_order int, i int, j int, left string, right string, kind string, method string, "
           "strength double, secondary double, label string")
 
@@ -20,6 +22,44 @@ def strength_label(c: Column) -> Column:
     return (F.when(a >= 0.7, "strong").when(a >= 0.4, "moderate").when(a >= 0.2, "weak").otherwise("negligible"))
 
 
+def _with_ranks(x: DataFrame, sets: list[Column], rows_per_slice: int, lookup_rows: int = LOOKUP_ROWS) -> DataFrame:
+    """One row per input row with its centred average ranks k0, k1, … (one per rank set).
+
+    Ladders of value counts are built for all sets at once. Those with few distinct values are looked up from a
+    broadcast map without moving a row; the others are joined by value in long form and folded back by row.
+    """
+    long = (x.select("r", F.inline(F.array(*[F.struct(F.lit(g).alias("g"), v.alias("v")) for g, v in enumerate(sets)])))
+            .where("v is not null"))
+    steps = materialise(ladder(long, "v", ["g"], rows_per_slice).select(
+        "g", "v", "n", (F.col("before") + (F.col("n") + 1) / 2 - (F.col("total") + 1) / 2).alias("rank")), "ranks")
+    sizes = {r["g"]: r["rows"] for r in steps.groupBy("g").agg(F.count("*").alias("rows")).collect()}
+    small, room = [], lookup_rows * 4
+    for g in sorted(sizes, key=sizes.get):
+        if sizes[g] <= min(lookup_rows, room):
+            small.append(g)
+            room -= sizes[g]
+    large = [g for g in range(len(sets)) if g not in small]
+    for g in small:
+        # at most ``lookup_rows`` values, counted above
+        rung = F.broadcast(steps.where(F.col("g") == g).select(F.col("v").alias("_v"), F.col("rank").alias(f"k{g}")))
+        x = x.join(rung, sets[g] == F.col("_v"), "left").drop("_v")
+    if not large:
+        return x
+    if len(large) == 1:
+        g = large[0]
+        rung = steps.where(F.col("g") == g).select(F.col("v").alias("_v"), "n", F.col("rank").alias(f"k{g}"))
+        return lookup(x.withColumn("_v", sets[g]), rung, ["_v"], rows_per_slice).drop("_v", "n")
+    rest = (x.select("r", F.inline(F.array(*[F.struct(F.lit(g).alias("g"), sets[g].alias("v")) for g in large])))
+            .where("v is not null"))
+    ranked = lookup(rest, steps.where(F.col("g").isin(large)), ["g", "v"], rows_per_slice).select("r", "g", "rank")
+    none = F.lit(None).cast("double")
+    kept = [F.col(f"k{g}") for g in small]
+    folded = ranked.select("r", "g", "rank", *[none.alias(f"k{g}") for g in small]).unionByName(
+        x.select("r", F.lit(-1).alias("g"), none.alias("rank"), *kept))
+    return folded.groupBy("r").agg(*[F.max(F.when(F.col("g") == g, F.col("rank"))).alias(f"k{g}") for g in large],
+                                   *[F.max(f"k{g}").alias(f"k{g}") for g in small])
+
+
 def spearman_pairs(df: DataFrame, cols: list[str], row_id: str = ROW_ID,
                    rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """(i, j, rho): Pearson correlation of average ranks over the complete rows of each pair.
@@ -47,12 +87,7 @@ def spearman_pairs(df: DataFrame, cols: list[str], row_id: str = ROW_ID,
         for k, other in ((i, j), (j, i)):
             place[(i, j, k)] = len(sets)
             sets.append((k, F.when(F.col(f"c{other}").isNotNull(), F.col(f"c{k}"))))
-    long = (x.select("r", F.inline(F.array(*[F.struct(F.lit(g).alias("g"), v.alias("v")) for g, (_, v) in enumerate(sets)])))
-            .where("v is not null"))
-    steps = ladder(long, "v", ["g"], rows_per_slice).select(
-        "g", "v", "n", (F.col("before") + (F.col("n") + 1) / 2 - (F.col("total") + 1) / 2).alias("rank"))
-    ranked = lookup(long, steps, ["g", "v"], rows_per_slice)
-    wide = ranked.groupBy("r").agg(*[F.max(F.when(F.col("g") == g, F.col("rank"))).alias(f"k{g}") for g in range(len(sets))])
+    wide = _with_ranks(x, [v for _, v in sets], rows_per_slice)
     aggs: dict[str, Column] = {}
     for i, j in pairs:
         a, b = place[(i, j, i)], place[(i, j, j)]

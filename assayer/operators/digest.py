@@ -38,8 +38,17 @@ def _row_id(df: DataFrame) -> Column:
     return (F.col(ROW_ID) if ROW_ID in df.columns else F.lit(None)).cast("bigint")
 
 
+def _grouped(cells: DataFrame, keys: list[str], rows: bool) -> DataFrame:
+    aggs = [F.count("*").alias("n")] + ([F.min("r").alias("first_row")] if rows else [])
+    return cells.groupBy(*keys).agg(*aggs)
+
+
+def _exploded(df: DataFrame, cells: list[Column], rows: bool) -> DataFrame:
+    return df.select(*([_row_id(df).alias("r")] if rows else []), F.inline(F.array(*cells)))
+
+
 def text_values(df: DataFrame) -> DataFrame | None:
-    """(ordinal, tok, trim, norm, n, first_row) per distinct text value; long texts stand as fingerprints."""
+    """(ordinal, tok, trim, norm, n) per distinct text value; long texts stand as fingerprints."""
     text, _, _ = _kinds(df)
     if not text:
         return None
@@ -50,30 +59,44 @@ def text_values(df: DataFrame) -> DataFrame | None:
             F.lit(i).alias("ordinal"), token(v).alias("tok"),
             F.when(~is_short(v), token(strip(v))).alias("trim"),
             F.when(~is_short(v), token(normalise(v))).alias("norm")))
-    return (df.select(_row_id(df).alias("r"), F.explode(F.array(*cells)).alias("s")).select("r", "s.*")
-            .groupBy("ordinal", "tok", "trim", "norm")
-            .agg(F.count("*").alias("n"), F.min("r").alias("first_row"))
+    return (_grouped(_exploded(df, cells, False), ["ordinal", "tok", "trim", "norm"], False)
             .withColumn("trim", F.coalesce("trim", strip(F.col("tok"))))
             .withColumn("norm", F.coalesce("norm", F.lower("trim"))))
 
 
+def _fixed_keys(df: DataFrame) -> tuple[list[Column], list[str]]:
+    """One-to-one keys: the hash of a single value of at most 64 bits never collides; wider decimals get a second hash."""
+    _, fixed, _ = _kinds(df)
+    wide = [i for i, c in fixed if isinstance(df.schema[c].dataType, T.DecimalType) and df.schema[c].dataType.precision > 18]
+    cells = []
+    for i, c in fixed:
+        v = _present(df, c)
+        key = [F.when(v.isNotNull(), F.xxhash64(v)).alias("key")]
+        if wide:
+            key.append(F.when(F.lit(i in wide) & v.isNotNull(), F.xxhash64(F.lit(7), v)).alias("key2"))
+        cells.append(F.struct(F.lit(i).alias("ordinal"), *key))
+    return cells, ["ordinal", "key", *(["key2"] if wide else [])]
+
+
 def fixed_values(df: DataFrame) -> DataFrame | None:
-    """(ordinal, key, n, first_row, zero_one) per distinct number, date or boolean."""
+    """(ordinal, key, n, zero_one) per distinct number, date or boolean."""
     _, fixed, _ = _kinds(df)
     if not fixed:
         return None
-    cells = []
+    cells, keys = _fixed_keys(df)
+    # whether a value is 0 or 1 (or any boolean) is read off its key
+    lows, highs = {}, {}
     for i, c in fixed:
         t = df.schema[c].dataType
-        v = _present(df, c)
-        zero_one = v.isin(0, 1) if is_number(t) else F.lit(isinstance(t, T.BooleanType))
-        # the hash of one fixed-width value is one-to-one; wider decimals get a second one
-        second = F.xxhash64(F.lit(7), v) if isinstance(t, T.DecimalType) and t.precision > 18 else F.lit(0)
-        cells.append(F.struct(F.lit(i).alias("ordinal"), F.when(v.isNotNull(), F.xxhash64(v)).alias("key"),
-                              second.cast("bigint").alias("key2"), zero_one.alias("zero_one")))
-    return (df.select(_row_id(df).alias("r"), F.explode(F.array(*cells)).alias("s")).select("r", "s.*")
-            .groupBy("ordinal", "key", "key2")
-            .agg(F.count("*").alias("n"), F.min("r").alias("first_row"), F.first("zero_one").alias("zero_one")))
+        low, high = (F.lit(0), F.lit(1)) if is_number(t) else (F.lit(False), F.lit(True)) if isinstance(t, T.BooleanType) else (None, None)
+        if low is not None:
+            lows[i], highs[i] = F.xxhash64(low.cast(t)), F.xxhash64(high.cast(t))
+
+    def of(keys_: dict[int, Column]) -> Column:
+        return F.element_at(F.create_map(*[x for i, k in keys_.items() for x in (F.lit(i), k)]), F.col("ordinal")) if keys_ else F.lit(None)
+
+    zero_one = F.coalesce(F.col("key") == of(lows), F.lit(False)) | F.coalesce(F.col("key") == of(highs), F.lit(False))
+    return _grouped(_exploded(df, cells, False), keys, False).withColumn("zero_one", zero_one)
 
 
 def _text_facts(values: DataFrame, reader_types: bool) -> DataFrame:
@@ -173,21 +196,26 @@ def column_facts(df: DataFrame, reader_types: bool = False) -> DataFrame:
 
 def first_values(df: DataFrame, k: int = 5) -> DataFrame:
     """(ordinal, first_row, value) of the first ``k`` distinct values of each column in row order."""
-    parts = [v.where(present).select("ordinal", "first_row")
-             for v, present in ((text_values(df), F.col("tok").isNotNull()), (fixed_values(df), F.col("key").isNotNull()))
-             if v is not None]
-    firsts = parts[0]
+    text, fixed, _ = _kinds(df)
+    parts = []
+    if text:
+        cells = [F.struct(F.lit(i).alias("ordinal"), token(quoted(c)).alias("key")) for i, c in text]
+        parts.append(_grouped(_exploded(df, cells, True).where("key is not null"), ["ordinal", "key"], True))
+    if fixed:
+        cells, keys = _fixed_keys(df)
+        parts.append(_grouped(_exploded(df, cells, True).where("key is not null"), keys, True))
+    firsts = parts[0].select("ordinal", "first_row")
     for p in parts[1:]:
-        firsts = firsts.unionByName(p)
+        firsts = firsts.unionByName(p.select("ordinal", "first_row"))
     # the row_number limit is applied per map task before the exchange, so a wide column stays cheap
     w = W.partitionBy("ordinal").orderBy("first_row")
     top = firsts.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
-    cells = F.array(*[F.struct(F.lit(i).alias("ordinal"), _present(df, c).cast("string").alias("value"))
-                      for kind in _kinds(df)[:2] for i, c in kind])
-    # at most k rows per column
-    return (df.join(F.broadcast(top.select(F.col("first_row").alias("_r")).distinct()), F.col(ROW_ID) == F.col("_r"))
-            .select(F.col("_r").alias("first_row"), F.explode(cells).alias("s")).select("first_row", "s.*")
-            .join(F.broadcast(top), ["ordinal", "first_row"]))
+    # at most k rows per column; they fetch their values from the rows they name
+    wanted = top.groupBy(F.col("first_row").alias("_r")).agg(F.collect_list("ordinal").alias("_of"))
+    cells = F.array(*[F.struct(F.lit(i).alias("ordinal"), _present(df, c).cast("string").alias("value")) for i, c in text + fixed])
+    return (df.join(F.broadcast(wanted), F.col(ROW_ID) == F.col("_r"))
+            .select(F.col("_r").alias("first_row"), "_of", F.inline(cells)).where(F.array_contains("_of", F.col("ordinal")))
+            .select("ordinal", "first_row", "value"))
 
 
 def facts_frame(spark: SparkSession, facts: list) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numeric import clip
+from ..session import materialise
 from ..sources.tables import quoted
 
 ROWS_PER_SLICE = 1_000_000
@@ -50,6 +51,7 @@ def slice_bounds(df: DataFrame, order: str, rows_per_slice: int = ROWS_PER_SLICE
     n = df.count()
     slices = min(MAX_SLICES, math.ceil(n / rows_per_slice))
     if slices <= 1:
+        # the whole input fits one slice, so plain windows do
         return []
     points = [i / slices for i in range(1, slices)]
     found = df.select(key.alias(_KEY)).where(~F.isnan(_KEY)) \
@@ -88,7 +90,11 @@ def running_sum(df: DataFrame, value: str, order_by: list[str], by: list[str] =
     """Running total in row order; null values stay null and add nothing."""
     by = list(by)
     v = quoted(value)
-    sliced = with_slice(df, order_by[0], slice_bounds(df, order_by[0], rows_per_slice))
+    bounds = slice_bounds(df, order_by[0], rows_per_slice)
+    if not bounds:
+        w = W.partitionBy(*(by or [F.lit(0)])).orderBy(*order_by).rowsBetween(W.unboundedPreceding, W.currentRow)
+        return df.withColumn(out, F.when(v.isNotNull(), F.sum(v).over(w)))
+    sliced = with_slice(df, order_by[0], bounds)
     inside = W.partitionBy(*by, _SLICE).orderBy(*order_by).rowsBetween(W.unboundedPreceding, W.currentRow)
     earlier = W.partitionBy(*(by or [F.lit(0)])).orderBy(_SLICE).rowsBetween(W.unboundedPreceding, -1)
     joined = _with_carry(sliced, by, [F.sum(v).alias("_total")],
@@ -101,7 +107,11 @@ def running_count(df: DataFrame, order_by: list[str], by: list[str] = (), out: s
                   rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """Zero-based position of each row in its group."""
     by = list(by)
-    sliced = with_slice(df, order_by[0], slice_bounds(df, order_by[0], rows_per_slice))
+    bounds = slice_bounds(df, order_by[0], rows_per_slice)
+    if not bounds:
+        w = W.partitionBy(*(by or [F.lit(0)])).orderBy(*order_by)
+        return df.withColumn(out, F.row_number().over(w).cast("bigint") - 1)
+    sliced = with_slice(df, order_by[0], bounds)
     inside = W.partitionBy(*by, _SLICE).orderBy(*order_by)
     earlier = W.partitionBy(*(by or [F.lit(0)])).orderBy(_SLICE).rowsBetween(W.unboundedPreceding, -1)
     joined = _with_carry(sliced, by, [F.count("*").alias("_total")],
@@ -117,7 +127,10 @@ def lagged(df: DataFrame, value: str, order_by: list[str], by: list[str] = (), p
     if k == 0:
         return df.withColumn(out, v)
     forward = periods > 0
-    sliced = with_slice(df, order_by[0], slice_bounds(df, order_by[0], rows_per_slice))
+    bounds = slice_bounds(df, order_by[0], rows_per_slice)
+    if not bounds:
+        return df.withColumn(out, F.lag(v, periods).over(W.partitionBy(*(by or [F.lit(0)])).orderBy(*order_by)))
+    sliced = with_slice(df, order_by[0], bounds)
     direction = F.asc if forward else F.desc
     opposite = F.desc if forward else F.asc
     if not forward:
@@ -152,9 +165,15 @@ def ladder(df: DataFrame, value: str, by: list[str] = (), rows_per_slice: int =
     present = df.where(v.isNotNull())
     if isinstance(df.schema[value].dataType, (T.DoubleType, T.FloatType)):
         present = present.where(~F.isnan(v))
-    counts = present.groupBy(*[quoted(b) for b in by], v).agg(F.count("*").alias("n"))
-    sliced = with_slice(counts, value, slice_bounds(present.select(v), value, rows_per_slice))
+    # read by several jobs below, so the counts are written once
+    counts = materialise(present.groupBy(*[quoted(b) for b in by], v).agg(F.count("*").alias("n")), "ladder")
     group = by or [F.lit(0)]
+    bounds = slice_bounds(counts, value, rows_per_slice)
+    if not bounds:
+        up_to = W.partitionBy(*group).orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
+        return counts.select(*by, value, "n", (F.sum("n").over(up_to) - F.col("n")).alias("before"),
+                             F.sum("n").over(W.partitionBy(*group)).alias("total"))
+    sliced = with_slice(counts, value, bounds)
     everything = W.partitionBy(*group)
     earlier = W.partitionBy(*group).orderBy(_SLICE).rowsBetween(W.unboundedPreceding, -1)
     joined = _with_carry(

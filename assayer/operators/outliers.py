@@ -14,6 +14,7 @@ MIN_FENCE_ROWS = 8
 MIN_FOREST_ROWS = 20
 TREES, TREE_ROWS, CONTAMINATION = 200, 256, 0.02
 FLAGGED_LIMIT = 200
+SCORED_PER_TASK = 100_000
 
 
 def fences(df: DataFrame, cols: list[str], quantiles: dict | None = None) -> dict[str, tuple[float, float]]:
@@ -70,13 +71,13 @@ def forest_input(df: DataFrame, cols: list[str], row_id: str = ROW_ID) -> tuple[
     return used, x.select("r", *[F.coalesce(f"c{i}", F.lit(medians[c][0.5])).alias(f"c{i}") for i, c in enumerate(used)])
 
 
-def tree_samples(x: DataFrame, trees: int = TREES, rows: int = TREE_ROWS, seed: int = 0) -> DataFrame:
+def tree_samples(x: DataFrame, trees: int = TREES, rows: int = TREE_ROWS, seed: int = 0, n: int | None = None) -> DataFrame:
     """(tree, features): ``rows`` random rows per tree, chosen by hash so that partitioning does not matter.
 
     Large tables deal one pool of trees*rows rows out; small ones are sampled anew for every tree.
     """
     features = F.array(*[c for c in x.columns if c != "r"]).alias("features")
-    n = x.count()
+    n = x.count() if n is None else n
     pool = trees * rows
     scale = 1 << 40
     if n >= 2 * pool:
@@ -174,10 +175,15 @@ def anomaly_scores(df: DataFrame, cols: list[str], row_id: str = ROW_ID, trees:
     if len(used) < 2:
         return used, None
     spark = df.sparkSession
-    nodes = grow_forest(tree_samples(x, trees, TREE_ROWS, seed), seed).toPandas().sort_values(["tree", "node"])
+    rows = x.count()
+    parallelism = spark.sparkContext.defaultParallelism
+    if rows <= parallelism * SCORED_PER_TASK:
+        # scoring costs far more than moving so few rows; a larger scan has enough tasks of its own
+        x = x.repartition(parallelism)
+    nodes = grow_forest(tree_samples(x, trees, TREE_ROWS, seed, rows), seed).toPandas().sort_values(["tree", "node"])
     forest = [tuple(g[c].to_numpy() for c in ("feature", "threshold", "left", "right", "path"))
               for _, g in nodes.groupby("tree")]
-    sampled = min(TREE_ROWS, x.count())
+    sampled = min(TREE_ROWS, rows)
     norm = 2.0 * (np.log(sampled - 1.0) + 0.5772156649015329) - 2.0 * (sampled - 1.0) / sampled
     shared = spark.sparkContext.broadcast(forest)
     return used, materialise(x.mapInPandas(_scorer(shared, float(norm)), "r bigint, score double"))

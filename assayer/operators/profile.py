@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import percent
 from ..sources.tables import ROW_ID, data_columns, quoted
-from .digest import _present, column_facts, first_values
-from .roles import NUMERIC
+from .digest import _present, column_facts, facts_frame, first_values
+from .roles import NUMERIC, Inference
 
 
 def role_table(df: DataFrame, roles: dict[str, str]) -> DataFrame:
@@ -33,9 +33,9 @@ def sample_values(df: DataFrame, k: int = 5) -> DataFrame:
                     F.array_join(F.transform("v", lambda s: s["value"]), ", ").alias("sample")))
 
 
-def profile_columns(df: DataFrame, roles: dict[str, str], samples: bool = False) -> DataFrame:
-    """One row per column: counts, distinct values, and extent of numeric columns."""
-    facts = column_facts(df).join(F.broadcast(role_table(df, roles).drop("column")), "ordinal")
+def profile_columns(df: DataFrame, roles: dict[str, str], samples: bool = False, facts: list | None = None) -> DataFrame:
+    """One row per column: counts, distinct values, and extent of numeric columns; known facts are not counted again."""
+    facts = (facts_frame(df.sparkSession, facts) if facts else column_facts(df)).join(F.broadcast(role_table(df, roles).drop("column")), "ordinal")
     out = facts.select(
         "ordinal", F.col("column").alias("name"), "role", "dtype", "non_null",
         F.when(F.col("rows") > 0, F.round(100 * (1 - F.col("non_null") / F.col("rows")), 2)).otherwise(0.0).alias("null_pct"),
@@ -52,6 +52,11 @@ def profile_columns(df: DataFrame, roles: dict[str, str], samples: bool = False)
     return out.select(*order, *([c for c in ("sample",) if c in out.columns]))
 
 
+def profile_of(known: Inference, samples: bool = False) -> DataFrame:
+    """Column profile of an inferred table, from the facts it already has."""
+    return profile_columns(known.clean, known.roles, samples, known.facts)
+
+
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """One row: how many rows repeat an earlier one (null equals null).
 

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.parsing import parse_boolean, parse_datetime, parse_number
 from ..functions.text import strip
+from ..session import materialise
 from ..sources.tables import data_columns, is_nested, is_number, quoted
 from .digest import column_facts, facts_frame
 
@@ -73,45 +75,59 @@ def clean(df: DataFrame, roles: dict[str, str]) -> DataFrame:
     return typed.dropna("all", subset=["`" + c.replace("`", "``") + "`" if "." in c else c for c in cols])
 
 
-def changed_by_cleaning(facts: list) -> list[str]:
-    """Columns in which cleaning altered or dropped a value."""
+def recount(facts: list, reader_types: bool) -> list[str]:
+    """Columns whose distinct values or parse counts can differ after cleaning."""
     out = []
     for f in facts:
-        unparsed = (f["role"] == NUMERIC and f["numeric_ok"] != f["non_null"]) or (
-            f["role"] == DATETIME and f["datetime_ok"] != f["non_null"])
-        if unparsed or f["trim_changed"]:
+        text, role = f["dtype"] == "string", f["role"]
+        unparsed = (role == NUMERIC and f["numeric_ok"] != f["non_null"]) or (role == DATETIME and f["datetime_ok"] != f["non_null"])
+        respelled = text and (role in (BOOLEAN, DATETIME) or (role == NUMERIC and not reader_types) or (role == ID and f["numeric_ok"] > 0))
+        if unparsed or respelled or f["trim_changed"]:
             out.append(f["column"])
     return out
 
 
-def second_roles(cleaned: DataFrame, facts: list) -> dict[str, str]:
-    """Roles on the cleaned frame: only columns whose values changed are counted again.
+def facts_after_cleaning(cleaned: DataFrame, facts: list, reader_types: bool) -> DataFrame:
+    """Column facts of the cleaned frame: only columns whose values changed are counted again.
 
     For the others just the number of rows can differ, and only if no column was full before cleaning.
     """
-    changed = changed_by_cleaning(facts)
+    changed = recount(facts, reader_types)
     always_full = any(f["non_null"] == f["rows"] and f["column"] not in changed for f in facts)
-    if not changed and always_full:
-        return {f["column"]: f["role"] for f in facts}
     rows = facts[0]["rows"] if always_full else cleaned.count()
-    spark = cleaned.sparkSession
-    kept = facts_frame(spark, [f for f in facts if f["column"] not in changed]).withColumn("rows", F.lit(rows).cast("bigint"))
+    out = facts_frame(cleaned.sparkSession, [f for f in facts if f["column"] not in changed]).withColumn(
+        "rows", F.lit(rows).cast("bigint"))
     if changed:
         order = F.element_at(F.create_map(*[F.lit(x) for f in facts for x in (f["column"], f["ordinal"])]), F.col("column"))
-        again = column_facts(cleaned.select(*[quoted(c) for c in changed])).withColumn("ordinal", order)
-        kept = kept.unionByName(again)
-    return collect_roles(with_role(kept))
+        out = out.unionByName(column_facts(cleaned.select(*[quoted(c) for c in changed])).withColumn("ordinal", order))
+    types = F.create_map(*[F.lit(x) for c in data_columns(cleaned) for x in (c, cleaned.schema[c].dataType.simpleString())])
+    return out.withColumn("dtype", F.element_at(types, F.col("column")))
 
 
-def infer_and_clean(df: DataFrame, reader_types: bool = False) -> tuple[DataFrame, dict[str, str], list, dict[str, str]]:
-    """Infer, clean, and infer again on the cleaned frame.
+@dataclass
+class Inference:
+    """What is known of a table after reading it once (twice for columns that cleaning altered)."""
+    clean: DataFrame
+    roles: dict[str, str]
+    facts: list
+    raw_facts: list
+    raw_roles: dict[str, str]
 
-    Returns the clean frame, its roles, the facts of the raw frame and the raw roles.
-    """
+    @property
+    def numeric(self) -> list[str]:
+        return [c for c, r in self.roles.items() if r == NUMERIC]
+
+
+def infer_and_clean(df: DataFrame, reader_types: bool = False) -> Inference:
+    """Infer, clean, and infer again on the cleaned frame; the facts hold one row per column."""
     raw_facts = infer_roles(df, reader_types).orderBy("ordinal").collect()
     raw_roles = {f["column"]: f["role"] for f in raw_facts}
     cleaned = clean(df, raw_roles)
-    return cleaned, second_roles(cleaned, raw_facts), raw_facts, raw_roles
+    if reader_types:
+        # text is parsed once into columnar form; everything after reads it by column
+        cleaned = materialise(cleaned, "clean")
+    facts = with_role(facts_after_cleaning(cleaned, raw_facts, reader_types)).orderBy("ordinal").collect()
+    return Inference(cleaned, {f["column"]: f["role"] for f in facts}, facts, raw_facts, raw_roles)
 
 
 def is_id_name(name: str) -> bool:

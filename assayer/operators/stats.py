@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.normality import shapiro_wilk
 from ..sources.tables import ROW_ID, quoted
@@ -19,8 +20,9 @@ def as_numbers(df: DataFrame, cols: list[str], keep: list[str] = ()) -> DataFram
     """Columns as doubles named c0, c1, …; NaN becomes null."""
     out = []
     for i, c in enumerate(cols):
-        v = quoted(c).cast("double")
-        out.append(F.when(~F.isnan(v), v).alias(f"c{i}"))
+        v, t = quoted(c).cast("double"), df.schema[c].dataType
+        whole = isinstance(t, (T.IntegralType, T.DecimalType, T.BooleanType))
+        out.append((v if whole else F.when(~F.isnan(v), v)).alias(f"c{i}"))
     return df.select(*keep, *out)
 
 

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from ..operators import associations, charts, drift, drivers, findings, outliers, profile, quality, stats
 from ..operators.digest import facts_frame
 from ..operators.ordering import exact_quantiles
-from ..operators.roles import NUMERIC, infer_and_clean
-from ..session import materialise, settle
+from ..operators.roles import infer_and_clean
+from ..session import settle
 
 # fixed values: steps of a run, in order
 STEPS = [
@@ -25,7 +25,7 @@ def analyze(df: DataFrame, reader_types: bool = False, prior: DataFrame | None =
             progress: Callable[[str, int], None] | None = None) -> dict[str, DataFrame]:
     """All results of one run, each as a DataFrame; ``df`` carries ``_row_id``.
 
-    A text frame is cleaned once into columnar form, since everything after reads it by column. Tables with one row per
+    Tables with one row per
     column or column pair are computed once and kept; everything that grows with the data stays on the cluster.
     """
     def step(name: str) -> None:
@@ -34,16 +34,14 @@ def analyze(df: DataFrame, reader_types: bool = False, prior: DataFrame | None =
 
     step("dataset_loading")
     step("schema_detection")
-    cleaned, roles, raw_facts, _ = infer_and_clean(df, reader_types)
+    known = infer_and_clean(df, reader_types)
+    cleaned, roles, numeric = known.clean, known.roles, known.numeric
     step("data_cleaning")
-    if reader_types:
-        cleaned = materialise(cleaned, "clean")
     step("type_inference")
-    numeric = [c for c, r in roles.items() if r == NUMERIC]
     spark = df.sparkSession
 
     step("missing_value_analysis")
-    columns = settle(profile.profile_columns(cleaned, roles, samples=True))
+    columns = settle(profile.profile_columns(cleaned, roles, samples=True, facts=known.facts))
     table = settle(profile.profile_table(cleaned))
     role_table = columns.select("ordinal", F.col("name").alias("column"), "role")
 
@@ -75,7 +73,7 @@ def analyze(df: DataFrame, reader_types: bool = False, prior: DataFrame | None =
     driven = {k: settle(v) for k, v in drivers.analyse_drivers(cleaned, roles, columns).items()}
 
     step("quality_scoring")
-    facts = facts_frame(spark, raw_facts)
+    facts = facts_frame(spark, known.raw_facts)
     card = {k: settle(v) for k, v in quality.scorecard(facts, role_table, table, iqr).items()}
 
     step("schema_drift_check")

@@ -30,8 +30,8 @@ def record_arrival(df: DataFrame, name: str, arrival: int, history: str, reader_
     Results are written under the arrival number, so a replay overwrites its own files and nothing is counted twice.
     """
     spark = df.sparkSession
-    cleaned, roles, _, _ = infer_and_clean(df, reader_types)
-    now = drift.fingerprint(profile.profile_columns(cleaned, roles), profile.profile_table(cleaned))
+    known = infer_and_clean(df, reader_types)
+    now = drift.fingerprint(profile.profile_columns(known.clean, known.roles, facts=known.facts), profile.profile_table(known.clean))
     seen = _history(spark, history, "fingerprints")
     prior = None
     if seen is not None:

@@ -32,8 +32,8 @@ def test_numeric_share_and_thresholds(frame):
 
 def test_three_spellings_are_not_boolean_until_cleaned(frame):
     df = frame([("yes",), (" yes",), ("no",)] * 10, "a string")
-    cleaned, final, _, first = roles.infer_and_clean(df, reader_types=True)
-    assert first == {"a": "categorical"} and final == {"a": "boolean"}
+    known = roles.infer_and_clean(df, reader_types=True)
+    assert known.raw_roles == {"a": "categorical"} and known.roles == {"a": "boolean"}
 
 
 def test_cleaning(frame):
@@ -81,7 +81,7 @@ def test_correlation_with_gaps_and_constants(frame):
     pdf["c"] += pdf["a"]
     rows = [tuple(None if pd.isna(v) else float(v) for v in r) for r in pdf.to_numpy()]
     df = frame(rows, "a double, b double, c double, d double")
-    want, rho = pdf.corr(), pdf.corr(method="spearman") if False else None
+    want = pdf.corr()
     for r in stats.correlation_pairs(df, list("abcd")).collect():
         w = want.loc[r["a"], r["b"]]
         assert (r["r"] is None) if math.isnan(w) else r["r"] == pytest.approx(w, abs=1e-12)
@@ -128,8 +128,9 @@ def test_forest_deals_one_pool_on_large_tables(spark):
 
 def test_quality_of_a_clean_and_a_dirty_column(frame):
     df = frame([("1", "a"), ("2", "A "), ("x", "b"), ("4", "b"), ("5", None), ("6", "b")], "n string, c string")
-    cleaned, final, facts, _ = roles.infer_and_clean(df, reader_types=True)
-    cols = {r["column"]: r for r in quality.column_quality(facts_frame(df.sparkSession, facts), profile.role_table(cleaned, final)).collect()}
+    known = roles.infer_and_clean(df, reader_types=True)
+    cols = {r["column"]: r for r in quality.column_quality(
+        facts_frame(df.sparkSession, known.raw_facts), profile.role_table(known.clean, known.roles)).collect()}
     assert cols["n"]["validity"] == pytest.approx(5 / 6) and cols["c"]["consistency"] == pytest.approx(2 / 3)
     assert cols["c"]["confidence"] == pytest.approx(0.0)
 

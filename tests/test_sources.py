@@ -45,11 +45,11 @@ def test_dirty_orders(spark, tmp_path):
     text = "order_id,region,order_date,units,revenue\n" + "".join(
         f"{1001 + i},{'North South East West'.split()[i % 4]},2024-01-{3 + i:02d},{i % 7 + 1},{v}\n" for i, v in enumerate(values))
     df = csv.read_csv(spark, write(tmp_path / "o.csv", text))
-    cleaned, final, facts, _ = roles.infer_and_clean(df, reader_types=True)
-    assert final == {"order_id": "id", "region": "categorical", "order_date": "datetime", "units": "numeric", "revenue": "numeric"}
-    revenue = next(f for f in facts if f["column"] == "revenue")
+    known = roles.infer_and_clean(df, reader_types=True)
+    assert known.roles == {"order_id": "id", "region": "categorical", "order_date": "datetime", "units": "numeric", "revenue": "numeric"}
+    revenue = next(f for f in known.raw_facts if f["column"] == "revenue")
     assert (revenue["numeric_ok"], revenue["non_null"]) == (8, 9)
-    assert cleaned.where("revenue is null").count() == 2
+    assert known.clean.where("revenue is null").count() == 2
 
 
 def test_round_trip(spark, tmp_path):
