@@ -75,7 +75,7 @@ def _(s, d):
     high, click = V.compare(e, "value", "gt", 10.0), F.coalesce(V.compare(e, "kind", "eq", "click"), F.lit(False))
     return e.select("event_id", (~high).alias("inverted"), (high & click).alias("both"), (high | click).alias("either"),
                     F.when(high, "high").otherwise("low").alias("picked"),
-                    (~V.isin(F.col("kind"), ["click", "view"])).alias("not_in"))
+                    (~V.mask(V.isin(F.col("kind"), ["click", "view"]))).alias("not_in"))
 
 
 @check("v_arithmetic", f"""select event_id, round(value + user_id, 4) as added, round(value - user_id, 4) + 0 as subtracted, round(value * user_id, 4) as multiplied,

@@ -17,10 +17,10 @@ UNCHANGED_TEXT = "Schema unchanged since the last run."
 
 def fingerprint(profile: DataFrame, table: DataFrame) -> DataFrame:
     """Long form, one row per column, carrying the table counters of its run."""
-    counters = table.select("row_count", "col_count", "missing_cell_pct")
-    cols = profile.select("name", "role", "dtype", "null_pct").withColumn("_k", F.lit(1))
-    # the counters are one row
-    return cols.join(F.broadcast(counters.withColumn("_k", F.lit(1))), "_k").drop("_k")
+    counters = table.select("row_count", "col_count", "missing_cell_pct").first()
+    return profile.select("name", "role", "dtype", "null_pct", F.lit(counters["row_count"]).cast("bigint").alias("row_count"),
+                          F.lit(counters["col_count"]).cast("bigint").alias("col_count"),
+                          F.lit(counters["missing_cell_pct"]).cast("double").alias("missing_cell_pct"))
 
 
 def changes(prior: DataFrame, current: DataFrame) -> DataFrame:

@@ -5,15 +5,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import one_row
+
 
 def page(history: DataFrame, owner: str, who, limit: int = 20, offset: int = 0, created: str = "created_at",
          key: str = "id") -> DataFrame:
     """One page of an owner's rows, newest first, with the total on every row."""
     own = history.where(F.col(owner) == who)
-    total = own.agg(F.count("*").alias("total"))
     rows = own.orderBy(F.desc(created), key).offset(offset).limit(limit)
-    # the total is one row
-    return rows.withColumn("_k", F.lit(1)).join(F.broadcast(total.withColumn("_k", F.lit(1))), "_k").drop("_k")
+    return rows.withColumn("total", F.lit(own.count()).cast("bigint"))
 
 
 def latest_profile(runs: DataFrame, payload: list[str], status: str = "succeeded") -> DataFrame:
@@ -54,8 +54,7 @@ def run_record(spark, run_id: str, dataset: str, owner: str, status: str, profil
     """One row per run: identity, status, time, and profile and findings as JSON (both bounded by the column count)."""
     columns = profile.agg(F.to_json(F.array_sort(F.collect_list(F.struct("ordinal", "name", "role", "dtype", "null_pct")))).alias("profile"))
     notes = findings.agg(F.to_json(F.array_sort(F.collect_list(F.struct("rule", "pos", "severity", "title")))).alias("findings"))
-    keyed = columns.withColumn("_k", F.lit(1)).join(F.broadcast(notes.withColumn("_k", F.lit(1))), "_k").drop("_k")
-    return keyed.select(F.lit(run_id).alias("run_id"), F.lit(dataset).alias("dataset"), F.lit(owner).alias("owner"),
+    return one_row(columns, notes).select(F.lit(run_id).alias("run_id"), F.lit(dataset).alias("dataset"), F.lit(owner).alias("owner"),
                         F.lit(status).alias("status"), F.current_timestamp().alias("created_at"), "profile", "findings")
 
 

@@ -24,8 +24,13 @@ def select(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def where(df: DataFrame, predicate: Column) -> DataFrame:
-    """Rows where the mask is true; an unknown mask keeps nothing."""
-    return df.where(F.coalesce(predicate, F.lit(False)))
+    """Rows where the condition is true; an unknown one keeps nothing, so plain conditions reach the scan."""
+    return df.where(predicate)
+
+
+def mask(condition: Column) -> Column:
+    """Condition as a true/false column; unknown is false."""
+    return F.coalesce(condition, F.lit(False))
 
 
 def query(df: DataFrame, text: str) -> DataFrame:
@@ -43,11 +48,11 @@ def compare(df: DataFrame, name: str, op: str, other) -> Column:
 
 
 def between(c: Column, low, high) -> Column:
-    return F.coalesce(c.between(low, high), F.lit(False))
+    return c.between(low, high)
 
 
 def isin(c: Column, values: list) -> Column:
-    return F.coalesce(c.isin(list(values)), F.lit(False))
+    return c.isin(list(values))
 
 
 def keep_listed(df: DataFrame, name: str, values: DataFrame) -> DataFrame:

@@ -63,5 +63,15 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(df.collect(), df.schema)
 
 
+def one_row(*frames: DataFrame) -> DataFrame:
+    """Several one-row results side by side."""
+    spark = frames[0].sparkSession
+    values, fields = [], []
+    for f in frames:
+        values += list(f.first())
+        fields += f.schema.fields
+    return spark.createDataFrame([tuple(values)], T.StructType([T.StructField(f.name, f.dataType) for f in fields]))
+
+
 def local_cpus() -> int:
     return int(os.environ.get("BENCH_CPUS", "8"))
