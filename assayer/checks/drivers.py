@@ -1,8 +1,6 @@
 """Driver analysis."""
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import functions as F
 
 from ..operators import drivers as D

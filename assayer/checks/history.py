@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..operators import history as J
 from ..operators import profile as P
 from ..operators import roles as R
+from ..session import scratch_path
 from ..streaming import limits as L
 from . import check, table
 from .profiling import fields, role_sql
@@ -65,3 +66,36 @@ def audit_sql() -> str:
 check("limit_audit_events", audit_sql())(
     lambda s, d: L.limit_audit(table(s, d, "events").withColumnRenamed("event_type", "class"), "user_id", CLASSES).select(
         "user_id", "class", F.col("window_start").cast("timestamp_ntz").alias("window_start"), F.col("window_end").cast("timestamp_ntz").alias("window_end"), "events", "allowed"))
+
+
+@check("limit_audit_stream", f"select * from ({audit_sql()}) where window_end <= (select min(last) from (select max(ts) as last from events group by event_type)) - interval 10 minutes")
+def _(s, d):
+    """The same audit as a stream: windows the watermark has closed."""
+    source = table(s, d, "events")
+    landing, out, state = scratch_path(s, "events"), scratch_path(s, "audit"), scratch_path(s, "audit-state")
+    source.write.parquet(landing)
+    stream = s.readStream.schema(source.schema).parquet(landing).withColumnRenamed("event_type", "class")
+    (L.limit_audit_stream(stream, "user_id", CLASSES).writeStream.format("parquet").option("path", out).option("checkpointLocation", state)
+     .outputMode("append").trigger(availableNow=True).start().awaitTermination())
+    found = s.read.schema("user_id bigint, class string, window_start timestamp, window_end timestamp, events bigint, allowed bigint").parquet(out)
+    return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
+
+
+@check("drift_monitor", """select place::int as place, status, row_delta from (select 1 as place, 'baseline' as status, null::bigint as row_delta
+  union all select 2, 'compared', (select count(*) from orders) - (select count(*) from orders where o_orderkey % 3 = 0)
+  union all select 3, 'compared', 0::bigint)""")
+def _(s, d):
+    """Three arrivals of the same export: a third of the rows, then all, then all again."""
+    from pyspark.sql import Window as W
+
+    from ..sources import csv as C
+    from ..streaming import drift_monitor as M
+    incoming, history, state = scratch_path(s, "incoming"), scratch_path(s, "history"), scratch_path(s, "monitor-state")
+    rows = table(s, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    for part in (rows.where("o_orderkey % 3 = 0"), rows, rows):
+        # one file is one arrival
+        part.coalesce(1).write.mode("append").option("header", True).csv(f"{incoming}/orders")
+        M.watch(s, incoming, history, state).awaitTermination()
+    seen = M.monitor_history(s, history)
+    place = F.row_number().over(W.partitionBy("dataset").orderBy("arrival"))
+    return seen.select(place.alias("place"), "status", "row_delta")

@@ -112,3 +112,55 @@ def _(s, d):
     path = scratch_path(s, "import")
     C.write_csv(P.as_table(P.parse(payloads(s, d, "objects")), first), path)
     return C.read_csv(s, path).drop("_row_id").select("row_no", "turn", "role", "chars")
+
+
+# --- reader conventions, on exports written from the tables
+@check("csv_bad_lines", "select o_orderkey::varchar as a, case when o_orderkey % 7 = 0 and o_orderkey % 10 <> 0 then null else o_custkey::varchar end as b from orders where o_orderkey % 10 <> 0")
+def _(s, d):
+    k, c = F.col("o_orderkey"), F.col("o_custkey").cast("string")
+    line = F.when(k % 10 == 0, F.concat_ws(",", k.cast("string"), c, F.lit("extra"))).when(k % 7 == 0, k.cast("string")).otherwise(
+        F.concat_ws(",", k.cast("string"), c))
+    path = scratch_path(s, "bad-lines")
+    _with_header(table(s, d, "orders").select(line.alias("line")), "a,b", path)
+    return C.read_csv(s, path).drop("_row_id")
+
+
+def _with_header(lines, header, path):
+    """Every written file starts with the header."""
+    def add(batches):
+        import pyarrow as pa
+        first = True
+        for batch in batches:
+            if first:
+                yield pa.RecordBatch.from_pydict({"line": [header]})
+                first = False
+            yield batch
+
+    lines.mapInArrow(add, "line string").write.text(path)
+
+
+for _sep, _name in ((";", "semicolon"), ("\t", "tab"), ("|", "pipe")):
+    def _delimited(s, d, sep=_sep, name=_name):
+        path = scratch_path(s, f"delimiter-{name}")
+        table(s, d, "part").select(F.col("p_partkey").cast("string"), "p_name", F.col("p_retailprice").cast("string")).write.option("header", True).option("sep", sep).csv(path)
+        return C.read_csv(s, path).drop("_row_id")
+    check(f"csv_delimiter_{_name}", "select p_partkey::varchar as p_partkey, p_name, p_retailprice::varchar as p_retailprice from part")(_delimited)
+
+
+@check("csv_latin1", r"""select doc_id::varchar as doc_id, trim(md5(t)) as t from (select doc_id, trim(regexp_replace(text, '[\r\n\t"]', ' ', 'g')) as t from documents)
+  where t <> '' and regexp_matches(t, '^[\x20-\x7e\xa0-\xff]*$')""")
+def _(s, d):
+    path = scratch_path(s, "latin1")
+    text = F.trim(F.regexp_replace("text", r'[\r\n\t"]', " "))
+    (table(s, d, "documents").select("doc_id", text.alias("t")).where("t <> ''").where(F.col("t").rlike(r"^[\x20-\x7e\xa0-\xff]*$"))
+     .write.options(header=True, encoding="ISO-8859-1", sep=";", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path))
+    read = C.read_csv(s, path, delimiter=";")
+    return read.select("doc_id", F.md5(F.encode("t", "utf-8")).alias("t"))
+
+
+@check("csv_header_trim", "select c_custkey::varchar as id, c_mktsegment as segment from customer")
+def _(s, d):
+    path = scratch_path(s, "header")
+    (table(s, d, "customer").select(F.col("c_custkey").alias(" id "), F.col("c_mktsegment").alias("segment  "))
+     .write.options(header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path))
+    return C.trim_header(C.read_csv(s, path).drop("_row_id"))

@@ -16,14 +16,13 @@ from ..operators import stats as S
 from ..operators.drivers import segments
 from ..plans import report, workflow
 from ..session import scratch_path, settle
-from ..sources import csv as C
 from . import check, keyed, rounded, table
-from .drivers import FLAT, ROLES, flat, segment_sql
-from .fixtures import dirty
+from .associations import discover_sql
+from .drivers import ROLES, flat, segment_sql
 from .outliers import fence_sql
-from .profiling import GAPS, READ, counters_sql, fields, gaps, profile_sql
-from .quality import BEFORE, C_SQL, CHANGES, CLEAN, COUNTERS, DETAILS, P_SQL, SCORES, _scores, before, now, parts, raw
-from .statistics import LINE, matrix_sql, pairs_sql
+from .profiling import GAPS, counters_sql, gaps, profile_sql
+from .quality import CHANGES, CLEAN, DETAILS, SCORES, _scores, before, now, parts, raw
+from .statistics import LINE, matrix_sql, pairs_sql, summary_sql
 
 # skewed, widely spread and nearly redundant columns
 SHAPED = "(select event_id, user_id, value, value * value as squared, value * 2 + user_id * 0.01 as twin from events)"
@@ -237,6 +236,41 @@ check("report_raw_extract", "select event_id, user_id, event_type, value from ev
     lambda s, d: report.raw_extract(keyed(s, d, "events", "event_id").select("event_id", "user_id", "event_type", "value", "_row_id")).drop("_row_id"))
 
 
+_RELATED = {"o_custkey": "numeric", "o_totalprice": "numeric", "o_orderstatus": "categorical", "o_orderpriority": "categorical"}
+check("report_relationship_table", f"select \"left\", \"right\", kind, method, strength, label from ({discover_sql('orders', ['o_custkey', 'o_totalprice'], ['o_orderstatus', 'o_orderpriority'])})")(
+    lambda s, d: A.discover(keyed(s, d, "orders", "o_orderkey"), _RELATED).select("left", "right", "kind", "method", "strength", "label"))
+check("report_summary_table", summary_sql("customer", ["c_custkey", "c_nationkey", "c_acctbal"]))(
+    lambda s, d: rounded(S.numeric_summary(table(s, d, "customer"), ["c_custkey", "c_nationkey", "c_acctbal"]).drop("is_normal"), 4))
+check("report_chart_table", f"""select 'histogram' as section, bin::bigint as position, "column" as item, centre::varchar as value, count::varchar as detail from ({bins_sql('events', ['user_id', 'value'])})
+  union all (select 'scatter', 0, 'point', value::varchar, round(twin, 6)::varchar from {SHAPED} order by event_id limit 500)""")(
+    lambda s, d: report.chart_table({"histogram": H.histogram(table(s, d, "events"), ["user_id", "value"]), "scatter": rounded(H.scatter(shaped(s, d), "value", "twin"))}))
+check("report_insight_table", f"""select 'finding' as section, rule::bigint as position, severity as item, title as value from {_SOME}
+  union all select 'recommendation', 3, 'medium', 'De-duplicate the dataset' from ({GAP_COUNTERS}) where duplicate_rows > 0""")(
+    lambda s, d: _insights(s, d))
+
+
+def _insights(s, d):
+    counters, found = _some_findings(s, d)
+    tables = {"headline": I.headline(counters, found), "findings": found, "recommendations": I.duplicate_advice(counters)}
+    return report.insight_table(tables).where("section <> 'headline'").select("section", "position", "item", "value")
+
+
+@check("report_outlier_table")
+def _(s, d):
+    events = keyed(s, d, "events", "event_id")
+    used, scores = O.anomaly_scores(events, ["user_id", "value"])
+    flags = O.flag_anomalies(scores)
+    forest = flags.agg(F.count(F.when(F.col("flagged"), 1)).alias("flagged_count"))
+    return report.outlier_table({"iqr_outliers": O.iqr_outliers(events, used), "forest": forest, "flagged_rows": O.flagged_rows(flags)})
+
+
+@check("report_driver_table")
+def _(s, d):
+    from ..operators.drivers import analyse_drivers
+    df, part_roles = table(s, d, "part").drop("p_name"), {"p_partkey": "numeric", "p_brand": "categorical", "p_type": "categorical", "p_size": "numeric", "p_retailprice": "numeric"}
+    return report.driver_table({f"driver_{k}": v for k, v in analyse_drivers(df, part_roles, P.profile_columns(df, part_roles)).items()})
+
+
 def _analysis(s, d):
     return workflow.analyze(keyed(s, d, "customer", "c_custkey"))
 

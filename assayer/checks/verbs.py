@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..operators import verbs as V
-from ..sources.tables import ROW_ID
 from . import check, rounded, table
 
 # events with gaps, used wherever null handling matters
