@@ -88,7 +88,6 @@ def _(s, d):
     """Three arrivals of the same export: a third of the rows, then all, then all again."""
     from pyspark.sql import Window as W
 
-    from ..sources import csv as C
     from ..streaming import drift_monitor as M
     incoming, history, state = scratch_path(s, "incoming"), scratch_path(s, "history"), scratch_path(s, "monitor-state")
     rows = table(s, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")

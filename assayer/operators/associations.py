@@ -103,9 +103,9 @@ def spearman_pairs(df: DataFrame, cols: list[str], row_id: str = ROW_ID,
         for i, j in pairs])))
 
 
-def numeric_associations(df: DataFrame, cols: list[str], row_id: str = ROW_ID) -> DataFrame:
+def numeric_associations(df: DataFrame, cols: list[str], row_id: str = ROW_ID, ranges: dict | None = None) -> DataFrame:
     """Pearson strength with Spearman as second opinion, for pairs with at least five complete rows."""
-    pearson = correlation_pairs(df, cols).where((F.col("n") >= MIN_PAIR_ROWS) & F.col("r").isNotNull())
+    pearson = correlation_pairs(df, cols, ranges).where((F.col("n") >= MIN_PAIR_ROWS) & F.col("r").isNotNull())
     rho = spearman_pairs(df, cols, row_id)
     joined = pearson.join(F.broadcast(rho), ["i", "j"], "left")
     return joined.select(
@@ -168,16 +168,18 @@ def _named(names: list[str], index: str) -> Column:
     return F.element_at(F.array(*[F.lit(c) for c in names]), F.col(index) + 1)
 
 
-def discover(df: DataFrame, roles: dict[str, str], row_id: str = ROW_ID, limit: int = RANKED_LIMIT) -> DataFrame:
+def discover(df: DataFrame, roles: dict[str, str], row_id: str = ROW_ID, limit: int = RANKED_LIMIT,
+             ranges: dict | None = None) -> DataFrame:
     """All associations by absolute strength; ties keep numeric, mixed, categorical order."""
     numbers = [c for c, r in roles.items() if r == NUMERIC]
     groups = [c for c, r in roles.items() if r in (CATEGORICAL, BOOLEAN)]
+    ranges = ranges or column_ranges(df, numbers)
     none = F.lit(None).cast("double")
     parts = []
     if len(numbers) > 1:
-        parts.append(numeric_associations(df, numbers, row_id))
+        parts.append(numeric_associations(df, numbers, row_id, ranges))
     if numbers and groups:
-        eta = correlation_ratios(df, groups, numbers).where("eta > 0")
+        eta = correlation_ratios(df, groups, numbers, ranges).where("eta > 0")
         parts.append(eta.select(
             F.lit(1).alias("kind_order"), "i", "j", _named(groups, "i").alias("left"), _named(numbers, "j").alias("right"),
             F.lit("categorical-numeric").alias("kind"), F.lit("correlation ratio (eta)").alias("method"),

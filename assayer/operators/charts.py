@@ -35,9 +35,9 @@ def chart_specs(profile: DataFrame, pairs: DataFrame) -> DataFrame:
     return out
 
 
-def histogram(df: DataFrame, cols: list[str], bins: int = BINS) -> DataFrame:
+def histogram(df: DataFrame, cols: list[str], bins: int = BINS, ranges: dict | None = None) -> DataFrame:
     """(column, bin, centre, count): equal bins from minimum to maximum, the last one closed; empty bins included."""
-    ranges = {c: r for c, r in stats.column_ranges(df, cols).items() if r["count"]}
+    ranges = {c: r for c, r in (ranges or stats.column_ranges(df, cols)).items() if r["count"] and c in cols}
     used = list(ranges)
     if not used:
         return df.sparkSession.createDataFrame([], "column string, bin int, centre double, count bigint")

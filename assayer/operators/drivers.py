@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import spread
 from ..sources.tables import quoted
 from .ordering import exact_quantiles
 from .roles import BOOLEAN, CATEGORICAL, DATETIME, NUMERIC
@@ -56,7 +57,7 @@ def top_values(df: DataFrame, cols: list[str], k: int = TOP_VALUES) -> DataFrame
     return counts.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
-def features(df: DataFrame, roles: dict[str, str], target: str) -> tuple[list[str], list[Column]]:
+def features(df: DataFrame, roles: dict[str, str], target: str, quantiles: dict | None = None) -> tuple[list[str], list[Column]]:
     """Feature names and expressions; only medians and the top values of each category reach the driver."""
     numeric = [c for c, r in roles.items() if r == NUMERIC and c != target]
     groups = [c for c, r in roles.items() if r in (CATEGORICAL, BOOLEAN) and c != target]
@@ -65,7 +66,7 @@ def features(df: DataFrame, roles: dict[str, str], target: str) -> tuple[list[st
         v = quoted(c).cast("double")
         return F.when(~F.isnan(v) & (F.abs(v) < math.inf), v)
 
-    medians = exact_quantiles(df.select(*[finite(c).alias(c) for c in numeric]), numeric, [0.5])
+    medians = quantiles or exact_quantiles(df.select(*[finite(c).alias(c) for c in numeric]), numeric, [0.5])
     tops: dict[str, list[tuple[str, int]]] = {c: [] for c in groups}
     rows = 0
     if groups:
@@ -109,9 +110,9 @@ def leaf_paths(debug: str, names: list[str]) -> list[str]:
     return leaves
 
 
-def fit_tree(df: DataFrame, roles: dict[str, str], target: str, kind: str) -> dict | None:
+def fit_tree(df: DataFrame, roles: dict[str, str], target: str, kind: str, quantiles: dict | None = None) -> dict | None:
     """Depth-3 tree on all labelled rows: fit metric, importances and ranked leaf rules; None if it cannot be fitted."""
-    names, exprs = features(df, roles, target)
+    names, exprs = features(df, roles, target, quantiles)
     if not names:
         return None
     if kind == "numeric":
@@ -130,7 +131,7 @@ def fit_tree(df: DataFrame, roles: dict[str, str], target: str, kind: str) -> di
     n = data.count()
     if n < MIN_ROWS:
         return None
-    ready = VectorAssembler(inputCols=[f"f{i}" for i in range(len(names))], outputCol="features").transform(data).select("label", "features")
+    ready = VectorAssembler(inputCols=[f"f{i}" for i in range(len(names))], outputCol="features").transform(spread(data, n)).select("label", "features")
     common = dict(maxDepth=3, minInstancesPerNode=max(MIN_GROUP, n // 50), maxBins=256, seed=0, leafCol="leaf")
     tree = (DecisionTreeRegressor(**common) if classes is None else DecisionTreeClassifier(**common)).fit(ready)
     placed = tree.transform(ready)
@@ -191,14 +192,14 @@ def segments(df: DataFrame, roles: dict[str, str], target: str, kind: str, limit
     return top.select((F.row_number().over(W.orderBy(*strongest)) - 1).alias("place"), "column", "value", "metric", "lift_pct", "n")
 
 
-def analyse_drivers(df: DataFrame, roles: dict[str, str], profile: DataFrame) -> dict[str, DataFrame]:
+def analyse_drivers(df: DataFrame, roles: dict[str, str], profile: DataFrame, quantiles: dict | None = None) -> dict[str, DataFrame]:
     """targets, drivers, rules, segments as tables; an empty target list comes with a note row."""
     spark = df.sparkSession
     picked = rank_targets(profile).collect()
     targets, drivers, rules, lifts = [], [], [], None
     seg_schema = "position int, target string, place int, column string, value string, metric double, lift_pct double, n bigint"
     for position, t in enumerate(picked):
-        fitted = fit_tree(df, roles, t["column"], t["kind"])
+        fitted = fit_tree(df, roles, t["column"], t["kind"], quantiles)
         if fitted is None:
             continue
         name, value = fitted["metric"]

@@ -230,20 +230,25 @@ def grouped_quantiles(df: DataFrame, value: str, by: list[str], probs: dict[str,
 
 
 def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], keep: int = 20_000,
-                    bins: int = 4096) -> dict[str, dict[float, float | None]]:
+                    bins: int = 4096, ranges: dict[str, dict] | None = None) -> dict[str, dict[float, float | None]]:
     """Exact interpolated quantiles of whole columns, without a shuffle of the data.
 
     Each round counts the values of a bracket in bins and keeps the bin that holds the wanted position, with its
     true least and greatest value; tied values end a search at once. A bracket of at most ``keep`` rows is read
-    out. The driver sees bin counts and short brackets only, however large the table is.
+    out. The driver sees bin counts and short brackets only, however large the table is. Known ``ranges`` (count, min
+    and max per column) save the first scan.
     """
     if not cols:
         return {}
     typed = df.select(*[F.when(~F.isnan(quoted(c).cast("double")),
                                clip(quoted(c).cast("double"), -_MAX, _MAX)).alias(f"c{i}")
                         for i, c in enumerate(cols)])
-    start = typed.agg(*[e for i in range(len(cols)) for e in (
-        F.count(f"c{i}").alias(f"n{i}"), F.min(f"c{i}").alias(f"lo{i}"), F.max(f"c{i}").alias(f"hi{i}"))]).first()
+    if ranges:
+        start = {k: v for i, c in enumerate(cols) for r in (ranges[c],) for k, v in (
+            (f"n{i}", r["count"]), (f"lo{i}", r["min"] and max(r["min"], -_MAX)), (f"hi{i}", r["max"] and min(r["max"], _MAX)))}
+    else:
+        start = typed.agg(*[e for i in range(len(cols)) for e in (
+            F.count(f"c{i}").alias(f"n{i}"), F.min(f"c{i}").alias(f"lo{i}"), F.max(f"c{i}").alias(f"hi{i}"))]).first()
 
     answers: dict[tuple[int, int], float] = {}
     # (column, position) -> (least, greatest, rows below, rows inside, bin on a log scale)

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.tables import ROW_ID
-from ..session import materialise
+from ..session import materialise, spread
 from .ordering import exact_quantiles
 from .stats import as_numbers, column_ranges
 
@@ -14,14 +14,13 @@ MIN_FENCE_ROWS = 8
 MIN_FOREST_ROWS = 20
 TREES, TREE_ROWS, CONTAMINATION = 200, 256, 0.02
 FLAGGED_LIMIT = 200
-SCORED_PER_TASK = 100_000
 
 
-def fences(df: DataFrame, cols: list[str], quantiles: dict | None = None) -> dict[str, tuple[float, float]]:
+def fences(df: DataFrame, cols: list[str], quantiles: dict | None = None, ranges: dict | None = None) -> dict[str, tuple[float, float]]:
     """Tukey fences of columns with at least eight values."""
-    ranges = column_ranges(df, cols)
+    ranges = ranges or column_ranges(df, cols)
     used = [c for c in cols if ranges[c]["count"] >= MIN_FENCE_ROWS]
-    quantiles = quantiles or exact_quantiles(df, used, [0.25, 0.75])
+    quantiles = quantiles or exact_quantiles(df, used, [0.25, 0.75], ranges=ranges)
     out = {}
     for c in used:
         q1, q3 = quantiles[c][0.25], quantiles[c][0.75]
@@ -58,15 +57,16 @@ def iqr_outliers(df: DataFrame, cols: list[str], examples: bool = True, row_id:
         "example_values", F.coalesce("example_values", F.lit("")))
 
 
-def forest_columns(df: DataFrame, cols: list[str]) -> list[str]:
-    ranges = column_ranges(df, cols)
+def forest_columns(df: DataFrame, cols: list[str], ranges: dict | None = None) -> list[str]:
+    ranges = ranges or column_ranges(df, cols)
     return [c for c in cols if ranges[c]["count"] > MIN_FOREST_ROWS]
 
 
-def forest_input(df: DataFrame, cols: list[str], row_id: str = ROW_ID) -> tuple[list[str], DataFrame]:
+def forest_input(df: DataFrame, cols: list[str], row_id: str = ROW_ID, ranges: dict | None = None,
+                 quantiles: dict | None = None) -> tuple[list[str], DataFrame]:
     """Columns with enough values, gaps filled with the column median, as (row id, c0, c1, …)."""
-    used = forest_columns(df, cols)
-    medians = exact_quantiles(df, used, [0.5])
+    used = forest_columns(df, cols, ranges)
+    medians = quantiles or exact_quantiles(df, used, [0.5], ranges=ranges)
     x = as_numbers(df, used, [F.col(row_id).alias("r")])
     return used, x.select("r", *[F.coalesce(f"c{i}", F.lit(medians[c][0.5])).alias(f"c{i}") for i, c in enumerate(used)])
 
@@ -164,22 +164,19 @@ def _scorer(forest, norm: float):
 
 
 def anomaly_scores(df: DataFrame, cols: list[str], row_id: str = ROW_ID, trees: int = TREES,
-                   seed: int = 0) -> tuple[list[str], DataFrame | None]:
+                   seed: int = 0, ranges: dict | None = None, quantiles: dict | None = None) -> tuple[list[str], DataFrame | None]:
     """Anomaly score per row (higher is stranger): (row id, score), written once to the checkpoint folder.
 
     Only the grown trees (at most ``trees`` x 511 nodes) are broadcast; rows are scored where they are.
     """
     import numpy as np
 
-    used, x = forest_input(df, cols, row_id)
+    used, x = forest_input(df, cols, row_id, ranges, quantiles)
     if len(used) < 2:
         return used, None
     spark = df.sparkSession
     rows = x.count()
-    parallelism = spark.sparkContext.defaultParallelism
-    if rows <= parallelism * SCORED_PER_TASK:
-        # scoring costs far more than moving so few rows; a larger scan has enough tasks of its own
-        x = x.repartition(parallelism)
+    x = spread(x, rows)
     nodes = grow_forest(tree_samples(x, trees, TREE_ROWS, seed, rows), seed).toPandas().sort_values(["tree", "node"])
     forest = [tuple(g[c].to_numpy() for c in ("feature", "threshold", "left", "right", "path"))
               for _, g in nodes.groupby("tree")]

@@ -38,18 +38,18 @@ def column_ranges(df: DataFrame, cols: list[str]) -> dict[str, dict]:
 
 
 def numeric_summary(df: DataFrame, cols: list[str], normality: bool = False,
-                    quantiles: dict | None = None) -> DataFrame:
+                    quantiles: dict | None = None, ranges: dict | None = None) -> DataFrame:
     """One row per numeric column with at least three values.
 
     Power sums of centred values give all moments in one pass; quartiles are exact.
     """
-    ranges = column_ranges(df, cols)
+    ranges = ranges or column_ranges(df, cols)
     used = [c for c in cols if ranges[c]["count"] >= 3]
     schema = ("column string, count bigint, mean double, std double, min double, p25 double, median double, "
               "p75 double, max double, skew double, kurtosis double, cv double, is_normal boolean")
     if not used:
         return df.sparkSession.createDataFrame([], schema)
-    quantiles = quantiles or exact_quantiles(df, used, QUARTILES)
+    quantiles = quantiles or exact_quantiles(df, used, QUARTILES, ranges=ranges)
     x = as_numbers(df, used)
     sums = []
     for i, c in enumerate(used):
@@ -111,10 +111,6 @@ def normality_verdict(df: DataFrame, cols: list[str], counts: dict[str, int] | N
     return shapiro_wilk(capped_sample(df, cols, counts, row_id=row_id), "column", "value")
 
 
-def _pair_sums(ranges: dict, cols: list[str], rows: int) -> list[tuple[int, int]]:
-    return [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
-
-
 def correlation_pairs(df: DataFrame, cols: list[str], ranges: dict | None = None) -> DataFrame:
     """(i, j, a, b, n, r) for every column pair; r is null where undefined.
 
@@ -180,10 +176,11 @@ def _square(pairs: DataFrame, cols: list[str], value: str, diagonal: DataFrame)
     return (both.unionByName(diagonal).groupBy("i", "column").pivot("other", cols).agg(F.first("v")).drop("i"))
 
 
-def correlation_matrix(df: DataFrame, cols: list[str], decimals: int | None = 4) -> DataFrame:
+def correlation_matrix(df: DataFrame, cols: list[str], decimals: int | None = 4, ranges: dict | None = None,
+                       pairs: DataFrame | None = None) -> DataFrame:
     """Square matrix, one row per column; with ``decimals`` undefined entries are 0, otherwise null."""
-    ranges = column_ranges(df, cols)
-    pairs = correlation_pairs(df, cols, ranges)
+    ranges = ranges or column_ranges(df, cols)
+    pairs = correlation_pairs(df, cols, ranges) if pairs is None else pairs
     diagonal = df.sparkSession.createDataFrame(
         [(i, c, c, None if ranges[c]["min"] == ranges[c]["max"] else 1.0) for i, c in enumerate(cols)],
         "i int, column string, other string, v double")

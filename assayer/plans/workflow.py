@@ -1,6 +1,7 @@
 """The whole analysis of one table."""
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -46,20 +47,23 @@ def analyze(df: DataFrame, reader_types: bool = False, prior: DataFrame | None =
     role_table = columns.select("ordinal", F.col("name").alias("column"), "role")
 
     step("relationship_discovery")
-    relations = settle(associations.discover(cleaned, roles))
+    ranges = stats.column_ranges(cleaned, numeric)
+    relations = settle(associations.discover(cleaned, roles, ranges=ranges))
 
     step("statistical_analysis")
-    quartiles = exact_quantiles(cleaned, numeric, stats.QUARTILES)
+    quartiles = exact_quantiles(cleaned, numeric, stats.QUARTILES, ranges=ranges)
+    # an infinite value would take part in these medians but not in those of the features
+    finite = all(r["count"] == 0 or (abs(r["min"]) < math.inf and abs(r["max"]) < math.inf) for r in ranges.values())
     position = columns.select("ordinal", F.col("name").alias("column"))
-    summary = settle(stats.numeric_summary(cleaned, numeric, normality=True, quantiles=quartiles).join(position, "column").orderBy("ordinal"))
-    pairs = settle(stats.correlation_pairs(cleaned, numeric))
+    summary = settle(stats.numeric_summary(cleaned, numeric, normality=True, quantiles=quartiles, ranges=ranges).join(position, "column").orderBy("ordinal"))
+    pairs = settle(stats.correlation_pairs(cleaned, numeric, ranges))
     top = settle(stats.top_pairs(pairs))
-    matrix = settle(stats.correlation_matrix(cleaned, numeric)) if len(numeric) > 1 else spark.createDataFrame([], "column string")
+    matrix = settle(stats.correlation_matrix(cleaned, numeric, ranges=ranges, pairs=pairs)) if len(numeric) > 1 else spark.createDataFrame([], "column string")
 
     step("anomaly_detection")
-    limits = outliers.fences(cleaned, numeric, quartiles)
+    limits = outliers.fences(cleaned, numeric, quartiles, ranges)
     iqr = settle(outliers.iqr_outliers(cleaned, numeric, limits=limits))
-    used, scores = outliers.anomaly_scores(cleaned, numeric) if numeric else ([], None)
+    used, scores = outliers.anomaly_scores(cleaned, numeric, ranges=ranges, quantiles=quartiles) if numeric else ([], None)
     if scores is not None:
         flags = outliers.flag_anomalies(scores)
         forest = settle(flags.agg(F.count(F.when(F.col("flagged"), 1)).alias("flagged_count"),
@@ -70,7 +74,7 @@ def analyze(df: DataFrame, reader_types: bool = False, prior: DataFrame | None =
         flagged = spark.createDataFrame([], "r bigint, score double")
 
     step("driver_analysis")
-    driven = {k: settle(v) for k, v in drivers.analyse_drivers(cleaned, roles, columns).items()}
+    driven = {k: settle(v) for k, v in drivers.analyse_drivers(cleaned, roles, columns, quartiles if finite else None).items()}
 
     step("quality_scoring")
     facts = facts_frame(spark, known.raw_facts)
@@ -83,7 +87,7 @@ def analyze(df: DataFrame, reader_types: bool = False, prior: DataFrame | None =
 
     step("chart_generation")
     specs = settle(charts.chart_specs(columns, pairs))
-    bins = settle(charts.histogram(cleaned, numeric[:4]))
+    bins = settle(charts.histogram(cleaned, numeric[:4], ranges=ranges))
     best = top.first()
     points = charts.scatter(cleaned, best["a"], best["b"]) if best else spark.createDataFrame([], "x double, y double")
 

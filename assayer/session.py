@@ -73,5 +73,11 @@ def one_row(*frames: DataFrame) -> DataFrame:
     return spark.createDataFrame([tuple(values)], T.StructType([T.StructField(f.name, f.dataType) for f in fields]))
 
 
+def spread(df: DataFrame, rows: int, rows_per_task: int = 100_000) -> DataFrame:
+    """Share few rows with costly work among all cores; a larger scan has enough tasks of its own."""
+    parallelism = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(parallelism) if rows <= parallelism * rows_per_task else df
+
+
 def local_cpus() -> int:
     return int(os.environ.get("BENCH_CPUS", "8"))

@@ -210,3 +210,12 @@ def test_report_has_twelve_tables(smoke, tmp_path):
     rows = {r["table"]: r["rows"] for r in manifest.collect()}
     assert list(rows) == report.TABLES and len(rows) == 12
     assert rows["raw"] == 500 and rows["profile"] == 7 and rows["executive"] >= 10
+
+
+def test_run_records_are_appended(smoke, spark, tmp_path):
+    from assayer.operators import history
+    r, _ = smoke
+    for run in ("r1", "r2"):
+        history.append_run(history.run_record(spark, run, "orders.csv", "me", "succeeded", r["profile_columns"], r["findings"]), str(tmp_path / "runs"))
+    kept = spark.read.parquet(str(tmp_path / "runs")).collect()
+    assert {k["run_id"] for k in kept} == {"r1", "r2"} and all('"name":"revenue"' in k["profile"] for k in kept)
