@@ -8,12 +8,14 @@ def test_limit_audit_stream_equals_batch_and_drops_late_rows(spark, tmp_path):
     schema = "ts timestamp, user_id bigint, class string"
     first = [(start + timedelta(seconds=i), 1, "auth") for i in range(12)] + [(start + timedelta(seconds=5), 2, "auth")] * 3
     second = [(start + timedelta(hours=2), 1, "auth")]
+    # rows are judged late by the watermark of the batch before, so one more batch comes first
+    third = [(start + timedelta(hours=2, seconds=1), 1, "auth")]
     late = [(start + timedelta(seconds=20), 2, "auth")] * 50
     closing = [(start + timedelta(hours=9), 9, "auth")]
-    for i, part in enumerate((first, second, late, closing)):
+    for i, part in enumerate((first, second, third, late, closing)):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     rules = {"auth": (10, 300), "read": (240, 60)}
-    batch = limits.limit_audit(spark.createDataFrame(first + second + closing, schema), "user_id", rules)
+    batch = limits.limit_audit(spark.createDataFrame(first + second + third + closing, schema), "user_id", rules)
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(str(tmp_path / "in")))
     audit = limits.limit_audit_stream(stream, "user_id", rules, "1 minute")
     q = audit.writeStream.format("memory").queryName("audit").outputMode("append").trigger(availableNow=True).option(
