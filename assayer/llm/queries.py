@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, sharding
+from . import bpe, revisits, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -43,3 +43,86 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
                         F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures of every page: a full response, a later one for some, and two not-modified answers under variants of the URL."""
+    page = F.col("page_id")
+    base = F.timestamp_seconds(F.lit(1_704_067_200) + (page % 97) * 3600)
+    pages = table(spark, sf_dir, "pages").select(
+        page, "url", base.alias("base"), F.md5(F.coalesce("html", F.lit(""))).alias("digest"),
+        F.octet_length(F.coalesce("html", F.lit(""))).cast("string").alias("bytes"))
+    text = F.lit("text/html")
+
+    def capture(n: int, url, hours: int, status: int, digest, headers) -> F.Column:
+        return F.struct((page * 4 + n).alias("record_id"), url.alias("url"), (F.col("base") + F.expr(f"interval {hours} hours")).alias("captured"),
+                        F.lit(status).alias("status"), headers.alias("headers"), digest.alias("payload_digest"))
+
+    def headers(**fields) -> F.Column:
+        return F.create_map(*[x for k, v in fields.items() for x in (F.lit(k.replace("_", "-")), v)]).cast("map<string,string>")
+
+    tag, second = F.concat(F.lit('"'), F.substring("digest", 1, 12), F.lit('"')), F.md5(F.concat("digest", F.lit("2")))
+    tag2 = F.concat(F.lit('"'), F.substring(second, 1, 12), F.lit('"'))
+    none = F.lit(None).cast("string")
+    first = capture(0, F.col("url"), 0, 200, F.col("digest"),
+                    F.when(page % 11 == 0, headers(content_type=text, content_length=F.col("bytes"), cache_control=F.lit("max-age=60"),
+                                                   last_modified=F.lit("Mon, 01 Jan 2024 00:00:00 GMT")))
+                    .otherwise(headers(content_type=text, content_length=F.col("bytes"), cache_control=F.lit("max-age=60"), etag=tag)))
+    again = capture(1, F.concat("url", F.lit("#again")), 36, 200, second,
+                    headers(content_type=text, content_length=F.lit("9"), etag=tag2))
+    early = capture(2, F.regexp_replace("url", "^https?://", "HTTP://WWW."), 24, 304, none,
+                    F.when(page % 5 == 0, headers(etag=F.lit('"other"'), x_cache=F.lit("HIT")))
+                    .otherwise(headers(etag=F.concat(F.lit("W/"), tag), cache_control=F.lit("max-age=120"), content_length=F.lit("0"))))
+    late = capture(3, F.concat("url", F.lit("#late")), 48, 304, none,
+                   headers(last_modified=F.lit("Mon, 01 Jan 2024 00:00:00 GMT"), age=F.lit("7")))
+    lone = F.when(page % 7 == 0, F.array(early)).when(page % 3 == 0, F.array(first, again, early, late)).otherwise(F.array(first, early, late))
+    return pages.select(F.inline(lone))
+
+
+_KEY = """regexp_replace(regexp_replace(lower(regexp_extract(rest, '^([^/?]*)', 1)), '^www[.]', ''), ':(80|443)$', '')
+  || regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', '')
+  || case when len(q) > 0 then '?' || array_to_string(list_sort(q), '&') else '' end"""
+
+OP10_SQL = f"""
+with p as (select page_id, url, md5(coalesce(html, '')) d, strlen(coalesce(html, '')) n,
+    make_timestamp((1704067200 + (page_id % 97) * 3600) * 1000000) base from pages),
+r as (
+  select page_id * 4 as record_id, url, base as captured, true as full_answer, d as digest, case when page_id % 11 <> 0 then '"' || d[1:12] || '"' end as etag,
+    case when page_id % 11 = 0 then 'Mon, 01 Jan 2024 00:00:00 GMT' end as modified, 'max-age=60' as cache, n as length, page_id
+    from p where page_id % 7 <> 0
+  union all select page_id * 4 + 1, url || '#again', base + interval 36 hour, true, md5(d || '2'), '"' || md5(d || '2')[1:12] || '"', null, null, 9, page_id
+    from p where page_id % 7 <> 0 and page_id % 3 = 0
+  union all select page_id * 4 + 2, regexp_replace(url, '^https?://', 'HTTP://WWW.'), base + interval 24 hour, false, null,
+    case when page_id % 5 = 0 then '"other"' else 'W/"' || d[1:12] || '"' end, null, case when page_id % 5 = 0 then null else 'max-age=120' end, null, page_id from p
+  union all select page_id * 4 + 3, url || '#late', base + interval 48 hour, false, null, null, 'Mon, 01 Jan 2024 00:00:00 GMT', null, null, page_id
+    from p where page_id % 7 <> 0),
+u as (select *, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') as rest from r),
+v as (select *, list_filter(string_split(regexp_extract(rest, '[?](.*)$', 1), '&'),
+    lambda x: x <> '' and not regexp_matches(lower(x), '^(utm_[a-z]+|gclid|fbclid|ref)=')) as q from u),
+k as (select *, {_KEY} as url_key from v),
+m as (select a.record_id, a.url_key, a.captured, a.etag, a.modified, a.cache, a.page_id,
+    max_by(b, row(b.captured, b.record_id)) filter (b.record_id is not null) as f
+  from k a left join (select * from k where full_answer) b on a.url_key = b.url_key and b.captured < a.captured
+  where not a.full_answer group by all),
+s as (select *, case when f is null then 'orphan'
+    when f.etag is not null and etag is not null then case when f.etag = regexp_replace(etag, '^W/', '') then 'resolved' else 'changed' end
+    when f.modified is not null and modified is not null then case when f.modified = modified then 'resolved' else 'changed' end
+    else 'resolved' end as state from m)
+select record_id, url_key, epoch(captured)::bigint as captured, state, f.record_id as response_id,
+  epoch(f.captured)::bigint as response_captured,
+  case when state = 'resolved' then f.digest end as payload_digest,
+  case when state = 'resolved' then
+    case when record_id % 4 = 3 then 'age: 7; ' else '' end
+    || coalesce('cache-control: ' || coalesce(cache, f.cache) || '; ', '')
+    || 'content-length: ' || f.length || '; content-type: text/html'
+    || coalesce('; etag: ' || f.etag, '')
+    || coalesce('; last-modified: ' || coalesce(modified, f.modified), '')
+    || case when record_id % 4 = 2 and page_id % 5 = 0 then '; x-cache: HIT' else '' end end as headers
+from s"""
+
+
+@query("op10_revisits", OP10_SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = revisits.resolve(captures(spark, sf_dir))
+    return found.withColumns({"headers": revisits.header_text(F.col("headers")), "captured": F.unix_seconds("captured"),
+                              "response_captured": F.unix_seconds("response_captured")})
