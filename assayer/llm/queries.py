@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, revisits, sharding
+from . import bpe, revisits, secret_scan, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -126,3 +126,16 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = revisits.resolve(captures(spark, sf_dir))
     return found.withColumns({"headers": revisits.header_text(F.col("headers")), "captured": F.unix_seconds("captured"),
                               "response_captured": F.unix_seconds("response_captured")})
+
+
+@query("op7_secrets")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    fixed = F.filter("spans", lambda s: s["kind"] != "random")
+    return found.select("doc_id", *[count(k) for k in ("assign", "access", "hex")],
+                        F.sha2(secret_scan.span_text(fixed), 256).alias("base_sha256"),
+                        secret_scan.span_text(F.col("spans")).alias("spans"))
