@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, revisits, secret_scan, sharding
+from . import bpe, merkle, revisits, secret_scan, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -139,3 +139,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in ("assign", "access", "hex")],
                         F.sha2(secret_scan.span_text(fixed), 256).alias("base_sha256"),
                         secret_scan.span_text(F.col("spans")).alias("spans"))
+
+
+@query("op1_merkle")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.edit_test(table(spark, sf_dir, "documents"), "doc_id", "text")
