@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, merkle, revisits, secret_scan, sharding
+from . import bpe, labelled, merkle, revisits, rules, secret_scan, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -144,3 +144,15 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_merkle")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.edit_test(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> rules.RuleEnsemble:
+    return rules.fit(labelled.sample(docs, "doc_id", "text", table(spark, sf_dir, "labels"), "doc_id", "quality", 4, 2))
+
+
+@query("op3_rules")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality_model(spark, docs, sf_dir).score(docs.select("doc_id", "text"))
+    return scored.select("doc_id", (labelled.fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score",
+                         (F.col("score") >= 0.7).cast("int").alias("predicted"))
