@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, labelled, merkle, revisits, rules, secret_scan, sharding
+from . import bpe, labelled, merkle, revisits, rules, secret_scan, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -156,3 +156,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality_model(spark, docs, sf_dir).score(docs.select("doc_id", "text"))
     return scored.select("doc_id", (labelled.fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score",
                          (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query("op2_toxicity")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(labelled.sample(docs, "doc_id", "text", table(spark, sf_dir, "labels"), "doc_id", "toxic", 3, 1))
+    return toxicity.score(docs, "doc_id", "text", model).select(
+        "doc_id", (labelled.fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
