@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, labelled, merkle, revisits, rules, secret_scan, sharding, toxicity
+from . import bpe, labelled, merkle, revisits, rules, secret_scan, seeds, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -164,3 +164,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(labelled.sample(docs, "doc_id", "text", table(spark, sf_dir, "labels"), "doc_id", "toxic", 3, 1))
     return toxicity.score(docs, "doc_id", "text", model).select(
         "doc_id", (labelled.fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query("op5_decontamination")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return seeds.overlaps(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
