@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, labelled, merkle, revisits, rules, secret_scan, seeds, sharding, toxicity
+from . import bpe, labelled, merkle, ppm, revisits, rules, secret_scan, seeds, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -169,3 +169,13 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_decontamination")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seeds.overlaps(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
+
+
+@query("op8_ppm")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    learn = labelled.fold(F.col("doc_id"), 7) != 2
+    model = ppm.train(docs, "doc_id", "text", learn)
+    scored = ppm.score(docs, "doc_id", "text", learn, model)
+    return scored.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known",
+                         F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
