@@ -21,26 +21,26 @@ TREES, DEPTH, PENALTY = 24, 3, 0.002
 
 
 def statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """``df`` with one double column ``s_<name>`` per statistic; a null or empty text has zeros, apart from distinct shares of one."""
+    """``df`` with one double column ``__<name>`` per statistic; a null or empty text has zeros, apart from distinct shares of one."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     # arrays and counts that several statistics use are columns of their own
     parts = df.withColumns({
-        "_words": F.filter(F.split(text, r"\s+"), lambda w: w != ""), "_lines": F.split(text, "\n"), "_chars": F.length(text).cast("double"),
-        "_upper": F.length(F.regexp_replace(text, r"[^A-ZÀ-Þ]+", "")), "_signs": F.regexp_replace(text, r"[^#$%&*|!@~^<>{}=+\\/_.?0-9]+", "")})
-    words, n = F.col("_words"), F.greatest(F.size("_words"), F.lit(1)).cast("double")
-    chars = F.greatest(F.col("_chars"), F.lit(1.0))
+        "__words": F.filter(F.split(text, r"\s+"), lambda w: w != ""), "__lines": F.split(text, "\n"), "__chars": F.length(text).cast("double"),
+        "__capitals": F.length(F.regexp_replace(text, r"[^A-ZÀ-Þ]+", "")), "__signs": F.regexp_replace(text, r"[^#$%&*|!@~^<>{}=+\\/_.?0-9]+", "")})
+    words, n = F.col("__words"), F.greatest(F.size("__words"), F.lit(1)).cast("double")
+    chars = F.greatest(F.col("__chars"), F.lit(1.0))
 
     def signs(pattern: str) -> Column:
-        return F.length(F.regexp_replace("_signs", pattern, ""))
+        return F.length(F.regexp_replace("__signs", pattern, ""))
 
     found = {
-        "log_chars": F.log1p("_chars"), "mean_word": F.col("_chars") / n,
+        "log_chars": F.log1p("__chars"), "mean_word": F.col("__chars") / n,
         "distinct_words": F.when(F.size(words) > 0, F.size(F.array_distinct(words)) / n).otherwise(1.0),
         "repeated_words": F.size(F.filter(words, lambda w, i: (i > 0) & (F.get(words, i - 1) == w))) / n,
         "short_words": F.size(F.filter(words, lambda w: F.length(w) <= 3)) / n,
-        "upper": F.col("_upper") / chars, "symbols": signs("[.?0-9]+") / chars, "digits": signs("[^0-9]+") / chars, "bars": signs("[^|]+") / n,
-        "sentence_ends": signs("[^.?]+") / n, "distinct_lines": F.size(F.array_distinct("_lines")) / F.size("_lines")}
-    return parts.withColumns({f"s_{k}": found[k].cast("double") for k in STATISTICS}).drop("_words", "_lines", "_chars", "_upper", "_signs")
+        "upper": F.col("__capitals") / chars, "symbols": signs("[.?0-9]+") / chars, "digits": signs("[^0-9]+") / chars, "bars": signs("[^|]+") / n,
+        "sentence_ends": signs("[^.?]+") / n, "distinct_lines": F.size(F.array_distinct("__lines")) / F.size("__lines")}
+    return parts.withColumns({f"__{k}": found[k].cast("double") for k in STATISTICS}).drop("__words", "__lines", "__chars", "__capitals", "__signs")
 
 
 @dataclass(frozen=True)
@@ -51,7 +51,7 @@ class Rule:
     def column(self) -> Column:
         out = F.lit(True)
         for name, low, high in self.bounds:
-            value = F.col(f"s_{name}")
+            value = F.col(f"__{name}")
             out = out & (value > low if low is not None else F.lit(True)) & (value <= high if high is not None else F.lit(True))
         return out
 
@@ -83,7 +83,7 @@ class RuleEnsemble:
         for rule, weight in self.weights:
             total = total + F.when(rule.column(), weight).otherwise(0.0)
         scored = statistics(df, text_col)
-        return scored.withColumn(name, 1 / (1 + F.exp(-total))).drop(*[f"s_{k}" for k in STATISTICS])
+        return scored.withColumn(name, 1 / (1 + F.exp(-total))).drop(*[f"__{k}" for k in STATISTICS])
 
 
 def fit(sample: DataFrame, seed: int = 7) -> RuleEnsemble:
@@ -91,13 +91,13 @@ def fit(sample: DataFrame, seed: int = 7) -> RuleEnsemble:
 
     Without two classes in the sample the score is constant: the share of label 1, one half without rows.
     """
-    table = materialise(statistics(sample).select("label", *[f"s_{k}" for k in STATISTICS]), "rules")
+    table = materialise(statistics(sample).select("label", *[f"__{k}" for k in STATISTICS]), "rules")
     n, ones = table.agg(F.count("*"), F.sum("label")).first()
     if not n or ones in (0, n):
         share = 0.5 if not n else min(max(ones / n, 0.01), 0.99)
         return RuleEnsemble(math.log(share / (1 - share)), ())
     table = table.coalesce(4)
-    vectors = VectorAssembler(inputCols=[f"s_{k}" for k in STATISTICS], outputCol="features").transform(table)
+    vectors = VectorAssembler(inputCols=[f"__{k}" for k in STATISTICS], outputCol="features").transform(table)
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=seed, minInstancesPerNode=5).fit(vectors)
     found: list[Rule] = []
     for tree in forest.trees:

@@ -1,7 +1,7 @@
 """The corpus pipeline: documents in, token ids out; every stage is one of the corpus operators.
 
 Each stage is ``(spark, docs, sf_dir) -> DataFrame`` over all documents that the stage before it kept; ``run`` writes what a stage
-returns to the shared checkpoint folder and reads it back for the next one.
+returns to the shared checkpoint folder and reads it back for the next one. All stages but the last return the columns they are given.
 """
 from __future__ import annotations
 
@@ -11,9 +11,42 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import bpe, queries
+from assayer.llm import bpe, jaccard, queries, secret_scan, seeds
 from assayer.session import materialise
 
+#: Score below which the quality classifier rejects a document: label 0 is the likelier one.
+REJECT_BELOW = 0.5
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Documents whose id is not among ``ids``; these go to every task only while they are few."""
+    ids = materialise(ids.filter("doc_id is not null").distinct(), "dropped")
+    return docs.join(F.broadcast(ids) if ids.count() <= jaccard.MOST_SENT else ids, "doc_id", "left_anti").select(*docs.columns)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rule ensemble does not reject; it is fitted on the labelled ones among them."""
+    model = queries.quality_model(spark, docs, sf_dir)
+    return model.score(docs, "text", "__score").filter(F.col("__score") >= REJECT_BELOW).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every group linked by a Jaccard index of 0.8 on five-word shingles: the one with the smallest id."""
+    found = jaccard.join_components(docs, "doc_id", "text", words=5, num=80, den=100)
+    return _without(docs, found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id"))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap no benchmark item."""
+    found = seeds.overlaps(docs, "doc_id", "text", queries.table(spark, sf_dir, "benchmark"), "item_id", "text")
+    return _without(docs, found.select("doc_id"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets masked in the text and ``n_chars`` counted anew."""
+    masked = secret_scan.mask(docs, "doc_id", "text")
+    return masked.withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of the kept texts: ``doc_id, n_tokens, ids``."""
@@ -21,8 +54,10 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
-STAGES = [("byte-level BPE encoding and decoding", encode)]
+STAGES = [("quality classifier", quality), ("n-gram Jaccard join", near_duplicates), ("benchmark decontamination", decontaminate),
+          ("secret scans", secrets), ("byte-level BPE encoding and decoding", encode)]
 
+#: No SQL says what a fitted classifier keeps; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
