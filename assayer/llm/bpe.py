@@ -1,105 +1,170 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
-The positions of a pre-token's pairs wait in one bucket per merge rank. A bitmap of two levels marks the buckets in use, so the
-lowest rank is found with two find-first-set steps whatever the length of the pre-token. Pairs that a merge has changed stay in
-their bucket and are skipped when they come up.
+All pre-tokens that a worker meets for the first time stand in one linked list of tokens, with barriers between them; a single
+pre-token of any length is no different. The positions of pairs that can merge wait in one bucket per merge rank. A bitmap of three
+levels marks the buckets in use, so the lowest rank is found with three find-first-set steps. A bucket is emptied at a time: entries
+that an earlier merge has made stale are skipped, the others are merged, and the new pairs on both sides go to their buckets. Merges in
+different pre-tokens do not touch each other, so taking ranks in order over all of them takes each one's in order.
 """
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
-from heapq import heappop, heappush
-from itertools import chain
+from array import array
+from collections.abc import Iterator, Sequence
+from itertools import chain, islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Pre-tokens in each of the two generations of a worker's memory.
-REMEMBERED = 300_000
+#: Pre-tokens and characters of pre-tokens that a worker remembers; beyond either the memory starts anew.
+REMEMBERED = 1_000_000
+REMEMBERED_CHARS = 32_000_000
+#: Characters of text that are encoded together.
+TOGETHER = 8_000_000
+#: Bytes of new pre-tokens that share a list, but for a longer single one.
+SHARED = 2_000_000
+#: Rows of a batch that a worker returns.
+ROWS = 256
 
 
 class RankQueue:
-    """Positions by rank; pops the lowest rank and in it the leftmost position.
-
-    ``top`` has a bit for each word of 64 ranks in use, ``words`` the bits inside those words.
-    """
-
-    __slots__ = ("top", "words", "buckets")
+    """Positions by rank. ``low`` has the bits of the ranks in use by words of 64, ``middle`` a bit for each such word, ``top`` a bit
+    for each word of ``middle``."""
 
     def __init__(self):
-        self.top, self.words, self.buckets = 0, {}, {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        word = rank >> 6
-        bits = self.words.get(word, 0)
-        if not bits:
-            self.top |= 1 << word
-        self.words[word] = bits | 1 << (rank & 63)
-
-    def pop(self) -> tuple[int, int] | None:
-        top = self.top
-        if not top:
+        self.top, self.middle, self.low, self.buckets = 0, {}, {}, {}
+
+    def push(self, ranks: Sequence[int], positions: Sequence) -> None:
+        """Put each position (a number, or an array of numbers) under its rank."""
+        buckets = self.buckets
+        for rank, position in zip(ranks, positions):
+            if rank in buckets:
+                buckets[rank].append(position)
+                continue
+            buckets[rank] = [position]
+            word, group = rank >> 6, rank >> 12
+            self.low[word] = self.low.get(word, 0) | 1 << (rank & 63)
+            self.middle[group] = self.middle.get(group, 0) | 1 << (word & 63)
+            self.top |= 1 << group
+
+    def pop(self) -> tuple[int, list] | None:
+        """Lowest rank and all that waits under it."""
+        if not self.top:
             return None
-        word = (top & -top).bit_length() - 1
-        bits = self.words[word]
+        group = (self.top & -self.top).bit_length() - 1
+        bits = self.middle[group]
+        word = (group << 6) + (bits & -bits).bit_length() - 1
+        bits = self.low[word]
         first = bits & -bits
         rank = (word << 6) + first.bit_length() - 1
-        bucket = self.buckets[rank]
-        if len(bucket) > 1:
-            return rank, heappop(bucket)
-        del self.buckets[rank]
-        self.words[word] = bits = bits ^ first
-        if not bits:
-            self.top = top & (top - 1)
-        return rank, bucket[0]
-
-
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one pre-token."""
-    get = ranks.get
-    whole = get(piece)
-    if whole is not None:
-        return [whole]
-    n = len(piece)
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    queue = RankQueue()
-    push, pop = queue.push, queue.pop
-    current: list[int | None] = [get(piece[i:i + 2]) for i in range(n - 1)] + [None]
-    for i, rank in enumerate(current):
-        if rank is not None:
-            push(rank, i)
-    while (found := pop()) is not None:
-        rank, i = found
-        if current[i] != rank:
-            continue  # stale: a merge has taken one of its parts
-        gone = after[i]
-        end = after[i] = after[gone]
-        current[gone] = None
-        if end < n:
-            before[end] = i
-            current[i] = new = get(piece[i:after[end]])
-            if new is not None:
-                push(new, i)
-        else:
-            current[i] = None
-        left = before[i]
-        if left >= 0:
-            current[left] = new = get(piece[left:end])
-            if new is not None:
-                push(new, left)
-    ids, i = [], 0
-    while i < n:
-        ids.append(ranks[piece[i:after[i]]])
-        i = after[i]
-    return ids
+        self.low[word] = bits ^ first
+        if bits == first:
+            self.middle[group] ^= 1 << (word & 63)
+            if not self.middle[group]:
+                self.top ^= 1 << group
+        return rank, self.buckets.pop(rank)
+
+
+class Merges:
+    """Vocabulary: ids of single bytes, and the id that two neighbouring tokens merge into, which is also the merge's rank."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.tokens = {v: k for k, v in ranks.items()}
+        self.bytes = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int64)
+        pairs = {}
+        for token, rank in ranks.items():
+            for cut in range(1, len(token)):
+                left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
+                if left is not None and right is not None:
+                    pairs[left << 32 | right] = rank
+        self.keys = np.array(sorted(pairs), dtype=np.int64)
+        self.ranks = np.array([pairs[k] for k in sorted(pairs)], dtype=np.int64)
+        self.whole = ranks
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair, -1 where the two do not merge; a barrier is a negative token."""
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((self.keys[at] == key) & (left >= 0), self.ranks[at], -1)
+
+    def encode(self, pieces: list[bytes]) -> list[list[int]]:
+        """Ids of each pre-token."""
+        out: list[list[int] | None] = [None] * len(pieces)
+        chosen, size = [], 0
+        for i, piece in enumerate(pieces):
+            whole = self.whole.get(piece)
+            if whole is not None:
+                out[i] = [whole]
+                continue
+            chosen.append(i)
+            size += len(piece)
+            if size >= SHARED:
+                self._merge(pieces, chosen, out)
+                chosen, size = [], 0
+        if chosen:
+            self._merge(pieces, chosen, out)
+        return out
+
+    def _merge(self, pieces: list[bytes], chosen: list[int], out: list) -> None:
+        lengths = np.array([len(pieces[i]) + 1 for i in chosen])
+        ends = np.cumsum(lengths)
+        n = int(ends[-1])
+        token = np.full(n + 1, -1, dtype=np.int64)  # a barrier after every pre-token, and one slot more
+        flat = np.frombuffer(b"\0".join([pieces[i] for i in chosen]) + b"\0", dtype=np.uint8)
+        token[:n] = self.bytes[flat]
+        token[ends - 1] = -1
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        before[0] = n
+        current = np.full(n + 1, -1, dtype=np.int64)
+        current[:n] = self.rank(token[:-1], np.where(token[1:] >= 0, token[1:], (1 << 31) - 1))
+        queue = RankQueue()
+        waiting = np.flatnonzero(current >= 0)
+        waiting = waiting[np.argsort(current[waiting], kind="stable")]
+        ranks, starts = np.unique(current[waiting], return_index=True)
+        queue.push(ranks.tolist(), np.split(waiting, starts[1:]) if len(starts) else [])
+        while (found := queue.pop()) is not None:
+            rank, bucket = found
+            at = np.array(bucket) if type(bucket[0]) is int else bucket[0] if len(bucket) == 1 else np.concatenate(
+                [np.atleast_1d(x) for x in bucket])
+            at = at[current[at] == rank]  # the others are stale
+            if not len(at):
+                continue
+            if len(bucket) > 1:
+                at = np.unique(at)
+            gone = after[at]
+            if len(at) > 1:
+                overlaps = np.flatnonzero(gone[:-1] == at[1:])
+                if len(overlaps):  # a a a: every second one of a chain, from the left
+                    chained = np.zeros(len(at), dtype=bool)
+                    chained[overlaps + 1] = True
+                    place = np.arange(len(at))
+                    start = np.maximum.accumulate(np.where(chained, 0, place))
+                    at = at[(place - start) % 2 == 0]
+                    gone = after[at]
+            end = after[gone]
+            after[at], before[end] = end, at
+            token[at], token[gone], current[gone] = rank, -2, -1
+            left = before[at]
+            # right pairs, then left ones, once all merges of the bucket are done
+            pair = np.concatenate([at, left])
+            following = np.concatenate([end, at])
+            second = token[following]
+            new = self.rank(token[pair], np.where(second >= 0, second, (1 << 31) - 1))
+            current[pair] = new
+            there = new >= 0
+            if there.any():
+                queue.push(new[there].tolist(), pair[there].tolist())
+        kept = np.flatnonzero(token[:n] >= 0)
+        ids = token[kept].tolist()
+        cuts = np.searchsorted(kept, ends).tolist()
+        at = 0
+        for i, cut in zip(chosen, cuts):
+            out[i] = ids[at:cut]
+            at = cut
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -108,30 +173,50 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
 
 
+class _Numbers(dict):
+    """Numbers its keys as they come."""
+
+    def __missing__(self, key):
+        number = self[key] = len(self)
+        return number
+
+
 class Codec:
     """Encoder and decoder for one rank file and one pattern."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import regex
-        self.ranks, self.find = ranks, regex.compile(pattern).findall
-        self.tokens = {v: k for k, v in ranks.items()}
-        self.known: dict[str, list[int]] = {}
-        self.older: dict[str, list[int]] = {}
-
-    def _ids(self, piece: str) -> list[int]:
-        ids = self.older.get(piece) or merge(piece.encode("utf-8"), self.ranks)
-        if len(piece) <= 64:
-            if len(self.known) >= REMEMBERED:
-                self.known, self.older = {}, self.known
-            self.known[piece] = ids
-        return ids
+        self.merges, self.find = Merges(ranks), regex.compile(pattern).findall
+        self.numbers, self.ids, self.chars = _Numbers(), [], 0
+
+    def encode_all(self, texts: list[str]) -> Iterator[list[int]]:
+        """Ids of each text."""
+        group, size = [], 0
+        for text in texts:
+            group.append(text)
+            size += len(text)
+            if size >= TOGETHER:
+                yield from self._group(group)
+                group, size = [], 0
+        yield from self._group(group)
+
+    def _group(self, texts: list[str]) -> Iterator[list[int]]:
+        if len(self.numbers) > REMEMBERED or self.chars > REMEMBERED_CHARS:
+            self.numbers, self.ids, self.chars = _Numbers(), [], 0
+        number = self.numbers.__getitem__
+        rows = [array("i", map(number, self.find(text))) for text in texts]
+        new = list(self.numbers)[len(self.ids):] if len(self.numbers) > len(self.ids) else []
+        self.chars += sum(map(len, new))
+        self.ids += self.merges.encode([p.encode("utf-8") for p in new])
+        ids = self.ids.__getitem__
+        for row in rows:
+            yield list(chain.from_iterable(map(ids, row)))
 
     def encode(self, text: str) -> list[int]:
-        new = self._ids
-        return list(chain.from_iterable([self.known.get(p) or new(p) for p in self.find(text)]))
+        return next(self.encode_all([text]))
 
     def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+        return b"".join(map(self.merges.tokens.__getitem__, ids))
 
 
 _CODECS: dict[tuple[str, str], Codec] = {}
@@ -150,11 +235,6 @@ def _ship(df: DataFrame, path: str) -> str:
     return path.rsplit("/", 1)[-1]
 
 
-def _pieces(column: pa.Array, rows: int = 64) -> Iterator[list]:
-    for at in range(0, len(column), rows):
-        yield column.slice(at, rows).to_pylist()
-
-
 def encode(df: DataFrame, id_col: str, text_col: str, path: str, pattern: str, with_bytes: bool = False) -> DataFrame:
     """Token ids of every text: ``id_col, ids`` and, if asked for, ``decoded``: the bytes that the ids stand for.
 
@@ -170,16 +250,14 @@ def encode(df: DataFrame, id_col: str, text_col: str, path: str, pattern: str, w
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(name, pattern)
         for batch in batches:
-            at = 0
-            for texts in _pieces(batch.column(1)):
-                ids = [codec.encode(t) for t in texts]
-                columns = [batch.column(0).slice(at, len(texts)), pa.array(ids, pa.list_(pa.int32()))]
-                names = ["id", "ids"]
+            coded, at = codec.encode_all(batch.column(1).to_pylist()), 0
+            while at < batch.num_rows:
+                ids = list(islice(coded, ROWS))
+                columns = [batch.column(0).slice(at, len(ids)), pa.array(ids, pa.list_(pa.int32()))]
                 if with_bytes:
                     columns.append(pa.array([codec.decode(x) for x in ids], pa.binary()))
-                    names.append("decoded")
-                at += len(texts)
-                yield pa.RecordBatch.from_arrays(columns, names)
+                at += len(ids)
+                yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields])
 
     return source.mapInArrow(run, T.StructType(fields)).withColumnRenamed("id", id_col)
 
@@ -193,10 +271,9 @@ def decode(df: DataFrame, id_col: str, ids_col: str, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(name, r"\s+")
         for batch in batches:
-            at = 0
-            for lists in _pieces(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(lists)),
-                                                  pa.array([codec.decode(x or []) for x in lists], pa.binary())], ["id", "decoded"])
-                at += len(lists)
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                texts = [codec.decode(x or []) for x in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.binary())], ["id", "decoded"])
 
     return source.mapInArrow(run, schema).withColumnRenamed("id", id_col)
