@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
@@ -162,21 +163,28 @@ def _branch(left: Tree, right: Tree, a: tuple[int, int], b: tuple[int, int]) ->
 
 
 def _common(a: list[bytes], b: list[bytes]) -> list[tuple[int, int]]:
-    """Places of digests that both lists have exactly once, in an order that rises in both (patience)."""
-    once_a, once_b = Counter(a), Counter(b)
-    there = {d: j for j, d in enumerate(b) if once_b[d] == 1}
-    pairs = [(i, there[d]) for i, d in enumerate(a) if once_a[d] == 1 and d in there]
-    from bisect import bisect_left
+    """Places of equal digests in an order that rises in both: the common head and tail, and between them digests that both have once
+    (patience)."""
+    head = 0
+    while head < min(len(a), len(b)) and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    x, y = a[head:len(a) - tail], b[head:len(b) - tail]
+    once_x, once_y = Counter(x), Counter(y)
+    there = {d: j for j, d in enumerate(y) if once_y[d] == 1}
+    pairs = [(i, there[d]) for i, d in enumerate(x) if once_x[d] == 1 and d in there]
     tails, at, back = [], [], []
     for k, (_, j) in enumerate(pairs):
         t = bisect_left(tails, j)
         tails[t:t + 1], at[t:t + 1] = [j], [k]
         back.append(at[t - 1] if t else -1)
-    out, k = [], at[-1] if at else -1
+    middle, k = [], at[-1] if at else -1
     while k >= 0:
-        out.append(pairs[k])
+        middle.append((pairs[k][0] + head, pairs[k][1] + head))
         k = back[k]
-    return out[::-1]
+    return [(i, i) for i in range(head)] + middle[::-1] + [(len(a) - k, len(b) - k) for k in range(tail, 0, -1)]
 
 
 def _source(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

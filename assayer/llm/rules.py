@@ -82,8 +82,10 @@ class RuleEnsemble:
         total = F.lit(self.intercept)
         for rule, weight in self.weights:
             total = total + F.when(rule.column(), weight).otherwise(0.0)
-        scored = statistics(df, text_col)
-        return scored.withColumn(name, 1 / (1 + F.exp(-total))).drop(*[f"__{k}" for k in STATISTICS])
+        # the row travels as one value, so that no name of it can clash
+        row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row")
+        scored = statistics(df.select(row, F.col(f"`{text_col}`").alias("__text")), "__text")
+        return scored.select("__row.*", (1 / (1 + F.exp(-total))).alias(name))
 
 
 def fit(sample: DataFrame, seed: int = 7) -> RuleEnsemble:

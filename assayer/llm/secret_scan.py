@@ -122,7 +122,7 @@ def battery(run: str) -> tuple[float, float]:
     terms = {c: -math.log(width * p) for c, p in _WRITING.items()}
     mean = sum(p * terms[c] for c, p in _WRITING.items())
     spread = sum(p * (terms[c] - mean) ** 2 for c, p in _WRITING.items())
-    score = sum(terms[c] for c in (body.lower() if body.isupper() else body))  # shouted words are writing, too
+    score = sum(terms[c] for c in (body.lower() if body.isalpha() and body.isupper() else body))  # shouted words are writing, too
     return p_random, max(normal_tail((score - n * mean) / math.sqrt(n * spread)), 1e-300)
 
 
@@ -265,4 +265,6 @@ def mask(df: DataFrame, id_col: str, text_col: str, mark: str = "[SECRET]") -> D
             texts = pa.array([None if (t := v.as_py()) is None else clean(t) for v in batch.column(place)], pa.string())
             yield pa.RecordBatch.from_arrays([texts if i == place else c for i, c in enumerate(batch.columns)], batch.schema.names)
 
-    return df.mapInArrow(run, df.schema)
+    # columns travel by number, whatever their names are
+    numbered = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return numbered.mapInArrow(run, numbered.schema).toDF(*df.columns)
