@@ -232,9 +232,84 @@ check("v_diff", f"select event_id, round(value - lag(value) over (order by event
     lambda s, d: rounded(V.diff(_gappy(s, d), "value", ["event_id"]).select("event_id", "diff")))
 check("v_diff_by_group", "select event_id, round(value - lag(value, 2) over (partition by user_id order by event_id), 6) + 0 as diff from events")(
     lambda s, d: rounded(V.diff(_events(s, d), "value", ["event_id"], ["user_id"], 2).select("event_id", "diff")))
-check("v_pct_change", f"select event_id, round(value / lag(value) over (partition by event_type order by event_id) - 1, 6) + 0 as pct_change from {GAPPY}")(
-    lambda s, d: rounded(V.pct_change(_gappy(s, d), "value", ["event_id"], ["event_type"]).select("event_id", "pct_change")))
-
+# gaps filled with the last present value of the group; rows without a group key belong to none
+_FILLED = f"""(select *, last_value(value ignore nulls) over (partition by kind order by event_id rows unbounded preceding) as filled from {GAPPY})"""
+_PCT = f"select event_id, case when kind is not null then round(filled / lag(filled) over (partition by kind order by event_id) - 1, 6) + 0 end as pct_change from {_FILLED}"
+_CUM = f"select event_id, case when kind is not null and value is not null then round(sum(value) over (partition by kind order by event_id), 4) end as cumsum from {GAPPY}"
+_COUNT = f"select event_id, case when kind is not null then row_number() over (partition by kind order by ts, event_id) - 1 end as cumcount from {GAPPY}"
+_DIFF = f"select event_id, case when kind is not null then round(value - lag(value) over (partition by kind order by event_id), 6) + 0 end as diff from {GAPPY}"
+_RANK = f"""select event_id, case when value is not null and kind is not null then rank() over (partition by kind order by value nulls last)
+  + (count(*) over (partition by kind, value) - 1) / 2.0 end::double as rank from {GAPPY}"""
+check("v_pct_change_whole", f"""select event_id, round(filled / lag(filled) over (order by event_id) - 1, 6) + 0 as pct_change from
+  (select *, last_value(value ignore nulls) over (order by event_id rows unbounded preceding) as filled from {GAPPY})""")(
+    lambda s, d: rounded(V.pct_change(_gappy(s, d), "value", ["event_id"]).select("event_id", "pct_change")))
+# once in one slice per group, once in slices of 200 rows, as large tables have them
+for _suffix, _rows in (("", 1_000_000), ("_sliced", 200)):
+    check(f"v_pct_change{_suffix}", _PCT)(lambda s, d, n=_rows: rounded(
+        V.pct_change(_gappy(s, d), "value", ["event_id"], ["kind"], rows_per_slice=n).select("event_id", "pct_change")))
+    check(f"v_cumsum_gappy{_suffix}", _CUM)(lambda s, d, n=_rows: rounded(
+        V.cumsum(_gappy(s, d), "value", ["event_id"], ["kind"], rows_per_slice=n).select("event_id", "cumsum"), 4))
+    check(f"v_cumcount_gappy{_suffix}", _COUNT)(lambda s, d, n=_rows: V.cumcount(
+        _gappy(s, d), ["ts", "event_id"], ["kind"], rows_per_slice=n).select("event_id", "cumcount"))
+    check(f"v_diff_gappy{_suffix}", _DIFF)(lambda s, d, n=_rows: rounded(
+        V.diff(_gappy(s, d), "value", ["event_id"], ["kind"], rows_per_slice=n).select("event_id", "diff")))
+    check(f"v_rank_gappy{_suffix}", _RANK)(lambda s, d, n=_rows: V.rank(
+        _gappy(s, d), "value", ["kind"], rows_per_slice=n).select("event_id", F.col("rank").cast("double")))
+# an order of texts that all begin alike
+check("v_cumcount_text_sliced", "select c_custkey, row_number() over (order by c_name) - 1 as cumcount from customer")(
+    lambda s, d: V.cumcount(table(s, d, "customer").select("c_custkey", "c_name"), ["c_name"], rows_per_slice=100).select("c_custkey", "cumcount"))
+check("v_rank_min_down", f"select event_id, case when value is not null then rank() over (order by value desc nulls last) end::double as rank from {GAPPY}")(
+    lambda s, d: V.rank(_gappy(s, d), "value", method="min", ascending=False).select("event_id", "rank"))
+check("v_rank_max_pct", f"""select event_id, case when value is not null then round((rank() over (order by value nulls last) + count(*) over (partition by value) - 1)
+  / (select count(value) from {GAPPY}), 9) end::double as rank from {GAPPY}""")(
+    lambda s, d: rounded(V.rank(_gappy(s, d), "value", method="max", pct=True).select("event_id", "rank"), 9))
+_SPARSE = f"(select kind, event_id, case when kind <> 'click' then value end as v, user_id from {GAPPY})"
+
+
+def _sparse(s, d):
+    return _gappy(s, d).withColumn("v", F.when(F.col("kind") != "click", F.col("value"))).select("kind", "event_id", "v", "user_id")
+
+
+check("v_median_only", f"select kind, round(quantile_cont(v, 0.5), 6) as median from {_SPARSE} where kind is not null group by kind")(
+    lambda s, d: rounded(V.aggregate(_sparse(s, d), ["kind"], {"median": ("v", "median")})))
+check("v_two_medians", f"select kind, round(quantile_cont(v, 0.5), 6) as a, round(quantile_cont(user_id, 0.5), 6) as b from {_SPARSE} where kind is not null group by kind")(
+    lambda s, d: rounded(V.aggregate(_sparse(s, d), ["kind"], {"a": ("v", "median"), "b": ("user_id", "median")})))
+check("v_idx_text_key", "select c_mktsegment, first(c_name order by c_acctbal desc, c_name) as idxmax, first(c_name order by c_acctbal, c_name) as idxmin from customer group by 1")(
+    lambda s, d: V.index_of_extreme(table(s, d, "customer"), "c_acctbal", "c_name", ["c_mktsegment"]))
+check("v_idx_null_group", f"""select kind, first(event_id order by value desc, event_id) as idxmax, first(event_id order by value, event_id) as idxmin
+  from {GAPPY} where kind is not null and value is not null group by kind""")(
+    lambda s, d: V.index_of_extreme(_gappy(s, d), "value", "event_id", ["kind"]))
+_PLACE = "select event_id, kind from (select *, row_number() over (partition by kind order by {}) as rn from " + GAPPY + " where kind is not null {}) where rn <= 3"
+check("v_group_head", _PLACE.format("event_id", ""))(lambda s, d: V.group_head(_gappy(s, d), ["kind"], ["event_id"], 3).select("event_id", "kind"))
+check("v_group_tail", _PLACE.format("event_id desc", ""))(lambda s, d: V.group_tail(_gappy(s, d), ["kind"], ["event_id"], 3).select("event_id", "kind"))
+check("v_group_nlargest", _PLACE.format("value desc, event_id", "and value is not null"))(
+    lambda s, d: V.group_nlargest(_gappy(s, d), ["kind"], "value", ["event_id"], 3).select("event_id", "kind"))
+check("v_group_nsmallest", _PLACE.format("value, event_id", "and value is not null"))(
+    lambda s, d: V.group_nsmallest(_gappy(s, d), ["kind"], "value", ["event_id"], 3).select("event_id", "kind"))
+check("v_group_value_counts", "select o_orderstatus, o_orderpriority as value, count(*) as count from orders group by 1, 2")(
+    lambda s, d: V.group_value_counts(_orders(s, d), ["o_orderstatus"], "o_orderpriority"))
+check("v_group_describe", f"""select kind, count(v) as count, round(avg(v), 4) as mean, round(stddev_samp(v), 4) as std, min(v) as min, round(quantile_cont(v, 0.25), 4) as "25%",
+  round(quantile_cont(v, 0.5), 4) as "50%", round(quantile_cont(v, 0.75), 4) as "75%", max(v) as max from {_SPARSE} where kind is not null group by kind""")(
+    lambda s, d: rounded(V.group_describe(_sparse(s, d), ["kind"], "v"), 4))
+check("v_describe_other", f"""select 'kind' as column, count(kind) as count, count(distinct kind) as unique, (select kind from {GAPPY} where kind is not null group by 1 order by count(*) desc, 1 limit 1) as top,
+    (select count(*) from {GAPPY} where kind is not null group by kind order by 1 desc limit 1) as freq from {GAPPY}
+  union all select 'event_type', count(event_type), count(distinct event_type), (select event_type from events group by 1 order by count(*) desc, 1 limit 1),
+    (select count(*) from events group by event_type order by 1 desc limit 1) from events""")(
+    lambda s, d: V.describe_other(_gappy(s, d), ["kind", "event_type"]))
+check("v_value_counts_normalize", f"select kind as value, round(count(*) / (select count(kind) from {GAPPY}), 9)::double as proportion from {GAPPY} where kind is not null group by 1")(
+    lambda s, d: rounded(V.value_counts(_gappy(s, d), "kind", normalize=True), 9))
+check("v_drop_duplicates_last", "select user_id, event_type, event_id from (select *, row_number() over (partition by user_id, event_type order by event_id desc) as rn from events) where rn = 1")(
+    lambda s, d: V.drop_duplicates(_events(s, d).select("user_id", "event_type", "event_id"), ["user_id", "event_type"], ["event_id"], "last"))
+check("v_drop_duplicates_none", f"select event_id, user_id, kind from (select *, count(*) over (partition by user_id, kind) as n from {GAPPY}) where n = 1")(
+    lambda s, d: V.drop_duplicates(_gappy(s, d), ["user_id", "kind"], ["event_id"], False).select("event_id", "user_id", "kind"))
+check("v_corr_spearman", """select 'l_quantity' as column, 1.0::double as l_quantity, round(corr(a, b), 6) + 0 as l_extendedprice from r union all select 'l_extendedprice', round(corr(a, b), 6) + 0, 1.0 from r"""
+      .replace("from r", """from (select rank() over (order by l_quantity) + (count(*) over (partition by l_quantity) - 1) / 2.0 as a,
+        rank() over (order by l_extendedprice) + (count(*) over (partition by l_extendedprice) - 1) / 2.0 as b from lineitem)"""))(
+    lambda s, d: rounded(V.corr(table(s, d, "lineitem"), ["l_quantity", "l_extendedprice"], "spearman", decimals=None)))
+check("v_text_functions", "select p_partkey, lower(p_name) as low, upper(p_name) as up, starts_with(p_name, 'a') as starts, ends_with(p_name, 'e') as ends, abs(p_size - 25) as off from part")(
+    lambda s, d: _part(s, d).select("p_partkey", V.lower(F.col("p_name")).alias("low"), V.upper(F.col("p_name")).alias("up"),
+                                    V.startswith(F.col("p_name"), "a").alias("starts"), V.endswith(F.col("p_name"), "e").alias("ends"),
+                                    V.abs_(F.col("p_size") - 25).alias("off")))
 # --- sorting
 check("v_sort_values", f"select event_id, value from {GAPPY} order by value desc nulls last, event_id")(
     lambda s, d: V.sort_values(_gappy(s, d).select("event_id", "value"), ["value", "event_id"], [False, True]))

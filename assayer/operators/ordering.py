@@ -8,6 +8,7 @@ changes the work per task but never the result.
 from __future__ import annotations
 
 import math
+import os
 import sys
 
 from pyspark.ml.feature import Bucketizer
@@ -21,12 +22,28 @@ from ..session import materialise
 from ..sources.tables import quoted
 
 ROWS_PER_SLICE = 1_000_000
-MAX_SLICES = 8192
+MAX_SLICES = 65_536
 _SLICE, _KEY = "_slice", "_slice_key"
 _MAX = sys.float_info.max
 
 
-def _as_double(df: DataFrame, name: str) -> Column:
+class Bounds(list):
+    """Inner boundaries of slices; of a text column they regard the letters after those that all values share."""
+
+    def __init__(self, points=(), shared: int = 0):
+        super().__init__(points)
+        self.shared = shared
+
+
+def _shared_letters(df: DataFrame, name: str) -> int:
+    """Length of the prefix that all values of a text column have: that of its least and its greatest one."""
+    if not isinstance(df.schema[name].dataType, T.StringType):
+        return 0
+    low, high = df.agg(F.min(quoted(name)), F.max(quoted(name))).first()
+    return len(os.path.commonprefix([low or "", high or ""]))
+
+
+def _as_double(df: DataFrame, name: str, shared: int = 0) -> Column:
     """A double that never decreases as the column grows."""
     t = df.schema[name].dataType
     c = quoted(name)
@@ -40,29 +57,30 @@ def _as_double(df: DataFrame, name: str) -> Column:
         return F.unix_micros(c.cast("timestamp")).cast("double")
     if isinstance(t, T.StringType):
         # leading bytes as a number keep the byte order of strings
-        head = F.rpad(F.hex(F.encode(F.substring(c, 1, 6), "utf-8")), 12, "0")
+        head = F.rpad(F.hex(F.encode(F.substring(c, shared + 1, 6), "utf-8")), 12, "0")
         return F.conv(F.substring(head, 1, 12), 16, 10).cast("double")
     raise TypeError(f"{name}: cannot order by {t.simpleString()}")
 
 
-def slice_bounds(df: DataFrame, order: str, rows_per_slice: int = ROWS_PER_SLICE) -> list[float]:
+def slice_bounds(df: DataFrame, order: str, rows_per_slice: int = ROWS_PER_SLICE) -> Bounds:
     """Inner boundaries that cut the column into slices of about equal row count."""
-    key = _as_double(df, order)
     n = df.count()
     slices = min(MAX_SLICES, math.ceil(n / rows_per_slice))
     if slices <= 1:
         # the whole input fits one slice, so plain windows do
-        return []
+        return Bounds()
+    shared = _shared_letters(df, order)
+    key = _as_double(df, order, shared)
     points = [i / slices for i in range(1, slices)]
     found = df.select(key.alias(_KEY)).where(~F.isnan(_KEY)) \
         .agg(F.percentile_approx(_KEY, points, max(10_000, 4 * slices))).first()[0]
-    return sorted(set(found or []))
+    return Bounds(sorted(set(found or [])), shared)
 
 
-def with_slice(df: DataFrame, order: str, bounds: list[float]) -> DataFrame:
+def with_slice(df: DataFrame, order: str, bounds: Bounds) -> DataFrame:
     if not bounds:
         return df.withColumn(_SLICE, F.lit(0))
-    keyed = df.withColumn(_KEY, _as_double(df, order))
+    keyed = df.withColumn(_KEY, _as_double(df, order, bounds.shared))
     cut = Bucketizer(splits=[-math.inf, *bounds, math.inf], inputCol=_KEY, outputCol=_SLICE, handleInvalid="keep")
     return cut.transform(keyed).withColumn(_SLICE, F.col(_SLICE).cast("int")).drop(_KEY)
 
@@ -155,6 +173,23 @@ def lagged(df: DataFrame, value: str, order_by: list[str], by: list[str] = (), p
             .drop(_SLICE, "_carry", "_at", "_near"))
 
 
+def last_present(df: DataFrame, value: str, order_by: list[str], by: list[str] = (), out: str = "filled",
+                 rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+    """The value, or the last present one before it in the group."""
+    by, v = list(by), quoted(value)
+    bounds = slice_bounds(df, order_by[0], rows_per_slice)
+    if not bounds:
+        w = W.partitionBy(*(by or [F.lit(0)])).orderBy(*order_by).rowsBetween(W.unboundedPreceding, W.currentRow)
+        return df.withColumn(out, F.last(v, ignorenulls=True).over(w))
+    sliced = with_slice(df, order_by[0], bounds)
+    inside = W.partitionBy(*by, _SLICE).orderBy(*order_by).rowsBetween(W.unboundedPreceding, W.currentRow)
+    earlier = W.partitionBy(*(by or [F.lit(0)])).orderBy(_SLICE).rowsBetween(W.unboundedPreceding, -1)
+    place = F.when(v.isNotNull(), F.struct(*[quoted(o) for o in order_by]))
+    joined = _with_carry(sliced, by, [F.max_by(v, place).alias("_last")],
+                         [F.last("_last", ignorenulls=True).over(earlier).alias("_before")])
+    return joined.withColumn(out, F.coalesce(F.last(v, ignorenulls=True).over(inside), F.col("_before"))).drop(_SLICE, "_before")
+
+
 def ladder(df: DataFrame, value: str, by: list[str] = (), rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """Distinct values per group with their count ``n``, rows ``before`` them and group ``total``.
 
@@ -208,6 +243,20 @@ def average_rank(df: DataFrame, value: str, by: list[str] = (), out: str = "rank
     return lookup(df, steps, [*by, value], rows_per_slice).drop("n")
 
 
+def ranked(df: DataFrame, value: str, by: list[str] = (), out: str = "rank", method: str = "average", ascending: bool = True,
+           pct: bool = False, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+    """Rank in either direction; ties share their average, least or greatest place."""
+    by = list(by)
+    steps = ladder(df, value, by, rows_per_slice)
+    n, total = F.col("n"), F.col("total")
+    before = F.col("before") if ascending else total - F.col("before") - n
+    place = {"average": before + (n + 1) / 2, "min": before + 1, "max": before + n}[method]
+    if pct:
+        place = place / total
+    steps = steps.select(*by, value, "n", place.cast("double").alias(out))
+    return lookup(df, steps, [*by, value], rows_per_slice).drop("n")
+
+
 def _pick(probs: list[float], value: str) -> list[Column]:
     """Interpolated quantiles of a ladder, as aggregates."""
     v, before, n = quoted(value).cast("double"), F.col("before"), F.col("n")

@@ -5,6 +5,7 @@ Aggregates skip nulls, group keys drop null keys and come out sorted, nulls sort
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,7 +16,6 @@ from ..sources.tables import quoted
 from . import ordering, stats
 
 MAX_RESULT_ROWS = 1_000
-INLINE_LIST = 1_000
 
 
 # --- projection and filters -------------------------------------------------------------------------------
@@ -34,6 +34,7 @@ def mask(condition: Column) -> Column:
 
 
 def query(df: DataFrame, text: str) -> DataFrame:
+    """Rows where a condition in Spark SQL holds, such as ``region in ('N', 'S') and amount > 5``."""
     return where(df, F.expr(text))
 
 
@@ -117,10 +118,20 @@ def sample(df: DataFrame, key: str, n: int | None = None, frac: float | None = N
     return df.orderBy(h, quoted(key)).limit(n)
 
 
-def drop_duplicates(df: DataFrame, subset: list[str], order_by: list[str]) -> DataFrame:
-    """First row of each key in the given order; map tasks send one candidate per key."""
-    from pyspark.sql import Window as W
-    w = W.partitionBy(*subset).orderBy(*order_by)
+def drop_duplicates(df: DataFrame, subset: list[str], order_by: list[str], keep: str | bool = "first") -> DataFrame:
+    """First or last row of each key in the given order, or (``keep=False``) only rows whose key is unique.
+
+    Map tasks send one candidate per key, or one count.
+    """
+    if keep is False:
+        # null keys are equal to each other
+        counts = df.groupBy(*[quoted(c).alias(f"_k{i}") for i, c in enumerate(subset)]).agg(F.count("*").alias("_n")).where("_n = 1")
+        on = F.lit(True)
+        for i, c in enumerate(subset):
+            on = on & quoted(c).eqNullSafe(F.col(f"_k{i}"))
+        return df.join(counts, on, "left_semi")
+    order = [F.desc(c) if keep == "last" else F.asc(c) for c in order_by]
+    w = W.partitionBy(*subset).orderBy(*order)
     return df.withColumn("_place", F.row_number().over(w)).where("_place = 1").drop("_place")
 
 
@@ -148,7 +159,14 @@ def transpose(df: DataFrame, key: str, limit: int = MAX_RESULT_ROWS) -> DataFram
     """Rows become columns; only results of at most ``limit`` rows can be turned."""
     if df.limit(limit + 1).count() > limit:
         raise ValueError(f"transpose needs at most {limit} rows")
-    return df.transpose(quoted(key))
+    # Spark turns 500 rows unless told otherwise
+    conf, name = df.sparkSession.conf, "spark.sql.transposeMaxValues"
+    before = conf.get(name)
+    conf.set(name, str(max(limit, int(before))))
+    try:
+        return df.transpose(quoted(key))
+    finally:
+        conf.set(name, before)
 
 
 # --- aggregation ------------------------------------------------------------------------------------------
@@ -184,10 +202,10 @@ def aggregate(df: DataFrame, keys: list[str], named: dict[str, tuple[str, str]])
             literal.update({n: F.lit(found[p]).cast("double").alias(n) for n, p in probs.items()})
         aggs = [simple[n] if n in simple else F.max(literal[n]).alias(n) for n in named]
         return rows.agg(*aggs)
-    out = rows.groupBy(*[quoted(k) for k in keys]).agg(*simple.values()) if simple else None
+    # every group stays, also one without a value
+    out = rows.groupBy(*[quoted(k) for k in keys]).agg(F.count("*").alias("_rows"), *simple.values())
     for c, probs in ordered.items():
-        part = ordering.grouped_quantiles(rows, c, keys, probs)
-        out = part if out is None else out.join(part, keys, "left")
+        out = out.join(ordering.grouped_quantiles(rows, c, keys, probs), keys, "left")
     return out.select(*keys, *named).orderBy(*keys)
 
 
@@ -200,12 +218,60 @@ def group_first_last(df: DataFrame, keys: list[str], value: str, order_by: str)
 
 
 def index_of_extreme(df: DataFrame, value: str, key: str, by: list[str] = ()) -> DataFrame:
-    """Row key of the largest and the smallest value; ties go to the smallest key."""
-    v, k = quoted(value), quoted(key)
-    present = df.where(v.isNotNull())
-    agg = [F.max(F.struct(v.alias("v"), (-k).alias("k"))).alias("hi"), F.min(F.struct(v.alias("v"), k.alias("k"))).alias("lo")]
-    found = present.groupBy(*by).agg(*agg) if by else present.agg(*agg)
-    return found.select(*by, (-F.col("hi.k")).alias("idxmax"), F.col("lo.k").alias("idxmin"))
+    """Row key of the largest and the smallest value, a key of any type; ties go to the smallest key, null groups are left out."""
+    v, by = quoted(value), list(by)
+    present = df.where(v.isNotNull()).dropna("any", subset=by) if by else df.where(v.isNotNull())
+    # one key per value first, so that the extremes have no ties
+    steps = present.groupBy(*[quoted(b) for b in by], v.alias("_v")).agg(F.min(quoted(key)).alias("_k"))
+    agg = [F.max_by("_k", "_v").alias("idxmax"), F.min_by("_k", "_v").alias("idxmin")]
+    return steps.groupBy(*[quoted(b) for b in by]).agg(*agg) if by else steps.agg(*agg)
+
+
+# --- rows and counts of groups ----------------------------------------------------------------------------
+def _group_rows(df: DataFrame, by: list[str], order: list[Column], n: int, out: str) -> DataFrame:
+    """First ``n`` rows of each group; the limit is applied in the map tasks, rows of null groups are left out."""
+    w = W.partitionBy(*[quoted(b) for b in by]).orderBy(*order)
+    return df.dropna("any", subset=by).withColumn(out, F.row_number().over(w)).where(F.col(out) <= n).drop(out)
+
+
+def group_head(df: DataFrame, by: list[str], order_by: list[str], n: int = 5) -> DataFrame:
+    return _group_rows(df, by, [F.asc(c) for c in order_by], n, "_place")
+
+
+def group_tail(df: DataFrame, by: list[str], order_by: list[str], n: int = 5) -> DataFrame:
+    return _group_rows(df, by, [F.desc(c) for c in order_by], n, "_place")
+
+
+def group_nlargest(df: DataFrame, by: list[str], value: str, order_by: list[str], n: int = 5) -> DataFrame:
+    return _group_rows(df.where(quoted(value).isNotNull()), by, [quoted(value).desc(), *[F.asc(c) for c in order_by]], n, "_place")
+
+
+def group_nsmallest(df: DataFrame, by: list[str], value: str, order_by: list[str], n: int = 5) -> DataFrame:
+    return _group_rows(df.where(quoted(value).isNotNull()), by, [quoted(value).asc(), *[F.asc(c) for c in order_by]], n, "_place")
+
+
+def group_value_counts(df: DataFrame, by: list[str], name: str) -> DataFrame:
+    counts = df.dropna("any", subset=[*by, name]).groupBy(*[quoted(b) for b in by], quoted(name).alias("value")).agg(F.count("*").alias("count"))
+    return counts.orderBy(*by, F.desc("count"), "value")
+
+
+def group_describe(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """count, mean, std, min, quartiles, max of a value per group."""
+    named = {"count": "count", "mean": "mean", "std": "std", "min": "min", "25%": "quantile:0.25", "50%": "median", "75%": "quantile:0.75", "max": "max"}
+    return aggregate(df, by, {k: (value, fn) for k, fn in named.items()})
+
+
+def describe_other(df: DataFrame, cols: list[str]) -> DataFrame:
+    """count, unique, top and freq of text, boolean and date columns, one row per column; of equally frequent values the smallest is on top.
+
+    Values are counted once for all columns, with a partial count in every task.
+    """
+    cells = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"), quoted(c).cast("string").alias("value")) for i, c in enumerate(cols)])
+    counts = df.select(F.inline(cells)).groupBy("position", "column", "value").agg(F.count("*").alias("n"))
+    top = F.min(F.when(F.col("value").isNotNull(), F.struct((-F.col("n")).alias("n"), F.col("value"))))
+    return counts.groupBy("position", "column").agg(
+        F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)).alias("count"), F.count("value").alias("unique"),
+        top["value"].alias("top"), (-top["n"]).alias("freq")).orderBy("position").drop("position")
 
 
 def describe(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -226,10 +292,14 @@ def describe(df: DataFrame, cols: list[str]) -> DataFrame:
     return std.select(F.inline(F.array(*rows))).orderBy("position").drop("position")
 
 
-def value_counts(df: DataFrame, name: str) -> DataFrame:
+def value_counts(df: DataFrame, name: str, normalize: bool = False) -> DataFrame:
+    """Counts of present values, or their shares."""
     c = quoted(name)
-    return (df.where(c.isNotNull()).groupBy(c.alias("value")).agg(F.count("*").alias("count"))
-            .orderBy(F.desc("count"), "value"))
+    counts = df.where(c.isNotNull()).groupBy(c.alias("value")).agg(F.count("*").alias("count"))
+    if not normalize:
+        return counts.orderBy(F.desc("count"), "value")
+    total = F.broadcast(counts.agg(F.sum("count").alias("_all")))  # one row
+    return counts.crossJoin(total).select("value", (F.col("count") / F.col("_all")).alias("proportion")).orderBy(F.desc("proportion"), "value")
 
 
 def unique(df: DataFrame, name: str, order_by: str) -> DataFrame:
@@ -244,25 +314,58 @@ def mode(df: DataFrame, name: str) -> DataFrame:
     return counts.join(F.broadcast(top), "n").select("mode").orderBy("mode")
 
 
-corr = stats.correlation_matrix
+def corr(df: DataFrame, cols: list[str], method: str = "pearson", **options) -> DataFrame:
+    """Correlations of columns as a matrix; Spearman's ranks each column over its present values."""
+    if method == "pearson":
+        return stats.correlation_matrix(df, cols, **options)
+    if method != "spearman":
+        raise ValueError(f"unknown method {method}")
+    ranked = df
+    for i, c in enumerate(cols):
+        ranked = ordering.average_rank(ranked, c, out=f"_r{i}")
+    return stats.correlation_matrix(ranked.select(*[F.col(f"_r{i}").alias(c) for i, c in enumerate(cols)]), cols, **options)
+
+
 cov = stats.covariance_matrix
 
 
 # --- window-like ------------------------------------------------------------------------------------------
-rank = ordering.average_rank
-cumsum = ordering.running_sum
-cumcount = ordering.running_count
+def _of_groups(df: DataFrame, by: list[str], out: str) -> DataFrame:
+    """Rows without a group key belong to no group and get no value."""
+    known = F.lit(True)
+    for b in by:
+        known = known & quoted(b).isNotNull()
+    return df.withColumn(out, F.when(known, F.col(out))) if by else df
+
+
+def rank(df: DataFrame, value: str, by: list[str] = (), out: str = "rank", method: str = "average", ascending: bool = True,
+         pct: bool = False, rows_per_slice: int = ordering.ROWS_PER_SLICE) -> DataFrame:
+    """Rank of present values; ``method`` average, min or max says what ties share."""
+    return _of_groups(ordering.ranked(df, value, by, out, method, ascending, pct, rows_per_slice), by, out)
 
 
-def diff(df: DataFrame, value: str, order_by: list[str], by: list[str] = (), periods: int = 1, out: str = "diff") -> DataFrame:
-    moved = ordering.lagged(df, value, order_by, by, periods, "_lag")
-    return moved.withColumn(out, quoted(value) - F.col("_lag")).drop("_lag")
+def cumsum(df: DataFrame, value: str, order_by: list[str], by: list[str] = (), out: str = "cumsum",
+           rows_per_slice: int = ordering.ROWS_PER_SLICE) -> DataFrame:
+    return _of_groups(ordering.running_sum(df, value, order_by, by, out, rows_per_slice), by, out)
+
+
+def cumcount(df: DataFrame, order_by: list[str], by: list[str] = (), out: str = "cumcount",
+             rows_per_slice: int = ordering.ROWS_PER_SLICE) -> DataFrame:
+    return _of_groups(ordering.running_count(df, order_by, by, out, rows_per_slice), by, out)
+
+
+def diff(df: DataFrame, value: str, order_by: list[str], by: list[str] = (), periods: int = 1, out: str = "diff",
+         rows_per_slice: int = ordering.ROWS_PER_SLICE) -> DataFrame:
+    moved = ordering.lagged(df, value, order_by, by, periods, "_lag", rows_per_slice)
+    return _of_groups(moved.withColumn(out, quoted(value) - F.col("_lag")).drop("_lag"), by, out)
 
 
 def pct_change(df: DataFrame, value: str, order_by: list[str], by: list[str] = (), periods: int = 1,
-               out: str = "pct_change") -> DataFrame:
-    moved = ordering.lagged(df, value, order_by, by, periods, "_lag")
-    return moved.withColumn(out, divide(quoted(value), F.col("_lag")) - 1).drop("_lag")
+               out: str = "pct_change", rows_per_slice: int = ordering.ROWS_PER_SLICE) -> DataFrame:
+    """Relative change against an earlier row; a gap counts as the last present value before it."""
+    filled = ordering.last_present(df, value, order_by, by, "_filled", rows_per_slice)
+    moved = ordering.lagged(filled, "_filled", order_by, by, periods, "_lag", rows_per_slice)
+    return _of_groups(moved.withColumn(out, divide(F.col("_filled"), F.col("_lag")) - 1).drop("_lag", "_filled"), by, out)
 
 
 # --- sorting ----------------------------------------------------------------------------------------------
@@ -300,6 +403,26 @@ def str_len(c: Column) -> Column:
     return F.char_length(c)
 
 
+def abs_(c: Column) -> Column:
+    return F.abs(c)
+
+
+def lower(c: Column) -> Column:
+    return F.lower(c)
+
+
+def upper(c: Column) -> Column:
+    return F.upper(c)
+
+
+def startswith(c: Column, prefix: str) -> Column:
+    return c.startswith(prefix)
+
+
+def endswith(c: Column, suffix: str) -> Column:
+    return c.endswith(suffix)
+
+
 strip = strip_text
 
 
