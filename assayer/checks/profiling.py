@@ -177,6 +177,16 @@ def read_dirty(s, d):
     return C.na_to_null(dirty(s, d))
 
 
+@check("roles_long_numbers", """select * from (values ('long_number', 'numeric'), ('long_day', 'datetime'), ('long_text', 'text')) t("column", role)""")
+def _(s, d):
+    k = F.col("o_orderkey").cast("string")
+    df = table(s, d, "orders").select(
+        F.concat(F.lit("0."), F.lpad(k, 80, "7")).alias("long_number"),
+        F.concat(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss."), F.lpad(k, 60, "0"), F.lit("Z")).alias("long_day"),
+        F.concat(F.lpad(k, 80, "7"), F.lit(" pieces")).alias("long_text"), F.col("o_orderkey").alias(ROW_ID))
+    return roles_of(df).select("column", "role")
+
+
 @check("roles_dirty_orders", """select * from (values ('order_code', 'id'), ('price', 'numeric'), ('status', 'categorical'), ('paid', 'boolean'),
   ('day', 'datetime'), ('note', 'categorical'), ('priority', 'categorical'), ('customer', 'numeric')) v("column", role) where (select count(*) from orders) > 0""")
 def _(s, d):

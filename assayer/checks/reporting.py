@@ -85,7 +85,8 @@ GAP_COUNTERS = counters_sql(GAPS, ["p_brand", "p_type", "p_size", "p_name"])
 check("findings_table", f"""select 1 as rule, 0::bigint as pos, 'data_quality' as category, case when missing_cell_pct > 20 then 'critical' when missing_cell_pct > 5 then 'warning' else 'info' end as severity,
     missing_cell_pct || '% of cells are missing' as title, rows_with_missing || ' of ' || row_count || ' rows have at least one missing value.' as evidence from ({GAP_COUNTERS}) where missing_cell_pct > 0
   union all select 3, 0, 'data_quality', case when duplicate_rows / row_count > 0.01 then 'warning' else 'info' end, duplicate_rows || ' duplicate rows detected', 'Exact full-row duplicates.'
-    from ({GAP_COUNTERS}) where duplicate_rows > 0""")(lambda s, d: I.about_table(P.profile_table(gaps(s, d))))
+    from ({GAP_COUNTERS}) where duplicate_rows > 0""")(
+    lambda s, d: I.about_table(P.profile_table(gaps(s, d))).withColumn("pos", F.col("pos")[0].cast("bigint")))
 check("findings_missing_advice", f"""with c as ({' union all '.join(f"select {i} as ordinal, '{c}' as name, round(100 * (1 - count({c}) / count(*)), 2) as null_pct from {CLEAN}" for i, c in enumerate(
     ["order_code", "price", "status", "paid", "day", "note", "priority", "customer"]))})
   select 'Address missingness in ''' || name || '''' as title, null_pct || '% missing — consider imputation, a ''missing'' category, or dropping the column.' as detail,

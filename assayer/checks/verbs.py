@@ -366,6 +366,20 @@ check("v_to_numeric", "select event_id, try_cast(txt as double) as number from (
 check("v_to_datetime", "select event_id, case when event_id % 5 <> 0 then date_trunc('second', ts) end as moment from events")(
     lambda s, d: _events(s, d).select("event_id", V.to_datetime(F.when(F.col("event_id") % 5 == 0, F.col("event_type")).otherwise(
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))).cast("timestamp_ntz").alias("moment")))
+# each row written in one of twelve layouts, by event_id, with the seconds that the layout keeps
+_LAYOUTS = [("M/d/yyyy h:mm a", 60), ("yyyy-MM-dd h:mm a", 60), ("MM/dd/yy", 86400), ("yyyy.MM.dd", 86400), ("yyyy/MM/dd HH:mm", 60),
+            ("dd-MMM-yyyy HH:mm:ss", 1), ("d MMM yyyy HH:mm", 60), ("MMM d yyyy HH:mm", 60), ("EEE, dd MMM yyyy HH:mm:ss 'GMT'", 1),
+            ("yyyy-MM-dd'T'HH:mm:ss'+02:00'", 1), ("MMMM d, yyyy", 86400), ("yyyyMMdd'T'HHmmss", 1)]
+
+
+@check("v_to_datetime_layouts", "select event_id, (epoch(ts)::bigint // k) * k - case when event_id % 12 = 9 then 7200 else 0 end as seconds from (select event_id, ts, "
+       "[60, 60, 86400, 86400, 60, 1, 60, 60, 1, 1, 86400, 1][(event_id % 12 + 1)::int] as k from (select event_id, date_trunc('second', ts) as ts from events))")
+def _(s, d):
+    e = _events(s, d)
+    written = F.coalesce(*[F.when(F.col("event_id") % 12 == k, F.date_format("ts", layout)) for k, (layout, _) in enumerate(_LAYOUTS)])
+    return e.select("event_id", F.unix_seconds(V.to_datetime(written)).alias("seconds"))
+
+
 check("v_named_agg", "select event_type, round(avg(value), 6) as average, count(distinct user_id) as users from events group by 1")(
     lambda s, d: rounded(V.aggregate(_events(s, d), ["event_type"], {"average": ("value", "mean"), "users": ("user_id", "nunique")})))
 check("v_log_sqrt", f"select event_id, round(ln(value), 9) + 0 as log, round(ln(1 + value), 9) + 0 as log1p, round(sqrt(value), 9) as sqrt from {GAPPY}")(

@@ -19,25 +19,31 @@ BOOLEAN_VOCABULARIES = [
 TRUE_TOKENS = ["true", "yes", "y", "t", "1", "1.0"]
 FALSE_TOKENS = ["false", "no", "n", "f", "0", "0.0"]
 
-# fixed values: the accepted date layouts as (guard, Spark pattern); month comes before day when ambiguous
-DATE_LAYOUTS = [
+# fixed values: the accepted layouts of a day as (guard, Spark pattern); month comes before day when ambiguous
+DAY_LAYOUTS = [
     (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
     (r"^\d{1,2}/\d{1,2}/\d{4}$", "d/M/yyyy"),
-    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}$", "M/d/yyyy H:mm"),
-    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2}$", "M/d/yyyy H:mm:ss"),
+    (r"^\d{1,2}/\d{1,2}/\d{2}$", "M/d/yy"),
+    (r"^\d{1,2}/\d{1,2}/\d{2}$", "d/M/yy"),
     (r"^\d{1,2}-\d{1,2}-\d{4}$", "M-d-yyyy"),
     (r"^\d{1,2}-\d{1,2}-\d{4}$", "d-M-yyyy"),
     (r"^\d{1,2}\.\d{1,2}\.\d{4}$", "M.d.yyyy"),
     (r"^\d{1,2}\.\d{1,2}\.\d{4}$", "d.M.yyyy"),
     (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"),
-    (r"^\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d{2}:\d{2}$", "yyyy/M/d H:mm:ss"),
+    (r"^\d{4}\.\d{1,2}\.\d{1,2}$", "yyyy.M.d"),
+    (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"),
     (r"^\d{8}$", "yyyyMMdd"),
-    (r"^\d{8}T\d{6}$", "yyyyMMdd'T'HHmmss"),
     (r"^\d{1,2}[ -][A-Za-z]{3}[ -]\d{4}$", "d MMM yyyy"),
     (r"^\d{1,2} [A-Za-z]{4,9} \d{4}$", "d MMMM yyyy"),
     (r"^[A-Za-z]{3} \d{1,2},? \d{4}$", "MMM d yyyy"),
     (r"^[A-Za-z]{4,9} \d{1,2},? \d{4}$", "MMMM d yyyy"),
 ]
+# fixed value: two-digit years from here on belong to the last century
+_CENTURY = 2070
+_WEEKDAY = r"(?i)^(mon|tue|wed|thu|fri|sat|sun)[a-z]*,? +"
+# a time of day after the day, with an optional half of the day and zone
+_CLOCK = (r"(?i)(?:(?<=\d)T| +)(\d{1,2}):(\d{2})(?::(\d{2})(\.\d+)?)?(?: ?([ap])\.?m\.?)?(?: ?(z|utc|gmt|[+-]\d{2}:?\d{2}))?$")
+_COMPACT = r"^\d{8}T\d{6}$"
 _ISO = r"^\d{4}-\d{1,2}(-\d{1,2}([T ]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?( ?(Z|[+-]\d{2}:?\d{2}))?)?)?$"
 _NUMBER = r"(?i)^[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf(inity)?)$"
 
@@ -52,24 +58,61 @@ def parse_number(c: Column) -> Column:
     return F.when(s.rlike(_NUMBER), s.try_cast("double"))
 
 
-def _parse_stripped_datetime(s: Column) -> Column:
+def _day(s: Column) -> Column:
+    """Midnight of a day in one of DAY_LAYOUTS."""
     tidy = F.initcap(F.regexp_replace(F.regexp_replace(s, ",", ""), "(?<=[A-Za-z])-|-(?=[A-Za-z])", " "))
     layouts: dict[str, list[Column]] = {}
-    for guard, layout in DATE_LAYOUTS:
-        layouts.setdefault(guard, []).append(F.try_to_timestamp(tidy if "MMM" in layout else s, F.lit(layout)))
-    parsed = F.when(s.rlike(_ISO), s.try_cast("timestamp"))
-    for guard, attempts in layouts.items():
+    for guard, layout in DAY_LAYOUTS:
+        day = F.try_to_timestamp(tidy if "MMM" in layout else s, F.lit(layout))
+        if layout.endswith("/yy"):
+            day = F.when(F.year(day) >= _CENTURY, day - F.expr("interval 100 years")).otherwise(day)
+        layouts.setdefault(guard, []).append(day)
+    (first, attempts), *others = layouts.items()
+    parsed = F.when(s.rlike(first), F.coalesce(*attempts))
+    for guard, attempts in others:
         parsed = parsed.when(s.rlike(guard), F.coalesce(*attempts))
+    return parsed
+
+
+def _seconds(s: Column) -> Column:
+    """Seconds from midnight in the session's zone (UTC) of the time that a text ends with; null for impossible times."""
+    def part(k: int) -> Column:
+        found = F.regexp_extract(s, _CLOCK, k)
+        return F.when(found != "", found)
+
+    hour, half, zone = part(1).cast("int"), F.lower(part(5)), F.lower(part(6))
+    hour24 = F.when(half.isNull(), hour).when(hour.between(1, 12), hour % 12 + F.when(half == "p", 12).otherwise(0))
+    minute, second = part(2).cast("int"), F.coalesce(part(3).cast("int"), F.lit(0))
+    digits = F.regexp_replace(zone, "[^0-9]", "")
+    shift = (F.substring(digits, 1, 2).try_cast("int") * 3600 + F.substring(digits, 3, 2).try_cast("int") * 60) * F.when(zone.startswith("-"), -1).otherwise(1)
+    shift = F.when(zone.rlike("^[+-]"), shift).otherwise(0)
+    fraction = F.coalesce(part(4).cast("double"), F.lit(0.0))
+    return F.when((hour24 <= 23) & (minute <= 59) & (second <= 59), hour24 * 3600 + minute * 60 + second - shift + fraction)
+
+
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _parse_stripped_datetime(s: Column) -> Column:
+    # a day, a time and a zone are read each for itself, so that any of the layouts can be combined
+    def combined(plain: Column) -> Column:
+        day = _let(F.regexp_replace(plain, _CLOCK, ""), _day)
+        timed = F.timestamp_micros(F.unix_micros(day) + F.round(_seconds(plain) * 1_000_000).cast("bigint"))
+        return F.when(plain.rlike(_CLOCK), timed).otherwise(day)
+
+    parsed = F.when(s.rlike(_ISO), s.try_cast("timestamp")).when(s.rlike(_COMPACT), F.try_to_timestamp(s, F.lit("yyyyMMdd'T'HHmmss"))) \
+        .otherwise(_let(F.regexp_replace(s, _WEEKDAY, ""), combined))
     # one cheap test spares prose the whole chain
-    return F.when((F.char_length(s) <= 40) & s.rlike(r"^[A-Za-z0-9 ,:/.+-]*\d[A-Za-z0-9 ,:/.+-]*$"), parsed)
+    return F.when(s.rlike(r"^(?=[^0-9]*[0-9])[A-Za-z0-9 ,:/.+-]+$"), parsed)
 
 
 def parse_datetime(c: Column, stripped: bool = False) -> Column:
-    """Timestamp of an ISO text or of one of DATE_LAYOUTS."""
+    """Timestamp of an ISO text, or of a day in one of DAY_LAYOUTS, with or without weekday, time and zone."""
     if stripped:
         return _parse_stripped_datetime(c)
-    # the one-element array makes Spark trim once instead of in every test
-    return F.transform(F.array(strip(c.cast("string"))), _parse_stripped_datetime)[0]
+    return _let(strip(c.cast("string")), _parse_stripped_datetime)
 
 
 def parse_boolean(c: Column) -> Column:

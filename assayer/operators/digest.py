@@ -48,7 +48,10 @@ def _exploded(df: DataFrame, cells: list[Column], rows: bool) -> DataFrame:
 
 
 def text_values(df: DataFrame) -> DataFrame | None:
-    """(ordinal, tok, trim, norm, n) per distinct text value; long texts stand as fingerprints."""
+    """(ordinal, tok, trim, norm, num, dated, n) per distinct text value; long texts stand as fingerprints.
+
+    What a long text parses to is found before it becomes a fingerprint; short ones are parsed once per distinct value later on.
+    """
     text, _, _ = _kinds(df)
     if not text:
         return None
@@ -58,8 +61,10 @@ def text_values(df: DataFrame) -> DataFrame | None:
         cells.append(F.struct(
             F.lit(i).alias("ordinal"), token(v).alias("tok"),
             F.when(~is_short(v), token(strip(v))).alias("trim"),
-            F.when(~is_short(v), token(normalise(v))).alias("norm")))
-    return (_grouped(_exploded(df, cells, False), ["ordinal", "tok", "trim", "norm"], False)
+            F.when(~is_short(v), token(normalise(v))).alias("norm"),
+            F.when(~is_short(v), parse_number(v)).alias("long_num"),
+            F.when(~is_short(v), parse_datetime(v).isNotNull()).alias("long_date")))
+    return (_grouped(_exploded(df, cells, False), ["ordinal", "tok", "trim", "norm", "long_num", "long_date"], False)
             .withColumn("trim", F.coalesce("trim", strip(F.col("tok"))))
             .withColumn("norm", F.coalesce("norm", F.lower("trim"))))
 
@@ -102,13 +107,13 @@ def fixed_values(df: DataFrame) -> DataFrame | None:
 def _text_facts(values: DataFrame, reader_types: bool) -> DataFrame:
     n, tok = F.col("n"), F.col("tok")
     trimmed = values.groupBy("ordinal", "trim", "norm").agg(
-        F.sum(n).alias("n"), F.count(tok).alias("raw"),
+        F.sum(n).alias("n"), F.count(tok).alias("raw"), F.max("long_num").alias("long_num"), F.max("long_date").alias("long_date"),
         F.sum(F.when(tok != F.col("trim"), n).otherwise(0)).alias("changed"))
-    datey = F.col("trim").isNotNull() & parse_datetime(F.col("trim"), stripped=True).isNotNull()
+    datey = F.coalesce("long_date", F.col("trim").isNotNull() & parse_datetime(F.col("trim"), stripped=True).isNotNull())
     normal = trimmed.withColumn("dates", F.when(datey, n).otherwise(0)).groupBy("ordinal", "norm").agg(
         F.sum("n").alias("n"), F.sum("raw").alias("raw"), F.count("trim").alias("trims"),
-        F.sum("changed").alias("changed"), F.sum("dates").alias("dates"))
-    normal = normal.withColumn("num", parse_number(F.col("norm")))
+        F.sum("changed").alias("changed"), F.sum("dates").alias("dates"), F.max("long_num").alias("long_num"))
+    normal = normal.withColumn("num", F.coalesce("long_num", parse_number(F.col("norm"))))
     vocab = [F.coalesce(F.bool_and(F.col("norm").isin(v)), F.lit(False)).alias(f"v{k}")
              for k, v in enumerate(BOOLEAN_VOCABULARIES)]
     by_number = normal.groupBy("ordinal", "num").agg(

@@ -1,7 +1,7 @@
 """Univariate fences and an isolation forest."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -13,6 +13,8 @@ from .stats import as_numbers, column_ranges
 MIN_FENCE_ROWS = 8
 MIN_FOREST_ROWS = 20
 TREES, TREE_ROWS, CONTAMINATION = 200, 256, 0.02
+#: Rows that all trees of a forest draw from.
+POOL = 4 * TREES * TREE_ROWS
 FLAGGED_LIMIT = 200
 
 
@@ -72,26 +74,24 @@ def forest_input(df: DataFrame, cols: list[str], row_id: str = ROW_ID, ranges: d
 
 
 def tree_samples(x: DataFrame, trees: int = TREES, rows: int = TREE_ROWS, seed: int = 0, n: int | None = None) -> DataFrame:
-    """(tree, features): ``rows`` random rows per tree, chosen by hash so that partitioning does not matter.
+    """(tree, features): ``rows`` random rows per tree, chosen by hashes so that partitioning does not matter.
 
-    Large tables deal one pool of trees*rows rows out; small ones are sampled anew for every tree.
+    One scheme for every size: a row enters the pool when its hash is below POOL / n, a row of the pool enters a tree when its hash
+    with the tree's number is below the share that leaves half as many again as wanted, and each tree cuts that to ``rows``. A row
+    meets only trees that it enters, and no step sees more than the pool in one place.
     """
     features = F.array(*[c for c in x.columns if c != "r"]).alias("features")
     n = x.count() if n is None else n
-    pool = trees * rows
     scale = 1 << 40
-    if n >= 2 * pool:
-        h = F.pmod(F.xxhash64(F.lit(seed), F.col("r")), F.lit(scale))
-        share = (pool * 1.1 + 2_000) / n
-        dealt = x.select("r", h.alias("h"), features).where(F.col("h") < int(share * scale))
-        # about 1.1 * pool rows are left whatever the table size
-        at = F.row_number().over(W.orderBy("h", "r")) - 1
-        return dealt.withColumn("at", at).where(F.col("at") < pool).select(
-            (F.col("at") % trees).cast("int").alias("tree"), "features")
-    share = min(1.0, (rows * 1.5 + 60) / max(n, 1))
-    h = F.pmod(F.xxhash64(F.lit(seed), F.col("r"), F.col("tree")), F.lit(scale))
-    each = x.select("r", features, F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-    picked = each.withColumn("h", h).where(F.col("h") < int(share * scale))
+    pooled = min(1.0, POOL / max(n, 1))
+    share = min(1.0, (rows * 1.5 + 60) / max(n * pooled, 1))
+
+    def drawn(*key: Column) -> Column:
+        return F.pmod(F.xxhash64(F.lit(seed), F.col("r"), *key), F.lit(scale))
+
+    pool = x.select("r", features).where(drawn() < int(pooled * scale))
+    entered = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: drawn(t) < int(share * scale))
+    picked = pool.select("r", "features", F.explode(entered).alias("tree")).withColumn("h", drawn(F.col("tree")))
     at = F.row_number().over(W.partitionBy("tree").orderBy("h", "r"))
     return picked.withColumn("at", at).where(F.col("at") <= rows).select("tree", "features")
 

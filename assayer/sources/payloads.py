@@ -18,6 +18,7 @@ from ..session import materialise
 # fixed values: keys that usually wrap the row array, in order of preference
 ROW_KEYS = ["data", "rows", "records", "result", "results", "items", "hits", "value", "entries", "content"]
 SEPARATORS = [",", "\t", ";"]
+# fixed value: the line under a table's head, by the grammar of markdown tables
 _RULE = r"^\s*\|?[\s:|-]+\|?\s*$"
 _ARRAY, _OBJECT = "array<variant>", "map<string,variant>"
 CELLS = ["payload_id", "shape", "row_no", "position", "column", "value"]
@@ -65,7 +66,7 @@ def find_rows(documents: DataFrame) -> DataFrame:
     Preferred wrapper keys come before the remaining keys in their written order. Objects are opened level by level until
     none is left, so nesting depth is not limited; the path records the depth-first place of each node.
     """
-    level = documents.select("payload_id", F.lit("").alias("path"), "json", F.col("body").alias("written"))
+    level = documents.select("payload_id", F.array().cast("array<bigint>").alias("path"), "json", F.col("body").alias("written"))
     found = []
     depth = 0
     while True:
@@ -79,7 +80,7 @@ def find_rows(documents: DataFrame) -> DataFrame:
         place = F.when(preferred > 0, preferred).otherwise(F.array_position(keys, entry["key"]) + 100)
         level = (objects.select("payload_id", "path", "written", F.explode(F.map_entries(_object(F.col("json")))).alias("entry"))
                  .where(_object(entry["value"]).isNotNull() | _array(entry["value"]).isNotNull())
-                 .select("payload_id", F.concat("path", F.lpad(place.cast("string"), 6, "0"), F.lit(".")).alias("path"),
+                 .select("payload_id", F.concat("path", F.array(place.cast("bigint"))).alias("path"),
                          entry["value"].alias("json"),
                          F.try_element_at(F.from_json("written", "map<string,string>"), entry["key"]).alias("written")))
         depth += 1

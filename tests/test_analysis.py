@@ -120,10 +120,14 @@ def test_forest_ranks_injected_outliers_first_under_any_partitioning(spark):
     assert 0.015 <= sum(f for _, f in runs[0].values()) / len(rows) <= 0.025
 
 
-def test_forest_deals_one_pool_on_large_tables(spark):
+@pytest.mark.parametrize("pool", [1_000_000, 6_000])
+def test_forest_samples_alike_at_every_size(spark, monkeypatch, pool):
+    monkeypatch.setattr(outliers, "POOL", pool)
     x = spark.range(30_000).select(F.col("id").alias("r"), F.rand(1).alias("c0"), F.rand(2).alias("c1"))
     sizes = outliers.tree_samples(x, trees=20, rows=64).groupBy("tree").count().collect()
     assert len(sizes) == 20 and {r["count"] for r in sizes} == {64}
+    again = outliers.tree_samples(x.repartition(7), trees=20, rows=64)
+    assert outliers.tree_samples(x, trees=20, rows=64).exceptAll(again).count() == 0
 
 
 def test_quality_of_a_clean_and_a_dirty_column(frame):
