@@ -14,6 +14,7 @@ from .tables import ROW_ID, quoted
 CANDIDATES = [",", ";", "\t", "|"]
 SAMPLE_LINES = 200
 _OVERFLOW, _RAW = "_overflow", "_corrupt_record"
+_ROWS_PER_SPLIT = 1 << 33
 
 
 def detect_encoding(spark: SparkSession, path: str) -> str:
@@ -81,6 +82,23 @@ def na_to_null(df: DataFrame) -> DataFrame:
                        else quoted(f.name) for f in df.schema.fields])
 
 
+def _number_rows(raw: DataFrame) -> DataFrame:
+    """Row ids in the order of file names and positions, however the scan packs its splits into tasks.
+
+    A split's rows are consecutive in its task, so the place of a row is that of its split and its distance from the split's first row.
+    One line per split is counted in a first pass over the file.
+    """
+    split, at = ["_file", "_start"], F.col("_at")
+    placed = raw.withColumns({"_file": F.col("_metadata.file_path"), "_start": F.col("_metadata.file_block_start"),
+                              "_at": F.monotonically_increasing_id()})
+    firsts = placed.groupBy(*split).agg(F.min(at).alias("_first")).orderBy(*split).collect()
+    listing = raw.sparkSession.createDataFrame([(r["_file"], r["_start"], r["_first"], i) for i, r in enumerate(firsts)],
+                                               "_file string, _start bigint, _first bigint, _place bigint")
+    # a line per split: past a size no executor should hold, Spark joins it by shuffle
+    joined = placed.join(F.broadcast(listing) if len(firsts) <= 200_000 else listing, split)
+    return joined.withColumn(ROW_ID, F.col("_place") * F.lit(_ROWS_PER_SPLIT) + at - F.col("_first")).drop(*split, "_at", "_first", "_place")
+
+
 def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str | None = None,
              multi_line: bool = False) -> DataFrame:
     """All columns as text with ``_row_id``; lines with too many fields are dropped, short ones padded with null.
@@ -102,7 +120,7 @@ def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, encod
                     columnNameOfCorruptRecord=_RAW, columnPruning=False, multiLine=multi_line,
                     ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
            .csv(path))
-    numbered = raw.withColumn(ROW_ID, F.monotonically_increasing_id())
+    numbered = _number_rows(raw)
     fits = F.col(_OVERFLOW).isNull() & F.col(_RAW).isNotNull() & (separators(F.col(_RAW), delimiter) <= len(names) - 1)
     kept = numbered.where(fits)
     return na_to_null(kept.select(*[F.col(f"f{i}").alias(n) for i, n in enumerate(names)], ROW_ID))

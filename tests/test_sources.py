@@ -25,6 +25,20 @@ def test_long_lines_are_dropped_and_short_ones_padded(spark, tmp_path):
     assert rows(csv.read_csv(spark, write(tmp_path / "a.csv", text))) == [("1", "2", "3"), ("1", "2", None), ("4", "5", "6")]
 
 
+def test_rows_of_several_files_keep_the_order_of_names(spark, tmp_path):
+    write(tmp_path / "a.csv", "k\n1\n2\n3\n")
+    write(tmp_path / "b.csv", "k\n" + "".join(f"{i}\n" for i in range(10, 4000)))
+    write(tmp_path / "c.csv", "k\n5000\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in (before, "4k"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = [int(r["k"]) for r in csv.read_csv(spark, str(tmp_path)).orderBy("_row_id").collect()]
+            assert got == [1, 2, 3, *range(10, 4000), 5000]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 @pytest.mark.parametrize("sep", [",", ";", "\t", "|"])
 def test_delimiter_is_found(spark, tmp_path, sep):
     text = "\n".join(sep.join(r) for r in (["name", "note", "n"], ["a", "x y", "1"], ["b", "z", "2"])) + "\n"
