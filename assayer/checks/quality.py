@@ -75,13 +75,13 @@ check("quality_unparseable", f"select ordinal, \"column\", role, round(100 * (1
     lambda s, d: Q.unparseable(Q.column_quality(*parts(s, d)[:2])))
 check("quality_inconsistent", f"select ordinal, \"column\", \"distinct\" as raw_values, distinct_normalised as after_normalisation from ({COLUMNS_SQL}) where consistency < 0.95")(
     lambda s, d: Q.inconsistent(Q.column_quality(*parts(s, d)[:2])))
-check("quality_low_confidence", """select 0 as ordinal, 'mark' as column, 'categorical' as inferred_role, round(1 - least(1.0, count(distinct o_custkey % 20) / (0.5 * count(*))), 2) as confidence
-  from (select * from orders order by o_orderkey limit 60) having 1 - least(1.0, count(distinct o_custkey % 20) / (0.5 * count(*))) < 0.85""")(
+check("quality_low_confidence", """select 0 as ordinal, 'mark' as column, 'categorical' as inferred_role, round(1 - least(1.0, count(distinct s_suppkey % 20) / (0.5 * count(*))), 2) as confidence
+  from supplier having 1 - least(1.0, count(distinct s_suppkey % 20) / (0.5 * count(*))) < 0.85""")(
     lambda s, d: _low(s, d))
 
 
 def _low(s, d):
-    df = table(s, d, "orders").orderBy("o_orderkey").limit(60).select((F.concat(F.lit("m"), (F.col("o_custkey") % 20).cast("string"))).alias("mark"))
+    df = table(s, d, "supplier").select((F.concat(F.lit("m"), (F.col("s_suppkey") % 20).cast("string"))).alias("mark"))
     known = R.infer_and_clean(df)
     return Q.low_confidence(Q.column_quality(facts_frame(s, known.raw_facts), P.role_table(known.clean, known.roles)))
 

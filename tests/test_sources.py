@@ -25,6 +25,12 @@ def test_long_lines_are_dropped_and_short_ones_padded(spark, tmp_path):
     assert rows(csv.read_csv(spark, write(tmp_path / "a.csv", text))) == [("1", "2", "3"), ("1", "2", None), ("4", "5", "6")]
 
 
+def test_long_quoted_fields(spark, tmp_path):
+    long = 'a, ""b"" ' * 20_000
+    got = rows(csv.read_csv(spark, write(tmp_path / "a.csv", f'k,v\n1,"{long}"\n2,"x,""y"\n3,""\n'), delimiter=","))
+    assert got == [("1", long.replace('""', '"')), ("2", 'x,"y'), ("3", None)]
+
+
 def test_rows_of_several_files_keep_the_order_of_names(spark, tmp_path):
     write(tmp_path / "a.csv", "k\n1\n2\n3\n")
     write(tmp_path / "b.csv", "k\n" + "".join(f"{i}\n" for i in range(10, 4000)))
