@@ -36,7 +36,8 @@ def statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
     found = {
         "log_chars": F.log1p("__chars"), "mean_word": F.col("__chars") / n,
         "distinct_words": F.when(F.size(words) > 0, F.size(F.array_distinct(words)) / n).otherwise(1.0),
-        "repeated_words": F.size(F.filter(words, lambda w, i: (i > 0) & (F.get(words, i - 1) == w))) / n,
+        "repeated_words": F.size(F.filter(F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: a == b),
+                                          lambda same: same)) / n,
         "short_words": F.size(F.filter(words, lambda w: F.length(w) <= 3)) / n,
         "upper": F.col("__capitals") / chars, "symbols": signs("[.?0-9]+") / chars, "digits": signs("[^0-9]+") / chars, "bars": signs("[^|]+") / n,
         "sentence_ends": signs("[^.?]+") / n, "distinct_lines": F.size(F.array_distinct("__lines")) / F.size("__lines")}

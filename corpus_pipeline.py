@@ -25,9 +25,14 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rule ensemble does not reject; it is fitted on the labelled ones among them."""
+    """Documents that the rule ensemble does not reject; it is fitted on the labelled ones among them.
+
+    Scores are written before they are filtered by: a condition on them would be moved into the scan's projection, where every
+    statistic that a rule mentions would be worked out anew.
+    """
     model = queries.quality_model(spark, docs, sf_dir)
-    return model.score(docs, "text", "__score").filter(F.col("__score") >= REJECT_BELOW).select(*docs.columns)
+    scored = materialise(model.score(docs, "text", "__score"), "scored")
+    return scored.filter(F.col("__score") >= REJECT_BELOW).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
