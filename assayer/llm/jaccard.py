@@ -7,8 +7,8 @@ longest are only probed by binary search for the candidates that the short ones
 For that search, sets that can link must be in one task. Two sets of n <= m shingles with index t or more differ in at most
 (1 - t) / (1 + t) * (n + m) shingles. Sets are therefore graded by size so that linked ones are in the same or neighbouring grades, and for
 a grade the space of shingles is cut into more parts than there can be differences: one part at least is then equal in both, and so
-are the signatures of that part. Sets that share a signature are put into one block by connected components, and every block is
-searched. A block of many shingles is cut into tiles and searched in pairs of tiles. Signatures of nearly empty parts would be shared by
+are the signatures of that part. Sets that share a signature are put into one block by connected components, grade by grade, and every
+block is searched. A block of many shingles is cut into tiles and searched in pairs of tiles. Signatures of nearly empty parts would be shared by
 chance; they are left out where the spare parts make up for it, see ``signatures``.
 """
 from __future__ import annotations
@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -99,8 +99,8 @@ def shingles(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
     return rolled, np.searchsorted(owner, np.arange(len(texts) + 1))
 
 
-def signatures(sets: np.ndarray, begins: np.ndarray, join: Join) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of every set and the number of the set, in no order.
+def signatures(sets: np.ndarray, begins: np.ndarray, join: Join) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of every set, the number of the set and the grade it signs for, in no order.
 
     A set signs for its own grade, where it may be the smaller one, and for the grade below. Of the equal parts of linked sets at most as
     many are nearly empty as either has nearly empty ones; if that is no more than the spare parts, some other part is equal. So a set
@@ -109,13 +109,13 @@ def signatures(sets: np.ndarray, begins: np.ndarray, join: Join) -> tuple[np.nda
     """
     sizes = np.diff(begins)
     if not len(sets):
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     bounds = join.grades(int(sizes.max()))
     bounds.append(bounds[-1] * join.den // join.num + 1)
     grade = np.searchsorted(bounds, sizes, side="right") - 1
     table = np.array([join.parts(bounds, g) for g in range(len(bounds) - 1)], dtype=np.int64)
     owner = np.repeat(np.arange(len(sizes)), sizes)
-    out, who = [], []
+    out, who, where = [], [], []
     for lower in (0, 1):
         scheme = grade - lower
         going = (sizes > 0) & (scheme >= 0)
@@ -141,8 +141,9 @@ def signatures(sets: np.ndarray, begins: np.ndarray, join: Join) -> tuple[np.nda
             label = (scheme[cell_of].astype(np.uint64) << np.uint64(40)) ^ (np.uint64(turn) << np.uint64(36)) ^ place.astype(np.uint64)
             out.append(mix(total[says] + mix(label[says] * _STEP)))
             who.append(cell_of[says])
+            where.append(scheme[cell_of[says]])
             going = going & poor
-    return np.concatenate(out), np.concatenate(who)
+    return np.concatenate(out), np.concatenate(who), np.concatenate(where)
 
 
 def _set_keys(sets: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -165,7 +166,8 @@ def _source(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _described(source: DataFrame, join: Join) -> DataFrame:
     """``id, n, k1, k2, sigs`` for every row; equal sets of one task sign once."""
     schema = T.StructType([T.StructField("id", source.schema["id"].dataType), T.StructField("n", T.LongType()), T.StructField("k1", T.LongType()),
-                           T.StructField("k2", T.LongType()), T.StructField("sigs", T.ArrayType(T.LongType()))])
+                           T.StructField("k2", T.LongType()), T.StructField("sigs", T.ArrayType(T.StructType([
+                               T.StructField("sig", T.LongType()), T.StructField("grade", T.IntegerType())])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signed: set[int] = set()
@@ -179,12 +181,13 @@ def _described(source: DataFrame, join: Join) -> DataFrame:
                 new = np.array([k not in signed and not signed.add(k) for k in k1.tolist()], dtype=bool)
                 sizes = np.where(new, np.diff(begins), 0)
                 keep = np.repeat(new, np.diff(begins))
-                sigs, who = signatures(sets[keep], np.concatenate([[0], np.cumsum(sizes)]), join)
+                sigs, who, where = signatures(sets[keep], np.concatenate([[0], np.cumsum(sizes)]), join)
                 order = np.argsort(who, kind="stable")
                 ends = np.concatenate([[0], np.cumsum(np.bincount(who, minlength=last - first))])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, last - first), pa.array(np.diff(begins)), pa.array(k1), pa.array(k2),
-                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(sigs[order].astype(np.int64)))], schema.names)
+                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(
+                         [pa.array(sigs[order].astype(np.int64)), pa.array(where[order].astype(np.int32))], ["sig", "grade"]))], schema.names)
 
     return source.mapInArrow(run, schema)
 
@@ -270,26 +273,30 @@ def links(df: DataFrame, id_col: str, text_col: str, join: Join) -> tuple[DataFr
     kind = source.schema["id"].dataType
     described = materialise(_described(source, join), "sets")
     classes = described.filter("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.first("n").alias("n"))
-    signed = described.select(F.col("k1").alias("b"), F.explode("sigs").alias("sig"))
-    from pyspark.sql import Window
+    # a set stands once in the graph for each grade it signs for, so that blocks do not chain through the grades
+    node = F.xxhash64("k1", "grade")
+    signed = described.select("k1", F.inline("sigs")).select(node.alias("b"), "sig")
     hub = Window.partitionBy("sig").orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     near = signed.withColumn("a", F.min("b").over(hub)).filter("a <> b").select("a", "b")
     blocks = components(near)
-    members = materialise(blocks.join(classes.filter("rep is not null"), blocks["node"] == classes["k1"]).select("component", "rep", "k1", "k2", "n"), "blocks")
+    bounds = F.array(*[F.lit(x) for x in join.grades(classes.agg(F.max("n")).first()[0] or 0)])
+    grade = F.size(F.filter(bounds, lambda x: x <= F.col("n"))) - 1
+    graded = classes.filter("rep is not null").withColumn("grade", F.explode(F.array(grade, grade - 1)))
+    members = materialise(graded.withColumn("node", node).join(blocks, "node").select("component", "rep", "k1", "k2", "n"), "blocks")
     sizes = members.groupBy("component").agg(F.sum("n").alias("all"), F.count("*").alias("members")).filter("members > 1") \
         .select("component", F.ceil(F.col("all") / TILE).cast("int").alias("tiles"))
-    placed = members.join(sizes, "component").withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")) \
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))) \
-        .select("rep", "k1", "k2", "tile", F.struct("component", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j")).alias("unit"))
-    placed = materialise(placed.groupBy("rep", "k1", "k2", "tile").agg(F.collect_list("unit").alias("units")), "units")
+    tile = F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")
+    placed = members.join(sizes, "component").withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))) \
+        .select("rep", "k1", "k2", F.struct("component", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile").alias("unit"))
+    placed = materialise(placed.groupBy("rep", "k1", "k2").agg(F.collect_list("unit").alias("units")), "units")
     small = placed.count() <= MOST_SENT
     found = source.join(F.broadcast(placed) if small else placed, source["id"] == placed["rep"]) \
-        .select("id", "text", "tile", "units", "k1", "k2")
+        .select("id", "text", "units", "k1", "k2")
     return described.drop("sigs"), _searched(found, kind, join)
 
 
 def _searched(found: DataFrame, kind: T.DataType, join: Join) -> DataFrame:
-    """Links from the texts of all block members, ``id, text, tile, units, k1, k2``; rows of another text under a repeated id are passed over."""
+    """Links from the texts of all block members, ``id, text, units, k1, k2``; rows of another text under a repeated id are passed over."""
     shipped = T.StructType([T.StructField("unit", T.ArrayType(T.LongType())), T.StructField("id", kind), T.StructField("tile", T.IntegerType()),
                             T.StructField("tokens", T.BinaryType())])
     from pyspark.sql.pandas.types import to_arrow_type
@@ -300,11 +307,11 @@ def _searched(found: DataFrame, kind: T.DataType, join: Join) -> DataFrame:
             for first, last in groups([len(t) for t in texts], _TOGETHER):
                 sets, begins = shingles(texts[first:last], join.words)
                 own = zip(*(x.tolist() for x in _set_keys(sets, begins)))
-                wanted = zip(*(batch.column(c).slice(first, last - first).to_pylist() for c in (4, 5)))
+                wanted = zip(*(batch.column(c).slice(first, last - first).to_pylist() for c in (3, 4)))
                 right = [t for t, (x, y) in enumerate(zip(own, wanted)) if x == y]
-                rows = [([u["component"], u["i"], u["j"]], batch.column(0)[first + t].as_py(), batch.column(2)[first + t].as_py(),
+                rows = [([u["component"], u["i"], u["j"]], batch.column(0)[first + t].as_py(), u["tile"],
                          sets[begins[t]:begins[t + 1]].tobytes())
-                        for t in right for u in batch.column(3)[first + t].as_py()]
+                        for t in right for u in batch.column(2)[first + t].as_py()]
                 for at in range(0, len(rows), 512):
                     yield pa.RecordBatch.from_arrays([pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(zip(*rows[at:at + 512]), shipped)],
                                                      shipped.names)

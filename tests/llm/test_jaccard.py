@@ -88,7 +88,7 @@ def test_linked_sets_share_a_signature():
                     break
                 b = c
             sets = [np.array(sorted(x), dtype=np.uint64) for x in (a, b)]
-            sigs, who = jaccard.signatures(np.concatenate(sets), np.array([0, len(a), len(a) + len(b)]), join)
+            sigs, who, _ = jaccard.signatures(np.concatenate(sets), np.array([0, len(a), len(a) + len(b)]), join)
             assert set(sigs[who == 0].tolist()) & set(sigs[who == 1].tolist()), (size, len(a), len(b))
 
 
