@@ -21,12 +21,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Pre-tokens and characters of pre-tokens that a worker remembers; beyond either the memory starts anew.
-REMEMBERED = 1_000_000
-REMEMBERED_CHARS = 32_000_000
+REMEMBERED = 600_000
+REMEMBERED_CHARS = 16_000_000
 #: Characters of text that are encoded together.
 TOGETHER = 8_000_000
 #: Bytes of new pre-tokens that share a list, but for a longer single one.
-SHARED = 2_000_000
+SHARED = 700_000
 #: Rows of a batch that a worker returns.
 ROWS = 256
 
