@@ -2,7 +2,7 @@
 
 A seed is the hash of a few words at fixed distances; a mask says which positions count, so that a substituted word at an ignored
 position changes nothing. Seeds of the benchmark meet the seeds of the documents; around every hit the item is laid over the document
-and the best stretch of the diagonal is taken, a matching word counting for and a substituted one against it.
+and of all stretches of the diagonal that match at three quarters of their places the one with the most matches is taken.
 
 The benchmark is a stated set of queries. It is taken in blocks of bounded size, each block's seeds go to all tasks, and the documents
 are read once per block without a shuffle.
@@ -23,7 +23,6 @@ from .words import ALPHANUMERIC, find_words, flat, groups, hash_words, mix
 MASKS = ("11011011", "1101000111", "110010100101")
 #: Words that must match in a stretch (or eight tenths of a shorter item), and their least share of the stretch.
 LEAST_WORDS, LEAST_SHARE = 12, 0.75
-_PENALTY = 2.0
 #: Characters of the benchmark in one block.
 BLOCK_CHARS = 4_000_000
 _TOGETHER = 1 << 20
@@ -87,12 +86,19 @@ class Index:
 
 
 def best_stretch(same: np.ndarray) -> tuple[int, int, int]:
-    """Start, end and matches of the stretch with the greatest sum of one per match less two per substitution; the first of equals."""
-    gain = np.concatenate([[0.0], np.cumsum(np.where(same, 1.0, -_PENALTY))])
-    lowest = np.minimum.accumulate(gain)
-    end = int(np.argmax(gain - lowest))
-    start = int(np.flatnonzero(gain[:end + 1] == lowest[end])[0])
-    return start, end, int(same[start:end].sum())
+    """Start, end and matches of the stretch with the most matches among those with the least share; the first of equals.
+
+    Of the stretches that end at a place, the longest with the share has the most matches: it starts where the running sum of what the
+    matches are over the share first was as low as at the end. Substitutions at both ends are left out afterwards.
+    """
+    matches = np.concatenate([[0], np.cumsum(same)])
+    over = matches - LEAST_SHARE * np.arange(len(matches))
+    starts = np.searchsorted(-np.minimum.accumulate(over), -over)
+    end = int(np.argmax(matches - matches[starts]))
+    inside = np.flatnonzero(same[starts[end]:end]) + starts[end]
+    if not len(inside):
+        return 0, 0, 0
+    return int(inside[0]), int(inside[-1]) + 1, len(inside)
 
 
 def overlaps(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, item_id: str, item_text: str) -> DataFrame:
@@ -155,7 +161,6 @@ def _matches(index: Index, texts: list[bytes]) -> list[tuple[int, int, int, int,
         if (t, item) in best and b - a <= best[t, item][2]:
             continue
         start, end, matched = best_stretch(words[a:b] == target[a - diagonal:b - diagonal])
-        if matched >= min(LEAST_WORDS, -(-len(target) * 4 // 5)) and matched >= LEAST_SHARE * (end - start):
-            if (t, item) not in best or matched > best[t, item][2]:
-                best[t, item] = (a + start - low, a + end - low, matched)
+        if matched >= min(LEAST_WORDS, -(-len(target) * 4 // 5)) and ((t, item) not in best or matched > best[t, item][2]):
+            best[t, item] = (a + start - low, a + end - low, matched)
     return [(t, item, a, b, matched, len(index.items[item])) for (t, item), (a, b, matched) in sorted(best.items())]

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 from cases import edge, empty
 
 from assayer.llm import queries, seeds
@@ -69,6 +70,49 @@ def test_substitutions_are_mostly_found_and_nothing_else(spark, monkeypatch):
     assert found >= 0.93 * total
 
 
+def test_substitutions_near_the_ends_do_not_hide_an_item(spark):
+    item = [f"i{k}" for k in range(15)]
+    changed = [f"x{k}" if k in (1, 13) else w for k, w in enumerate(item)]  # 13 of 15 match, 11 of them in a row
+    rows = [(1, " ".join(["before", "it", *changed, "after", "it"])), (2, " ".join(changed[2:13]))]
+    out = seeds.overlaps(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", "text",
+                         spark.createDataFrame([(7, " ".join(item))], "item_id int, text string"), "item_id", "text").collect()
+    assert [tuple(r) for r in out] == [(1, 7, 2, 17, 13, 15)]
+
+
+def test_best_stretch_has_the_most_matches_of_all_with_the_share():
+    rng = random.Random(4)
+    for _ in range(500):
+        same = [rng.random() < rng.choice([0.3, 0.7, 0.9]) for _ in range(rng.randint(0, 30))]
+        spans = [(a, b) for a in range(len(same)) for b in range(a + 1, len(same) + 1) if sum(same[a:b]) >= 0.75 * (b - a)]
+        start, end, matched = seeds.best_stretch(np.array(same, dtype=bool))
+        assert matched == max((sum(same[a:b]) for a, b in spans), default=0) == sum(same[start:end])
+        assert (start, end) in spans or not matched
+
+
+def stated(text, item):
+    """Whether any stretch of any diagonal meets both bounds."""
+    a, b = (re.findall(r"[0-9a-z\x80-\U0010ffff]+", (t or "").lower()) for t in (text, item))
+    for d in range(-len(b) + 1, len(a)):
+        runs = np.cumsum([0, *(a[i] == b[i - d] for i in range(max(0, d), min(len(a), d + len(b))))])
+        matched, length = runs[None, :] - runs[:, None], np.arange(len(runs))[None, :] - np.arange(len(runs))[:, None]
+        if ((length > 0) & (matched >= min(12, -(-len(b) * 4 // 5))) & (matched >= 0.75 * length)).any():
+            return True
+    return False
+
+
+def test_substituted_passages_are_those_of_the_stated_rule(spark):
+    found = total = 0
+    for seed in (2, 3):
+        rows, items = made(seed, 0.08)
+        out = seeds.overlaps(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", "text",
+                             spark.createDataFrame(items, "item_id int, text string"), "item_id", "text").collect()
+        want = {(i, k) for i, t in rows for k, x in items if stated(t, x)}
+        got = {(r["doc_id"], r["item_id"]) for r in out}
+        assert got <= want
+        found, total = found + len(got), total + len(want)
+    assert found >= 0.97 * total
+
+
 def test_odd_rows(spark):
     items = spark.createDataFrame([(1, "the same words here and there again", "x"), (2, None, "y"), (3, "", "z"), (3, "the same words here and there again", "z")],
                                   "item_id int, text string, id string")
