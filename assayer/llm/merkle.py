@@ -1,9 +1,9 @@
 """Document fingerprints: a Merkle tree over sections, paragraphs and short passages of every text.
 
 A paragraph is a line. A section ends at a blank line, before a heading, and after a paragraph whose digest says so (one in eight), so
-that no node has many children. Passages are the leaves: a paragraph is cut after the end of a sentence or a word that ends in a rare
-letter or in signs, and after 160 characters at the latest; cuts depend on
-the text around them only, so an edit changes the leaves it touches. Texts of under 400 characters are cut at every word.
+that no node has many children. Passages are the leaves: a paragraph is cut after the end of a sentence, a word that ends in signs or in
+any letter but the seven commonest, and after 24 characters at the latest. Texts of every length are cut by this one rule; cuts depend
+on the text around them only, so an edit changes the leaves it touches.
 Every node's digest covers its children's, so equal roots mean equal texts, and of two trees only differing branches need a look.
 
 The printed fingerprint is ``root.leaves``: 32 hex digits, then a record of six bytes for every leaf (four of digest, two of length),
@@ -24,12 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-LONGEST = 160
-#: A leaf ends with a sentence, with a word on a rare letter, or when it is long.
-_LEAF = re.compile(r".{1,%d}?(?:[.!?|]+ +|[bgkpvwzBGKPVWZ],? +|[^\w\s]{2,} +|$)|.{%d}" % (LONGEST, LONGEST), re.S)
-#: A text of fewer code points is cut at every word.
-SHORT = 400
-_WORD = re.compile(r"\S{1,%d}\s*|\s+" % LONGEST)
+LONGEST = 24
+#: A leaf ends with a sentence, with a word on any but the commonest letters, or when it is long: one to three words.
+_LEAF = re.compile(r".{1,%d}?(?:[.!?|]+ +|[^\W_aenorstAENORST],? +|[^\w\s]{2,} +|$)|.{%d}" % (LONGEST, LONGEST), re.S)
 _HEADING = re.compile(r"#{1,6} |\d+(?:\.\d+)* [A-Z]")
 _FAN_OUT = 8
 
@@ -44,7 +41,6 @@ class Tree:
     __slots__ = ("leaves", "paragraphs", "sections", "root")
 
     def __init__(self, text: str):
-        leaf = _WORD if len(text) < SHORT else _LEAF
         self.leaves: list[tuple[bytes, int, int]] = []
         self.paragraphs: list[tuple[bytes, int, int, int]] = []
         self.sections: list[tuple[bytes, int, int, int]] = []
@@ -53,7 +49,7 @@ class Tree:
             if open_section < len(self.paragraphs) and _HEADING.match(line):
                 open_section = self._close(open_section)
             first, start = len(self.leaves), at
-            for part in leaf.findall(line):
+            for part in _LEAF.findall(line):
                 end = at + len(part)
                 self.leaves.append((_digest(part.encode("utf-8", "surrogatepass")), at, end))
                 at = end

@@ -75,3 +75,13 @@ def test_tables_of_nodes(spark):
 def test_equal_prefix_keeps_leaves(text):
     a, b = merkle.Tree(text), merkle.Tree(text + "And an end.")
     assert merkle.likeness(a.fingerprint(), b.fingerprint()) > 0.4
+
+
+def test_likeness_does_not_jump_with_the_length():
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randint(2, 9))) for _ in range(300)]
+    for length in (120, 380, 399, 400, 430, 800):
+        text = " ".join(rng.choice(words) for _ in range(300))[:length]
+        for kept in (length * 2 // 3, length * 9 // 10, length - 40):
+            near = merkle.likeness(merkle.Tree(text).fingerprint(), merkle.Tree(text[:kept]).fingerprint())
+            assert 2 * kept / (length + kept) >= near > 2 * (kept - merkle.LONGEST) / (length + kept)
