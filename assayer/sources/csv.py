@@ -67,6 +67,32 @@ def header_names(line: str, delimiter: str) -> list[str]:
     return names
 
 
+def _file_headers(spark: SparkSession, path: str, encoding: str) -> list[tuple[str, str]]:
+    """First line that is not blank of every file, in order of file names.
+
+    Places are compared before texts are read, so that the first pass keeps a number per file only.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
+                                         F.monotonically_increasing_id().alias("_at"), "value")
+    lines = lines.where((F.col("_start") == 0) & (F.trim("value") != ""))
+    firsts = lines.groupBy("_file").agg(F.min("_at").alias("_at"))
+    found = lines.join(F.broadcast(firsts), ["_file", "_at"]).select("_file", F.col("value").cast("binary").alias("value")).collect()
+    codec = "utf-8" if encoding == "UTF-8" else "latin-1"
+    return sorted((r["_file"], bytes(r["value"]).removeprefix(b"\xef\xbb\xbf").decode(codec, "replace")) for r in found)
+
+
+def _layouts(heads: list[tuple[str, str]], delimiter: str) -> tuple[list[str], dict[tuple[int, ...], list[str]]]:
+    """Names of the first file, and for every order of them the files that have it: the place of each name among a file's fields."""
+    names = header_names(heads[0][1], delimiter)
+    orders: dict[tuple[int, ...], list[str]] = {}
+    for file, line in heads:
+        own = header_names(line, delimiter)
+        if sorted(own) != sorted(names):
+            raise ValueError(f"{file} has the columns {own}, {heads[0][0]} has {names} (separator {delimiter!r})")
+        orders.setdefault(tuple(own.index(n) for n in names), []).append(file)
+    return names, orders
+
+
 def trim_header(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.strip() for c in df.columns])
 
@@ -84,7 +110,7 @@ def na_to_null(df: DataFrame) -> DataFrame:
 
 
 def _number_rows(raw: DataFrame) -> DataFrame:
-    """Row ids in the order of file names and positions, however the scan packs its splits into tasks.
+    """Row ids in the order of file names and positions, however the scan packs its splits into tasks; ``_file`` stays.
 
     A split's rows are consecutive in its task, so the place of a row is that of its split and its distance from the split's first row.
     One line per split is counted in a first pass over the file.
@@ -97,7 +123,7 @@ def _number_rows(raw: DataFrame) -> DataFrame:
                                                "_file string, _start bigint, _first bigint, _place bigint")
     # a line per split: past a size no executor should hold, Spark joins it by shuffle
     joined = placed.join(F.broadcast(listing) if len(firsts) <= 200_000 else listing, split)
-    return joined.withColumn(ROW_ID, F.col("_place") * F.lit(_ROWS_PER_SPLIT) + at - F.col("_first")).drop(*split, "_at", "_first", "_place")
+    return joined.withColumn(ROW_ID, F.col("_place") * F.lit(_ROWS_PER_SPLIT) + at - F.col("_first")).drop("_start", "_at", "_first", "_place")
 
 
 def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str | None = None,
@@ -107,13 +133,17 @@ def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, encod
     An extra column catches overflow: a line is too long when it fills that column, when it parses with exactly
     one field too many (nothing is reported as malformed), or when it has more separators than the header.
     Quoted line breaks need ``multi_line``, which reads each file in one task.
+
+    The files of a folder may have their columns in different orders: each is read by its own header, and columns come in the order of
+    the first file by name. A file with other columns or another separator is refused. The separator is found on the first 200 lines.
     """
     encoding = encoding or detect_encoding(spark, path)
     lines = sample_lines(spark, path, encoding)
     if not lines:
         raise ValueError(f"{path} is empty")
     delimiter = delimiter or detect_delimiter(lines)
-    names = header_names(lines[0], delimiter)
+    heads = _file_headers(spark, path, encoding) if len(spark.read.text(path).inputFiles()) > 1 else []
+    names, orders = _layouts(heads, delimiter) if heads else (header_names(lines[0], delimiter), {})
     fields = [T.StructField(f"f{i}", T.StringType()) for i in range(len(names))]
     schema = T.StructType([*fields, T.StructField(_OVERFLOW, T.StringType()), T.StructField(_RAW, T.StringType())])
     raw = (spark.read.schema(schema)
@@ -124,7 +154,14 @@ def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, encod
     numbered = _number_rows(raw)
     fits = F.col(_OVERFLOW).isNull() & F.col(_RAW).isNotNull() & (separators(F.col(_RAW), delimiter) <= len(names) - 1)
     kept = numbered.where(fits)
-    return na_to_null(kept.select(*[F.col(f"f{i}").alias(n) for i, n in enumerate(names)], ROW_ID))
+    if len(orders) < 2:
+        order = next(iter(orders), range(len(names)))
+        return na_to_null(kept.select(*[F.col(f"f{i}").alias(n) for i, n in zip(order, names)], ROW_ID))
+    listing = spark.createDataFrame([(f, k) for k, files in enumerate(orders.values()) for f in files], "_file string, _order int")
+    placed = kept.join(F.broadcast(listing), "_file")
+    # the field of a column by the order that its file has
+    own = [F.coalesce(*[F.when(F.col("_order") == k, F.col(f"f{order[i]}")) for k, order in enumerate(orders)]) for i in range(len(names))]
+    return na_to_null(placed.select(*[c.alias(n) for c, n in zip(own, names)], ROW_ID))
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:

@@ -138,3 +138,21 @@ def test_payload_as_table(parsed):
     assert [tuple(r) for r in t.select("part", "`maker.town`").collect()] == [("bolt", "Ulm"), ("nut", "Graz")]
     deep = payloads.as_table(parsed[1], "deep").collect()
     assert [r.asDict() for r in deep] == [{"row_no": 0, "k": "1"}]
+
+
+def test_files_of_a_folder_are_read_by_their_own_headers(spark, tmp_path):
+    write(tmp_path / "a.csv", "k,v,w\n1,x,p\n")
+    write(tmp_path / "b.csv", "\nw,k,v\n" + "q,2,\n" * 3)
+    write(tmp_path / "c.csv", b"\xef\xbb\xbfv,w,k\n" + b"z,r,3\n" * 9)
+    write(tmp_path / "d.csv", "")
+    df = csv.read_csv(spark, str(tmp_path))
+    got = [tuple(r) for r in df.orderBy("_row_id").select("k", "v", "w").collect()]
+    assert df.columns[:3] == ["k", "v", "w"] and got == [("1", "x", "p")] + [("2", None, "q")] * 3 + [("3", "z", "r")] * 9
+
+
+@pytest.mark.parametrize("other", ["k;v\n3;z\n", "k,u\n3,z\n", "k,v,w\n3,z,1\n", "3,z\n4,z\n"])
+def test_files_with_other_columns_or_separators_are_refused(spark, tmp_path, other):
+    write(tmp_path / "a.csv", "k,v\n1,x\n2,y\n" * 5)
+    write(tmp_path / "b.csv", other)
+    with pytest.raises(ValueError, match="b.csv"):
+        csv.read_csv(spark, str(tmp_path))
