@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, labelled, merkle, ppm, revisits, rules, secret_scan, seeds, sharding, toxicity
+from . import alignment, bpe, jaccard, labelled, merkle, ppm, revisits, rules, secret_scan, seeds, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -198,3 +198,9 @@ from d left join n using (doc_id) left join (select doc_id, min(reached) as m fr
 @query("op4_jaccard", OP4_SQL)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join_components(table(spark, sf_dir, "documents"), "doc_id", "text", words=4, num=85, den=100)
+
+
+@query("op12_alignment")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), "doc_id", "text", public_tokenizers.path("byte_bpe_50k.json"),
+                           public_tokenizers.path("piece_bpe_32k.model"))
