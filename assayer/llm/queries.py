@@ -209,14 +209,14 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP13_SQL = r"""
 with p as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
     'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
-w as (select lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), x -> x <> '') as w from p),
+w as (select lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') as w from p),
 t as (select lang, sum(len(w))::bigint as n from w group by lang),
-g as (select lang, k, unnest(list_transform(range(1, len(w) - k + 2), i -> array_to_string(w[i:i + k - 1], ' '))) as phrase
+g as (select lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) as phrase
   from w, range(1, 5) as r(k) where len(w) >= k),
 f as (select lang, k, phrase, count(*) as n from g group by all having count(*) >= 30),
 c as (select lang, k, phrase, n as a, string_split(phrase, ' ') as w from f where k > 1),
 i as (select lang, a, w, unnest(range(2, k)) as m from c where k > 2),
-s as (select lang, phrase, max(a) as a from (select lang, a, unnest(list_transform(range(1, len(w) - m + 2), i -> array_to_string(w[i:i + m - 1], ' '))) as phrase
+s as (select lang, phrase, max(a) as a from (select lang, a, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) as phrase
   from i) group by all),
 x as (select c.*, unnest(range(1, k)) as j from c left join s using (lang, phrase) where s.a is null or 100 * s.a < 80 * c.a),
 y as (select x.lang, x.phrase, x.a, x.j, l.n as l, r.n as r, ((2000000::hugeint * x.a) // (l.n + r.n))::bigint as score
