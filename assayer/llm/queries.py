@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, bpe, collocations, jaccard, labelled, merkle, ppm, revisits, rules, secret_scan, seeds, sharding, toxicity
+from . import alignment, bpe, collocations, jaccard, labelled, merkle, ppm, repeats, revisits, rules, secret_scan, seeds, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -230,3 +230,21 @@ select o.lang, rank, phrase, a, l, r, t.n, score from o join t on t.lang = o.lan
 @query("op13_collocations", OP13_SQL)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(table(spark, sf_dir, "documents"), "text", "lang")
+
+
+OP11_SQL = r"""
+with d as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w from documents),
+p as (select doc_id, w, unnest(range(1, len(w) - 18)) as i from d where len(w) >= 20),
+h as (select doc_id, i, array_to_string(w[i:i + 19], ' ') as s from p),
+r as (select doc_id, i from h qualify row_number() over (partition by s order by doc_id, i) > 1),
+g as (select distinct doc_id, unnest(range(i, i + 20)) as i from r),
+c as (select doc_id, list(i) as gone from g group by doc_id)
+select doc_id, len(w)::bigint as n_words, coalesce(len(gone), 0)::bigint as n_removed,
+  sha256(array_to_string(case when gone is null then w else list_filter(w, lambda x, i: not list_contains(gone, i)) end, ' ')) as kept_sha256
+from d left join c using (doc_id)"""
+
+
+@query("op11_repeats", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove(table(spark, sf_dir, "documents"), "doc_id", "text", window=20, stable=True)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
