@@ -2,6 +2,10 @@
 
 Each stage is ``(spark, docs, sf_dir) -> DataFrame`` over all documents that the stage before it kept; ``run`` writes what a stage
 returns to the shared checkpoint folder and reads it back for the next one. All stages but the last return the columns they are given.
+
+Decisions are made for rows, not for ids: a stage numbers the rows it is given (they are read from files, so the numbers stand), and drops
+by that number. So rows without an id are judged like all others, of repeated rows the near-duplicate stage keeps one, and of two texts
+under one id only the one that was found goes. Rows with a null or empty text have no duplicates and overlap nothing.
 """
 from __future__ import annotations
 
@@ -16,12 +20,21 @@ from assayer.session import materialise
 
 #: Score below which the quality classifier rejects a document: label 0 is the likelier one.
 REJECT_BELOW = 0.5
+#: Numbers of dropped rows that still go to every task (8 bytes each); beyond it they are joined by a shuffle.
+MOST_SENT = 1_000_000
+
+
+ROW = "__row"
+
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    return docs.withColumn(ROW, F.monotonically_increasing_id())
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Documents whose id is not among ``ids``; these go to every task only while they are few."""
-    ids = materialise(ids.filter("doc_id is not null").distinct(), "dropped")
-    return docs.join(F.broadcast(ids) if ids.count() <= jaccard.MOST_SENT else ids, "doc_id", "left_anti").select(*docs.columns)
+
+def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Documents whose row is not among ``rows``; these go to every task only while they are few."""
+    rows = materialise(rows.distinct(), "dropped")
+    return _numbered(docs).join(F.broadcast(rows) if rows.count() <= MOST_SENT else rows, ROW, "left_anti").select(*docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,15 +49,22 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group linked by a Jaccard index of 0.8 on five-word shingles: the one with the smallest id."""
-    found = jaccard.join_components(docs, "doc_id", "text", words=5, num=80, den=100)
-    return _without(docs, found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id"))
+    """One document of every group linked by a Jaccard index of 0.8 on five-word shingles: the one with the smallest id.
+
+    Rows without an id come after those with one; of rows with one id the first in the table stays.
+    """
+    found = jaccard.join_components(_numbered(docs).select(ROW, "text"), ROW, "text", words=5, num=80, den=100)
+    groups = found.join(_numbered(docs).select(ROW, "doc_id"), ROW).select(
+        "component_id", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW).alias("place"))
+    groups = materialise(groups, "groups")
+    first = groups.groupBy("component_id").agg(F.min("place").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    return _without(docs, groups.join(first, "component_id").filter(F.col(f"place.{ROW}") != F.col(f"first.{ROW}")).select(f"place.{ROW}"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap no benchmark item."""
-    found = seeds.overlaps(docs, "doc_id", "text", queries.table(spark, sf_dir, "benchmark"), "item_id", "text")
-    return _without(docs, found.select("doc_id"))
+    found = seeds.overlaps(_numbered(docs).select(ROW, "text"), ROW, "text", queries.table(spark, sf_dir, "benchmark"), "item_id", "text")
+    return _without(docs, found.select(ROW))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
