@@ -4,12 +4,18 @@ A seed is the hash of a few words at fixed distances; a mask says which position
 position changes nothing. Seeds of the benchmark meet the seeds of the documents; around every hit the item is laid over the document
 and of all stretches of the diagonal that match at three quarters of their places the one with the most matches is taken.
 
+An item of fewer than four words says little by itself: it overlaps only a text that holds these words and no others.
+
 The benchmark is a stated set of queries. It is taken in blocks of bounded size, each block's seeds go to all tasks, and the documents
 are read once per block without a shuffle.
 """
 from __future__ import annotations
 
+import re
+import sys
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +29,8 @@ from .words import ALPHANUMERIC, find_words, flat, groups, hash_words, mix
 MASKS = ("11011011", "1101000111", "110010100101")
 #: Words that must match in a stretch (or eight tenths of a shorter item), and their least share of the stretch.
 LEAST_WORDS, LEAST_SHARE = 12, 0.75
+#: Words from which on an item is looked for inside texts.
+SHORTEST = 4
 #: Characters of the benchmark in one block.
 BLOCK_CHARS = 4_000_000
 _TOGETHER = 1 << 20
@@ -43,8 +51,27 @@ def _seeds(words: np.ndarray, offsets: list[int], mark: int) -> np.ndarray:
     return mix(out)
 
 
+@cache
+def _signs() -> re.Pattern:
+    """Punctuation, symbols, spaces and controls beyond ASCII, as a class of ranges."""
+    ranges: list[list[int]] = []
+    for c in range(0x80, sys.maxunicode + 1):
+        if unicodedata.category(chr(c))[0] in "PSZ" or 0x80 <= c < 0xA0:
+            if ranges and ranges[-1][1] == c - 1:
+                ranges[-1][1] = c
+            else:
+                ranges.append([c, c])
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges) + "]")
+
+
+def plain(text: str | None) -> bytes:
+    """Lower case, with signs beyond ASCII as spaces; the others are no bytes of words anyway."""
+    text = (text or "").lower()
+    return (text if text.isascii() else _signs().sub(" ", text)).encode("utf-8", "surrogatepass")
+
+
 def _texts(column: pa.Array) -> list[bytes]:
-    return [(t or "").lower().encode("utf-8", "surrogatepass") for t in column.to_pylist()]
+    return [plain(t) for t in column.to_pylist()]
 
 
 class Index:
@@ -57,9 +84,12 @@ class Index:
         self.items = np.split(hashes, np.searchsorted(item, np.arange(1, len(texts)))) if texts else []
         # masks by length: whole ones, and those cut to short items
         shapes: dict[tuple[int, ...], list[int]] = {}
+        self.short: dict[bytes, list[int]] = {}
         for i, words in enumerate(self.items):
+            if 0 < len(words) < SHORTEST:
+                self.short.setdefault(words.tobytes(), []).append(i)
             for mask in MASKS:
-                if len(words):
+                if len(words) >= SHORTEST:
                     shapes.setdefault(tuple(_offsets(mask, len(words))), []).append(i)
         self.shapes = []
         for offsets, members in shapes.items():
@@ -105,8 +135,8 @@ def overlaps(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, item
     """Overlaps of documents and benchmark items: ``id_col, item_id, word_start, word_end, n_matched, n_item_words``.
 
     One row for every row of ``docs`` and item that overlap, with the best stretch in words of the document (end exclusive). Words are
-    runs of letters and digits in lower case. A stretch counts with twelve matching words, or eight tenths of the item if that is
-    fewer, and matches at three quarters of its places. Null and empty texts on either side overlap nothing; repeated rows and repeated
+    runs of letters and digits in lower case; signs of any script end them. A stretch counts with twelve matching words, or eight tenths of the item if that is
+    fewer, and matches at three quarters of its places; an item under four words counts where it is the whole text. Null and empty texts on either side overlap nothing; repeated rows and repeated
     items each have their own rows; empty tables give an empty result; other columns are not read.
     """
     source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
@@ -131,7 +161,7 @@ def _scan(names: list, texts: list[str], schema: T.StructType):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not kept:
-            kept.append(Index([t.lower().encode("utf-8", "surrogatepass") for t in texts]))
+            kept.append(Index([plain(t) for t in texts]))
         index = kept[0]
         for batch in batches:
             lower = _texts(batch.column(1))
@@ -163,4 +193,9 @@ def _matches(index: Index, texts: list[bytes]) -> list[tuple[int, int, int, int,
         start, end, matched = best_stretch(words[a:b] == target[a - diagonal:b - diagonal])
         if matched >= min(LEAST_WORDS, -(-len(target) * 4 // 5)) and ((t, item) not in best or matched > best[t, item][2]):
             best[t, item] = (a + start - low, a + end - low, matched)
+    if index.short:
+        for t in np.flatnonzero((first[1:] > first[:-1]) & (first[1:] - first[:-1] < SHORTEST)).tolist():
+            for item in index.short.get(words[first[t]:first[t + 1]].tobytes(), []):
+                n = len(index.items[item])
+                best[t, item] = (0, n, n)
     return [(t, item, a, b, matched, len(index.items[item])) for (t, item), (a, b, matched) in sorted(best.items())]

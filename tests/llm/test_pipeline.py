@@ -52,6 +52,7 @@ def test_each_decision_against_brute_force(spark, stages):
 
 def test_run(spark, stages, monkeypatch):
     monkeypatch.setattr(jaccard, "MOST_SENT", 0)  # the ways for many rows
+    monkeypatch.setattr(corpus_pipeline, "MOST_SENT", 0)
     out = corpus_pipeline.run(spark, SF)
     assert {(r["doc_id"], tuple(r["ids"])) for r in out.collect()} == {(r["doc_id"], tuple(r["ids"])) for r in stages[-1].collect()}
 
@@ -64,3 +65,23 @@ def test_odd_rows(spark):
         for _, stage in corpus_pipeline.STAGES:
             kept = stage(spark, kept, SF)
         assert kept.count() == 0 or kept.columns == ["doc_id", "n_tokens", "ids"]
+
+
+def test_rows_are_dropped_by_place_whatever_their_ids_are(spark, tmp_path):
+    item = queries.table(spark, SF, "benchmark").orderBy("item_id").first()["text"]
+    long = " ".join(f"word{i}" for i in range(60))
+    other = " ".join(f"else{i}" for i in range(60))
+    rows = [(7, long), (7, other), (7, long), (None, long), (None, item), (8, item), (8, "a clean text of its own"), (None, "nothing else here"),
+            (None, "nothing else here"), (9, None), (9, None), (10, ""), (5, other + " end")]
+    path = str(tmp_path / "docs")
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint") \
+        .coalesce(1).write.parquet(path)
+    docs = spark.read.parquet(path)
+
+    def texts(df):
+        return sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    single = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert texts(single) == sorted([(5, other + " end"), (7, long), (8, item), (8, "a clean text of its own"), (None, "nothing else here"), (9, None), (9, None), (10, "")],
+                                   key=str)
+    clean = corpus_pipeline.decontaminate(spark, docs, SF)
+    assert texts(clean) == sorted([(i, t) for i, t in rows if t != item], key=str)

@@ -1,5 +1,6 @@
 import random
 import re
+import unicodedata
 
 import numpy as np
 from cases import edge, empty
@@ -7,9 +8,16 @@ from cases import edge, empty
 from assayer.llm import queries, seeds
 
 
+def words_of(text):
+    lower = "".join(" " if ord(c) > 127 and (unicodedata.category(c)[0] in "PSZ" or ord(c) < 160) else c for c in (text or "").lower())
+    return re.findall(r"[0-9a-z\x80-\U0010ffff]+", lower)
+
+
 def brute(text, item):
-    """Best stretch over all diagonals."""
-    a, b = (re.findall(r"[0-9a-z\x80-\U0010ffff]+", (t or "").lower()) for t in (text, item))
+    """Best stretch over all diagonals; of an unchanged item it is the whole."""
+    a, b = words_of(text), words_of(item)
+    if len(b) < 4:
+        return len(b) if a == b else 0
     best = 0
     for d in range(-len(b) + 1, len(a)):
         same = [a[i] == b[i - d] for i in range(max(0, d), min(len(a), d + len(b)))]
@@ -49,27 +57,13 @@ def test_exact_passages_are_all_found(spark):
     out = seeds.overlaps(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", "text",
                          spark.createDataFrame(items, "item_id int, text string"), "item_id", "text").collect()
     want = sorted((i, k, n) for i, t in rows for k, x in items if (n := brute(t, x)))
-    assert sorted((r["doc_id"], r["item_id"], r["n_matched"]) for r in out) == want and len(want) >= 30
+    assert sorted((r["doc_id"], r["item_id"], r["n_matched"]) for r in out) == want and len(want) >= 26
     texts = dict(rows)
     for r in out:
         words = re.findall(r"\w+", texts[r["doc_id"]].lower())[r["word_start"]:r["word_end"]]
         assert sum(w in dict(items)[r["item_id"]].split() for w in words) >= r["n_matched"]
 
 
-def test_substitutions_are_mostly_found_and_nothing_else(spark, monkeypatch):
-    monkeypatch.setattr(seeds, "BLOCK_CHARS", 300)  # several blocks
-    found = total = 0
-    for seed in (2, 3):
-        rows, items = made(seed, 0.08)
-        out = seeds.overlaps(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", "text",
-                             spark.createDataFrame(items, "item_id int, text string"), "item_id", "text").collect()
-        want = {(i, k) for i, t in rows for k, x in items if brute(t, x)}
-        got = {(r["doc_id"], r["item_id"]) for r in out}
-        assert got <= want
-        found, total = found + len(got), total + len(want)
-    assert found >= 0.93 * total
-
-
 def test_substitutions_near_the_ends_do_not_hide_an_item(spark):
     item = [f"i{k}" for k in range(15)]
     changed = [f"x{k}" if k in (1, 13) else w for k, w in enumerate(item)]  # 13 of 15 match, 11 of them in a row
@@ -91,7 +85,9 @@ def test_best_stretch_has_the_most_matches_of_all_with_the_share():
 
 def stated(text, item):
     """Whether any stretch of any diagonal meets both bounds."""
-    a, b = (re.findall(r"[0-9a-z\x80-\U0010ffff]+", (t or "").lower()) for t in (text, item))
+    a, b = words_of(text), words_of(item)
+    if len(b) < 4:
+        return bool(b) and a == b
     for d in range(-len(b) + 1, len(a)):
         runs = np.cumsum([0, *(a[i] == b[i - d] for i in range(max(0, d), min(len(a), d + len(b))))])
         matched, length = runs[None, :] - runs[:, None], np.arange(len(runs))[None, :] - np.arange(len(runs))[:, None]
@@ -100,7 +96,8 @@ def stated(text, item):
     return False
 
 
-def test_substituted_passages_are_those_of_the_stated_rule(spark):
+def test_substituted_passages_are_those_of_the_stated_rule(spark, monkeypatch):
+    monkeypatch.setattr(seeds, "BLOCK_CHARS", 300)  # several blocks
     found = total = 0
     for seed in (2, 3):
         rows, items = made(seed, 0.08)
@@ -130,3 +127,12 @@ def test_query_finds_the_planted_passages(spark):
     whole = {(i, k) for i, t in docs.items() for k, x in items.items() if f" {x} " in f" {t} "}
     got = {(r["doc_id"], r["item_id"]) for r in queries.QUERIES["op5_decontamination"](spark, sf).collect()}
     assert whole and whole <= got
+
+
+def test_signs_of_any_script_end_words_and_short_items_are_whole_texts(spark):
+    rows = [(1, "alpha beta gamma delta epsilon zeta"), (2, "\u201calpha beta\u201d \u2014 gamma\u2026delta epsilon\u3000zeta\u3002"), (3, "The one"), (4, "the"),
+            (5, "so the one goes"), (6, "THE, one!"), (7, "caf\u00e9 \u0939\u093f\u0928\u094d\u0926\u0940 x y")]
+    items = [(1, "\u201calpha beta gamma delta epsilon zeta\u201d"), (2, "the"), (3, "the one"), (4, "caf\u00e9 \u0939\u093f\u0928\u094d\u0926\u0940 x y")]
+    out = seeds.overlaps(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", "text",
+                         spark.createDataFrame(items, "item_id int, text string"), "item_id", "text").collect()
+    assert sorted((r["doc_id"], r["item_id"], r["n_matched"]) for r in out) == [(1, 1, 6), (2, 1, 6), (3, 3, 2), (4, 2, 1), (6, 3, 2), (7, 4, 4)]
