@@ -23,7 +23,7 @@ from ..session import materialise
 from .words import LOWER, find_words, flat, groups, hash_words
 
 #: Bytes of text that are cut into words at once, words of a row of a relation, and keys that are counted at once.
-TOGETHER, RUN, COUNTED = 1 << 20, 1_000, 2_000_000
+TOGETHER, RUN, COUNTED = 1 << 20, 250, 1_000_000
 #: Frequent phrases of a round that still go to every task (12 bytes each; words with their letters).
 MOST_SENT = 2_000_000
 #: Numbers of phrases have 31 bits.
@@ -246,17 +246,20 @@ def group_counts(relation: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
-        def counted() -> pa.RecordBatch:
+        def counted() -> Iterator[pa.RecordBatch]:
             keys, n = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["key", "n"])
+            for at in range(0, len(keys), 100_000):  # small batches for the way back
+                part = slice(at, at + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[part]), pa.array(n[part])], ["key", "n"])
 
         for batch in batches:
-            held.append(extended(*_columns(batch), k)[1])
-            if sum(map(len, held)) > COUNTED:
-                yield counted()
+            for at in range(0, batch.num_rows, 2_000):
+                held.append(extended(*_columns(batch.slice(at, 2_000)), k)[1])
+                if sum(map(len, held)) > COUNTED:
+                    yield from counted()
         if held:
-            yield counted()
+            yield from counted()
 
     return relation.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
 
@@ -272,7 +275,7 @@ def next_relation(relation: DataFrame, phrases: DataFrame, k: int, most_sent: in
             keys, ids = sent.value
             if not len(keys):
                 return
-            for batch in batches:
+            for batch in (b.slice(i, 2_000) for b in batches for i in range(0, b.num_rows, 2_000)):
                 place, word, phrase = _columns(batch)
                 starts, found = extended(place, word, phrase, k)
                 at = np.searchsorted(keys, found).clip(0, len(keys) - 1)
