@@ -23,6 +23,8 @@ from ..sources.tables import quoted
 
 ROWS_PER_SLICE = 1_000_000
 MAX_SLICES = 65_536
+#: Values that a KLL sketch holds, about, groups of tasks whose sketches are merged first, and rows of all brackets that are read out.
+SKETCH, SKETCH_TREE, READ_OUT = 4_096, 64, 400_000
 _SLICE, _KEY = "_slice", "_slice_key"
 _MAX = sys.float_info.max
 
@@ -202,6 +204,12 @@ def ladder(df: DataFrame, value: str, by: list[str] = (), rows_per_slice: int =
         present = present.where(~F.isnan(v))
     # read by several jobs below, so the counts are written once
     counts = materialise(present.groupBy(*[quoted(b) for b in by], v).agg(F.count("*").alias("n")), "ladder")
+    return rungs(counts, value, by, rows_per_slice)
+
+
+def rungs(counts: DataFrame, value: str, by: list[str] = (), rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+    """The ladder of values that are counted already: group, value and ``n``, one row each."""
+    by = list(by)
     group = by or [F.lit(0)]
     bounds = slice_bounds(counts, value, rows_per_slice)
     if not bounds:
@@ -278,77 +286,126 @@ def grouped_quantiles(df: DataFrame, value: str, by: list[str], probs: dict[str,
     return steps.groupBy(*by).agg(*[c.alias(name) for name, c in zip(probs, _pick(list(probs.values()), value))])
 
 
-def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], keep: int = 20_000,
-                    bins: int = 4096, ranges: dict[str, dict] | None = None) -> dict[str, dict[float, float | None]]:
-    """Exact interpolated quantiles of whole columns, without a shuffle of the data.
+def sketch_error(size: int) -> float:
+    """Rank error, as a share of the rows, that a KLL sketch of the size stays below in 99 of 100 cases."""
+    return 2.296 / size ** 0.9021
+
 
-    Each round counts the values of a bracket in bins and keeps the bin that holds the wanted position, with its
-    true least and greatest value; tied values end a search at once. A bracket of at most ``keep`` rows is read
-    out. The driver sees bin counts and short brackets only, however large the table is. Known ``ranges`` (count, min
-    and max per column) save the first scan.
+def _sketched(typed: DataFrame, columns: int, points: list[list[float]], size: int, known: bool) -> dict:
+    """Count, least and greatest value of every column and its values at the points, about; from one scan.
+
+    Every task sketches its rows, and sketches are merged in two levels, so no task merges more than a root of all of them.
+    """
+    tasks = "_task"
+    cells = [e for i in range(columns) for e in (
+        [F.kll_sketch_agg_double(f"c{i}", F.lit(size)).alias(f"s{i}")]
+        + ([] if known else [F.count(f"c{i}").alias(f"n{i}"), F.min(f"c{i}").alias(f"lo{i}"), F.max(f"c{i}").alias(f"hi{i}")]))]
+    parts = typed.withColumn(tasks, F.pmod(F.spark_partition_id(), F.lit(SKETCH_TREE))).groupBy(tasks).agg(*cells)
+    whole = parts.agg(*[e for i in range(columns) for e in (
+        [F.kll_merge_agg_double(f"s{i}").alias(f"s{i}"), F.max(F.kll_sketch_get_n_double(f"s{i}")).alias(f"any{i}")]
+        + ([] if known else [F.coalesce(F.sum(f"n{i}"), F.lit(0)).alias(f"n{i}"), F.min(f"lo{i}").alias(f"lo{i}"), F.max(f"hi{i}").alias(f"hi{i}")]))])
+    return whole.select(*[c for c in whole.columns if not c.startswith(("s", "any"))], *[
+        F.when(F.col(f"any{i}") > 0, F.kll_sketch_get_quantile_double(f"s{i}", F.array(*[F.lit(float(x)) for x in points[i]]))).alias(f"q{i}")
+        for i in range(columns) if points[i]]).first().asDict()
+
+
+def _counted(typed: DataFrame, brackets: list[list[tuple[float, float]]]) -> DataFrame:
+    """``zone, value, n``: rows by value inside the brackets of each column, and by zone between them (value null).
+
+    The zones of a column go on from those of the column before: below the first bracket, in it, between it and the second, and so on.
+    """
+    cells, first = [], 0
+    for i, own in enumerate(brackets):
+        if own:
+            v = F.col(f"c{i}")
+            zone, value = F.lit(first + 2 * len(own)), F.lit(None).cast("double")
+            for j, (lo, hi) in reversed(list(enumerate(own))):
+                inside = v <= F.lit(hi)
+                zone = F.when(v < F.lit(lo), first + 2 * j).when(inside, first + 2 * j + 1).otherwise(zone)
+                value = F.when(inside & (v >= F.lit(lo)), v).otherwise(value)
+            cells.append(F.struct(F.when(v.isNotNull(), zone).alias("zone"), value.alias("value")))
+        first += 2 * len(own) + 1
+    return typed.select(F.inline(F.array(*cells))).where("zone is not null").groupBy("zone", "value").agg(F.count("*").alias("n"))
+
+
+def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], keep: int = READ_OUT, sketch: int = SKETCH,
+                    ranges: dict[str, dict] | None = None, rows_per_slice: int = ROWS_PER_SLICE) -> dict[str, dict[float, float | None]]:
+    """Exact interpolated quantiles of whole columns in two scans, without a shuffle of the data.
+
+    The first scan sketches every column (KLL, mergeable). A sketch's rank error is known, so its quantiles a little before and after a
+    wanted position make up a bracket that holds it. The second scan counts the rows below and between brackets and the values inside
+    them, each task its own first. Are the rows inside all brackets of all columns at most ``keep``, their values are read out; if not,
+    running totals over the counts pick the answers where they are. A bracket that missed its position, which is rare, is widened
+    and counted again. Known ``ranges`` (count, min and max per column) are not sought again.
     """
     if not cols:
         return {}
     typed = df.select(*[F.when(~F.isnan(quoted(c).cast("double")),
                                clip(quoted(c).cast("double"), -_MAX, _MAX)).alias(f"c{i}")
                         for i, c in enumerate(cols)])
-    if ranges:
-        start = {k: v for i, c in enumerate(cols) for r in (ranges[c],) for k, v in (
-            (f"n{i}", r["count"]), (f"lo{i}", r["min"] and max(r["min"], -_MAX)), (f"hi{i}", r["max"] and min(r["max"], _MAX)))}
-    else:
-        start = typed.agg(*[e for i in range(len(cols)) for e in (
-            F.count(f"c{i}").alias(f"n{i}"), F.min(f"c{i}").alias(f"lo{i}"), F.max(f"c{i}").alias(f"hi{i}"))]).first()
+    known = {k: v for i, c in enumerate(cols) for r in ((ranges or {}).get(c),) if r for k, v in (
+        (f"n{i}", r["count"]), (f"lo{i}", r["min"] and max(r["min"], -_MAX)), (f"hi{i}", r["max"] and min(r["max"], _MAX)))}
+    settled = len(known) == 3 * len(cols)
+    flat = [settled and (not known[f"n{i}"] or known[f"lo{i}"] == known[f"hi{i}"]) for i in range(len(cols))]
+    error = 1.5 * sketch_error(sketch)
+    around = sorted({min(1.0, max(0.0, p + e)) for p in probs for e in (-error, error)})
+    start = known if all(flat) else known | _sketched(typed, len(cols), [[] if f else around for f in flat], sketch, settled)
 
     answers: dict[tuple[int, int], float] = {}
-    # (column, position) -> (least, greatest, rows below, rows inside, bin on a log scale)
-    searches: dict[tuple[int, int], tuple[float, float, int, int, bool]] = {}
+    wanted: dict[int, dict[int, tuple[float, float]]] = {}  # column -> position -> its bracket
+    expected = 0.0
     for i in range(len(cols)):
-        n, lo, hi = start[f"n{i}"], start[f"lo{i}"], start[f"hi{i}"]
+        n, lo, hi = (start[f"{k}{i}"] for k in ("n", "lo", "hi"))
         for p in probs if n else []:
             for position in (math.floor(p * (n - 1)), math.ceil(p * (n - 1))):
-                if lo == hi:
-                    answers[(i, position)] = lo
+                if lo == hi or position in (0, n - 1):
+                    answers[i, position] = hi if position == n - 1 else lo
+                elif n * error < 4:  # about as many rows as a sketch holds
+                    wanted.setdefault(i, {})[position] = lo, hi
                 else:
-                    searches[(i, position)] = (lo, hi, 0, n, False)
+                    points = dict(zip(around, start[f"q{i}"]))
+                    wanted.setdefault(i, {})[position] = (points[p - error] if p > error else lo, points[p + error] if p + error < 1 else hi)
+        expected += sum(min(n, 2 * n * error) for _ in wanted.get(i, ())) if n * error >= 4 else n
 
-    while searches:
-        brackets = sorted({(key[0], *state) for key, state in searches.items()})
-        width = max(64, min(bins, 400_000 // len(brackets)))
-        cells = []
+    while wanted:
+        spans: list[list[tuple[float, float]]] = []
         for i in range(len(cols)):
-            v, tag, cell = F.col(f"c{i}"), F.lit(None).cast("int"), F.lit(None).cast("double")
-            for j, (col, lo, hi, _, size, log_scale) in enumerate(brackets):
-                if col != i:
-                    continue
-                inside = v.between(lo, hi)
-                share = (v / 2 - lo / 2) / (hi / 2 - lo / 2)
-                if log_scale:
-                    share = F.log1p(share * 1e15) / math.log1p(1e15)
-                tag = F.when(inside, j).otherwise(tag)
-                cell = F.when(inside, v if size <= keep else F.least(F.floor(share * width), F.lit(width - 1))
-                              .cast("double")).otherwise(cell)
-            if any(b[0] == i for b in brackets):
-                cells.append(F.struct(tag.alias("j"), cell.alias("cell"), v.alias("v")))
-        counted = (typed.select(F.inline(F.array(*cells))).where("j is not null")
-                   .groupBy("j", "cell").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-                   .collect())
-        found: dict[int, list] = {}
-        for r in counted:
-            found.setdefault(r["j"], []).append((r["lo"], r["hi"], r["n"]))
-        for key, state in list(searches.items()):
-            left = key[1] - state[2]
-            below = state[2]
-            for lo, hi, n in sorted(found[brackets.index((key[0], *state))]):
-                if left >= n:
-                    left, below = left - n, below + n
-                    continue
-                if lo == hi:
-                    answers[key] = lo
-                    del searches[key]
+            own: list[tuple[float, float]] = []
+            for lo, hi in sorted(wanted.get(i, {}).values()):
+                if own and lo <= own[-1][1]:
+                    own[-1] = (own[-1][0], max(hi, own[-1][1]))
                 else:
-                    # a bin that kept most rows is binned on the other scale next
-                    searches[key] = (lo, hi, below, n, state[4] != (n > state[3] / 8))
-                break
+                    own.append((lo, hi))
+            spans.append(own)
+        counts = _counted(typed, spans)
+        few = expected <= keep
+        if not few:
+            counts = materialise(counts, "brackets")
+            few = counts.count() <= keep
+        totals: dict[int, int] = {}
+        values: dict[int, list[tuple[float, int]]] = {}
+        for r in (counts if few else counts.groupBy("zone").agg(F.lit(None).cast("double").alias("value"), F.sum("n").alias("n"))).collect():
+            totals[r["zone"]] = totals.get(r["zone"], 0) + r["n"]
+            if r["value"] is not None:
+                values.setdefault(r["zone"], []).append((r["value"], r["n"]))
+        # where each position lies: its zone and the rows of the zone before it
+        places, first = {}, 0
+        for i, own in enumerate(spans):
+            for position in list(wanted.get(i, {})):
+                left, zone = position, first
+                while left >= totals.get(zone, 0):
+                    left -= totals.get(zone, 0)
+                    zone += 1
+                if (zone - first) % 2:
+                    places[i, position] = (zone, left)
+                else:  # missed: from here on the bracket reaches to the ends
+                    wanted[i][position] = start[f"lo{i}"], start[f"hi{i}"]
+                    expected += start[f"n{i}"]
+            first += 2 * len(own) + 1
+        answers |= _inside(values, places) if few else _distributed(counts, places, rows_per_slice)
+        for i, position in places:
+            del wanted[i][position]
+        wanted = {i: own for i, own in wanted.items() if own}
 
     result: dict[str, dict[float, float | None]] = {}
     for i, c in enumerate(cols):
@@ -363,3 +420,23 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], keep: in
                     for v in (answers[(i, math.floor(at))], answers[(i, math.ceil(at))]))
             result[c][p] = x if x == y else x + (y - x) * (at - math.floor(at))
     return result
+
+
+def _inside(values: dict[int, list[tuple[float, int]]], places: dict) -> dict[tuple[int, int], float]:
+    """Values at the places, from the counts of their brackets."""
+    answers, ordered = {}, {zone: sorted(found) for zone, found in values.items()}
+    for key, (zone, left) in places.items():
+        for value, n in ordered[zone]:
+            if left < n:
+                answers[key] = value
+                break
+            left -= n
+    return answers
+
+
+def _distributed(counts: DataFrame, places: dict, rows_per_slice: int) -> dict[tuple[int, int], float]:
+    """The same by running totals over the counts; one row comes back for each place."""
+    steps = rungs(counts.where("value is not null"), "value", ["zone"], rows_per_slice)
+    asked = counts.sparkSession.createDataFrame([(*key, *place) for key, place in places.items()], "i int, position bigint, zone int, at bigint")
+    found = steps.join(F.broadcast(asked), "zone").where("before <= at and at < before + n").select("i", "position", "value").collect()
+    return {(r["i"], r["position"]): r["value"] for r in found}

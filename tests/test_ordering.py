@@ -45,19 +45,47 @@ def test_grouped_quantiles(data, rows_per_slice):
     np.testing.assert_allclose(got.to_numpy(), want.to_numpy())
 
 
-@pytest.mark.parametrize("keep, bins", [(20_000, 4096), (10, 64)])
-def test_exact_quantiles(spark, data, keep, bins):
+@pytest.mark.parametrize("keep, sketch", [(400_000, 4_096), (0, 8), (20, 8), (400_000, 64)])
+def test_exact_quantiles(spark, data, keep, sketch):
     pdf, df = data
     probs = [0, 0.1, 0.25, 0.5, 0.77, 1]
     rng = np.random.default_rng(0)
     wide = np.concatenate([10.0 ** rng.uniform(-300, 300, 800), -10.0 ** rng.uniform(-300, 300, 500)])
-    got = O.exact_quantiles(df, ["k", "v"], probs, keep, bins)
+    got = O.exact_quantiles(df, ["k", "v"], probs, keep, sketch, rows_per_slice=100)
     for c in ("k", "v"):
         np.testing.assert_allclose([got[c][p] for p in probs], pdf[c].quantile(probs))
-    got = O.exact_quantiles(spark.createDataFrame([(float(x),) for x in wide], "x double"), ["x"], probs, keep, bins)["x"]
+    got = O.exact_quantiles(spark.createDataFrame([(float(x),) for x in wide], "x double"), ["x"], probs, keep, sketch)["x"]
     np.testing.assert_allclose([got[p] for p in probs], np.quantile(wide, probs), rtol=1e-9)
 
 
+def test_quantiles_of_a_large_table_take_two_scans_and_few_rows(spark, monkeypatch):
+    n, scans, read = 400_000, [], []
+    df = spark.range(n, numPartitions=16).selectExpr("id", "cast(id * 7919 % 400009 as double) as a", "case when id % 3 = 0 then 5.0 else sqrt(id) end as b",
+                                                     "case when id % 10 > 0 then id % 1000 end as c")
+    sketched, counted, inside = O._sketched, O._counted, O._inside
+    monkeypatch.setattr(O, "_sketched", lambda *a: scans.append("sketch") or sketched(*a))
+    monkeypatch.setattr(O, "_counted", lambda *a: scans.append("count") or counted(*a))
+    monkeypatch.setattr(O, "_inside", lambda v, p: read.append(sum(map(len, v.values()))) or inside(v, p))
+    probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.999, 1.0]
+    got = O.exact_quantiles(df, ["a", "b", "c"], probs)
+    pdf = df.toPandas()
+    for c in "abc":
+        np.testing.assert_allclose([got[c][p] for p in probs], pdf[c].astype(float).quantile(probs))
+    assert scans == ["sketch", "count"] and read[0] < 0.05 * 3 * n
+    # the way for brackets that are too many to read out
+    scans.clear()
+    few = O.exact_quantiles(df, ["a", "b", "c"], probs, keep=100, rows_per_slice=1_000)
+    assert few == got and scans == ["sketch", "count"] and len(read) == 1
+
+
+def test_a_bracket_that_misses_is_widened(spark, monkeypatch):
+    monkeypatch.setattr(O, "sketch_error", lambda size: 1e-6)
+    df = spark.range(20_000).selectExpr("cast(id * 7919 % 20011 as double) as a")
+    probs = [i / 20 for i in range(21)]
+    got = O.exact_quantiles(df, ["a"], probs, sketch=8)["a"]
+    np.testing.assert_allclose([got[p] for p in probs], df.toPandas()["a"].quantile(probs))
+
+
 def test_string_order_slices(spark):
     df = spark.createDataFrame([(f"n{i * 7919 % 1000:04d}", 1.0) for i in range(1000)], "s string, v double")
     got = O.running_sum(df, "v", ["s"], rows_per_slice=50).orderBy("s").toPandas()["cumsum"]
