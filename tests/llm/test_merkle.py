@@ -1,8 +1,10 @@
 import hashlib
 import random
+import time
 
 import pytest
 from cases import TEXTS, edge, empty, frame
+from pyspark.sql import functions as F
 
 from assayer.llm import merkle
 
@@ -85,3 +87,43 @@ def test_likeness_does_not_jump_with_the_length():
         for kept in (length * 2 // 3, length * 9 // 10, length - 40):
             near = merkle.likeness(merkle.Tree(text).fingerprint(), merkle.Tree(text[:kept]).fingerprint())
             assert 2 * kept / (length + kept) >= near > 2 * (kept - merkle.LONGEST) / (length + kept)
+
+
+@pytest.mark.parametrize("sign", [" ", "!", "-", "x", "\n", "é", ". "])
+def test_long_runs_of_a_sign_take_little_time(sign):
+    text = "a." + sign * 100_000 + "b"
+    began = time.time()
+    tree = merkle.Tree(text)
+    near = merkle.likeness(tree.fingerprint(), merkle.Tree(text + "c").fingerprint())
+    assert time.time() - began < 2 and near > (0.99 if sign != "\n" else 0)
+    assert max(b - a for _, a, b in tree.leaves) <= merkle.LONGEST and "".join(text[a:b] for _, a, b in tree.leaves) == text.replace("\n", "")
+
+
+def test_one_id_for_many_texts_is_cut_into_slices(spark):
+    rng = random.Random(4)
+    rows = [(7 if i % 3 else i if i % 2 else None, " ".join(rng.choice("abcdef") for _ in range(8))) for i in range(900)]
+    df = frame(spark, rows)
+    out = merkle.edit_test(df, "doc_id", "text").select("doc_id", "n_chars", "edited_sha256").collect()
+    hashed = {(r["doc_id"], r["text"]): r["h"] & (1 << 64) - 1 for r in df.withColumn("h", F.xxhash64("text")).collect()}
+    ordered = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashed[r], r[1]))
+    want = [(k, len(t), hashlib.sha256(merkle.edited(t, ordered[(i + 1) % len(ordered)][1]).encode()).hexdigest()) for i, (k, t) in enumerate(ordered)]
+    assert order(tuple(r) for r in out) == order(want)
+    source = merkle._source(df, "doc_id", "text").withColumn("hash", F.xxhash64("text"))
+    sizes = source.groupBy(merkle._slices(source, 32)).count().collect()
+    assert max(r["count"] for r in sizes) < 150
+
+
+def test_likeness_opens_only_branches_that_differ():
+    """Equal to the overlap of bags of leaves where no leaf moves between branches; a moved section still counts."""
+    parts = [f"# part {i}\n" + "".join(f"Line {i} {j} says something of its own.\n" for j in range(30)) for i in range(6)]
+    a, b = "".join(parts), "".join(parts[3:] + parts[:3])
+    assert merkle.likeness(merkle.Tree(a).fingerprint(), merkle.Tree(b).fingerprint()) > 0.9
+    tree = merkle.Tree(a).levels()
+    read = merkle.Levels.read(merkle.Tree(a).fingerprint())
+    assert all((getattr(tree, n) == getattr(read, n)).all() if n != "root" else tree.root == read.root for n in merkle.Levels.__slots__)
+
+
+def test_trees_of_many_texts_are_those_of_single_ones(monkeypatch):
+    monkeypatch.setattr(merkle, "TOGETHER", 50)
+    texts = ["", "\n", "a b", "", "one. two, three!\n\n# x\n y", "z" * 99, " ", "é\U0001f600 \x00"]
+    assert [t.fingerprint() for t in merkle.grow(texts)] == [merkle.Tree(t).fingerprint() for t in texts]
