@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..operators import associations as A
 from . import check, keyed, rounded, table
-from .statistics import LINE
+from .statistics import LINE, WIDE, _wide
 from .verbs import GAPPY, _gappy
 
 NUMBERS, GROUPS = ["o_custkey", "o_totalprice"], ["o_orderstatus", "o_orderpriority"]
@@ -67,6 +67,11 @@ check("spearman_with_gaps", " union all ".join(
     f"select {i} as i, {j} as j, round({spearman_sql(GAPPY, a, b)}, 6) + 0 as rho" for i, j, a, b in (
         (0, 1, "event_id", "user_id"), (0, 2, "event_id", "value"), (1, 2, "user_id", "value"))))(
     lambda s, d: rounded(A.spearman_pairs(_gappy(s, d).withColumn("_row_id", F.col("event_id")), ["event_id", "user_id", "value"])))
+_MASKED = ["l_quantity", "l_extendedprice_7", "l_partkey_7", "l_quantity_13", "l_suppkey_13", "late"]
+check("spearman_with_gap_patterns", f"with w as materialized (select {', '.join(f'{WIDE[c]} as {c}' for c in _MASKED)} from lineitem) " + " union all ".join(
+    f"select {i} as i, {j} as j, round({spearman_sql('w', a, b)}, 6) + 0 as rho"
+    for i, a in enumerate(_MASKED) for j, b in enumerate(_MASKED) if i < j))(
+    lambda s, d: rounded(A.spearman_pairs(_wide(s, d, row_id=True), _MASKED)))
 check("eta_part", f"select 0 as i, 0 as j, round({eta_sql('part', 'p_type', 'p_retailprice')}, 6) as eta union all "
       f"select 1, 0, round({eta_sql('part', 'p_brand', 'p_retailprice')}, 6)")(
     lambda s, d: rounded(A.correlation_ratios(table(s, d, "part"), ["p_type", "p_brand"], ["p_retailprice"])))

@@ -1,18 +1,24 @@
 """Associations between columns of any role."""
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
 from ..sources.tables import ROW_ID, quoted
-from .ordering import ROWS_PER_SLICE, ladder, lookup
+from .ordering import ROWS_PER_SLICE, ladder, lookup, running_weights
 from .roles import BOOLEAN, CATEGORICAL, NUMERIC
 from .stats import as_numbers, column_ranges, correlation_pairs
 
 MIN_PAIR_ROWS = 5
 RANKED_LIMIT = 40
 LOOKUP_ROWS = 250_000
+#: Patterns of gaps that are still ranked one by one.
+MOST_MASKS = 64
 SCHEMA = ("kind_order int, i int, j int, left string, right string, kind string, method string, "
           "strength double, secondary double, label string")
 
@@ -22,16 +28,23 @@ def strength_label(c: Column) -> Column:
     return (F.when(a >= 0.7, "strong").when(a >= 0.4, "moderate").when(a >= 0.2, "weak").otherwise("negligible"))
 
 
-def _with_ranks(x: DataFrame, sets: list[Column], rows_per_slice: int, lookup_rows: int = LOOKUP_ROWS) -> DataFrame:
-    """One row per input row with its centred average ranks k0, k1, … (one per rank set).
-
-    Ladders of value counts are built for all sets at once. Those with few distinct values are looked up from a
-    broadcast map without moving a row; the others are joined by value in long form and folded back by row.
-    """
-    long = (x.select("r", F.inline(F.array(*[F.struct(F.lit(g).alias("g"), v.alias("v")) for g, v in enumerate(sets)])))
+def _long(x: DataFrame, sets: list[Column], *keep: str) -> DataFrame:
+    return (x.select(*keep, F.inline(F.array(*[F.struct(F.lit(g).alias("g"), v.alias("v")) for g, v in enumerate(sets)])))
             .where("v is not null"))
-    steps = materialise(ladder(long, "v", ["g"], rows_per_slice).select(
+
+
+def _centred_ranks(x: DataFrame, sets: list[Column], rows_per_slice: int) -> DataFrame:
+    """``g, v, n, rank``: the centred average rank of every value of every rank set; all ladders are built at once."""
+    return materialise(ladder(_long(x, sets, "r"), "v", ["g"], rows_per_slice).select(
         "g", "v", "n", (F.col("before") + (F.col("n") + 1) / 2 - (F.col("total") + 1) / 2).alias("rank")), "ranks")
+
+
+def _with_ranks(x: DataFrame, sets: list[Column], steps: DataFrame, rows_per_slice: int, lookup_rows: int = LOOKUP_ROWS) -> DataFrame:
+    """One row per input row with what ``steps`` (``g, v, n, rank``) has for its values: k0, k1, … (one per rank set).
+
+    Sets with few distinct values are looked up from a broadcast map without moving a row; the others are joined by value in long form
+    and folded back by row.
+    """
     sizes = {r["g"]: r["rows"] for r in steps.groupBy("g").agg(F.count("*").alias("rows")).collect()}
     small, room = [], lookup_rows * 4
     for g in sorted(sizes, key=sizes.get):
@@ -52,7 +65,7 @@ def _with_ranks(x: DataFrame, sets: list[Column], rows_per_slice: int, lookup_ro
     rest = (x.select("r", F.inline(F.array(*[F.struct(F.lit(g).alias("g"), sets[g].alias("v")) for g in large])))
             .where("v is not null"))
     ranked = lookup(rest, steps.where(F.col("g").isin(large)), ["g", "v"], rows_per_slice).select("r", "g", "rank")
-    none = F.lit(None).cast("double")
+    none = F.lit(None).cast(steps.schema["rank"].dataType)
     kept = [F.col(f"k{g}") for g in small]
     folded = ranked.select("r", "g", "rank", *[none.alias(f"k{g}") for g in small]).unionByName(
         x.select("r", F.lit(-1).alias("g"), none.alias("rank"), *kept))
@@ -60,11 +73,73 @@ def _with_ranks(x: DataFrame, sets: list[Column], rows_per_slice: int, lookup_ro
                                    *[F.max(f"k{g}").alias(f"k{g}") for g in small])
 
 
-def spearman_pairs(df: DataFrame, cols: list[str], row_id: str = ROW_ID,
-                   rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+def _masks(x: DataFrame, gaps: list[int], most: int) -> list[str] | None:
+    """The patterns of gaps that rows have, a digit for each column of ``gaps``; none if there are more than ``most``."""
+    found = x.select(_mask(gaps).alias("m")).distinct().limit(most + 1).collect()
+    return sorted(r["m"] for r in found) if len(found) <= most else None
+
+
+def _mask(gaps: list[int]) -> Column:
+    return F.concat(*[F.when(F.col(f"c{i}").isNull(), "0").otherwise("1") for i in gaps])
+
+
+def _masked_ladders(x: DataFrame, columns: int, gaps: list[int], masks: list[str], rows_per_slice: int) -> DataFrame:
+    """``g, v, n, rank`` of every column g: ``rank`` has, for each mask, the rows of that mask below the value and half of those at it.
+
+    Rows are counted by column, mask and value; the ladders of all masks of a column stand side by side over its values.
+    """
+    place = F.map_from_arrays(F.array(*[F.lit(m) for m in masks]), F.array(*[F.lit(k) for k in range(len(masks))]))
+    long = _long(x.withColumn("m", place[_mask(gaps)]), [F.col(f"c{i}") for i in range(columns)], "m")
+    weights = [f"n{k}" for k in range(len(masks))]
+    counts = materialise(long.groupBy("g", "v").agg(F.count("*").alias("n"), *[F.count_if(F.col("m") == k).alias(w) for k, w in enumerate(weights)]), "masked")
+    steps = running_weights(counts, "v", ["g"], weights, rows_per_slice)
+    return materialise(steps.select("g", "v", "n", F.array(*[F.col(f"before_{w}") + F.col(w) / 2 for w in weights]).alias("rank")), "ranks")
+
+
+def _pair_sums(wide: DataFrame, columns: int, gaps: list[int], masks: list[str]) -> DataFrame:
+    """``i, j, xy, xx, yy`` over the complete rows of each pair, of its centred ranks.
+
+    The rank of a value in a pair is the sum of its places in the ladders of the masks that have both columns, less half of the rows
+    that have both; a batch works it out for all pairs from the places, a matrix of masks for each column.
+    """
+    held = np.ones((len(masks), columns), dtype=bool)  # mask x column: present
+    held[:, gaps] = [[d == "1" for d in m] for m in masks]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((3, columns, columns))
+        for batch in batches:
+            mask, size = batch.column(columns).to_numpy(), batch.num_rows
+            ranks = []
+            for i in range(columns):
+                lists = batch.column(i)
+                there = lists.is_valid().to_numpy(zero_copy_only=False)
+                places = np.zeros((size, len(masks)))
+                places[there] = lists.drop_null().flatten().to_numpy().reshape(-1, len(masks))
+                both = (held & held[:, [i]]).astype(np.float64)  # the masks that have i and j
+                ranks.append(places @ both)
+            for i in range(columns):
+                for j in range(i + 1, columns):
+                    rows = held[mask, i] & held[mask, j]
+                    a, b = ranks[i][rows, j] - totals[i, j] / 2, ranks[j][rows, i] - totals[i, j] / 2
+                    sums[:, i, j] += a @ b, a @ a, b @ b
+        i, j = np.triu_indices(columns, 1)
+        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), *[pa.array(s[i, j]) for s in sums]],
+                                         ["i", "j", "xy", "xx", "yy"])
+
+    rows = {r["m"]: r["n"] for r in wide.groupBy("m").agg(F.count("*").alias("n")).collect()}
+    each = np.array([rows.get(k, 0) for k in range(len(masks))], dtype=np.float64)
+    totals = (held * each[:, None]).T @ held
+    return wide.select(*[f"k{i}" for i in range(columns)], "m").mapInArrow(run, "i int, j int, xy double, xx double, yy double") \
+        .groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("xy", "xx", "yy")])
+
+
+def spearman_pairs(df: DataFrame, cols: list[str], row_id: str = ROW_ID, rows_per_slice: int = ROWS_PER_SLICE,
+                   most_masks: int = MOST_MASKS, lookup_rows: int = LOOKUP_ROWS) -> DataFrame:
     """(i, j, rho): Pearson correlation of average ranks over the complete rows of each pair.
 
-    A column without nulls is ranked once for all its pairs; a pair with nulls ranks its own complete rows.
+    Columns without nulls are ranked once for all their pairs. With gaps rows are told apart by the pattern of their gaps: a column has
+    a ladder for each pattern, and the ranks of a pair are sums over the patterns that have both columns, so every row is
+    looked up once a column. Only where patterns outnumber columns or ``most_masks`` does each pair rank its own complete rows.
     Ranks come from value counts, so ties never meet in a sorted group.
     """
     schema = "i int, j int, rho double"
@@ -73,6 +148,17 @@ def spearman_pairs(df: DataFrame, cols: list[str], row_id: str = ROW_ID,
     x = as_numbers(df, cols, [F.col(row_id).alias("r")])
     counts = x.agg(F.count("*").alias("n"), *[F.count(f"c{i}").alias(f"n{i}") for i in range(len(cols))]).first()
     full = {i for i in range(len(cols)) if counts[f"n{i}"] == counts["n"]}
+    gaps = [i for i in range(len(cols)) if i not in full]
+    masks = _masks(x, gaps, min(most_masks, max(2, len(cols)))) if gaps else None
+    if masks:
+        place = F.map_from_arrays(F.array(*[F.lit(m) for m in masks]), F.array(*[F.lit(k) for k in range(len(masks))]))
+        steps = _masked_ladders(x, len(cols), gaps, masks, rows_per_slice)
+        own = [F.col(f"c{i}") for i in range(len(cols))]
+        ranked = _with_ranks(x, own, steps, rows_per_slice, lookup_rows)
+        # the folded form has the ranks only: a column without one is absent
+        digits = F.concat(*[F.when(F.col(f"k{i}").isNull(), "0").otherwise("1") for i in gaps])
+        sums = _pair_sums(materialise(ranked.select(*[f"k{i}" for i in range(len(cols))], place[digits].alias("m")), "placed"), len(cols), gaps, masks)
+        return sums.select("i", "j", F.try_divide("xy", F.sqrt(F.col("xx") * F.col("yy"))).alias("rho"))
     sets: list[tuple[int, Column]] = []
     place: dict[tuple[int, int, int], int] = {}
     shared = {}
@@ -87,7 +173,8 @@ def spearman_pairs(df: DataFrame, cols: list[str], row_id: str = ROW_ID,
         for k, other in ((i, j), (j, i)):
             place[(i, j, k)] = len(sets)
             sets.append((k, F.when(F.col(f"c{other}").isNotNull(), F.col(f"c{k}"))))
-    wide = _with_ranks(x, [v for _, v in sets], rows_per_slice)
+    own = [v for _, v in sets]
+    wide = _with_ranks(x, own, _centred_ranks(x, own, rows_per_slice), rows_per_slice, lookup_rows)
     aggs: dict[str, Column] = {}
     for i, j in pairs:
         a, b = place[(i, j, i)], place[(i, j, j)]

@@ -228,6 +228,21 @@ def rungs(counts: DataFrame, value: str, by: list[str] = (), rows_per_slice: int
             .select(*by, value, "n", "before", "total"))
 
 
+def running_weights(counts: DataFrame, value: str, by: list[str], weights: list[str], rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+    """The rows, one for each group and value, with what the smaller values of the group add up to by each weight (``before_…``)."""
+    bounds = slice_bounds(counts, value, rows_per_slice)
+    if not bounds:
+        smaller = W.partitionBy(*by).orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+        return counts.withColumns({f"before_{w}": F.coalesce(F.sum(w).over(smaller), F.lit(0)) for w in weights})
+    sliced = with_slice(counts, value, bounds)
+    inside = W.partitionBy(*by, _SLICE).orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+    earlier = W.partitionBy(*by).orderBy(_SLICE).rowsBetween(W.unboundedPreceding, -1)
+    joined = _with_carry(sliced, by, [F.sum(w).alias(f"_total_{w}") for w in weights],
+                         [F.coalesce(F.sum(f"_total_{w}").over(earlier), F.lit(0)).alias(f"_earlier_{w}") for w in weights])
+    return joined.withColumns({f"before_{w}": F.col(f"_earlier_{w}") + F.coalesce(F.sum(w).over(inside), F.lit(0)) for w in weights}) \
+        .drop(_SLICE, *[f"_earlier_{w}" for w in weights])
+
+
 def lookup(df: DataFrame, table: DataFrame, on: list[str], hot_rows: int = ROWS_PER_SLICE) -> DataFrame:
     """Left join to a table that is unique on ``on`` and has the row count of each key in ``n``.
 

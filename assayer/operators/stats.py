@@ -1,6 +1,11 @@
 """Numeric summaries, normality verdicts and linear correlation."""
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,7 +18,10 @@ from .ordering import exact_quantiles
 QUARTILES = [0.25, 0.5, 0.75]
 NORMALITY_SAMPLE = 5_000
 TOP_PAIRS = 15
+#: Pairs whose sums are still written out as one aggregate; wider tables take blocks of matrix products.
 PAIRS_PER_PASS = 200
+#: Groups of tasks whose blocks are added first, and rows of a batch that are multiplied at once.
+BLOCK_TREE, BLOCK_ROWS = 64, 8_192
 
 
 def as_numbers(df: DataFrame, cols: list[str], keep: list[str] = ()) -> DataFrame:
@@ -111,57 +119,113 @@ def normality_verdict(df: DataFrame, cols: list[str], counts: dict[str, int] | N
     return shapiro_wilk(capped_sample(df, cols, counts, row_id=row_id), "column", "value")
 
 
-def correlation_pairs(df: DataFrame, cols: list[str], ranges: dict | None = None) -> DataFrame:
-    """(i, j, a, b, n, r) for every column pair; r is null where undefined.
+_SUMS = ("n", "x", "y", "xx", "yy", "xy")
+
+
+def gram_blocks(x: DataFrame, columns: int) -> DataFrame:
+    """``i`` and for every column j, as arrays, sums over the rows that have both: n, x, y, xx, yy, xy (x of column i, y of j).
 
-    Centred product sums over pairwise complete rows, all pairs of a pass in one aggregate.
+    One scan for all pairs: with values X (0 where absent) and presence M, a batch adds the products MᵀM, XᵀM, MᵀX, X²ᵀM, MᵀX² and XᵀX.
+    A task keeps one block, and blocks are added in two levels.
+    """
+    names = [f"c{i}" for i in range(columns)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK_ROWS):
+                part = batch.slice(at, BLOCK_ROWS)
+                values = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.float64) for c in part.columns[:columns]])
+                there = ~np.isnan(values)
+                m, v = there.astype(np.float64), np.where(there, values, 0.0)
+                w = v * v
+                sums = np.stack([m.T @ m, v.T @ m, m.T @ v, w.T @ m, m.T @ w, v.T @ v])
+                total = sums if total is None else total + sums
+        if total is not None:
+            rows = pa.array(np.arange(columns, dtype=np.int32))
+            offsets = pa.array(np.arange(columns + 1, dtype=np.int32) * columns)
+            yield pa.RecordBatch.from_arrays([rows, *[pa.ListArray.from_arrays(offsets, pa.array(t.ravel())) for t in total]], ["i", *_SUMS])
+
+    schema = "i int, " + ", ".join(f"{k} array<double>" for k in _SUMS)
+
+    def added(df: DataFrame, *keys: str) -> DataFrame:
+        zeros = F.array_repeat(F.lit(0.0), columns)
+        return df.groupBy(*keys).agg(*[F.aggregate(F.collect_list(k), zeros, lambda a, b: F.zip_with(a, b, lambda p, q: p + q)).alias(k) for k in _SUMS])
+
+    blocks = x.select(*names).mapInArrow(run, schema).withColumn("_task", F.pmod(F.spark_partition_id(), F.lit(BLOCK_TREE)))
+    return added(added(blocks, "i", "_task"), "i")
+
+
+def _centre(found: dict) -> float:
+    """The mean to take away, unless values without end left none."""
+    mean = found["mean"]
+    return mean if mean is not None and math.isfinite(mean) else 0.0
+
+
+def _correlated(sums: dict[str, Column], flat: Column, n: Column) -> tuple[Column, Column]:
+    """Correlation (null where undefined) and covariance from the sums of a pair."""
+    sx, sy, sxx, syy, sxy = (sums[k] for k in ("x", "y", "xx", "yy", "xy"))
+    vx, vy = sxx - F.try_divide(sx * sx, n), syy - F.try_divide(sy * sy, n)
+    cxy = sxy - F.try_divide(sx * sy, n)
+    defined = ~flat & (vx > sxx * 1e-12) & (vy > syy * 1e-12)
+    r = F.when(defined, F.greatest(F.least(cxy / F.sqrt(vx * vy), F.lit(1.0)), F.lit(-1.0)))
+    return r, F.when(n > 1, cxy / (n - 1))
+
+
+def correlation_pairs(df: DataFrame, cols: list[str], ranges: dict | None = None, per_pass: int = PAIRS_PER_PASS) -> DataFrame:
+    """(i, j, a, b, n, r) for every column pair; r is null where undefined. Infinite values count as absent.
+
+    Centred product sums over pairwise complete rows, in one scan for all pairs: one aggregate of a narrow table, blocks of
+    matrix products (``gram_blocks``) of a wide one.
     """
     schema = "i int, j int, a string, b string, n bigint, r double, cov double"
     if len(cols) < 2:
         return df.sparkSession.createDataFrame([], schema)
     ranges = ranges or column_ranges(df, cols)
+    endless = [r["count"] and math.inf in (r["max"], -r["min"]) for r in (ranges[c] for c in cols)]
     x = as_numbers(df, cols)
-    rows = max((r["count"] for r in ranges.values()), default=0)
-    full = x.count() == min(r["count"] for r in ranges.values()) if rows else False
-    x = x.select(*[(F.col(f"c{i}") - F.lit(ranges[c]["mean"] or 0.0)).alias(f"c{i}") for i, c in enumerate(cols)])
+    x = x.select(*[F.when(F.abs(f"c{i}") < math.inf, F.col(f"c{i}")).alias(f"c{i}") if e else f"c{i}" for i, e in enumerate(endless)])
     pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
-    out = None
-    for start in range(0, len(pairs), PAIRS_PER_PASS):
-        chunk = pairs[start:start + PAIRS_PER_PASS]
-        aggs: dict[str, Column] = {}
-        for i, j in chunk:
-            a, b = F.col(f"c{i}"), F.col(f"c{j}")
-            aggs[f"xy_{i}_{j}"] = F.sum(a * b)
-            if full:
-                for k in (i, j):
-                    aggs[f"x_{k}"] = F.sum(f"c{k}")
-                    aggs[f"xx_{k}"] = F.sum(F.col(f"c{k}") * F.col(f"c{k}"))
-            else:
-                pa, pb = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
-                aggs[f"n_{i}_{j}"] = F.count(pa)
-                aggs[f"x_{i}_{j}"], aggs[f"y_{i}_{j}"] = F.sum(pa), F.sum(pb)
-                aggs[f"xx_{i}_{j}"], aggs[f"yy_{i}_{j}"] = F.sum(pa * pa), F.sum(pb * pb)
-        total = x.agg(*[e.alias(k) for k, e in aggs.items()])
-        cells = []
-        for i, j in chunk:
-            ra, rb = ranges[cols[i]], ranges[cols[j]]
-            if full:
-                n = F.lit(rows).cast("bigint")
-                sx, sy, sxx, syy = F.col(f"x_{i}"), F.col(f"x_{j}"), F.col(f"xx_{i}"), F.col(f"xx_{j}")
-            else:
-                n = F.col(f"n_{i}_{j}")
-                sx, sy, sxx, syy = (F.col(f"{k}_{i}_{j}") for k in ("x", "y", "xx", "yy"))
-            vx, vy = sxx - F.try_divide(sx * sx, n), syy - F.try_divide(sy * sy, n)
-            cxy = F.col(f"xy_{i}_{j}") - F.try_divide(sx * sy, n)
-            flat = ra["min"] == ra["max"] or rb["min"] == rb["max"]
-            defined = F.lit(not flat) & (vx > sxx * 1e-12) & (vy > syy * 1e-12)
-            r = F.when(defined, F.greatest(F.least(cxy / F.sqrt(vx * vy), F.lit(1.0)), F.lit(-1.0)))
-            cells.append(F.struct(
-                F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(cols[i]).alias("a"), F.lit(cols[j]).alias("b"),
-                n.alias("n"), r.alias("r"), F.when(n > 1, cxy / (n - 1)).alias("cov")))
-        part = total.select(F.inline(F.array(*cells)))
-        out = part if out is None else out.unionByName(part)
-    return out
+    if len(pairs) > per_pass:
+        x = x.select(*[(F.col(f"c{i}") - F.lit(_centre(ranges[c]))).alias(f"c{i}") for i, c in enumerate(cols)])
+        found = gram_blocks(x, len(cols)).select("i", F.posexplode(F.arrays_zip(*_SUMS)).alias("j", "s")).where("j > i").select("i", "j", "s.*")
+        one = F.array(*[F.lit(ranges[c]["min"] == ranges[c]["max"]) for c in cols])
+        names = F.array(*[F.lit(c) for c in cols])
+        n = F.col("n").cast("bigint")
+        r, cov = _correlated({k: F.col(k) for k in _SUMS}, F.coalesce(one[F.col("i")], F.lit(True)) | F.coalesce(one[F.col("j")], F.lit(True)), n)
+        return found.select("i", "j", names[F.col("i")].alias("a"), names[F.col("j")].alias("b"), n.alias("n"), r.alias("r"), cov.alias("cov"))
+    rows = max((r["count"] for r in ranges.values()), default=0)
+    full = x.count() == min(r["count"] for r in ranges.values()) if rows and not any(endless) else False
+    x = x.select(*[(F.col(f"c{i}") - F.lit(_centre(ranges[c]))).alias(f"c{i}") for i, c in enumerate(cols)])
+    aggs: dict[str, Column] = {}
+    for i, j in pairs:
+        a, b = F.col(f"c{i}"), F.col(f"c{j}")
+        aggs[f"xy_{i}_{j}"] = F.sum(a * b)
+        if full:
+            for k in (i, j):
+                aggs[f"x_{k}"] = F.sum(f"c{k}")
+                aggs[f"xx_{k}"] = F.sum(F.col(f"c{k}") * F.col(f"c{k}"))
+        else:
+            pa_, pb = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+            aggs[f"n_{i}_{j}"] = F.count(pa_)
+            aggs[f"x_{i}_{j}"], aggs[f"y_{i}_{j}"] = F.sum(pa_), F.sum(pb)
+            aggs[f"xx_{i}_{j}"], aggs[f"yy_{i}_{j}"] = F.sum(pa_ * pa_), F.sum(pb * pb)
+    total = x.agg(*[e.alias(k) for k, e in aggs.items()])
+    cells = []
+    for i, j in pairs:
+        ra, rb = ranges[cols[i]], ranges[cols[j]]
+        if full:
+            n = F.lit(rows).cast("bigint")
+            sums = {"x": f"x_{i}", "y": f"x_{j}", "xx": f"xx_{i}", "yy": f"xx_{j}"}
+        else:
+            n = F.col(f"n_{i}_{j}")
+            sums = {k: f"{k}_{i}_{j}" for k in ("x", "y", "xx", "yy")}
+        flat = F.lit(ra["min"] == ra["max"] or rb["min"] == rb["max"])
+        r, cov = _correlated({k: F.col(v) for k, v in (sums | {"xy": f"xy_{i}_{j}"}).items()}, flat, n)
+        cells.append(F.struct(
+            F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(cols[i]).alias("a"), F.lit(cols[j]).alias("b"),
+            n.alias("n"), r.alias("r"), cov.alias("cov")))
+    return total.select(F.inline(F.array(*cells)))
 
 
 def top_pairs(pairs: DataFrame, limit: int = TOP_PAIRS) -> DataFrame:

@@ -12,8 +12,9 @@ from pyspark.sql import types as T
 from ..functions.numeric import divide, half_even
 from ..functions.parsing import parse_datetime, parse_number
 from ..functions.text import strip as strip_text
-from ..sources.tables import quoted
-from . import ordering, stats
+from ..session import materialise
+from ..sources.tables import ROW_ID, quoted
+from . import associations, ordering, stats
 
 MAX_RESULT_ROWS = 1_000
 
@@ -315,15 +316,17 @@ def mode(df: DataFrame, name: str) -> DataFrame:
 
 
 def corr(df: DataFrame, cols: list[str], method: str = "pearson", **options) -> DataFrame:
-    """Correlations of columns as a matrix; Spearman's ranks each column over its present values."""
+    """Correlations of columns as a matrix; Spearman's ranks the complete rows of each pair."""
     if method == "pearson":
         return stats.correlation_matrix(df, cols, **options)
     if method != "spearman":
         raise ValueError(f"unknown method {method}")
-    ranked = df
-    for i, c in enumerate(cols):
-        ranked = ordering.average_rank(ranked, c, out=f"_r{i}")
-    return stats.correlation_matrix(ranked.select(*[F.col(f"_r{i}").alias(c) for i, c in enumerate(cols)]), cols, **options)
+    if ROW_ID not in df.columns:  # rows are told apart by the files they are written to
+        df = materialise(df.select(*[quoted(c) for c in cols]), "rows").withColumn(ROW_ID, F.monotonically_increasing_id())
+    found = associations.spearman_pairs(df, cols)
+    names = F.array(*[F.lit(c) for c in cols])
+    pairs = found.select("i", "j", names[F.col("i")].alias("a"), names[F.col("j")].alias("b"), F.col("rho").alias("r"))
+    return stats.correlation_matrix(df, cols, pairs=pairs, **options)
 
 
 cov = stats.covariance_matrix

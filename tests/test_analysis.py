@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from assayer.operators import associations, charts, drift, drivers, outliers, profile, quality, roles, stats
+from assayer.operators import associations, charts, drift, drivers, outliers, profile, quality, roles, stats, verbs
 from assayer.operators.digest import column_facts, facts_frame
 from assayer.plans import report, workflow
 
@@ -91,6 +91,56 @@ def test_correlation_with_gaps_and_constants(frame):
         assert r["rho"] == pytest.approx(both[a].rank().corr(both[b].rank()), abs=1e-12)
 
 
+def _gappy_frame(frame, n=300, endless=False):
+    rng = np.random.default_rng(2)
+    pdf = pd.DataFrame(rng.integers(0, 12, size=(n, 6)).astype(float), columns=list("abcdef"))
+    pdf["f"] = rng.normal(size=n)
+    pdf.loc[rng.random(n) < 0.3, ["b", "c"]] = np.nan
+    pdf.loc[::4, "d"] = np.nan
+    pdf["e"] += 2 * pdf["a"]
+    if endless:
+        pdf.loc[3, "a"] = np.inf
+    rows = [tuple(None if pd.isna(v) else float(v) for v in r) for r in pdf.to_numpy()]
+    return pdf, frame(rows, ", ".join(f"{c} double" for c in "abcdef")).repartition(7)
+
+
+@pytest.mark.parametrize("endless", [False, True])
+def test_blocks_of_products_agree_with_pair_sums(frame, endless):
+    pdf, df = _gappy_frame(frame, endless=endless)
+    pdf["g"] = 2.0
+    df = df.withColumn("g", F.lit(2.0))
+    want, cov = pdf.corr(), pdf.cov()
+    wide, narrow = (sorted(stats.correlation_pairs(df, list("abcdefg"), per_pass=n).collect()) for n in (0, 99))
+    assert len(wide) == 21 and [r[:5] for r in wide] == [r[:5] for r in narrow]
+    for r in wide + narrow:
+        w, c = want.loc[r["a"], r["b"]], cov.loc[r["a"], r["b"]]
+        assert r["n"] == np.isfinite(pdf[[r["a"], r["b"]]]).all(axis=1).sum()
+        assert (r["r"] is None) if math.isnan(w) else r["r"] == pytest.approx(w, abs=1e-12)
+        if not math.isnan(c):
+            assert r["cov"] == pytest.approx(c, abs=1e-10)
+
+
+def test_blocks_need_one_scan_and_no_shuffle_of_rows(frame):
+    _, df = _gappy_frame(frame)
+    plan = stats.correlation_pairs(df, list("abcdef"), per_pass=0)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("Exchange hashpartitioning") <= 2
+    assert stats.correlation_pairs(df.limit(0), list("ab"), per_pass=0).count() == 0
+
+
+@pytest.mark.parametrize("more", [{}, {"rows_per_slice": 3, "lookup_rows": 2}, {"most_masks": 1}, {"lookup_rows": 0}])
+def test_spearman_ranks_the_complete_rows_of_each_pair(frame, more):
+    pdf, df = _gappy_frame(frame)
+    got = {(r["i"], r["j"]): r["rho"] for r in associations.spearman_pairs(df, list("abcdef"), **more).collect()}
+    assert len(got) == 15
+    for (i, j), rho in got.items():
+        both = pdf[["abcdef"[i], "abcdef"[j]]].dropna()
+        assert rho == pytest.approx(both.iloc[:, 0].rank().corr(both.iloc[:, 1].rank()), abs=1e-12)
+    if not more:
+        matrix = {r["column"]: r for r in verbs.corr(df, list("abcdef"), "spearman", decimals=None).collect()}
+        want = pdf.corr("spearman")
+        assert all(matrix[a][b] == pytest.approx(want.loc[a, b], abs=1e-12) for a in "abcdef" for b in "abcdef")
+
+
 def test_eta_and_cramer(frame):
     df = frame([("x", "p", 1.0), ("x", "p", 1.0), ("y", "q", 5.0), ("y", "q", 5.0), (None, "q", 9.0), ("z", None, None)], "a string, b string, v double")
     assert associations.correlation_ratios(df, ["a"], ["v"]).first()["eta"] == pytest.approx(1.0)
