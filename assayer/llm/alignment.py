@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from ..session import materialise
 
 #: Characters that are aligned at once, stretches that a worker remembers, and their characters.
-TOGETHER, REMEMBERED, REMEMBERED_CHARS = 1 << 20, 200_000, 8_000_000
+TOGETHER, REMEMBERED, REMEMBERED_CHARS = 1 << 20, 400_000, 8_000_000
 #: Pairs that still go to every task (20 bytes each); beyond it links meet their counts in a shuffle.
 MOST_SENT = 2_000_000
 
@@ -41,22 +41,36 @@ def _byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class _Numbers(dict):
+    """Numbers of stretches in the order in which they come; ``new`` holds those that are not encoded yet."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        number = self[key] = len(self)
+        self.new.append(key)
+        return number
+
+
 class _Side:
-    """A tokenizer's remembered stretches as an Arrow list array, and its tokens' bytes."""
+    """A tokenizer's remembered stretches as an Arrow list array, and its tokens' bytes; tokens that stand for no bytes have none."""
 
-    def __init__(self, tokens: list[bytes | None]):
-        self.tokens = tokens
-        self.lengths = pa.array([len(t) if t is not None else 0 for t in tokens], pa.int64())
+    def __init__(self, tokens: list[bytes]):
+        self.tokens = pa.array(tokens, pa.binary())
+        self.lengths = pa.array([len(t) for t in tokens], pa.int64())
         self.forget()
 
     def forget(self) -> None:
         self.lists = pa.array([], pa.list_(pa.int32()))
 
-    def add(self, found: list[list[int]]) -> None:
-        self.lists = pa.concat_arrays([self.lists, pa.array(found, self.lists.type)])
-
-    def joined(self, ids: list[int]) -> bytes:
-        return b"".join(self.tokens[i] or b"" for i in ids)
+    def add(self, found: list[list[int]], texts: pa.Array) -> np.ndarray:
+        """Keeps the ids of new stretches; says whose bytes are those of the text."""
+        new = pa.array(found, self.lists.type)
+        self.lists = pa.concat_arrays([self.lists, new])
+        joined = pc.binary_join(pa.ListArray.from_arrays(new.offsets, self.tokens.take(new.values)), b"")
+        return pc.equal(joined, texts).to_numpy(zero_copy_only=False)
 
 
 class Aligner:
@@ -71,15 +85,13 @@ class Aligner:
         self.second = sentencepiece.SentencePieceProcessor(model_file=pieces)
         alphabet = _byte_alphabet()
         written = [self.first.id_to_token(i) for i in range(self.first.get_vocab_size())]
-        self.a = _Side([bytes(alphabet[c] for c in t) if t is not None and all(c in alphabet for c in t) else None for t in written])
+        self.a = _Side([bytes(alphabet[c] for c in t) if t is not None and all(c in alphabet for c in t) else b"" for t in written])
         names = [self.second.id_to_piece(i) for i in range(self.second.vocab_size())]
         other = [self.second.is_control(i) or self.second.is_unknown(i) or self.second.is_unused(i) for i in range(len(names))]
-        self.b = _Side([None if x else bytes([int(p[1:-1], 16)]) if self.second.is_byte(i) else p.replace("▁", " ").encode("utf-8")
+        self.b = _Side([b"" if x else bytes([int(p[1:-1], 16)]) if self.second.is_byte(i) else p.replace("▁", " ").encode("utf-8")
                         for i, (p, x) in enumerate(zip(names, other))])
         self.cuts = not any(re.search("[^▁]▁", p) for p, x in zip(names, other) if not x)
-        self.known: dict[str, int] = {}
-        self.exact: list[bool] = []
-        self.chars = 0
+        self.known, self.exact, self.chars = _Numbers(), np.zeros(0, dtype=bool), 0
         marks = [str(i) for i in range(max(len(written), len(names)))]
         # a token's number with what follows it: "," within its side of a group, "|" or ";" after the side, nothing at the end
         self.written = [m + after for m in marks for after in (",", "|", ";", "")]
@@ -91,24 +103,17 @@ class Aligner:
     def encode(self, stretches: list[str]) -> np.ndarray:
         """Numbers of the stretches among the remembered ones."""
         if len(self.known) > REMEMBERED or self.chars > REMEMBERED_CHARS:
-            self.known, self.exact, self.chars = {}, [], 0
+            self.known, self.exact, self.chars = _Numbers(), np.zeros(0, dtype=bool), 0
             self.a.forget()
             self.b.forget()
-        new: list[str] = []
-        known, out = self.known, np.empty(len(stretches), dtype=np.int64)
-        for i, s in enumerate(stretches):
-            number = known.get(s)
-            if number is None:
-                known[s] = number = len(known)
-                new.append(s)
-            out[i] = number
-        if new:
+        out = np.fromiter(map(self.known.__getitem__, stretches), dtype=np.int64, count=len(stretches))
+        if self.known.new:
+            new, self.known.new = self.known.new, []
             full = [" " + s for s in new]
-            first = [e.ids for e in self.first.encode_batch_fast(full, add_special_tokens=False)]
-            second = self.second.encode(new, num_threads=1)
-            self.exact += [self.a.joined(x) == self.b.joined(y) == s.encode("utf-8") for s, x, y in zip(full, first, second)]
-            self.a.add(first)
-            self.b.add(second)
+            texts = pa.array(full).cast(pa.binary())
+            first = self.a.add([e.ids for e in self.first.encode_batch_fast(full, add_special_tokens=False)], texts)
+            second = self.b.add(self.second.encode(new, num_threads=1), texts)
+            self.exact = np.concatenate([self.exact, first & second])
             self.chars += sum(map(len, new))
         return out
 
@@ -116,7 +121,7 @@ class Aligner:
         """Alignment of the stretches of ``n`` texts (``of`` says of which); None stands for a text whose bytes do not add up."""
         codes = self.encode(stretches)
         bad = np.zeros(n, dtype=bool)
-        bad[of[~np.array(self.exact, dtype=bool)[codes]]] = True
+        bad[of[~self.exact[codes]]] = True
         if bad.any():
             codes, of = codes[~bad[of]], of[~bad[of]]
         sides = []
@@ -193,6 +198,10 @@ class Aligner:
                 yield _State().result()
                 continue
             part: list[str] = []
+            if size + len(text) < TOGETHER:
+                pieces.append((t, self.stretches(text), True))
+                size += len(text) + 1
+                continue
             for stretch in self.stretches(text):
                 part.append(stretch)
                 size += len(stretch) + 1
