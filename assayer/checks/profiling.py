@@ -11,7 +11,7 @@ from ..operators.stats import numeric_summary
 from ..sources import csv as C
 from ..sources.tables import ROW_ID
 from . import check, keyed, rounded, table
-from ..session import scratch_path
+from ..session import materialise, scratch_path
 from .fixtures import DIRTY, dirty
 
 # column -> Spark type of each test table
@@ -165,6 +165,19 @@ def _(s, d):
     return C.read_csv(s, path).drop(ROW_ID)
 
 
+@check("csv_quoted_line_breaks", "select doc_id, text from documents where text is not null and text <> ''")
+def _(s, d):
+    """Texts of documents, line breaks and all, written as quoted fields and read back by several tasks a file."""
+    path, before = scratch_path(s, "csv"), s.conf.get("spark.sql.files.maxPartitionBytes")
+    C.write_csv(table(s, d, "documents").select("doc_id", "text").where("text <> ''").coalesce(2), path)
+    s.conf.set("spark.sql.files.maxPartitionBytes", "256k")
+    try:
+        found = materialise(C.read_csv(s, path, delimiter=",", encoding="UTF-8", multi_line=True), "records")
+    finally:
+        s.conf.set("spark.sql.files.maxPartitionBytes", before)
+    return found.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+
+
 check("na_tokens", f"select order_code, priority, note from {READ}")(
     lambda s, d: C.na_to_null(dirty(s, d).select("order_code", "priority", "note")))
 check("parse_ratios", f"""select count(try_cast(trim(price) as double)) / count(price) as numeric_ratio,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.parsing import null_if_missing
+from .records import read_records
 from .tables import ROW_ID, quoted
 
 CANDIDATES = [",", ";", "\t", "|"]
@@ -98,9 +99,9 @@ def trim_header(df: DataFrame) -> DataFrame:
 
 
 def separators(line: Column, delimiter: str) -> Column:
-    """Separators outside quoted fields."""
+    """Separators outside quoted fields; a quote opens a field at its start only."""
     # doubled quotes go first: a pattern with a choice inside its loop overruns the stack on a long field
-    bare = F.regexp_replace(F.replace(line, F.lit('""'), F.lit("")), '"[^"]*+"', "")
+    bare = F.regexp_replace(F.replace(line, F.lit('""'), F.lit("")), f'(^|\\Q{delimiter}\\E)"[^"]*+"', "$1")
     return F.length(bare) - F.length(F.replace(bare, F.lit(delimiter), F.lit("")))
 
 
@@ -132,7 +133,7 @@ def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, encod
 
     An extra column catches overflow: a line is too long when it fills that column, when it parses with exactly
     one field too many (nothing is reported as malformed), or when it has more separators than the header.
-    Quoted line breaks need ``multi_line``, which reads each file in one task.
+    Quoted line breaks need ``multi_line``: two passes over the files, in which every split is a task of its own (``records``).
 
     The files of a folder may have their columns in different orders: each is read by its own header, and columns come in the order of
     the first file by name. A file with other columns or another separator is refused. The separator is found on the first 200 lines.
@@ -146,12 +147,16 @@ def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, encod
     names, orders = _layouts(heads, delimiter) if heads else (header_names(lines[0], delimiter), {})
     fields = [T.StructField(f"f{i}", T.StringType()) for i in range(len(names))]
     schema = T.StructType([*fields, T.StructField(_OVERFLOW, T.StringType()), T.StructField(_RAW, T.StringType())])
-    raw = (spark.read.schema(schema)
-           .options(header=True, sep=delimiter, encoding=encoding, mode="PERMISSIVE", quote='"', escape='"',
-                    columnNameOfCorruptRecord=_RAW, columnPruning=False, multiLine=multi_line,
-                    ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-           .csv(path))
-    numbered = _number_rows(raw)
+    options = {"sep": delimiter, "mode": "PERMISSIVE", "quote": '"', "escape": '"', "columnNameOfCorruptRecord": _RAW,
+               "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    if multi_line:
+        text = F.col("record").cast("string") if encoding == "UTF-8" else F.decode("record", encoding)
+        found = read_records(spark, path, delimiter).where("not header").select("file", "place", text.alias("record")).where(F.trim("record") != "")
+        columns = ", ".join(f"{f.name} string" for f in schema)
+        numbered = found.select(F.col("file").alias("_file"), F.col("place").alias(ROW_ID), F.from_csv("record", columns, options).alias("r")) \
+            .select("r.*", "_file", ROW_ID)
+    else:
+        numbered = _number_rows(spark.read.schema(schema).options(**options, header=True, encoding=encoding, columnPruning=False).csv(path))
     fits = F.col(_OVERFLOW).isNull() & F.col(_RAW).isNotNull() & (separators(F.col(_RAW), delimiter) <= len(names) - 1)
     kept = numbered.where(fits)
     if len(orders) < 2:

@@ -1,7 +1,9 @@
+import random
+
 import pytest
 
 from assayer.operators import roles
-from assayer.sources import catalogue, csv, payloads
+from assayer.sources import catalogue, csv, payloads, records
 from assayer.sources.tables import read_parquet
 
 
@@ -156,3 +158,75 @@ def test_files_with_other_columns_or_separators_are_refused(spark, tmp_path, oth
     write(tmp_path / "b.csv", other)
     with pytest.raises(ValueError, match="b.csv"):
         csv.read_csv(spark, str(tmp_path))
+
+
+def _dealt(spark, size):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+
+
+@pytest.fixture
+def small_splits(spark):
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(n) for n in names]
+    yield lambda size: _dealt(spark, size)
+    for n, v in zip(names, before):
+        spark.conf.set(n, v)
+
+
+def _odd_records(seed, n=250):
+    """Records as fields and as text: line breaks, separators and quotes inside fields, quotes inside bare fields, blank lines."""
+    rng, out, text = random.Random(seed), [], []
+    pieces = ["a", "b,", '""', "\n", "\n\n", "é", "\r\n", " ", "x" * 40, ',"', "'"]
+    for i in range(n):
+        bare = rng.choice(["x", 'in"ch', "5'", "é", 'q""q'])
+        quoted = "".join(rng.choice(pieces) for _ in range(rng.choice([1, 2, 3, 12]))).replace('""', '"')
+        out.append((str(i), bare, quoted))
+        text.append(f'{i},{bare},"{quoted.replace(chr(34), chr(34) * 2)}"' + rng.choice(["\n", "\r\n", "\n\n"]))
+    return out, "k,bare,text\n" + "".join(text)
+
+
+@pytest.mark.parametrize("size", ["37", "200", "1m"])
+@pytest.mark.parametrize("sent", [200_000, 0])
+def test_quoted_line_breaks_across_splits(spark, tmp_path, small_splits, size, sent, monkeypatch):
+    monkeypatch.setattr(csv, "read_records", lambda *a: records.read_records(*a, most_sent=sent))
+    small_splits(size)
+    for seed in (1, 2) if size != "37" else (1,):
+        want, text = _odd_records(seed, 60 if size == "37" else 250)
+        path = write(tmp_path / f"{seed}.csv", text)
+        df = csv.read_csv(spark, path, delimiter=",", encoding="UTF-8", multi_line=True)
+        if size != "1m":
+            assert spark.read.text(path).rdd.getNumPartitions() > 10
+        assert rows(df) == [tuple(v or None for v in r) for r in want]
+        assert [r["text"] for r in df.orderBy("_row_id").collect()] == [r[2] or None for r in csv_rows(text)]
+
+
+def csv_rows(text):
+    """The same by the standard library, as a check of the made text."""
+    import csv as standard
+    import io
+    return [r for r in list(standard.reader(io.StringIO(text, newline="")))[1:] if r]
+
+
+def test_records_of_several_files_and_a_latin_one(spark, tmp_path, small_splits):
+    small_splits("64")
+    (tmp_path / "d").mkdir()
+    write(tmp_path / "d" / "a.csv", 'k,t\n1,"a\nb"\n' + "".join(f'{i},"{"line" + chr(10)}{i}"\n' for i in range(2, 60)))
+    write(tmp_path / "d" / "b.csv", '\n\nk,t\n100,"x\n\ny"\n101,plain\n')
+    got = rows(csv.read_csv(spark, str(tmp_path / "d"), delimiter=",", multi_line=True))
+    assert got == [("1", "a\nb"), *((str(i), f"line\n{i}") for i in range(2, 60)), ("100", "x\n\ny"), ("101", "plain")]
+    latin = csv.read_csv(spark, write(tmp_path / "l.csv", 'k,t\n1,"é\nü"\n'.encode("latin-1")), multi_line=True)
+    assert rows(latin) == [("1", "é\nü")]
+
+
+def test_a_quote_that_is_never_closed_is_refused(spark, tmp_path, small_splits):
+    small_splits("64")
+    path = write(tmp_path / "a.csv", "k,t\n" + "1,x\n" * 50 + '2,"open\n' + "3,y\n" * 50)
+    with pytest.raises(Exception, match="never closed"):
+        csv.read_csv(spark, path, delimiter=",", encoding="UTF-8", multi_line=True).count()
+
+
+def test_state_of_a_line():
+    assert not records.open_after(b'a,"b"', False, b",") and records.open_after(b'a,"b', False, b",")
+    assert records.open_after(b'a,""b', True, b",") and not records.open_after(b'a"', True, b",")
+    assert not records.open_after(b'5" pipe,x"y', False, b",") and records.open_after(b'a"b;"c', True, b";")
