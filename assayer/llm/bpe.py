@@ -11,24 +11,26 @@ from __future__ import annotations
 import base64
 from array import array
 from collections.abc import Iterator, Sequence
-from itertools import chain, islice
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .words import groups
+
 #: Pre-tokens and characters of pre-tokens that a worker remembers; beyond either the memory starts anew.
-REMEMBERED = 600_000
-REMEMBERED_CHARS = 16_000_000
-#: Characters of text that are encoded together.
-TOGETHER = 8_000_000
-#: Bytes of new pre-tokens that share a list, but for a longer single one.
-SHARED = 700_000
-#: Rows of a batch that a worker returns.
+REMEMBERED = 400_000
+REMEMBERED_CHARS = 8_000_000
+#: Characters of text that are encoded together, and rows of a batch that a worker returns.
+TOGETHER = 1_000_000
 ROWS = 256
+#: Bytes of new pre-tokens that share a list, but for a longer single one.
+SHARED = 400_000
 
 
 class RankQueue:
@@ -174,46 +176,51 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class _Numbers(dict):
-    """Numbers its keys as they come."""
+    """Numbers its keys as they come; ``new`` holds those that are not encoded yet."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
 
-    def __missing__(self, key):
+    def __missing__(self, key: str) -> int:
         number = self[key] = len(self)
+        self.new.append(key)
         return number
 
 
 class Codec:
-    """Encoder and decoder for one rank file and one pattern."""
+    """Encoder and decoder for one rank file and one pattern. Ids of remembered pre-tokens stand one after the other in one array."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import regex
         self.merges, self.find = Merges(ranks), regex.compile(pattern).findall
-        self.numbers, self.ids, self.chars = _Numbers(), [], 0
+        self._forget()
 
-    def encode_all(self, texts: list[str]) -> Iterator[list[int]]:
-        """Ids of each text."""
-        group, size = [], 0
-        for text in texts:
-            group.append(text)
-            size += len(text)
-            if size >= TOGETHER:
-                yield from self._group(group)
-                group, size = [], 0
-        yield from self._group(group)
-
-    def _group(self, texts: list[str]) -> Iterator[list[int]]:
+    def _forget(self) -> None:
+        self.numbers, self.ids, self.begins, self.chars = _Numbers(), np.zeros(0, dtype=np.int32), np.zeros(1, dtype=np.int64), 0
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts one after the other, and where each text's begin (with the end at last)."""
         if len(self.numbers) > REMEMBERED or self.chars > REMEMBERED_CHARS:
-            self.numbers, self.ids, self.chars = _Numbers(), [], 0
-        number = self.numbers.__getitem__
-        rows = [array("i", map(number, self.find(text))) for text in texts]
-        new = list(self.numbers)[len(self.ids):] if len(self.numbers) > len(self.ids) else []
-        self.chars += sum(map(len, new))
-        self.ids += self.merges.encode([p.encode("utf-8") for p in new])
-        ids = self.ids.__getitem__
-        for row in rows:
-            yield list(chain.from_iterable(map(ids, row)))
+            self._forget()
+        number, codes, upto = self.numbers.__getitem__, array("i"), [0]
+        for text in texts:
+            codes.extend(map(number, self.find(text)))
+            upto.append(len(codes))
+        new, self.numbers.new = self.numbers.new, []
+        if new:
+            self.chars += sum(map(len, new))
+            found = self.merges.encode([p.encode("utf-8") for p in new])
+            sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+            self.begins = np.concatenate([self.begins, self.begins[-1] + np.cumsum(sizes)])
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), dtype=np.int32, count=int(sizes.sum()))])
+        codes = np.frombuffer(codes, dtype=np.int32) if len(codes) else np.zeros(0, dtype=np.int32)
+        first, sizes = self.begins[codes], self.begins[codes + 1] - self.begins[codes]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        return self.ids[np.repeat(first - ends[:-1], sizes) + np.arange(int(ends[-1]))], ends[np.array(upto)]
 
     def encode(self, text: str) -> list[int]:
-        return next(self.encode_all([text]))
+        return self.encode_all([text])[0].tolist()
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.merges.tokens.__getitem__, ids))
@@ -250,14 +257,14 @@ def encode(df: DataFrame, id_col: str, text_col: str, path: str, pattern: str, w
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(name, pattern)
         for batch in batches:
-            coded, at = codec.encode_all(batch.column(1).to_pylist()), 0
-            while at < batch.num_rows:
-                ids = list(islice(coded, ROWS))
-                columns = [batch.column(0).slice(at, len(ids)), pa.array(ids, pa.list_(pa.int32()))]
-                if with_bytes:
-                    columns.append(pa.array([codec.decode(x) for x in ids], pa.binary()))
-                at += len(ids)
-                yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields])
+            for first, last in groups(pc.utf8_length(batch.column(1)).to_pylist(), TOGETHER):
+                for at in range(first, last, ROWS):
+                    part = batch.slice(at, min(ROWS, last - at))
+                    ids, begins = codec.encode_all(part.column(1).to_pylist())
+                    columns = [part.column(0), pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(ids))]
+                    if with_bytes:
+                        columns.append(pa.array([codec.decode(ids[a:b].tolist()) for a, b in zip(begins, begins[1:])], pa.binary()))
+                    yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields])
 
     return source.mapInArrow(run, T.StructType(fields)).withColumnRenamed("id", id_col)
 
