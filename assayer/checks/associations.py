@@ -75,8 +75,11 @@ check("spearman_with_gap_patterns", f"with w as materialized (select {', '.join(
 check("eta_part", f"select 0 as i, 0 as j, round({eta_sql('part', 'p_type', 'p_retailprice')}, 6) as eta union all "
       f"select 1, 0, round({eta_sql('part', 'p_brand', 'p_retailprice')}, 6)")(
     lambda s, d: rounded(A.correlation_ratios(table(s, d, "part"), ["p_type", "p_brand"], ["p_retailprice"])))
-check("cramers_v_part", f"select 0 as i, 1 as j, round({cramer_sql('part', 'p_type', 'p_brand')}, 6) as v union all "
-      f"select 0, 2, round({cramer_sql('part', 'p_type', 'p_name')}, 6) union all select 1, 2, round({cramer_sql('part', 'p_brand', 'p_name')}, 6)")(
+CRAMER = (f"select 0 as i, 1 as j, round({cramer_sql('part', 'p_type', 'p_brand')}, 6) as v union all "
+      f"select 0, 2, round({cramer_sql('part', 'p_type', 'p_name')}, 6) union all select 1, 2, round({cramer_sql('part', 'p_brand', 'p_name')}, 6)")
+check("cramers_v_part", CRAMER)(
     lambda s, d: rounded(A.cramers_v(table(s, d, "part"), ["p_type", "p_brand", "p_name"])))
+check("cramers_v_busy_categories", CRAMER)(
+    lambda s, d: rounded(A.cramers_v(table(s, d, "part"), ["p_type", "p_brand", "p_name"], hot_cells=30)))
 check("strength_labels", f"select event_id, {label_sql('(value / 100 - 1)')} as label from events")(
     lambda s, d: table(s, d, "events").select("event_id", A.strength_label(F.col("value") / 100 - 1).alias("label")))

@@ -30,16 +30,19 @@ def datasets(s, d):
 
 check("history_page", f"select *, (select count(*) from {RUNS} where owner = 3) as total from (select * from {RUNS} where owner = 3 order by created_at desc, run_id limit 20 offset 40)")(
     lambda s, d: J.page(runs(s, d), "owner", 3, 20, 40, key="run_id"))
+check("history_page_deep", f"select *, (select count(*) from {RUNS} where owner = 3) as total from (select * from {RUNS} where owner = 3 order by created_at desc, run_id limit 25 offset 380)")(
+    lambda s, d: J.page(runs(s, d), "owner", 3, 25, 380, key="run_id", rows_per_slice=100))
 check("history_latest_profile", f"select owner, dataset_id, run_id, created_at, size from (select *, row_number() over (partition by owner, dataset_id order by created_at desc, run_id desc) as rn "
       f"from {RUNS} where status = 'succeeded') where rn = 1")(lambda s, d: J.latest_profile(runs(s, d), ["size"]))
 check("history_active_runs", f"select owner, count(*) as active from {RUNS} where status in ('queued', 'running') group by owner")(lambda s, d: J.active_runs(runs(s, d)))
 check("history_grouped_summary", "select l_returnflag, count(*) as orders, round(sum(l_extendedprice), 2) as revenue, round(avg(l_quantity), 2) as avg_units from lineitem group by 1")(
     lambda s, d: J.grouped_summary(table(s, d, "lineitem"), "l_returnflag", "l_extendedprice", "l_quantity"))
-check("history_prior_run", f"""with r as (select r.*, c_mktsegment as filename from {RUNS} r join customer on dataset_id = c_custkey),
+PRIOR = f"""with r as (select r.*, c_mktsegment as filename from {RUNS} r join customer on dataset_id = c_custkey),
   s as (select owner, filename, run_id, row_number() over (partition by owner, filename order by created_at desc, run_id desc) as place from r where status = 'succeeded')
   select r.run_id, r.owner, r.filename, case when a.run_id = r.run_id then b.run_id else a.run_id end as prior_run_id from r
-  left join s a on a.owner = r.owner and a.filename = r.filename and a.place = 1 left join s b on b.owner = r.owner and b.filename = r.filename and b.place = 2""")(
-    lambda s, d: J.prior_runs(runs(s, d), datasets(s, d)))
+  left join s a on a.owner = r.owner and a.filename = r.filename and a.place = 1 left join s b on b.owner = r.owner and b.filename = r.filename and b.place = 2"""
+check("history_prior_run", PRIOR)(lambda s, d: J.prior_runs(runs(s, d), datasets(s, d)))
+check("history_prior_run_of_busy_files", PRIOR)(lambda s, d: J.prior_runs(runs(s, d), datasets(s, d), hot_rows=12))
 
 
 @check("history_run_record", "select 'run-1' as run_id, 'customer' as dataset, 'me' as owner, 'succeeded' as status, "

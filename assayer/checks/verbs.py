@@ -113,6 +113,13 @@ check("v_loc", "select o_orderkey, o_totalprice from orders where o_orderpriorit
     lambda s, d: V.loc(_orders(s, d), F.col("o_orderpriority") == "1-URGENT", ["o_orderkey", "o_totalprice"]))
 check("v_iloc", "select o_orderkey, o_totalprice from orders order by o_orderkey limit 30 offset 100")(
     lambda s, d: V.iloc(_orders(s, d).select("o_orderkey", "o_totalprice"), 100, 130, ["o_orderkey"]))
+check("v_iloc_deep", "select o_orderkey, o_orderpriority from orders order by o_orderpriority, o_orderkey limit 3000 offset 9000")(
+    lambda s, d: V.iloc(_orders(s, d).select("o_orderkey", "o_orderpriority"), 9_000, 12_000, ["o_orderpriority", "o_orderkey"], rows_per_slice=1_000))
+check("v_rank_in_slices", "select page_id, (rank() over (order by url) + (count(*) over (partition by url) - 1) / 2.0)::double as place from pages")(
+    lambda s, d: V.rank(table(s, d, "pages").select("page_id", "url"), "url", out="place", rows_per_slice=50).drop("url"))
+check("v_cumsum_in_slices", "select o_orderkey, o_orderpriority, sum(o_custkey) over (partition by o_orderpriority order by o_orderdate, o_orderkey)::bigint as total from orders")(
+    lambda s, d: V.cumsum(table(s, d, "orders").select("o_orderkey", "o_orderpriority", "o_custkey", "o_orderdate"), "o_custkey", ["o_orderdate", "o_orderkey"],
+                          ["o_orderpriority"], "total", rows_per_slice=1_000).select("o_orderkey", "o_orderpriority", "total"))
 check("v_sample_rows")(lambda s, d: V.sample(_events(s, d), "event_id", n=500, seed=3))
 check("v_sample_fraction")(lambda s, d: V.sample(_events(s, d), "event_id", frac=0.1, seed=3))
 check("v_drop_duplicates", "select user_id, event_type, event_id, value from (select *, row_number() over "

@@ -230,7 +230,7 @@ def correlation_ratios(df: DataFrame, categories: list[str], numbers: list[str],
                                      & ~F.element_at(flat, F.col("j") + 1), eta).otherwise(0.0).alias("eta")))
 
 
-def cramers_v(df: DataFrame, cols: list[str]) -> DataFrame:
+def cramers_v(df: DataFrame, cols: list[str], hot_cells: int = ROWS_PER_SLICE) -> DataFrame:
     """(i, j, v) per pair of categorical columns: chi-squared from the contingency counts, no correction."""
     schema = "i int, j int, v double"
     if len(cols) < 2:
@@ -240,9 +240,12 @@ def cramers_v(df: DataFrame, cols: list[str]) -> DataFrame:
                       for i in range(len(cols)) for j in range(i + 1, len(cols))])
     cells = (x.select(F.inline(pairs)).where("a is not null and b is not null")
              .groupBy("i", "j", "a", "b").agg(F.count("*").cast("double").alias("o")))
-    left = cells.groupBy("i", "j", "a").agg(F.sum("o").alias("r"))
-    right = cells.groupBy("i", "j", "b").agg(F.sum("o").alias("c"))
-    shares = (cells.join(left, ["i", "j", "a"]).join(right, ["i", "j", "b"])
+    cells = materialise(cells, "cells")
+    left = cells.groupBy("i", "j", "a").agg(F.sum("o").alias("r"), F.count("*").alias("n"))
+    right = cells.groupBy("i", "j", "b").agg(F.sum("o").alias("c"), F.count("*").alias("n"))
+    # a category that meets very many others is broadcast
+    met = lookup(cells, left, ["i", "j", "a"], hot_cells).drop("n")
+    shares = (lookup(met, right, ["i", "j", "b"], hot_cells)
               .groupBy("i", "j").agg(F.sum(F.col("o") * F.col("o") / (F.col("r") * F.col("c"))).alias("s")))
     sizes = (left.groupBy("i", "j").agg(F.count("*").alias("rows"))
              .join(right.groupBy("i", "j").agg(F.count("*").alias("cols")), ["i", "j"]))

@@ -1,17 +1,15 @@
 """Order-based work that never gathers one group in one task.
 
 Ranks, running totals, lags and exact quantiles need sorted data. A window over a whole group would put a
-hot group into a single task, so the order column is first cut into slices by literal boundaries, windows run
-inside (group, slice), and per-slice totals, which are few, carry the rest across. Where the boundaries fall
-changes the work per task but never the result.
+hot group into a single task, so rows are first cut into slices of the whole order key (group, then order, then
+place among equals), windows run inside (group, slice), and per-slice totals, which are few, carry the rest across.
+Where the slices are cut changes the work per task but never the result.
 """
 from __future__ import annotations
 
 import math
-import os
 import sys
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,66 +23,48 @@ ROWS_PER_SLICE = 1_000_000
 MAX_SLICES = 65_536
 #: Values that a KLL sketch holds, about, groups of tasks whose sketches are merged first, and rows of all brackets that are read out.
 SKETCH, SKETCH_TREE, READ_OUT = 4_096, 64, 400_000
-_SLICE, _KEY = "_slice", "_slice_key"
+_SLICE, _TIE, _PLACE = "_slice", "_slice_tie", "_slice_place"
 _MAX = sys.float_info.max
 
 
-class Bounds(list):
-    """Inner boundaries of slices; of a text column they regard the letters after those that all values share."""
-
-    def __init__(self, points=(), shared: int = 0):
-        super().__init__(points)
-        self.shared = shared
-
-
-def _shared_letters(df: DataFrame, name: str) -> int:
-    """Length of the prefix that all values of a text column have: that of its least and its greatest one."""
-    if not isinstance(df.schema[name].dataType, T.StringType):
-        return 0
-    low, high = df.agg(F.min(quoted(name)), F.max(quoted(name))).first()
-    return len(os.path.commonprefix([low or "", high or ""]))
-
-
-def _as_double(df: DataFrame, name: str, shared: int = 0) -> Column:
-    """A double that never decreases as the column grows."""
-    t = df.schema[name].dataType
-    c = quoted(name)
-    if isinstance(t, T.NumericType):
-        return c.cast("double")
-    if isinstance(t, T.BooleanType):
-        return c.cast("int").cast("double")
-    if isinstance(t, T.DateType):
-        return F.unix_date(c).cast("double")
-    if isinstance(t, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(c.cast("timestamp")).cast("double")
-    if isinstance(t, T.StringType):
-        # leading bytes as a number keep the byte order of strings
-        head = F.rpad(F.hex(F.encode(F.substring(c, shared + 1, 6), "utf-8")), 12, "0")
-        return F.conv(F.substring(head, 1, 12), 16, 10).cast("double")
-    raise TypeError(f"{name}: cannot order by {t.simpleString()}")
-
-
-def slice_bounds(df: DataFrame, order: str, rows_per_slice: int = ROWS_PER_SLICE) -> Bounds:
-    """Inner boundaries that cut the column into slices of about equal row count."""
-    n = df.count()
-    slices = min(MAX_SLICES, math.ceil(n / rows_per_slice))
+def in_slices(df: DataFrame, order: list[str | Column], rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame | None:
+    """The rows with the number of their slice in the whole order key; none if one slice holds them all.
+
+    Keys are sampled as they are, whatever their types and number, and rows with equal keys are told apart by their place, so a key that
+    a third of the rows have is many slices. The slices are written, because a second sample would cut elsewhere.
+    """
+    slices = min(MAX_SLICES, math.ceil(df.count() / rows_per_slice))
     if slices <= 1:
-        # the whole input fits one slice, so plain windows do
-        return Bounds()
-    shared = _shared_letters(df, order)
-    key = _as_double(df, order, shared)
-    points = [i / slices for i in range(1, slices)]
-    found = df.select(key.alias(_KEY)).where(~F.isnan(_KEY)) \
-        .agg(F.percentile_approx(_KEY, points, max(10_000, 4 * slices))).first()[0]
-    return Bounds(sorted(set(found or [])), shared)
+        return None
+    keys = [quoted(o) if isinstance(o, str) else o for o in order]
+    dealt = df.withColumn(_TIE, F.monotonically_increasing_id()).repartitionByRange(slices, *keys, F.col(_TIE)).drop(_TIE)
+    return materialise(dealt.withColumn(_SLICE, F.spark_partition_id()), "slices")
 
 
-def with_slice(df: DataFrame, order: str, bounds: Bounds) -> DataFrame:
-    if not bounds:
-        return df.withColumn(_SLICE, F.lit(0))
-    keyed = df.withColumn(_KEY, _as_double(df, order, bounds.shared))
-    cut = Bucketizer(splits=[-math.inf, *bounds, math.inf], inputCol=_KEY, outputCol=_SLICE, handleInvalid="keep")
-    return cut.transform(keyed).withColumn(_SLICE, F.col(_SLICE).cast("int")).drop(_KEY)
+def page(df: DataFrame, order: list[str | Column], start: int, stop: int, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+    """Rows ``start`` up to ``stop`` in the order, which has to be total for the page to be the only one.
+
+    A short prefix is a plain limit. Beyond one slice a positional index helps: with the rows of every slice, running totals say in which
+    slices the page lies, and only these are read (their files hold one slice each) and sorted, each by a task of its own.
+    """
+    wanted = max(0, stop - start)
+    keys = [quoted(o) if isinstance(o, str) else o for o in order]
+    if not wanted or stop <= rows_per_slice:
+        return df.orderBy(*keys).offset(start).limit(wanted)
+    sliced = in_slices(df, order, rows_per_slice)
+    if sliced is None:
+        return df.orderBy(*keys).offset(start).limit(wanted)
+    before, bases = 0, []
+    for r in sliced.groupBy(_SLICE).count().orderBy(_SLICE).collect():  # a row for each slice
+        if before < stop and before + r["count"] > start:
+            bases.append((r[_SLICE], before))
+        before += r["count"]
+    if not bases:
+        return df.limit(0)
+    base = F.element_at(F.map_from_arrays(F.array(*[F.lit(k) for k, _ in bases]), F.array(*[F.lit(n).cast("bigint") for _, n in bases])), F.col(_SLICE))
+    within = F.row_number().over(W.partitionBy(_SLICE).orderBy(*keys)).cast("bigint") - 1
+    rows = sliced.where(F.col(_SLICE).between(bases[0][0], bases[-1][0])).withColumn(_PLACE, base + within)
+    return rows.where((F.col(_PLACE) >= start) & (F.col(_PLACE) < stop)).orderBy(_PLACE).drop(_SLICE, _PLACE)
 
 
 def _with_carry(sliced: DataFrame, by: list[str], per_slice: list[Column], carried: list[Column]) -> DataFrame:
@@ -110,11 +90,10 @@ def running_sum(df: DataFrame, value: str, order_by: list[str], by: list[str] =
     """Running total in row order; null values stay null and add nothing."""
     by = list(by)
     v = quoted(value)
-    bounds = slice_bounds(df, order_by[0], rows_per_slice)
-    if not bounds:
+    sliced = in_slices(df, [*by, *order_by], rows_per_slice)
+    if sliced is None:
         w = W.partitionBy(*(by or [F.lit(0)])).orderBy(*order_by).rowsBetween(W.unboundedPreceding, W.currentRow)
         return df.withColumn(out, F.when(v.isNotNull(), F.sum(v).over(w)))
-    sliced = with_slice(df, order_by[0], bounds)
     inside = W.partitionBy(*by, _SLICE).orderBy(*order_by).rowsBetween(W.unboundedPreceding, W.currentRow)
     earlier = W.partitionBy(*(by or [F.lit(0)])).orderBy(_SLICE).rowsBetween(W.unboundedPreceding, -1)
     joined = _with_carry(sliced, by, [F.sum(v).alias("_total")],
@@ -127,11 +106,10 @@ def running_count(df: DataFrame, order_by: list[str], by: list[str] = (), out: s
                   rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """Zero-based position of each row in its group."""
     by = list(by)
-    bounds = slice_bounds(df, order_by[0], rows_per_slice)
-    if not bounds:
+    sliced = in_slices(df, [*by, *order_by], rows_per_slice)
+    if sliced is None:
         w = W.partitionBy(*(by or [F.lit(0)])).orderBy(*order_by)
         return df.withColumn(out, F.row_number().over(w).cast("bigint") - 1)
-    sliced = with_slice(df, order_by[0], bounds)
     inside = W.partitionBy(*by, _SLICE).orderBy(*order_by)
     earlier = W.partitionBy(*(by or [F.lit(0)])).orderBy(_SLICE).rowsBetween(W.unboundedPreceding, -1)
     joined = _with_carry(sliced, by, [F.count("*").alias("_total")],
@@ -147,10 +125,9 @@ def lagged(df: DataFrame, value: str, order_by: list[str], by: list[str] = (), p
     if k == 0:
         return df.withColumn(out, v)
     forward = periods > 0
-    bounds = slice_bounds(df, order_by[0], rows_per_slice)
-    if not bounds:
+    sliced = in_slices(df, [*by, *order_by], rows_per_slice)
+    if sliced is None:
         return df.withColumn(out, F.lag(v, periods).over(W.partitionBy(*(by or [F.lit(0)])).orderBy(*order_by)))
-    sliced = with_slice(df, order_by[0], bounds)
     direction = F.asc if forward else F.desc
     opposite = F.desc if forward else F.asc
     if not forward:
@@ -179,11 +156,10 @@ def last_present(df: DataFrame, value: str, order_by: list[str], by: list[str] =
                  rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """The value, or the last present one before it in the group."""
     by, v = list(by), quoted(value)
-    bounds = slice_bounds(df, order_by[0], rows_per_slice)
-    if not bounds:
+    sliced = in_slices(df, [*by, *order_by], rows_per_slice)
+    if sliced is None:
         w = W.partitionBy(*(by or [F.lit(0)])).orderBy(*order_by).rowsBetween(W.unboundedPreceding, W.currentRow)
         return df.withColumn(out, F.last(v, ignorenulls=True).over(w))
-    sliced = with_slice(df, order_by[0], bounds)
     inside = W.partitionBy(*by, _SLICE).orderBy(*order_by).rowsBetween(W.unboundedPreceding, W.currentRow)
     earlier = W.partitionBy(*(by or [F.lit(0)])).orderBy(_SLICE).rowsBetween(W.unboundedPreceding, -1)
     place = F.when(v.isNotNull(), F.struct(*[quoted(o) for o in order_by]))
@@ -211,12 +187,11 @@ def rungs(counts: DataFrame, value: str, by: list[str] = (), rows_per_slice: int
     """The ladder of values that are counted already: group, value and ``n``, one row each."""
     by = list(by)
     group = by or [F.lit(0)]
-    bounds = slice_bounds(counts, value, rows_per_slice)
-    if not bounds:
+    sliced = in_slices(counts, [*by, value], rows_per_slice)
+    if sliced is None:
         up_to = W.partitionBy(*group).orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
         return counts.select(*by, value, "n", (F.sum("n").over(up_to) - F.col("n")).alias("before"),
                              F.sum("n").over(W.partitionBy(*group)).alias("total"))
-    sliced = with_slice(counts, value, bounds)
     everything = W.partitionBy(*group)
     earlier = W.partitionBy(*group).orderBy(_SLICE).rowsBetween(W.unboundedPreceding, -1)
     joined = _with_carry(
@@ -230,11 +205,10 @@ def rungs(counts: DataFrame, value: str, by: list[str] = (), rows_per_slice: int
 
 def running_weights(counts: DataFrame, value: str, by: list[str], weights: list[str], rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """The rows, one for each group and value, with what the smaller values of the group add up to by each weight (``before_…``)."""
-    bounds = slice_bounds(counts, value, rows_per_slice)
-    if not bounds:
+    sliced = in_slices(counts, [*by, value], rows_per_slice)
+    if sliced is None:
         smaller = W.partitionBy(*by).orderBy(value).rowsBetween(W.unboundedPreceding, -1)
         return counts.withColumns({f"before_{w}": F.coalesce(F.sum(w).over(smaller), F.lit(0)) for w in weights})
-    sliced = with_slice(counts, value, bounds)
     inside = W.partitionBy(*by, _SLICE).orderBy(value).rowsBetween(W.unboundedPreceding, -1)
     earlier = W.partitionBy(*by).orderBy(_SLICE).rowsBetween(W.unboundedPreceding, -1)
     joined = _with_carry(sliced, by, [F.sum(w).alias(f"_total_{w}") for w in weights],
@@ -246,15 +220,22 @@ def running_weights(counts: DataFrame, value: str, by: list[str], weights: list[
 def lookup(df: DataFrame, table: DataFrame, on: list[str], hot_rows: int = ROWS_PER_SLICE) -> DataFrame:
     """Left join to a table that is unique on ``on`` and has the row count of each key in ``n``.
 
-    Keys above ``hot_rows`` are at most rows/hot_rows many; they are broadcast, the others are joined by shuffle.
+    Keys above ``hot_rows`` are at most rows/hot_rows many; they are broadcast, the others are joined by shuffle. Rows that lack a part
+    of the key meet nothing and are not moved.
     """
+    lacking = F.lit(False)
+    for k in on:
+        lacking = lacking | quoted(k).isNull()
+    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in table.schema.fields if f.name not in on]
+    apart = df.where(lacking).select(*[quoted(k) for k in on], *[quoted(c) for c in df.columns if c not in on], *nothing)
+    df = df.where(~lacking)
     hot = table.where(F.col("n") > hot_rows)
     if hot.isEmpty():
-        return df.join(table, on, "left")
+        return df.join(table, on, "left").unionByName(apart)
     hot_part = df.join(F.broadcast(hot), on, "inner")
     cold_part = df.join(F.broadcast(hot.select(*on)), on, "left_anti").join(
         table.where(F.col("n") <= hot_rows), on, "left")
-    return hot_part.unionByName(cold_part)
+    return hot_part.unionByName(cold_part).unionByName(apart)
 
 
 def average_rank(df: DataFrame, value: str, by: list[str] = (), out: str = "rank",

@@ -104,8 +104,9 @@ def loc(df: DataFrame, predicate: Column, cols: list[str] | None = None) -> Data
     return select(found, cols) if cols else found
 
 
-def iloc(df: DataFrame, start: int, stop: int, order_by: list[str]) -> DataFrame:
-    return df.orderBy(*order_by).offset(start).limit(stop - start)
+def iloc(df: DataFrame, start: int, stop: int, order_by: list[str], rows_per_slice: int = ordering.ROWS_PER_SLICE) -> DataFrame:
+    """Rows by position; deep ones are found by a positional index."""
+    return ordering.page(df, order_by, start, stop, rows_per_slice)
 
 
 def sample(df: DataFrame, key: str, n: int | None = None, frac: float | None = None, seed: int = 0) -> DataFrame:

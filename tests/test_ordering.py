@@ -92,6 +92,45 @@ def test_string_order_slices(spark):
     assert got.tolist() == [float(i + 1) for i in range(1000)]
 
 
+def test_a_key_with_a_third_of_the_rows_is_many_slices(spark):
+    df = spark.range(6000, numPartitions=4).selectExpr("id", "case when id % 3 = 0 then date '2024-01-01' else date_add(date '2024-01-01', cast(id % 50 as int)) end as day",
+                                                       "case when id % 5 > 0 then concat('a long common prefix ', id % 7) else '' end as t")
+    sizes = O.in_slices(df, ["day"], 500).groupBy("_slice").count().toPandas()
+    assert len(sizes) >= 10 and sizes["count"].max() < 1500
+    for order in (["day", "id"], ["t", "id"]):
+        pdf = df.toPandas().sort_values(order, ignore_index=True)
+        got = O.running_count(df, order, rows_per_slice=300).toPandas().sort_values("cumcount", ignore_index=True)
+        assert got["id"].tolist() == pdf["id"].tolist() and got["cumcount"].tolist() == list(range(6000))
+    by = O.running_sum(df, "id", ["day", "id"], ["t"], rows_per_slice=300).toPandas().sort_values("id")["cumsum"].tolist()
+    pdf = df.toPandas().sort_values(["day", "id"])
+    assert by == pdf.assign(c=pdf.groupby("t")["id"].cumsum()).sort_values("id")["c"].tolist()
+
+
+def test_ranks_of_texts_that_share_a_long_prefix(spark):
+    df = spark.range(3000, numPartitions=3).selectExpr("id", "case when id % 4 > 0 then concat('http://www.example.org/', id % 900) when id % 8 = 0 then '' end as t")
+    got = O.average_rank(df, "t", rows_per_slice=100).toPandas().sort_values("id")
+    same(got["rank"].reset_index(drop=True), df.toPandas().sort_values("id")["t"].rank().reset_index(drop=True))
+
+
+@pytest.mark.parametrize("start, stop", [(0, 7), (95, 105), (2500, 2510), (990, 2210), (2995, 4000), (5000, 5010), (10, 10)])
+def test_deep_pages_read_their_slices_only(spark, start, stop):
+    df = spark.range(3000, numPartitions=3).selectExpr("id * 7919 % 3001 as k", "id % 10 as day")
+    pdf = df.toPandas().sort_values(["day", "k"], ascending=[False, True])
+    got = O.page(df, [O.F.desc("day"), "k"], start, stop, rows_per_slice=100)
+    assert [tuple(r) for r in got.select("day", "k").collect()] == [tuple(r) for r in pdf[["day", "k"]].to_numpy().tolist()][start:stop]
+    if start == 2500:
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "_slice" in plan and "PushedFilters" in plan and "GreaterThanOrEqual(c2" in plan
+
+
+def test_lookup_of_hot_and_missing_keys(spark):
+    df = spark.range(1000).selectExpr("id", "case when id % 3 = 0 then 1 when id % 3 = 1 then id end as a", "cast(id % 2 as string) as b")
+    table = df.groupBy("a", "b").agg(O.F.count("*").alias("n")).withColumn("v", O.F.concat_ws("-", "a", "b"))
+    for hot in (10, 10_000):
+        got = {r["id"]: r["v"] for r in O.lookup(df, table, ["a", "b"], hot).collect()}
+        assert got == {r["id"]: None if r["a"] is None else f"{r['a']}-{r['b']}" for r in df.collect()}
+
+
 def test_empty_input(spark):
     df = spark.createDataFrame([], "k bigint, g string, v double")
     assert O.exact_quantiles(df, ["v"], [0.5]) == {"v": {0.5: None}}
