@@ -158,6 +158,19 @@ def _(s, d):
 check("v_agg_list", f"""select round(avg(value), 6) as value_mean, max(value) as value_max, count(distinct user_id) as user_id_nunique from {GAPPY}""")(
     lambda s, d: rounded(V.aggregate(_gappy(s, d), [], {"value_mean": ("value", "mean"), "value_max": ("value", "max"),
                                                          "user_id_nunique": ("user_id", "nunique")})))
+_BY_ORDER = """arg_min(value, event_id) filter (value is not null) as value_first, arg_max(value, event_id) filter (value is not null) as value_last,
+  first(event_id order by value desc, event_id) filter (value is not null) as value_idxmax, first(event_id order by value, event_id) filter (value is not null) as value_idxmin,
+  round(sum(value), 4) as value_sum"""
+check("v_agg_ordered", f"select kind, {_BY_ORDER} from {GAPPY} where kind is not null group by kind")(
+    lambda s, d: rounded(V.agg(_gappy(s, d), ["kind"], {"value": ["first", "last", "idxmax", "idxmin", "sum"]}, "event_id"), 4))
+check("v_agg_mapping", f"""with c as (select event_type, user_id, count(*) as n, min(event_id) as f from {GAPPY} group by 1, 2),
+  m as (select event_type, first(user_id order by n desc, user_id) filter (user_id is not null) as user_id_mode, array_to_string(list(user_id order by f), ',') as user_id_unique from c group by 1)
+  select g.event_type, round(quantile_cont(value, 0.5), 6) as value, user_id_mode, user_id_unique, count(distinct user_id) as user_id_nunique
+  from {GAPPY} g join m using (event_type) group by all""")(
+    lambda s, d: rounded(V.agg(_gappy(s, d), ["event_type"], {"value": "median", "user_id": ["mode", "unique", "nunique"]}, "event_id")
+                         .withColumn("user_id_unique", F.array_join("user_id_unique", ","))))
+check("v_agg_whole", f"select {_BY_ORDER}, (select kind from {GAPPY} where kind is not null group by kind order by count(*) desc, kind limit 1) as kind_mode from {GAPPY}")(
+    lambda s, d: rounded(V.agg(_gappy(s, d), [], {"value": ["first", "last", "idxmax", "idxmin", "sum"], "kind": ["mode"]}, "event_id"), 4))
 check("v_mean", f"select round(avg(value), 6) as mean from {GAPPY}")(
     lambda s, d: rounded(V.aggregate(_gappy(s, d), [], {"mean": ("value", "mean")})))
 check("v_sum", "select round(sum(o_totalprice), 2) as total, round(coalesce(sum(case when o_totalprice < 0 then o_totalprice end), 0), 2) as nothing from orders")(

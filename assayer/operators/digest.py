@@ -5,6 +5,10 @@ variants and vocabularies run once per distinct value and a value that fills a t
 """
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -199,20 +203,54 @@ def column_facts(df: DataFrame, reader_types: bool = False) -> DataFrame:
         "trim_changed", "boolean_like")
 
 
+def _first_seen(df: DataFrame, columns: list[tuple[int, Column]], k: int) -> DataFrame:
+    """(ordinal, key, first_row): in every task the ``k`` distinct keys of each column that its rows show first.
+
+    A task keeps ``k`` keys a column, so it gives back at most that many rows, however many values there are. A key that was dropped
+    for a later row and returns with an earlier one is taken up again, so rows may come in any order.
+    """
+    ordinals = [i for i, _ in columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[dict] = [{} for _ in ordinals]
+        for batch in batches:
+            rows = batch.column(0).to_numpy()
+            order = None if len(rows) < 2 or (np.diff(rows) > 0).all() else np.argsort(rows, kind="stable")
+            for held, column in zip(kept, batch.columns[1:]):
+                column = column if order is None else column.take(pa.array(order))
+                own = rows if order is None else rows[order]
+                last = max(held.values()) if len(held) >= k else None
+                upto = len(own) if last is None else int(np.searchsorted(own, last))
+                size, fresh = 64, 0
+                while fresh < upto:  # parts of growing size until k keys of this batch are known
+                    part = column.slice(fresh, min(size, upto - fresh))
+                    for i, key in enumerate(part.to_pylist()):
+                        if key is not None and held.get(key, own[fresh + i] + 1) > own[fresh + i]:
+                            held[key] = int(own[fresh + i])
+                    if len(held) > k:
+                        for key in sorted(held, key=held.get)[k:]:
+                            del held[key]
+                    fresh += len(part)
+                    if len(held) == k:
+                        upto = min(upto, int(np.searchsorted(own, max(held.values()))))
+                    size *= 4
+        found = [(ordinals[i], str(key), row) for i, held in enumerate(kept) for key, row in held.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([f[j] for f in found], t) for j, t in enumerate((pa.int32(), pa.string(), pa.int64()))],
+                                         ["ordinal", "key", "first_row"])
+
+    return df.select(F.col(ROW_ID), *[c.alias(f"k{i}") for i, c in columns]).mapInArrow(run, "ordinal int, key string, first_row bigint")
+
+
 def first_values(df: DataFrame, k: int = 5) -> DataFrame:
     """(ordinal, first_row, value) of the first ``k`` distinct values of each column in row order."""
     text, fixed, _ = _kinds(df)
-    parts = []
-    if text:
-        cells = [F.struct(F.lit(i).alias("ordinal"), token(quoted(c)).alias("key")) for i, c in text]
-        parts.append(_grouped(_exploded(df, cells, True).where("key is not null"), ["ordinal", "key"], True))
-    if fixed:
-        cells, keys = _fixed_keys(df)
-        parts.append(_grouped(_exploded(df, cells, True).where("key is not null"), keys, True))
-    firsts = parts[0].select("ordinal", "first_row")
-    for p in parts[1:]:
-        firsts = firsts.unionByName(p.select("ordinal", "first_row"))
-    # the row_number limit is applied per map task before the exchange, so a wide column stays cheap
+    columns = [(i, token(quoted(c))) for i, c in text]
+    for i, c in fixed:
+        v = _present(df, c)
+        t = df.schema[c].dataType
+        wide = isinstance(t, T.DecimalType) and t.precision > 18
+        columns.append((i, v.cast("string") if wide else F.when(v.isNotNull(), F.xxhash64(v))))
+    firsts = _first_seen(df, columns, k).groupBy("ordinal", "key").agg(F.min("first_row").alias("first_row"))
     w = W.partitionBy("ordinal").orderBy("first_row")
     top = firsts.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
     # at most k rows per column; they fetch their values from the rows they name

@@ -180,35 +180,104 @@ _SIMPLE = {
 }
 
 
-def aggregate(df: DataFrame, keys: list[str], named: dict[str, tuple[str, str]]) -> DataFrame:
-    """Named aggregation {output: (column, function)}; functions as in _SIMPLE plus median and quantile:p.
+def _downwards(df: DataFrame, name: str) -> Column:
+    """A value that falls as the column rises."""
+    c, t = quoted(name), df.schema[name].dataType
+    if isinstance(t, T.DateType):
+        return -F.unix_date(c)
+    if isinstance(t, (T.TimestampType, T.TimestampNTZType)):
+        return -F.unix_micros(c.cast("timestamp"))
+    return ~c if isinstance(t, T.BooleanType) else -c
 
-    Medians and quantiles are read off value counts, so no group is gathered in one task.
+
+def _ordered_aggregate(df: DataFrame, name: str, fn: str, order_by: str) -> Column:
+    """first, last: the present value with the least or greatest order key. idxmax, idxmin: the order key of the extreme, the least of several.
+
+    A task holds one candidate for each group, beside its sums.
+    """
+    v, o = quoted(name), quoted(order_by)
+    seen = F.when(v.isNotNull(), o)
+    if fn in ("first", "last"):
+        return (F.min_by if fn == "first" else F.max_by)(v, seen)
+    place = _downwards(df, name) if fn == "idxmax" else v
+    return F.min(F.when(v.isNotNull(), F.struct(place.alias("v"), o.alias("k"))))["k"]
+
+
+def _modes(rows: DataFrame, keys: list[str], name: str, out: str) -> DataFrame:
+    """The most frequent value of each group, the smallest of several: counted by value before groups meet."""
+    v = quoted(name)
+    counts = rows.where(v.isNotNull()).groupBy(*[quoted(k) for k in keys], v.alias("_v")).agg(F.count("*").alias("_n"))
+    best = F.min(F.struct((-F.col("_n")).alias("n"), F.col("_v").alias("v")))["v"].alias(out)
+    return counts.groupBy(*[quoted(k) for k in keys]).agg(best) if keys else counts.agg(best)
+
+
+def _uniques(rows: DataFrame, keys: list[str], name: str, out: str, order_by: str) -> DataFrame:
+    """The distinct values of each group, null included, in order of first appearance."""
+    firsts = rows.groupBy(*[quoted(k) for k in keys], quoted(name).alias("_v")).agg(F.min(quoted(order_by)).alias("_o"))
+    seen = F.transform(F.array_sort(F.collect_list(F.struct(F.col("_o").alias("o"), F.col("_v").alias("v")))), lambda x: x["v"]).alias(out)
+    return firsts.groupBy(*[quoted(k) for k in keys]).agg(seen) if keys else firsts.agg(seen)
+
+
+_ORDERED = ("first", "last", "idxmax", "idxmin")
+
+
+def aggregate(df: DataFrame, keys: list[str], named: dict[str, tuple[str, str]], order_by: str | None = None) -> DataFrame:
+    """Named aggregation {output: (column, function)}.
+
+    Functions are those of _SIMPLE, and first, last, idxmax, idxmin by ``order_by``, which run in one pass beside them; median, quantile:p
+    and mode are read off value counts, unique off first appearances, so no group is gathered in one task.
     """
     rows = df
     for k in keys:
         rows = rows.where(quoted(k).isNotNull())
-    simple = {n: _SIMPLE[fn](quoted(c)).alias(n) for n, (c, fn) in named.items() if fn in _SIMPLE}
-    ordered: dict[str, dict[str, float]] = {}
+    simple: dict[str, Column] = {}
+    ranked: dict[str, dict[str, float]] = {}
+    apart: dict[str, DataFrame] = {}
     for n, (c, fn) in named.items():
-        if fn == "median":
-            ordered.setdefault(c, {})[n] = 0.5
+        if fn in (*_ORDERED, "unique") and order_by is None:
+            raise ValueError(f"{fn} needs an order")
+        if fn in _SIMPLE:
+            simple[n] = _SIMPLE[fn](quoted(c)).alias(n)
+        elif fn in _ORDERED:
+            simple[n] = _ordered_aggregate(df, c, fn, order_by).alias(n)
+        elif fn == "median":
+            ranked.setdefault(c, {})[n] = 0.5
         elif fn.startswith("quantile:"):
-            ordered.setdefault(c, {})[n] = float(fn.split(":")[1])
-        elif fn not in _SIMPLE:
+            ranked.setdefault(c, {})[n] = float(fn.split(":")[1])
+        elif fn == "mode":
+            apart[n] = _modes(rows, keys, c, n)
+        elif fn == "unique":
+            apart[n] = _uniques(rows, keys, c, n, order_by)
+        else:
             raise ValueError(f"unknown aggregate {fn}")
     if not keys:
         literal = {}
-        for c, probs in ordered.items():
+        for c, probs in ranked.items():
             found = ordering.exact_quantiles(rows, [c], list(probs.values()))[c]
             literal.update({n: F.lit(found[p]).cast("double").alias(n) for n, p in probs.items()})
-        aggs = [simple[n] if n in simple else F.max(literal[n]).alias(n) for n in named]
-        return rows.agg(*aggs)
+        out = rows.agg(F.count("*").alias("_rows"), *[simple[n] if n in simple else F.max(literal[n]).alias(n) for n in named if n not in apart])
+        for found in apart.values():
+            out = out.join(F.broadcast(found))  # one row each
+        return out.select(*[quoted(n) for n in named])
     # every group stays, also one without a value
     out = rows.groupBy(*[quoted(k) for k in keys]).agg(F.count("*").alias("_rows"), *simple.values())
-    for c, probs in ordered.items():
+    for c, probs in ranked.items():
         out = out.join(ordering.grouped_quantiles(rows, c, keys, probs), keys, "left")
-    return out.select(*keys, *named).orderBy(*keys)
+    for found in apart.values():
+        out = out.join(found, keys, "left")
+    return out.select(*[quoted(c) for c in (*keys, *named)]).orderBy(*[quoted(k) for k in keys])
+
+
+def agg(df: DataFrame, keys: list[str], spec: str | list[str] | dict[str, str | list[str]], order_by: str | None = None) -> DataFrame:
+    """Aggregation by one function, a list of functions, or a mapping of columns to either.
+
+    One function a column keeps the column's name; with a list the output is ``column_function``. Without a mapping every column but the
+    keys and the order is meant.
+    """
+    if not isinstance(spec, dict):
+        spec = {c: spec for c in df.columns if c not in keys and c != order_by}
+    named = {(f"{c}_{fn}" if isinstance(fns, list) else c): (c, fn) for c, fns in spec.items() for fn in (fns if isinstance(fns, list) else [fns])}
+    return aggregate(df, keys, named, order_by)
 
 
 def group_first_last(df: DataFrame, keys: list[str], value: str, order_by: str) -> DataFrame:

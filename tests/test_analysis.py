@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assayer.operators import associations, charts, drift, drivers, outliers, profile, quality, roles, stats, verbs
-from assayer.operators.digest import column_facts, facts_frame
+from assayer.operators.digest import _first_seen, column_facts, facts_frame, first_values
 from assayer.plans import report, workflow
 
 
@@ -65,6 +65,26 @@ def test_long_texts_are_told_apart_whole(frame):
     assert (f["distinct"], f["distinct_trimmed"], f["distinct_normalised"], f["trim_changed"]) == (4, 3, 2, 1)
 
 
+@pytest.mark.parametrize("k", [1, 5])
+def test_first_values_whatever_order_rows_come_in(spark, k):
+    rng = np.random.default_rng(6)
+    n = 4000
+    pdf = pd.DataFrame({"_row_id": rng.permutation(n), "a": rng.integers(0, 3, n), "b": rng.integers(0, 10 ** 6, n).astype(float),
+                        "t": [None if x < 0.3 else f"long text {'y' * 70} {int(x * 50)}" for x in rng.random(n)], "late": "x"})
+    pdf.loc[pdf["_row_id"] > 3000, "late"] = [f"v{i % 9}" for i in pdf.loc[pdf["_row_id"] > 3000, "_row_id"]]
+    df = spark.createDataFrame(pdf).repartition(6)
+    got = {}
+    for r in first_values(df, k).collect():
+        got.setdefault(r["ordinal"], []).append((r["first_row"], r["value"]))
+    names = [c for c in df.columns if c != "_row_id"]
+    ordered = pdf.sort_values("_row_id")
+    for i, c in enumerate(names):
+        want = ordered.dropna(subset=[c]).drop_duplicates(c).head(k)
+        assert sorted(got[i]) == [(r["_row_id"], str(r[c])) for _, r in want.iterrows()]
+    per_task = _first_seen(df, [(i, F.col(c)) for i, c in enumerate(names)], k).count()
+    assert per_task <= 6 * len(names) * k
+
+
 def test_summary_and_constant_column(frame):
     df = frame([(float(i), 4.0, None) for i in range(10)], "a double, b double, c double")
     got = {r["column"]: r for r in stats.numeric_summary(df, ["a", "b", "c"], normality=True).collect()}
