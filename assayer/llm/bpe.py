@@ -24,13 +24,13 @@ from pyspark.sql import types as T
 from .words import groups
 
 #: Pre-tokens and characters of pre-tokens that a worker remembers; beyond either the memory starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 REMEMBERED_CHARS = 8_000_000
 #: Characters of text that are encoded together, and rows of a batch that a worker returns.
 TOGETHER = 1_000_000
 ROWS = 256
 #: Bytes of new pre-tokens that share a list, but for a longer single one.
-SHARED = 400_000
+SHARED = 150_000
 
 
 class RankQueue:

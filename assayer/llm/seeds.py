@@ -52,22 +52,29 @@ def _seeds(words: np.ndarray, offsets: list[int], mark: int) -> np.ndarray:
 
 
 @cache
-def _signs() -> re.Pattern:
-    """Punctuation, symbols, spaces and controls beyond ASCII, as a class of ranges."""
+def _signs() -> tuple[re.Pattern, re.Pattern]:
+    """Punctuation, symbols, spaces and controls beyond ASCII, as classes of ranges: of the first plane, which are looked up at once, and
+    of the others."""
     ranges: list[list[int]] = []
     for c in range(0x80, sys.maxunicode + 1):
         if unicodedata.category(chr(c))[0] in "PSZ" or 0x80 <= c < 0xA0:
-            if ranges and ranges[-1][1] == c - 1:
+            if ranges and ranges[-1][1] == c - 1 and c != 0x10000:
                 ranges[-1][1] = c
             else:
                 ranges.append([c, c])
-    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges) + "]")
+    low, high = ("".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges if (a < 0x10000) == first) for first in (True, False))
+    return re.compile(f"[{low}]"), re.compile(f"[{high}]")
 
 
 def plain(text: str | None) -> bytes:
     """Lower case, with signs beyond ASCII as spaces; the others are no bytes of words anyway."""
     text = (text or "").lower()
-    return (text if text.isascii() else _signs().sub(" ", text)).encode("utf-8", "surrogatepass")
+    if not text.isascii():
+        low, high = _signs()
+        text = low.sub(" ", text)
+        if max(text) > "\uffff":
+            text = high.sub(" ", text)
+    return text.encode("utf-8", "surrogatepass")
 
 
 def _texts(column: pa.Array) -> list[bytes]:
