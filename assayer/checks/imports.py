@@ -106,12 +106,19 @@ def _(s, d):
     return found.select("status", (F.length("sha256") == 64).alias("hashed")).distinct()
 
 
-@check("payload_to_csv", f"select row_no::varchar as row_no, turn::varchar as turn, role, chars::varchar as chars from {TURNS} where payload_id = (select min(conv_id) from conversations)")
+@check("payload_to_csv", f"""select payload_id::varchar as payload_id, row_no::varchar as row_no, turn::varchar as turn, role, chars::varchar as chars from {TURNS}""")
 def _(s, d):
-    first = table(s, d, "conversations").agg(F.min("conv_id")).first()[0]
+    """The cells of all payloads, put out as one file set and read back."""
     path = scratch_path(s, "import")
-    C.write_csv(P.as_table(P.parse(payloads(s, d, "objects")), first), path)
-    return C.read_csv(s, path).drop("_row_id").select("row_no", "turn", "role", "chars")
+    cells = P.parse(payloads(s, d, "objects"))
+    C.write_csv(cells.groupBy("payload_id", "row_no").pivot("column", ["turn", "role", "chars"]).agg(F.first("value")), path)
+    return C.read_csv(s, path).drop("_row_id").select("payload_id", "row_no", "turn", "role", "chars")
+
+
+check("payload_columns_rows_of_objects", f"""select payload_id, 'columns_rows' as shape, row_no, 0 as position, 'role' as column, role as value from {TURNS}
+  union all select payload_id, 'columns_rows', row_no, 1, 'turn', turn::varchar from {TURNS} union all select payload_id, 'columns_rows', row_no, 2, 'nothing', null from {TURNS}""")(
+    lambda s, d: P.parse(conversations(s, d).select("payload_id", F.concat(
+        F.lit('{"columns": ["role", "turn", "nothing"], "rows": '), F.to_json(short(T())), F.lit("}")).alias("text"))))
 
 
 # --- reader conventions, on exports written from the tables

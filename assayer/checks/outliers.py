@@ -38,3 +38,6 @@ def _flags(s, d):
 
 check("iforest_events")(lambda s, d: rounded(_flags(s, d)))
 check("iforest_flagged_rows")(lambda s, d: rounded(O.flagged_rows(_flags(s, d))))
+check("iforest_flagged_share", "select count(*) as rows, (count(*) - 1 - floor(0.98 * (count(*) - 1)))::bigint as flagged, true as in_range, true as above from events")(
+    lambda s, d: (lambda f: f.agg(F.count("*").alias("rows"), F.count_if("flagged").alias("flagged"), F.bool_and((F.col("score") > 0) & (F.col("score") <= 1)).alias("in_range"),
+                                  (F.min(F.when(F.col("flagged"), F.col("score"))) > F.max(F.when(~F.col("flagged"), F.col("score")))).alias("above")))(_flags(s, d)))

@@ -200,6 +200,14 @@ def _(s, d):
     return roles_of(df).select("column", "role")
 
 
+@check("roles_empty_column", """select * from (values ('nothing', 'empty', 0), ('blank', 'empty', 0), ('o_orderstatus', 'categorical', 3)) t("column", role, "distinct")
+  where (select count(*) from orders) > 0""")
+def _(s, d):
+    """Columns without a value: nulls of a number type, and nulls of text."""
+    df = table(s, d, "orders").select("o_orderstatus", F.lit(None).cast("double").alias("nothing"), F.lit(None).cast("string").alias("blank"))
+    return R.infer_roles(df).select("column", "role", F.col("distinct").cast("int").alias("distinct"))
+
+
 @check("roles_dirty_orders", """select * from (values ('order_code', 'id'), ('price', 'numeric'), ('status', 'categorical'), ('paid', 'boolean'),
   ('day', 'datetime'), ('note', 'categorical'), ('priority', 'categorical'), ('customer', 'numeric')) v("column", role) where (select count(*) from orders) > 0""")
 def _(s, d):

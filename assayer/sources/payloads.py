@@ -118,11 +118,15 @@ def object_rows(found: DataFrame) -> DataFrame:
 
 
 def array_rows(found: DataFrame, shape: str) -> DataFrame:
-    """Rows given as arrays, with names from ``columns`` or numbered."""
-    cells = (found.select("payload_id", "columns", F.posexplode(_array(F.col("json"))).alias("row_no", "row"))
-             .select("payload_id", "columns", "row_no", F.posexplode(_array(F.col("row"))).alias("position", "cell")))
+    """Rows given as arrays, with names from ``columns`` or numbered; rows given as objects have a cell for each of ``columns``."""
+    rows = found.select("payload_id", "columns", F.posexplode(_array(F.col("json"))).alias("row_no", "row")) \
+        .withColumn("fields", F.when(F.size("columns") > 0, _object(F.col("row"))))
+    cells = rows.where("fields is null").select("payload_id", "columns", "row_no", F.posexplode(_array(F.col("row"))).alias("position", "cell"))
     name = F.coalesce(F.try_element_at("columns", F.col("position") + 1), F.col("position").cast("string"))
-    return _cells(cells.select("payload_id", "row_no", "position", name.alias("column"), _scalar_text(F.col("cell")).alias("value")), shape)
+    cells = cells.select("payload_id", "row_no", "position", name.alias("column"), "cell")
+    named = rows.where("fields is not null").select("payload_id", "row_no", "fields", F.posexplode("columns").alias("position", "column"))
+    cells = cells.unionByName(named.select("payload_id", "row_no", "position", "column", F.try_element_at("fields", F.col("column")).alias("cell")))
+    return _cells(cells.select("payload_id", "row_no", "position", "column", _scalar_text(F.col("cell")).alias("value")), shape)
 
 
 def _text_columns(v: Column) -> Column:

@@ -98,6 +98,7 @@ def test_row_position_over_several_files(spark, tmp_path):
 
 CASES = {
     "rows": ('[{"city": "Oslo", "pop": 709}, {"city": "Bergen", "pop": 291}, {"city": "Voss", "pop": 16}]', "objects", 3, 2),
+    "columns of objects": ('{"columns": ["b", "a", "z"], "rows": [{"a": 1, "b": "x", "c": 2}, {"b": "y"}]}', "columns_rows", 2, 3),
     "columns": ('{"columns": ["lat", "lon", "name"], "rows": [[59.9, 10.7, "Oslo"], [60.4, 5.3, "Bergen"]]}', "columns_rows", 2, 3),
     "csv": ("depot,shelf\nnorth,12\nsouth,7\nwest,31\n", "delimited", 3, 2),
     "wrapped": ('{"page": 1, "items": [{"part": "bolt", "maker": {"town": "Ulm"}}, {"part": "nut", "maker": {"town": "Graz"}}]}', "objects", 2, 2),
