@@ -53,6 +53,10 @@ def _cut(text: bytes) -> Iterator[bytes]:
     yield text[first:]
 
 
+def _small(batches: Iterator[pa.RecordBatch], rows: int = 2_000) -> Iterator[pa.RecordBatch]:
+    return (b.slice(i, rows) for b in batches for i in range(0, b.num_rows, rows))
+
+
 def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.Array, np.ndarray]]:
     """Words and places of the texts of a batch, by language; places of neighbouring words of one piece differ by one, others by more."""
     parts: list[tuple[str, bytes]] = []
@@ -94,7 +98,7 @@ def _texts(df: DataFrame, text_col: str, lang_col: str) -> DataFrame:
 def word_counts(texts: DataFrame) -> DataFrame:
     """``key, n`` of every word (with its language after a space); the key of a language alone holds the number of all its words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _small(batches):
             tables = []
             for lang, words, _ in _pieces(batch):
                 coded = words.dictionary_encode()
@@ -177,7 +181,7 @@ def first_relation(texts: DataFrame, words: DataFrame, most_sent: int) -> DataFr
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table = _Words(*sent.value)
-            for batch in batches:
+            for batch in _small(batches):
                 for lang, found, place in _pieces(batch):
                     coded = found.dictionary_encode()
                     ids = table.find(_keyed(coded.dictionary, lang))[coded.indices.to_numpy()]
@@ -188,7 +192,7 @@ def first_relation(texts: DataFrame, words: DataFrame, most_sent: int) -> DataFr
         return materialise(texts.mapInArrow(run, _RELATION), "relation")
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _small(batches):
             for lang, found, place in _pieces(batch):
                 rows, keys = _rows(place, place, place), _keyed(found, lang)
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.ListArray.from_arrays(rows.column(0).offsets, keys)], ["step", "key"])
@@ -253,11 +257,10 @@ def group_counts(relation: DataFrame, k: int) -> DataFrame:
                 part = slice(at, at + 100_000)
                 yield pa.RecordBatch.from_arrays([pa.array(keys[part]), pa.array(n[part])], ["key", "n"])
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2_000):
-                held.append(extended(*_columns(batch.slice(at, 2_000)), k)[1])
-                if sum(map(len, held)) > COUNTED:
-                    yield from counted()
+        for batch in _small(batches):
+            held.append(extended(*_columns(batch), k)[1])
+            if sum(map(len, held)) > COUNTED:
+                yield from counted()
         if held:
             yield from counted()
 
@@ -275,7 +278,7 @@ def next_relation(relation: DataFrame, phrases: DataFrame, k: int, most_sent: in
             keys, ids = sent.value
             if not len(keys):
                 return
-            for batch in (b.slice(i, 2_000) for b in batches for i in range(0, b.num_rows, 2_000)):
+            for batch in _small(batches):
                 place, word, phrase = _columns(batch)
                 starts, found = extended(place, word, phrase, k)
                 at = np.searchsorted(keys, found).clip(0, len(keys) - 1)
