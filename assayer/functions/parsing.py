@@ -40,11 +40,17 @@ DAY_LAYOUTS = [
 ]
 # fixed value: two-digit years from here on belong to the last century
 _CENTURY = 2070
-_WEEKDAY = r"(?i)^(mon|tue|wed|thu|fri|sat|sun)[a-z]*,? +"
+_DAY_NAMES, _MONTH_NAMES = "mon|tue|wed|thu|fri|sat|sun", "jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec"
+_WEEKDAY = rf"(?i)^({_DAY_NAMES})[a-z]*,? +"
 # a time of day after the day, with an optional half of the day and zone
 _CLOCK = (r"(?i)(?:(?<=\d)T| +)(\d{1,2}):(\d{2})(?::(\d{2})(\.\d+)?)?(?: ?([ap])\.?m\.?)?(?: ?(z|utc|gmt|[+-]\d{2}:?\d{2}))?$")
+# the day and the six parts of a time, between signs that no date holds
+_TAKEN_APART = "\x01".join(f"${k}" for k in range(1, 8))
 _COMPACT = r"^\d{8}T\d{6}$"
 _ISO = r"^\d{4}-\d{1,2}(-\d{1,2}([T ]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?( ?(Z|[+-]\d{2}:?\d{2}))?)?)?$"
+# how any of the forms above begins; a number with one point is none of them
+_DATE_LIKE = (r"^(?=[^0-9]*[0-9])(?!\d*\.\d*$)(?:\d{8}(?!\d)|\d{1,4}[-/. ]"
+              rf"|(?i:{_DAY_NAMES}|{_MONTH_NAMES})[A-Za-z]*,? )[A-Za-z0-9 ,:/.+-]*$")
 _NUMBER = r"(?i)^[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf(inity)?)$"
 
 
@@ -74,11 +80,10 @@ def _day(s: Column) -> Column:
     return parsed
 
 
-def _seconds(s: Column) -> Column:
-    """Seconds from midnight in the session's zone (UTC) of the time that a text ends with; null for impossible times."""
+def _seconds(parts: Column) -> Column:
+    """Seconds from midnight in the session's zone (UTC) of a time taken apart by _CLOCK; null for impossible times."""
     def part(k: int) -> Column:
-        found = F.regexp_extract(s, _CLOCK, k)
-        return F.when(found != "", found)
+        return F.nullif(parts[k], F.lit(""))
 
     hour, half, zone = part(1).cast("int"), F.lower(part(5)), F.lower(part(6))
     hour24 = F.when(half.isNull(), hour).when(hour.between(1, 12), hour % 12 + F.when(half == "p", 12).otherwise(0))
@@ -96,16 +101,17 @@ def _let(value: Column, use) -> Column:
 
 
 def _parse_stripped_datetime(s: Column) -> Column:
-    # a day, a time and a zone are read each for itself, so that any of the layouts can be combined
-    def combined(plain: Column) -> Column:
-        day = _let(F.regexp_replace(plain, _CLOCK, ""), _day)
-        timed = F.timestamp_micros(F.unix_micros(day) + F.round(_seconds(plain) * 1_000_000).cast("bigint"))
-        return F.when(plain.rlike(_CLOCK), timed).otherwise(day)
+    # a day, a time and a zone are read each for itself, so that any of the layouts can be combined; one match takes them apart
+    def combined(parts: Column) -> Column:
+        day = _day(parts[0])
+        return F.when(F.size(parts) == 1, day).otherwise(_let(day, lambda d: F.timestamp_micros(
+            F.unix_micros(d) + F.when(d.isNotNull(), F.round(_seconds(parts) * 1_000_000).cast("bigint")))))
 
+    pieces = F.split(F.regexp_replace(F.regexp_replace(s, _WEEKDAY, ""), "^(.*?)" + _CLOCK, _TAKEN_APART), "\x01")
     parsed = F.when(s.rlike(_ISO), s.try_cast("timestamp")).when(s.rlike(_COMPACT), F.try_to_timestamp(s, F.lit("yyyyMMdd'T'HHmmss"))) \
-        .otherwise(_let(F.regexp_replace(s, _WEEKDAY, ""), combined))
-    # one cheap test spares prose the whole chain
-    return F.when(s.rlike(r"^(?=[^0-9]*[0-9])[A-Za-z0-9 ,:/.+-]+$"), parsed)
+        .otherwise(_let(pieces, combined))
+    # one cheap test spares prose, codes and numbers the whole chain
+    return F.when(s.rlike(_DATE_LIKE), parsed)
 
 
 def parse_datetime(c: Column, stripped: bool = False) -> Column:

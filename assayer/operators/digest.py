@@ -59,16 +59,16 @@ def text_values(df: DataFrame) -> DataFrame | None:
     text, _, _ = _kinds(df)
     if not text:
         return None
-    cells = []
-    for i, c in text:
-        v = quoted(c)
-        cells.append(F.struct(
-            F.lit(i).alias("ordinal"), token(v).alias("tok"),
-            F.when(~is_short(v), token(strip(v))).alias("trim"),
-            F.when(~is_short(v), token(normalise(v))).alias("norm"),
-            F.when(~is_short(v), parse_number(v)).alias("long_num"),
-            F.when(~is_short(v), parse_datetime(v).isNotNull()).alias("long_date")))
-    return (_grouped(_exploded(df, cells, False), ["ordinal", "tok", "trim", "norm", "long_num", "long_date"], False)
+    # cells first, so that what is asked of a text is one expression, however many columns there are
+    v = F.col("v")
+    cells = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("ordinal"), quoted(c).alias("v")) for i, c in text])))
+    keyed = cells.select(
+        "ordinal", token(v).alias("tok"),
+        F.when(~is_short(v), token(strip(v))).alias("trim"),
+        F.when(~is_short(v), token(normalise(v))).alias("norm"),
+        F.when(~is_short(v), parse_number(v)).alias("long_num"),
+        F.when(~is_short(v), parse_datetime(v).isNotNull()).alias("long_date"))
+    return (_grouped(keyed, ["ordinal", "tok", "trim", "norm", "long_num", "long_date"], False)
             .withColumn("trim", F.coalesce("trim", strip(F.col("tok"))))
             .withColumn("norm", F.coalesce("norm", F.lower("trim"))))
 

@@ -83,3 +83,17 @@ def test_shapiro_verdicts(spark):
     assert got["weights"]["w"] == pytest.approx(0.7888, abs=5e-4) and got["weights"]["is_normal"] is False
     assert got["normal"]["is_normal"] is True and got["skewed"]["is_normal"] is False
     assert got["flat"]["is_normal"] is True and got["three"]["is_normal"] is True
+
+
+def test_date_texts_of_every_layout_and_clock(spark):
+    """Every layout, with and without weekday, time, half of the day and zone, against Python's own parser."""
+    day = datetime(2024, 3, 25, 0, 0)
+    days = ["3/25/2024", "25/3/2024", "3/25/24", "25/3/24", "3-25-2024", "25-3-2024", "3.25.2024", "25.3.2024", "2024/3/25", "2024.3.25",
+            "2024-3-25", "20240325", "25 Mar 2024", "25-Mar-2024", "25 March 2024", "Mar 25, 2024", "Mar 25 2024", "March 25, 2024", "Monday, 25 Mar 2024"]
+    clocks = {"": (0, 0, 0), " 7:05": (7, 5, 0), " 7:05:09": (7, 5, 9), " 7:05 pm": (19, 5, 0), " 12:05:01 a.m.": (0, 5, 1), " 07:05:09 UTC": (7, 5, 9),
+              " 07:05 +02:00": (5, 5, 0), " 25:00": None, " 7:61": None}
+    want = {d + c: t and day.replace(hour=t[0], minute=t[1], second=t[2]) for d in days if d != "2024-3-25" for c, t in clocks.items()}
+    nothing = ["ORD-20240325", "12345", "1234567", "123456789", "12.5", ".5", "7", "2024", "abc 12", "may be 3", "25/3", "1.2.3", "", "13/13/2024", "-", "x" * 500 + "1"]
+    want |= {t: None for t in nothing}
+    rows = spark.createDataFrame([(t,) for t in want], "v string").select("v", parsing.parse_datetime(F.col("v")).cast("timestamp_ntz").alias("x")).collect()
+    assert {r["v"]: r["x"] for r in rows} == want
