@@ -50,3 +50,23 @@ def test_drift_monitor_compares_each_arrival_with_the_last(spark, tmp_path):
     seen = run()
     assert sum(r["status"] == "baseline" for r in seen.values()) == 2 and len(seen) == 3
     assert len(run()) == 3
+
+
+def test_limit_audit_reads_its_events_once_and_leaves_out_what_has_no_limit(spark):
+    at = datetime(1969, 12, 31, 23, 58)  # windows before the epoch are aligned as well
+    rows = [(at, 1, "auth")] * 3 + [(at + timedelta(minutes=2), 1, "auth")] * 2 + [(at, None, "read")] * 4 + [(None, 1, "auth")] * 9 + [(at, 1, "other")] * 9
+    events = spark.createDataFrame(rows, "ts timestamp, user_id bigint, class string")
+    audit = limits.limit_audit(events, "user_id", {"auth": (1, 300), "read": (3, 60), "mcp": (1, 60)})
+    got = sorted((r["class"], r["user_id"], r["window_start"], (r["window_end"] - r["window_start"]).seconds, r["events"], r["allowed"]) for r in audit.collect())
+    assert got == [("auth", 1, datetime(1969, 12, 31, 23, 55), 300, 3, 1), ("auth", 1, datetime(1970, 1, 1), 300, 2, 1), ("read", None, at, 60, 4, 3)]
+    assert limits.limit_audit(events.limit(0), "user_id").count() == 0
+    plan = audit._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 1 and plan.count("Aggregate") == 1
+
+
+def test_classes_with_windows_of_one_length_share_a_stateful_operator(spark, tmp_path):
+    schema = "ts timestamp, user_id bigint, class string"
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    plan = limits.limit_audit_stream(stream, "user_id")._jdf.queryExecution().analyzed().toString()
+    assert plan.count("Aggregate") == 3
