@@ -6,10 +6,15 @@ kept with the reason.
 """
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.parsing import null_if_missing
 from ..functions.text import strip
@@ -17,6 +22,10 @@ from ..session import materialise
 
 # fixed values: keys that usually wrap the row array, in order of preference
 ROW_KEYS = ["data", "rows", "records", "result", "results", "items", "hits", "value", "entries", "content"]
+_PREFERRED = {k: i for i, k in enumerate(ROW_KEYS, 1)}
+# texts, brackets, separators, and numbers or words of a JSON document
+_SIGNS = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\]:,]|[^\s{}\[\]:,"]+', re.S)
+_BATCH_CHARS = 4_000_000
 SEPARATORS = [",", "\t", ";"]
 # fixed value: the line under a table's head, by the grammar of markdown tables
 _RULE = r"^\s*\|?[\s:|-]+\|?\s*$"
@@ -60,33 +69,119 @@ def prepare(payloads: DataFrame) -> DataFrame:
     return payloads.select("payload_id", body.alias("body")).withColumn("json", F.try_parse_json("body"))
 
 
+def _documents(batches: Iterable[pa.RecordBatch], schema: pa.Schema, read: Callable[[str], Iterable[tuple]]) -> Iterator[pa.RecordBatch]:
+    """Rows (payload_id, *what ``read`` finds in its JSON text), in batches of bounded size."""
+    for batch in batches:
+        out: list[tuple] = []
+        size = 0
+        for i, text in enumerate(batch.column(1)):
+            for found in read(text.as_py()):
+                out.append((i, *found))
+                size += len(found[-1]) + 50
+                if size > _BATCH_CHARS:
+                    yield _emit(batch, out, schema)
+                    out, size = [], 0
+        if out:
+            yield _emit(batch, out, schema)
+
+
+def _emit(batch: pa.RecordBatch, out: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    places, *values = zip(*out)
+    ids = batch.column(0).take(pa.array(places, pa.int64()))
+    return pa.RecordBatch.from_arrays([ids, *(pa.array(v, f.type) for v, f in zip(values, schema))],
+                                      names=[batch.schema.names[0], *schema.names])
+
+
+def first_rows(text: str) -> Iterable[tuple[str]]:
+    """JSON text of the first array of objects or arrays, in one pass over the signs of a document.
+
+    Objects are opened, arrays are not. The path to an array holds the place of each key: preferred wrapper keys come before
+    the others, which keep their written order; the smallest path is the first in depth-first order.
+    """
+    path: list[int] = []     # place of the current key in each open object
+    written: list[int] = []  # keys seen so far in each open object
+    inside = 0               # open brackets within an array
+    start, candidate, best, rows = 0, False, None, None
+    expects_key = False
+    signs = _SIGNS.finditer(text)
+    for sign in signs:
+        s = sign.group()
+        if inside:
+            if inside == 1 and candidate is None:
+                candidate = s in "{[" and (best is None or path < best)
+            if s in "{[":
+                inside += 1
+            elif s in "}]":
+                inside -= 1
+                if not inside and candidate:
+                    best, rows = list(path), text[start:sign.end()]
+        elif s == "[":
+            inside, start, candidate = 1, sign.start(), None
+        elif s == "{":
+            path.append(0)
+            written.append(0)
+            expects_key = True
+        elif s == "}":
+            path.pop()
+            written.pop()
+            expects_key = False
+        elif s == ",":
+            expects_key = True
+        elif expects_key and s[0] == '"':
+            written[-1] += 1
+            path[-1] = _PREFERRED.get(json.loads(s), written[-1] + len(_PREFERRED))
+            expects_key = False
+    return [] if rows is None else [(rows,)]
+
+
+def row_cells(text: str) -> Iterator[tuple[int, str, str]]:
+    """(row, dotted name, JSON text of the value) for every value that is not an object, in an array of objects."""
+    names: list[str] = []
+    row, depth, inside, start = 0, 0, 0, -1
+    after_colon = False
+    for sign in _SIGNS.finditer(text):
+        s = sign.group()
+        if inside:  # an array as a value, or an element of the outer array that is not an object
+            inside += (s in "{[") - (s in "}]")
+            if not inside and depth:
+                yield row, ".".join(names), text[start:sign.end()]
+        elif s == "[" and not depth and start < 0:
+            start = 0  # the outer array
+        elif s == "[":
+            inside, start, after_colon = 1, sign.start(), False
+        elif s == "{":
+            depth += 1
+            names.append("")
+            after_colon = False
+        elif s == "}":
+            depth -= 1
+            names.pop()
+        elif s == ":":
+            after_colon = True
+        elif s == ",":
+            row += not depth
+        elif s == "]":
+            return
+        elif after_colon:
+            yield row, ".".join(names), s
+            after_colon = False
+        elif depth:
+            names[-1] = json.loads(s).encode("utf-8", "replace").decode()  # half a surrogate pair is no text
+
+
+def _walked(documents: DataFrame, text: str, fields: str, read: Callable[[str], Iterable[tuple]]) -> DataFrame:
+    schema = T.StructType.fromDDL(fields)
+    arrow = pa.schema([(f.name, pa.int64() if isinstance(f.dataType, T.LongType) else pa.string()) for f in schema])
+    found = T.StructType([documents.schema["payload_id"], *schema.fields])
+    return documents.select("payload_id", text).mapInArrow(lambda batches: _documents(batches, arrow, read), found)
+
+
 def find_rows(documents: DataFrame) -> DataFrame:
-    """(payload_id, json): first array of objects or arrays in depth-first order.
+    """(payload_id, rows, json): first array of objects or arrays in depth-first order, as text and parsed.
 
-    Preferred wrapper keys come before the remaining keys in their written order. Objects are opened level by level until
-    none is left, so nesting depth is not limited; the path records the depth-first place of each node.
+    Every document is walked once, whatever its depth. Documents are valid JSON (their ``json`` is not null).
     """
-    level = documents.select("payload_id", F.array().cast("array<bigint>").alias("path"), "json", F.col("body").alias("written"))
-    found = []
-    depth = 0
-    while True:
-        found.append(level.where(_holds_rows(F.col("json"))).select("payload_id", "path", "json"))
-        objects = level.where(_object(F.col("json")).isNotNull())
-        if depth > 0 and objects.isEmpty():
-            break
-        entry = F.col("entry")
-        keys = F.json_object_keys("written")
-        preferred = F.array_position(F.array(*[F.lit(k) for k in ROW_KEYS]), entry["key"])
-        place = F.when(preferred > 0, preferred).otherwise(F.array_position(keys, entry["key"]) + 100)
-        level = (objects.select("payload_id", "path", "written", F.explode(F.map_entries(_object(F.col("json")))).alias("entry"))
-                 .where(_object(entry["value"]).isNotNull() | _array(entry["value"]).isNotNull())
-                 .select("payload_id", F.concat("path", F.array(place.cast("bigint"))).alias("path"),
-                         entry["value"].alias("json"),
-                         F.try_element_at(F.from_json("written", "map<string,string>"), entry["key"]).alias("written")))
-        depth += 1
-    nodes = reduce(DataFrame.unionByName, found)
-    return nodes.groupBy("payload_id").agg(F.min_by(F.to_json("json"), "path").alias("rows")).select(
-        "payload_id", F.parse_json("rows").alias("json"))
+    return _walked(documents, "body", "rows string", first_rows).withColumn("json", F.parse_json("rows"))
 
 
 def _cells(df: DataFrame, shape: str) -> DataFrame:
@@ -94,27 +189,10 @@ def _cells(df: DataFrame, shape: str) -> DataFrame:
                      F.col("position").cast("int").alias("position"), "column", "value")
 
 
-def flatten_objects(rows: DataFrame) -> DataFrame:
-    """(payload_id, row_no, column, json) -> cells with dotted names for nested objects."""
-    done, level = [], rows
-    first = True
-    while True:
-        is_object = _object(F.col("json")).isNotNull()
-        done.append(level.where(~F.coalesce(is_object, F.lit(False))))
-        objects = level.where(is_object)
-        if not first and objects.isEmpty():
-            break
-        first = False
-        level = (objects.select("payload_id", "row_no", "column", F.explode(F.map_entries(_object(F.col("json")))).alias("e"))
-                 .select("payload_id", "row_no", F.concat_ws(".", "column", F.col("e")["key"]).alias("column"), F.col("e")["value"].alias("json")))
-    return reduce(DataFrame.unionByName, done)
-
-
 def object_rows(found: DataFrame) -> DataFrame:
-    rows = (found.select("payload_id", F.posexplode(_array(F.col("json"))).alias("row_no", "json"))
-            .where(_object(F.col("json")).isNotNull()).withColumn("column", F.lit(None).cast("string")))
-    flat = flatten_objects(rows).where("column is not null")
-    return _cells(flat.select("payload_id", "row_no", F.lit(None).alias("position"), "column", _scalar_text(F.col("json")).alias("value")), "objects")
+    """Cells with dotted names for nested objects; each row array is walked once."""
+    flat = _walked(found, "rows", "row_no bigint, column string, value string", row_cells)
+    return _cells(flat.select("payload_id", "row_no", F.lit(None).alias("position"), "column", _scalar_text(F.parse_json("value")).alias("value")), "objects")
 
 
 def array_rows(found: DataFrame, shape: str) -> DataFrame:
@@ -261,8 +339,6 @@ def as_table(cells: DataFrame, payload_id) -> DataFrame:
 
 def flatten_struct(df: DataFrame) -> DataFrame:
     """Nested struct columns as dotted flat columns."""
-    from pyspark.sql import types as T
-
     def leaves(fields, prefix):
         for f in fields:
             path = [*prefix, f.name]

@@ -231,3 +231,63 @@ def test_state_of_a_line():
     assert not records.open_after(b'a,"b"', False, b",") and records.open_after(b'a,"b', False, b",")
     assert records.open_after(b'a,""b', True, b",") and not records.open_after(b'a"', True, b",")
     assert not records.open_after(b'5" pipe,x"y', False, b",") and records.open_after(b'a"b;"c', True, b";")
+
+
+def _rows_by_hand(node):
+    """First array of objects or arrays, preferred keys first, by recursion."""
+    if isinstance(node, list):
+        return node if node and isinstance(node[0], (dict, list)) else None
+    if isinstance(node, dict):
+        rank = {k: i for i, k in enumerate(payloads.ROW_KEYS)}
+        for k in sorted(node, key=lambda k: rank.get(k, 100)):
+            found = _rows_by_hand(node[k])
+            if found is not None:
+                return found
+    return None
+
+
+def _cells_by_hand(rows):
+    def walk(value, name):
+        if isinstance(value, dict):
+            for k, v in value.items():
+                yield from walk(v, [*name, k])
+        else:
+            yield ".".join(name), value
+
+    return [(i, n, v) for i, r in enumerate(rows) if isinstance(r, dict) for n, v in walk(r, [])]
+
+
+def test_documents_are_walked_once_and_as_by_recursion():
+    import json
+    import random
+    draw = random.Random(5)
+    keys = ["data", "items", "value", "rows", "a", "b", 'q"}[', "\\", "naïve", "", "x.y", "\n"]
+
+    def node(depth):
+        kind = draw.random()
+        if depth and kind < 0.45:
+            return {k: node(depth - 1) for k in draw.sample(keys, draw.randrange(4))}
+        if depth and kind < 0.75:
+            return [node(depth - 1) for _ in range(draw.randrange(4))]
+        return draw.choice([None, True, 0, -1.5e30, "", "text", ']"[{', "a,b:c", "\\\\\"", "é "])
+
+    solved = 0
+    for k in range(3000):
+        document = node(6)
+        text = json.dumps(document, ensure_ascii=bool(k % 2), indent=k % 3 or None)
+        want = _rows_by_hand(document)
+        got = [json.loads(r) for r, in payloads.first_rows(text)]
+        assert got == ([] if want is None else [want]), text
+        if want is not None:
+            solved += 1
+            rows = json.dumps(want, indent=k % 3 or None)
+            assert [(i, n, json.loads(v)) for i, n, v in payloads.row_cells(rows)] == _cells_by_hand(want), rows
+    assert solved > 500
+
+
+def test_payloads_of_any_depth_need_no_job_for_a_level(spark):
+    deep = '{"k": ' * 60 + '[{"n": ' + '{"m": ' * 60 + "1.50" + "}" * 60 + ', "half": {"\\ud800": [1, {"z": null}]}, "none": null, "empty": {}}, 7, {"n": "x"}]' + "}" * 60
+    df = spark.createDataFrame([("deep", deep), ("none", "[]"), ("scalar", "3"), (None, '[{"a": 1}]')], "payload_id string, text string")
+    got = sorted((r["payload_id"] or "", r["row_no"], r["column"], r["value"]) for r in payloads.parse(df).collect())
+    assert got == [("", 0, "a", "1"), ("deep", 0, "half.?", '[1,{"z":null}]'), ("deep", 0, "n" + ".m" * 60, "1.5"),
+                   ("deep", 0, "none", None), ("deep", 2, "n", "x")]
