@@ -26,6 +26,8 @@ _PREFERRED = {k: i for i, k in enumerate(ROW_KEYS, 1)}
 # texts, brackets, separators, and numbers or words of a JSON document
 _SIGNS = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\]:,]|[^\s{}\[\]:,"]+', re.S)
 _BATCH_CHARS = 4_000_000
+# a sign that no delimited text holds
+_CUT = "\x1c\x00\x1c"
 SEPARATORS = [",", "\t", ";"]
 # fixed value: the line under a table's head, by the grammar of markdown tables
 _RULE = r"^\s*\|?[\s:|-]+\|?\s*$"
@@ -271,7 +273,15 @@ def markdown_table(text: Column) -> Column:
 
 
 def _fields(line: Column, sep: str) -> Column:
-    quoted_aware = F.split(line, f'{sep}(?=(?:[^"]*"[^"]*")*[^"]*$)')
+    """Fields of a line, split at separators with an even number of quotes after them; linear in the line."""
+    def cut(pieces: Column) -> Column:
+        # the quotes after a piece are those of the line less its place
+        return F.array_join(F.transform(pieces, lambda p, i: F.when(
+            (F.size(pieces) - 1 - i) % 2 == 0, F.replace(p, F.lit(sep), F.lit(_CUT))).otherwise(p)), '"')
+
+    # within a lambda the pieces are worked out once
+    quoted = F.split(F.transform(F.array(F.split(line, '"')), cut)[0], _CUT)
+    quoted_aware = F.when(line.contains('"'), quoted).otherwise(F.split(line, sep))
     return F.transform(quoted_aware, lambda f: F.when(
         f.rlike('(?s)^".*"$'), F.regexp_replace(F.regexp_replace(f, '^"|"$', ""), '""', '"')).otherwise(f))
 

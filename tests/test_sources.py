@@ -1,6 +1,8 @@
+import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from assayer.operators import roles
 from assayer.sources import catalogue, csv, payloads, records
@@ -258,8 +260,6 @@ def _cells_by_hand(rows):
 
 
 def test_documents_are_walked_once_and_as_by_recursion():
-    import json
-    import random
     draw = random.Random(5)
     keys = ["data", "items", "value", "rows", "a", "b", 'q"}[', "\\", "naïve", "", "x.y", "\n"]
 
@@ -291,3 +291,24 @@ def test_payloads_of_any_depth_need_no_job_for_a_level(spark):
     got = sorted((r["payload_id"] or "", r["row_no"], r["column"], r["value"]) for r in payloads.parse(df).collect())
     assert got == [("", 0, "a", "1"), ("deep", 0, "half.?", '[1,{"z":null}]'), ("deep", 0, "n" + ".m" * 60, "1.5"),
                    ("deep", 0, "none", None), ("deep", 2, "n", "x")]
+
+
+def test_fields_of_lines_with_any_quotes_are_as_by_counting(spark):
+    draw = random.Random(3)
+    lines = ["".join(draw.choice('ab,;"" ') for _ in range(draw.randrange(14))) for _ in range(400)] + ["a," * 30_000 + '"x,y"']
+
+    def by_hand(line):
+        out, field = [], ""
+        after = line.count('"')
+        for c in line:
+            after -= c == '"'
+            if c == "," and after % 2 == 0:
+                out.append(field)
+                field = ""
+            else:
+                field += c
+        return [f[1:].removesuffix('"').replace('""', '"') if len(f) > 1 and f[0] == f[-1] == '"' else f for f in [*out, field]]
+
+    got = spark.createDataFrame([(x,) for x in lines], "line string").select("line", payloads._fields(F.col("line"), ",").alias("f")).collect()
+    for r in got:
+        assert r["f"] == by_hand(r["line"]), r["line"]
