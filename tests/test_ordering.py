@@ -123,6 +123,21 @@ def test_deep_pages_read_their_slices_only(spark, start, stop):
         assert "_slice" in plan and "PushedFilters" in plan and "GreaterThanOrEqual(c2" in plan
 
 
+def test_small_slices_share_tasks_and_files(spark):
+    df = spark.range(20_000, numPartitions=4).selectExpr("id", "id * 7919 % 20011 as k", "case when id % 3 > 0 then id % 4 end as g")
+    for order in (["k"], ["g", "k"], ["g"]):
+        sliced = O.in_slices(df, order, 10)
+        assert len(sliced.inputFiles()) <= spark.sparkContext.defaultParallelism
+        found = sliced.groupBy("_slice").agg(O.F.count("*").alias("n"), *[f(O.F.struct(*order)).alias(a) for f, a in ((O.F.min, "lo"), (O.F.max, "hi"))]).orderBy("_slice").collect()
+        assert len(found) >= 2_000 and max(r["n"] for r in found) <= 10 and sum(r["n"] for r in found) == 20_000
+        # slices go on from each other, nulls first
+        def key(t):
+            return [(v is not None, v or 0) for v in t]
+        assert all(key(a["hi"]) <= key(b["lo"]) for a, b in zip(found, found[1:]))
+    pdf = df.toPandas().sort_values("k")
+    assert O.running_sum(df, "id", ["k"], rows_per_slice=10).orderBy("k").toPandas()["cumsum"].tolist() == pdf["id"].cumsum().tolist()
+
+
 def test_lookup_of_hot_and_missing_keys(spark):
     df = spark.range(1000).selectExpr("id", "case when id % 3 = 0 then 1 when id % 3 = 1 then id end as a", "cast(id % 2 as string) as b")
     table = df.groupBy("a", "b").agg(O.F.count("*").alias("n")).withColumn("v", O.F.concat_ws("-", "a", "b"))
