@@ -248,14 +248,12 @@ def _bar_cells(line: Column) -> Column:
     return F.transform(F.split(F.regexp_replace(strip(line), r"^\|+|\|+$", ""), r"\|"), strip)
 
 
-def markdown_table(text: Column) -> Column:
-    """First pipe table as struct(header, rows); null if there is none.
+def markdown_table(lines: Column) -> Column:
+    """First pipe table among a text's lines as struct(header, rows); null if there is none. ``lines`` should be worked out already.
 
     A header line with a bar is followed by a line of dashes; rows run to the first line without a bar, and rows with a
     different number of cells are left out.
     """
-    lines = _lines(text)
-
     def starts(i: Column) -> Column:
         rule = F.element_at(lines, i + 1)
         return F.element_at(lines, i).contains("|") & rule.rlike(_RULE) & rule.contains("-")
@@ -286,27 +284,51 @@ def _fields(line: Column, sep: str) -> Column:
         f.rlike('(?s)^".*"$'), F.regexp_replace(F.regexp_replace(f, '^"|"$', ""), '""', '"')).otherwise(f))
 
 
-def delimited_table(text: Column) -> Column:
-    """struct(header, rows) for the first separator that gives two or more columns and at least one row, none too long."""
-    lines = _lines(text)
+def delimited_table(lines: Column) -> Column:
+    """struct(header, rows) for the first separator that gives two or more columns and at least one row, none too long.
 
+    The other lines are cut only where the first one has the separator. ``lines`` should be worked out already.
+    """
     def read(sep: str) -> Column:
+        header = _fields(F.element_at(lines, F.lit(1)), sep)
+
+        def fitting(split: Column) -> Column:
+            own, rows = split[0], F.slice(split, F.lit(2), F.size(split) - 1)
+            fits = (F.size(own) > 1) & F.forall(rows, lambda r: F.size(r) <= F.size(own))
+            return F.when(fits, F.struct(own.alias("header"), rows.alias("rows")))
+
         split = F.transform(lines, lambda ln: _fields(ln, sep))
-        header = F.try_element_at(split, F.lit(1))
-        rows = F.slice(split, F.lit(2), F.greatest(F.size(split) - 1, F.lit(0)))
-        fits = (F.size(header) > 1) & (F.size(rows) >= 1) & F.forall(rows, lambda r: F.size(r) <= F.size(header))
-        return F.when(fits, F.struct(header.alias("header"), rows.alias("rows")))
+        return F.when((F.size(lines) > 1) & F.element_at(lines, F.lit(1)).contains(sep) & (F.size(header) > 1), _once(split, fitting))
 
     return F.coalesce(*[read(s) for s in SEPARATORS])
 
 
-def _table_cells(df: DataFrame, shape: str) -> DataFrame:
-    rows = df.select("payload_id", F.col("t.header").alias("header"), F.posexplode("t.rows").alias("row_no", "row"))
-    cells = rows.select("payload_id", "row_no", "row", F.posexplode("header").alias("position", "column"))
+def _once(c: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of an expression that is worked out once, however often it is named; lambdas work out anew what they name from outside."""
+    return F.transform(F.array(c), use)[0]
+
+
+def text_table(text: Column) -> Column:
+    """struct(shape, header, rows) of a text's first pipe table, else of delimited lines; null for a text without bar and separator."""
+    def read(lines: Column) -> Column:
+        def shaped(shape: str, found: Column) -> Column:
+            return _once(found, lambda t: F.when(t.isNotNull(), F.struct(F.lit(shape).alias("shape"), t["header"].alias("header"), t["rows"].alias("rows"))))
+        return F.coalesce(shaped("markdown", F.when(F.exists(lines, lambda ln: ln.contains("|")), markdown_table(lines))),
+                          shaped("delimited", delimited_table(lines)))
+
+    marked = text.contains("|")
+    for sep in SEPARATORS:
+        marked = marked | text.contains(sep)
+    return F.when(marked, _once(_lines(text), read))
+
+
+def _table_cells(df: DataFrame) -> DataFrame:
+    rows = df.select("payload_id", F.col("t.shape").alias("shape"), F.col("t.header").alias("header"), F.posexplode_outer("t.rows").alias("row_no", "row"))
+    cells = rows.where("row_no is not null").select("payload_id", "shape", "row_no", "row", F.posexplode("header").alias("position", "column"))
     value = F.try_element_at("row", F.col("position") + 1)
-    if shape == "delimited":
-        value = null_if_missing(value)
-    return _cells(cells.select("payload_id", "row_no", "position", "column", value.alias("value")), shape)
+    value = F.when(F.col("shape") == "delimited", null_if_missing(value)).otherwise(value)
+    return cells.select("payload_id", "shape", F.col("row_no").cast("bigint").alias("row_no"), F.col("position").cast("int").alias("position"),
+                        "column", value.alias("value"))
 
 
 def parse(payloads: DataFrame) -> DataFrame:
@@ -323,20 +345,19 @@ def parse(payloads: DataFrame) -> DataFrame:
     is_table = json.isNotNull() & (_is_listed(json) | _is_flat(json))
     unsolved = prepared.where(F.col("body") != "").where(~F.coalesce(is_table, F.lit(False))).join(
         found.select("payload_id"), "payload_id", "left_anti")
-    tables = unsolved.select("payload_id", "body", markdown_table(F.col("body")).alias("md"))
-    plain = tables.where("md is null").select("payload_id", delimited_table(F.col("body")).alias("t")).where("t is not null")
-    return reduce(DataFrame.unionByName, [
-        cells, _table_cells(tables.where("md is not null").select("payload_id", F.col("md").alias("t")), "markdown"),
-        _table_cells(plain, "delimited")]).select(*CELLS)
+    # a condition on the table would move below it and read every text again, so texts without one leave after their rows are laid out
+    tables = unsolved.select("payload_id", text_table(F.col("body")).alias("t"))
+    return cells.unionByName(_table_cells(tables)).select(*CELLS)
 
 
 def status(payloads: DataFrame, cells: DataFrame) -> DataFrame:
     """(payload_id, status, shape, rows, columns): what was found, or why a payload was set aside."""
     found = cells.groupBy("payload_id", "shape", "column").agg(F.max("row_no").alias("last")).groupBy("payload_id", "shape").agg(
         (F.max("last") + 1).alias("rows"), F.count("*").alias("columns"))
+    # texts stay where they are: only whether they are blank meets the cells
     blank = strip(F.coalesce(F.col("text"), F.lit(""))) == ""
-    return payloads.join(found, "payload_id", "left").select(
-        "payload_id", F.when(F.col("shape").isNotNull(), "parsed").when(blank, "empty payload").otherwise("no table found").alias("status"),
+    return payloads.select("payload_id", blank.alias("blank")).join(found, "payload_id", "left").select(
+        "payload_id", F.when(F.col("shape").isNotNull(), "parsed").when(F.col("blank"), "empty payload").otherwise("no table found").alias("status"),
         "shape", F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("columns", F.lit(0)).alias("columns"))
 
 

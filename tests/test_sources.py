@@ -312,3 +312,28 @@ def test_fields_of_lines_with_any_quotes_are_as_by_counting(spark):
     got = spark.createDataFrame([(x,) for x in lines], "line string").select("line", payloads._fields(F.col("line"), ",").alias("f")).collect()
     for r in got:
         assert r["f"] == by_hand(r["line"]), r["line"]
+
+
+def test_long_texts_are_cut_into_lines_once(spark):
+    """Thousands of lines that might begin a table; a text was cut into lines again for each of them."""
+    import time
+    bars = "\n".join(f"line {i} | more" for i in range(6_000))
+    table = bars + "\n| a | b |\n|---|---|\n| 1 | 2 |\n\nend"
+    df = spark.createDataFrame([("bars", bars), ("table", table), ("commas", "\n".join(["a, b"] * 6_000)), ("late", "title\n" + "a, b\n" * 6_000)],
+                               "payload_id string, text string")
+    start = time.time()
+    status = payloads.status(df, payloads.parse(df))
+    got = {r["payload_id"]: tuple(r)[1:] for r in status.collect()}
+    assert got == {"bars": ("no table found", None, 0, 0), "table": ("parsed", "markdown", 1, 2),
+                   "commas": ("parsed", "delimited", 5_999, 2), "late": ("no table found", None, 0, 0)}
+    assert time.time() - start < 60
+    # whole texts are not shuffled to meet the cells
+    assert "text#" not in "".join(ln for ln in status._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in ln)
+
+
+def test_files_are_cut_by_rows(spark, tmp_path):
+    csv.write_csv(spark.range(1_000, numPartitions=1).selectExpr("id", "'a\nb' as t"), str(tmp_path / "x"), rows_per_file=300)
+    found = catalogue.catalogue(spark, str(tmp_path / "x")).where("name like '%.csv'").collect()
+    assert [r["status"] for r in found] == ["uploaded"] * 4 and len({r["sha256"] for r in found}) == 4
+    read = csv.read_csv(spark, str(tmp_path / "x"), delimiter=",", encoding="UTF-8", multi_line=True)
+    assert sorted(int(r["id"]) for r in read.collect()) == list(range(1_000)) and {r["t"] for r in read.collect()} == {"a\nb"}
