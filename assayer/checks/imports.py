@@ -101,7 +101,7 @@ check("import_slug", "select page_id, coalesce(nullif(left(trim(regexp_replace(l
 @check("file_catalogue", "select 'uploaded' as status, true as hashed from orders having count(*) > 0")
 def _(s, d):
     path = scratch_path(s, "catalogue")
-    C.write_csv(table(s, d, "orders").coalesce(1), path)
+    C.write_csv(table(s, d, "orders"), path, rows_per_file=1_000_000)
     found = K.catalogue(s, path).where("name like '%.csv'")
     return found.select("status", (F.length("sha256") == 64).alias("hashed")).distinct()
 
