@@ -293,3 +293,22 @@ def test_run_records_are_appended(smoke, spark, tmp_path):
         history.append_run(history.run_record(spark, run, "orders.csv", "me", "succeeded", r["profile_columns"], r["findings"]), str(tmp_path / "runs"))
     kept = spark.read.parquet(str(tmp_path / "runs")).collect()
     assert {k["run_id"] for k in kept} == {"r1", "r2"} and all('"name":"revenue"' in k["profile"] for k in kept)
+
+
+def test_forest_scores_are_those_of_walking_each_tree():
+    from types import SimpleNamespace
+    rng = np.random.default_rng(3)
+    points = np.column_stack([rng.normal(size=900), rng.integers(0, 3, 900), np.round(rng.normal(size=900), 1)])
+    points[:3, 0] = math.inf, -math.inf, math.nan
+    grown = [outliers._grower(0)(pd.DataFrame({"tree": t, "features": list(points[rng.choice(np.arange(3, 900), n)])})) for t, n in enumerate([256, 256, 40, 2, 1])]
+
+    def walk(tree, row):
+        node = tree.iloc[0]
+        while node["feature"] >= 0:
+            node = tree.iloc[int(node["left"] if row[int(node["feature"])] <= node["threshold"] else node["right"])]
+        return node["path"]
+
+    want = [2.0 ** (-sum(walk(t, row) for t in grown) / len(grown) / 10.0) for row in points]
+    frames = [pd.DataFrame({"r": np.arange(900), **{f"c{i}": points[:, i] for i in range(3)}}).iloc[a:b] for a, b in ((0, 7), (7, 900))]
+    got = pd.concat(outliers._scorer(SimpleNamespace(value=outliers.level_tables(grown, 3)), 10.0)(frames))
+    np.testing.assert_allclose(got["score"], want, rtol=1e-12)
