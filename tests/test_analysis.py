@@ -312,3 +312,13 @@ def test_forest_scores_are_those_of_walking_each_tree():
     frames = [pd.DataFrame({"r": np.arange(900), **{f"c{i}": points[:, i] for i in range(3)}}).iloc[a:b] for a, b in ((0, 7), (7, 900))]
     got = pd.concat(outliers._scorer(SimpleNamespace(value=outliers.level_tables(grown, 3)), 10.0)(frames))
     np.testing.assert_allclose(got["score"], want, rtol=1e-12)
+
+
+def test_medians_are_sought_for_columns_with_gaps_only(spark, monkeypatch):
+    df = spark.range(100).selectExpr("id as _row_id", "cast(id as double) as a", "case when id % 4 > 0 then id end as b", "case when id = 7 then double('nan') else id / 2 end as c")
+    asked, sought = [], outliers.exact_quantiles
+    monkeypatch.setattr(outliers, "exact_quantiles", lambda d, cols, *a, **k: asked.append(cols) or sought(d, cols, *a, **k))
+    got = outliers.forest_input(df, ["a", "b", "c"])[1].orderBy("r").toPandas()
+    assert asked == [["b", "c"]]
+    assert got["c0"].tolist() == [float(i) for i in range(100)] and got["c1"].tolist() == [float(i) if i % 4 else 50.0 for i in range(100)]
+    assert got["c2"].tolist() == [25.0 if i == 7 else i / 2 for i in range(100)]
