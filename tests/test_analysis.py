@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from assayer import session
 from assayer.operators import associations, charts, drift, drivers, outliers, profile, quality, roles, stats, verbs
 from assayer.operators.digest import _first_seen, column_facts, facts_frame, first_values
 from assayer.plans import report, workflow
@@ -322,3 +323,15 @@ def test_medians_are_sought_for_columns_with_gaps_only(spark, monkeypatch):
     assert asked == [["b", "c"]]
     assert got["c0"].tolist() == [float(i) for i in range(100)] and got["c1"].tolist() == [float(i) if i % 4 else 50.0 for i in range(100)]
     assert got["c2"].tolist() == [25.0 if i == 7 else i / 2 for i in range(100)]
+
+
+def test_rows_of_one_task_are_shared_among_all_cores(spark):
+    cores = spark.sparkContext.defaultParallelism
+    few = spark.range(0, cores * 110_000, 1, 1)
+    assert session.spread(few, cores * 110_000).rdd.getNumPartitions() == cores
+    # what is scanned many times is written once, by all cores, and rows without a value stay out
+    df = spark.range(0, 4_000, 1, 1).selectExpr("if(id % 10 = 0, null, id * 0.5) as amount", "if(id % 10 = 0, null, concat(' x', id % 3)) as kind", "id as _row_id")
+    known, plain = roles.infer_and_clean(df, keep=True), roles.infer_and_clean(df)
+    assert known.clean.rdd.getNumPartitions() >= cores and known.clean.count() == 3_600
+    assert sorted(map(tuple, known.clean.collect())) == sorted(map(tuple, plain.clean.collect()))
+    assert known.roles == plain.roles and known.facts == plain.facts
