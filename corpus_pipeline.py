@@ -10,6 +10,8 @@ under one id only the one that was found goes. Rows with a null or empty text ha
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +22,8 @@ from assayer.session import materialise
 
 #: Score below which the quality classifier rejects a document: label 0 is the likelier one.
 REJECT_BELOW = 0.5
+#: Rows of a batch that goes to a Python worker: whole texts, which stand in the JVM, in Arrow and in Python at once.
+ROWS_SENT = 1_000
 #: Numbers of dropped rows that still go to every task (8 bytes each); beyond it they are joined by a shuffle.
 MOST_SENT = 1_000_000
 
@@ -86,10 +90,24 @@ STAGES = [("quality classifier", quality), ("n-gram Jaccard join", near_duplicat
 ORACLE_SQL = None
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Stages that run inside send ``ROWS_SENT`` rows to Python at a time, if the session does not send fewer."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    if not 0 < int(before) <= ROWS_SENT:
+        spark.conf.set(setting, ROWS_SENT)
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(os.path.join(sf_dir, "documents.parquet"))
-    for place, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if place < len(STAGES) - 1:
-            docs = materialise(docs, f"stage-{place}")
+    with _small_batches(spark):
+        for place, (_, stage) in enumerate(STAGES):
+            docs = stage(spark, docs, sf_dir)
+            if place < len(STAGES) - 1:
+                docs = materialise(docs, f"stage-{place}")
     return docs

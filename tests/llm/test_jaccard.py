@@ -92,6 +92,39 @@ def test_linked_sets_share_a_signature():
             assert set(sigs[who == 0].tolist()) & set(sigs[who == 1].tolist()), (size, len(a), len(b))
 
 
+def test_sketches_of_linked_sets_are_near():
+    join, rng = Join(5, 80, 100), random.Random(8)
+    for n in (1, 2, 4, 5, 63, 64, 65, 127, 128, 200, 900):
+        for _ in range(40):
+            whole = [rng.getrandbits(63) for _ in range(n + n // 4)]
+            a, b = set(rng.sample(whole, rng.randint(max(1, n * 9 // 10), n))), set(whole[:rng.randint(max(1, n * 9 // 10), len(whole))])
+            sets = [np.array(sorted(x), dtype=np.uint64) for x in (a, b)]
+            found = jaccard.sketches(np.concatenate(sets), np.array([0, len(a), len(a) + len(b)]))
+            if 100 * len(a & b) >= 80 * len(a | b):
+                assert jaccard.near([len(a), len(b)], found, join) == [(0, 1)], (n, len(a), len(b))
+    strangers = [np.array([rng.getrandbits(63) for _ in range(300)], dtype=np.uint64) for _ in range(30)]
+    found = jaccard.sketches(np.concatenate(strangers), np.arange(0, 30 * 300 + 1, 300))
+    assert jaccard.near([300] * 30, found, join) == []
+
+
+@pytest.mark.parametrize("tile", [1 << 21, 100])
+def test_a_shared_passage_makes_no_block(spark, monkeypatch, tile):
+    """Texts of one common passage share signatures of a single shingle; only near copies among them reach the search."""
+    monkeypatch.setattr(jaccard, "SKETCH_TILE", tile)
+    rng, rows = random.Random(3), []
+    passage = [f"p{i}" for i in range(30)]
+    for i in range(150):
+        own = passage + [f"w{rng.randrange(10 ** 9)}" for _ in range(70)]
+        rows.append((3 * i, " ".join(own)))
+        if i % 10 == 0:
+            rows.append((3 * i + 1, " ".join([*own[:-2], "end"])))
+    kept, whole = [], jaccard.materialise
+    monkeypatch.setattr(jaccard, "materialise", lambda df, name="stage": kept.append((name, whole(df, name))) or kept[-1][1])
+    out = jaccard.join_components(frame(spark, rows), "doc_id", "text", 5, 80, 100)
+    assert sorted(tuple(r) for r in out.collect()) == brute(rows, 5, 80, 100)
+    assert dict(kept)["units"].count() == 30
+
+
 def test_search_finds_all_pairs():
     rng, join = random.Random(6), Join(4, 80, 100)
     sets = []

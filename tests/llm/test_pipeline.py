@@ -85,3 +85,11 @@ def test_rows_are_dropped_by_place_whatever_their_ids_are(spark, tmp_path):
                                    key=str)
     clean = corpus_pipeline.decontaminate(spark, docs, SF)
     assert texts(clean) == sorted([(i, t) for i, t in rows if t != item], key=str)
+
+
+def test_stages_send_small_batches_and_leave_the_session_as_it_was(spark, monkeypatch):
+    setting, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(setting)
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("look", lambda s, docs, _: seen.append(int(s.conf.get(setting))) or docs)])
+    corpus_pipeline.run(spark, SF)
+    assert seen == [corpus_pipeline.ROWS_SENT] and spark.conf.get(setting) == before
