@@ -337,3 +337,13 @@ def test_files_are_cut_by_rows(spark, tmp_path):
     assert [r["status"] for r in found] == ["uploaded"] * 4 and len({r["sha256"] for r in found}) == 4
     read = csv.read_csv(spark, str(tmp_path / "x"), delimiter=",", encoding="UTF-8", multi_line=True)
     assert sorted(int(r["id"]) for r in read.collect()) == list(range(1_000)) and {r["t"] for r in read.collect()} == {"a\nb"}
+
+
+def test_separators_are_counted_with_and_without_quotes(spark):
+    """Lines without a quote are counted plainly; separators inside a quoted field do not count."""
+    from pyspark.sql import functions as F
+
+    from assayer.sources.csv import separators
+    lines = {"a,b,c": 2, '"a,b",c': 1, 'a,"b ""x"", y",c': 2, 'a"b,c': 1, "": 0, "abc": 0, '"': 0, None: None}
+    found = spark.createDataFrame([(x,) for x in lines], "line string").select("line", separators(F.col("line"), ",").alias("n")).collect()
+    assert {r["line"]: r["n"] for r in found} == lines
