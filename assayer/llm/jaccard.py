@@ -232,6 +232,7 @@ def _described(source: DataFrame, join: Join) -> DataFrame:
                      pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(
                          [pa.array(sigs[order].astype(np.int64)), pa.array(where[order].astype(np.int32))], ["sig", "grade"])),
                      pa.array(sketches(*signing), pa.binary())], schema.names)
+        pa.default_memory_pool().release_unused()  # the worker stays for tasks of other stages
 
     return source.mapInArrow(run, schema)
 
@@ -320,8 +321,12 @@ def links(df: DataFrame, id_col: str, text_col: str, join: Join) -> tuple[DataFr
     # a set stands once in the graph for each grade it signs for, so that blocks do not chain through the grades
     node = F.xxhash64("k1", "grade")
     signed = described.select("k1", F.inline("sigs")).select(node.alias("b"), "sig")
-    hub = Window.partitionBy("sig").orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    stars = materialise(signed.withColumn("a", F.min("b").over(hub)).filter("a <> b").select("sig", "a", "b"), "stars")
+    hub = Window.partitionBy("sig").orderBy("b")
+    first = F.min("b").over(hub.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # the place of a row and whether one follows tell signatures of two rows, which need no name
+    several = (F.row_number().over(hub) > 2) | F.lead("b").over(hub).isNotNull()
+    stars = signed.withColumns({"a": first, "several": several}).filter("a <> b")
+    stars = materialise(stars.select(F.when(F.col("several"), F.col("sig")).alias("sig"), "a", "b"), "stars")
     shown = described.filter("size(sigs) > 0").select("k1", "n", "sketch", F.explode(F.array_distinct("sigs.grade")).alias("grade"))
     blocks = components(_may_link(stars, shown.select(node.alias("node"), "n", "sketch"), join))
     bounds = F.array(*[F.lit(x) for x in join.grades(classes.agg(F.max("n")).first()[0] or 0)])
@@ -343,8 +348,8 @@ def links(df: DataFrame, id_col: str, text_col: str, join: Join) -> tuple[DataFr
 def _may_link(stars: DataFrame, shown: DataFrame, join: Join) -> DataFrame:
     """Links ``a, b`` that connect sets of one signature which may link by their sketches.
 
-    ``stars`` has ``sig, a, b``: the first set of a signature and each other one. Where all others may link with the first, that is all;
-    the sets of any other signature are compared with each other.
+    ``stars`` has ``sig, a, b``: the first set of a signature, null if it has two sets only, and each other one. Where all others may link
+    with the first, that is all; the sets of any other signature are compared with each other.
     """
     used = stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))).distinct()
     shown = materialise(shown.join(used, "node").dropDuplicates(["node"]), "sketches")
@@ -360,6 +365,7 @@ def _may_link(stars: DataFrame, shown: DataFrame, join: Join) -> DataFrame:
 
     pairs = materialise(pairs.mapInArrow(judge, judged), "judged")
     # signatures of two sets are settled by their pair
+    stars = stars.filter("sig is not null")
     told = stars.join(pairs, ["a", "b"]).groupBy("sig").agg(F.count("*").alias("others"), F.bool_and("may").alias("all"))
     unsettled = stars.join(told.filter("others > 1 and not all").select("sig"), "sig")
     members = unsettled.select("sig", F.col("b").alias("node")).unionByName(unsettled.select("sig", F.col("a").alias("node"))).distinct().join(shown, "node")
@@ -413,6 +419,7 @@ def _searched(found: DataFrame, kind: T.DataType, join: Join) -> DataFrame:
                 for at in range(0, len(rows), 512):
                     yield pa.RecordBatch.from_arrays([pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(zip(*rows[at:at + 512]), shipped)],
                                                      shipped.names)
+        pa.default_memory_pool().release_unused()
 
     result = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
 
