@@ -10,7 +10,7 @@ a grade the space of shingles is cut into more parts than there can be differenc
 are the signatures of that part. Signatures of nearly empty parts would be shared by chance; they are left out where the spare parts make
 up for it, see ``signatures``.
 
-Where they cannot be left out, sets that share a common shingle share a signature. So a sketch is compared next: one bit for about every
+Where they cannot be left out in large sets either (``chancy``), sets that share a common shingle share a signature. So a sketch is compared next: one bit for about every
 shingle, flipped by each shingle that falls on it. Two sketches differ in no more bits than their sets do in shingles, so sets whose
 sketches differ in more bits than linked sets may are not linked. What is left of a signature's sets is put into one block by connected
 components, grade by grade, and every block is searched. A block of many shingles is cut into tiles and searched in pairs of tiles.
@@ -69,6 +69,11 @@ class Join:
         parts = differ + 1 + spare
         return parts, spare, 2 if bounds[grade] >= 3.5 * parts else 1
 
+    def chancy(self) -> bool:
+        """Whether signatures of large sets, too, may stand for a single shingle."""
+        bounds = self.grades(1 << 20)
+        return self.parts(bounds, len(bounds) - 2)[2] < 2
+
 
 def shingles(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of every text, sorted within it, and where each text's begin (with the end at last).
@@ -211,6 +216,8 @@ def _described(source: DataFrame, join: Join) -> DataFrame:
                                T.StructField("sig", T.LongType()), T.StructField("grade", T.IntegerType())]))),
                            T.StructField("sketch", T.BinaryType())])
 
+    sketched = join.chancy()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signed: set[int] = set()
         for batch in batches:
@@ -231,7 +238,7 @@ def _described(source: DataFrame, join: Join) -> DataFrame:
                     [batch.column(0).slice(first, last - first), pa.array(np.diff(begins)), pa.array(k1), pa.array(k2),
                      pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(
                          [pa.array(sigs[order].astype(np.int64)), pa.array(where[order].astype(np.int32))], ["sig", "grade"])),
-                     pa.array(sketches(*signing), pa.binary())], schema.names)
+                     pa.array(sketches(*signing), pa.binary()) if sketched else pa.nulls(last - first, pa.binary())], schema.names)
         pa.default_memory_pool().release_unused()  # the worker stays for tasks of other stages
 
     return source.mapInArrow(run, schema)
@@ -323,12 +330,15 @@ def links(df: DataFrame, id_col: str, text_col: str, join: Join) -> tuple[DataFr
     signed = described.select("k1", F.inline("sigs")).select(node.alias("b"), "sig")
     hub = Window.partitionBy("sig").orderBy("b")
     first = F.min("b").over(hub.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    # the place of a row and whether one follows tell signatures of two rows, which need no name
-    several = (F.row_number().over(hub) > 2) | F.lead("b").over(hub).isNotNull()
-    stars = signed.withColumns({"a": first, "several": several}).filter("a <> b")
-    stars = materialise(stars.select(F.when(F.col("several"), F.col("sig")).alias("sig"), "a", "b"), "stars")
-    shown = described.filter("size(sigs) > 0").select("k1", "n", "sketch", F.explode(F.array_distinct("sigs.grade")).alias("grade"))
-    blocks = components(_may_link(stars, shown.select(node.alias("node"), "n", "sketch"), join))
+    if join.chancy():
+        # the place of a row and whether one follows tell signatures of two rows, which need no name
+        several = (F.row_number().over(hub) > 2) | F.lead("b").over(hub).isNotNull()
+        stars = signed.withColumns({"a": first, "several": several}).filter("a <> b")
+        stars = materialise(stars.select(F.when(F.col("several"), F.col("sig")).alias("sig"), "a", "b"), "stars")
+        shown = described.filter("size(sigs) > 0").select("k1", "n", "sketch", F.explode(F.array_distinct("sigs.grade")).alias("grade"))
+        blocks = components(_may_link(stars, shown.select(node.alias("node"), "n", "sketch"), join))
+    else:
+        blocks = components(signed.withColumn("a", first).filter("a <> b").select("a", "b"))
     bounds = F.array(*[F.lit(x) for x in join.grades(classes.agg(F.max("n")).first()[0] or 0)])
     grade = F.size(F.filter(bounds, lambda x: x <= F.col("n"))) - 1
     graded = classes.filter("rep is not null").withColumn("grade", F.explode(F.array(grade, grade - 1)))
